@@ -188,8 +188,8 @@ def next_seq(fact: DataFrame, col: str = "incident_no", prefix: str = "INC-") ->
 
 
 def row_counts(**tables: DataFrame) -> DataFrame:
-    """(table, rows) for each named frame."""
-    frames = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+    """(table_name, row_count) for each named frame."""
+    frames = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
               for name, df in tables.items()]
     out = frames[0]
     for f in frames[1:]:

@@ -1 +1,149 @@
-"""Registered queries."""
+"""Registered listing, filter and search queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from starledger.operators import filters as flt
+from starledger.operators import ordering as od
+from starledger.operators.joins import by_keys
+from starledger.plans import fixtures as fx
+from starledger.plans import listings
+from starledger.plans.registry import register
+
+M1 = fx.orders_star_cte()
+M2 = fx.lineitem_star_cte()
+PUBLIC = ", ".join(flt.SUBJECT_PUBLIC)
+ENRICHED = """i.id, i.incident_no, i.incident_date, i.student_id, i.offense_id, i.action_taken, i.status,
+       i.reported_by, i.notes, s.student_no, s.first_name, s.last_name, s.grade, s.section,
+       o.code AS offense_code, o.name AS offense_name, o.category, o.severity_points"""
+ENRICH_FROM = "fact i JOIN subj s ON s.id = i.student_id JOIN cat o ON o.id = i.offense_id"
+NUM_GRADE = "COALESCE(TRY_CAST(regexp_extract(grade, '^\\s*([+-]?\\d+)', 1) AS BIGINT), 0)"
+
+
+def _m1(spark, sf_dir):
+    return fx.orders_star(spark, sf_dir)
+
+
+@register("project_public", f"{M1} SELECT {PUBLIC} FROM subj")
+def q_project_public(spark, sf_dir):
+    return flt.project_public(_m1(spark, sf_dir).subject)
+
+
+@register("filter_eq", f"{M1} SELECT {PUBLIC} FROM subj WHERE grade = '7' AND section = 'BUILDING' AND status = 'Active'")
+def q_filter_eq(spark, sf_dir):
+    return flt.filter_eq(_m1(spark, sf_dir).subject, grade="7", section="BUILDING", status="Active")
+
+
+@register("search_subjects", f"""{M1} SELECT {PUBLIC} FROM subj
+WHERE contains(lower(student_no), 'cruz') OR contains(lower(first_name), 'cruz') OR contains(lower(last_name), 'cruz')""")
+def q_search_subjects(spark, sf_dir):
+    return flt.search_any(_m1(spark, sf_dir).subject, "Cruz", ["student_no", "first_name", "last_name"])
+
+
+@register("list_subjects", f"{M1} SELECT {PUBLIC} FROM subj ORDER BY {NUM_GRADE}, section, last_name, first_name, id LIMIT 500")
+def q_list_subjects(spark, sf_dir):
+    return od.list_subjects(_m1(spark, sf_dir).subject, limit=500)
+
+
+@register("search_incidents", f"""{M1} SELECT {ENRICHED} FROM {ENRICH_FROM}
+WHERE contains(lower(i.incident_no), 'cruz') OR contains(lower(s.student_no), 'cruz')
+   OR contains(lower(s.first_name), 'cruz') OR contains(lower(s.last_name), 'cruz') OR contains(lower(o.name), 'cruz')""")
+def q_search_incidents(spark, sf_dir):
+    st = _m1(spark, sf_dir)
+    return listings.incident_listing(st.fact, st.subject, st.catalog, search="Cruz", limit=None)
+
+
+@register("incident_listing", f"""{M1} SELECT {ENRICHED} FROM {ENRICH_FROM}
+WHERE o.category = 'Major' AND i.status = 'Open' ORDER BY i.incident_date DESC, i.id DESC LIMIT 500""")
+def q_incident_listing(spark, sf_dir):
+    st = _m1(spark, sf_dir)
+    return listings.incident_listing(st.fact, st.subject, st.catalog, category="Major", status="Open", limit=500)
+
+
+@register("filter_month", f"""{M1} SELECT {ENRICHED} FROM {ENRICH_FROM}
+WHERE i.incident_date >= DATE '1998-03-01' AND i.incident_date < DATE '1998-04-01'""")
+def q_filter_month(spark, sf_dir):
+    st = _m1(spark, sf_dir)
+    return listings.incident_listing(st.fact, st.subject, st.catalog, month="1998-03", limit=None)
+
+
+@register("active_catalog", f"{M2} SELECT * FROM cat WHERE active AND category = 'Major'")
+def q_active_catalog(spark, sf_dir):
+    cat = fx.part_catalog(spark, sf_dir)
+    return od.catalog_order(flt.active_only(flt.filter_eq(cat, category="Major")))
+
+
+@register("by_keys", f"""{M1} SELECT * FROM fact
+WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)""")
+def q_by_keys(spark, sf_dir):
+    from starledger.sources.tables import read_table
+    keys = read_table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= 45) \
+        .select(F.col("l_orderkey").alias("id"))
+    return by_keys(_m1(spark, sf_dir).fact, keys)
+
+
+@register("search_table", f"""{M1} SELECT {PUBLIC} FROM subj WHERE
+    contains(lower(CAST(id AS VARCHAR)), '12') OR contains(lower(student_no), '12') OR contains(lower(first_name), '12')
+ OR contains(lower(last_name), '12') OR contains(lower(grade), '12') OR contains(lower(section), '12')
+ OR contains(lower(adviser), '12') OR contains(lower(status), '12')""")
+def q_search_table(spark, sf_dir):
+    return flt.search_table(flt.project_public(_m1(spark, sf_dir).subject), "12")
+
+
+@register("suggest_subjects", f"""{M1} SELECT {PUBLIC} FROM subj
+WHERE contains(lower(concat_ws(' ', student_no, first_name, last_name, grade || '-' || section, adviser)), 'alyssa')
+ORDER BY {NUM_GRADE}, section, last_name, first_name, id LIMIT 8""")
+def q_suggest_subjects(spark, sf_dir):
+    return flt.suggest(flt.project_public(_m1(spark, sf_dir).subject), "  ALYSSA ")
+
+
+def _label_of(key: int) -> str:
+    """Option label of fixture subject ``key`` by the fixture rules (driver-side text)."""
+    first = fx.FIRST_NAMES[key % 50]
+    last = fx.LAST_NAMES[(key * 3 + 2) % 50]
+    return f"Customer#{key:09d} - {first} {last}"
+
+
+LOOKUP_TEXT = "  " + _label_of(42).upper() + " (%) "
+
+
+@register("lookup_label", f"""{M1} SELECT {PUBLIC} FROM subj
+WHERE lower(student_no || ' - ' || first_name || ' ' || last_name || ' (' || grade || '-' || section || ')')
+    = lower(trim(replace('{LOOKUP_TEXT}', '(%)', '(' || grade || '-' || section || ')')))""")
+def q_lookup_label(spark, sf_dir):
+    subj = flt.project_public(_m1(spark, sf_dir).subject)
+    # The grade-section part of the label comes from the data (one label per row).
+    probe = F.regexp_replace(F.lit(LOOKUP_TEXT), r"\(%\)", F.concat(F.lit("("), F.col("grade"), F.lit("-"),
+                                                                    F.col("section"), F.lit(")")))
+    from starledger.functions.scalars import strip_text
+    return subj.filter(F.lower(flt.option_label()) == F.lower(strip_text(probe)))
+
+
+@register("with_labels", f"""{M1} SELECT id, first_name || ' ' || last_name AS full_name,
+       grade || '-' || section AS grade_section,
+       student_no || ' - ' || first_name || ' ' || last_name || ' (' || grade || '-' || section || ')' AS option_label,
+       CASE WHEN adviser IS NULL OR adviser = '' THEN '—' ELSE adviser END AS adviser_display
+FROM subj""")
+def q_with_labels(spark, sf_dir):
+    return flt.with_labels(_m1(spark, sf_dir).subject)
+
+
+PAGE_P = 3
+
+
+@register("page_incidents", f"""{M1} SELECT {ENRICHED} FROM {ENRICH_FROM}
+ORDER BY i.incident_date DESC, i.id DESC LIMIT 10 OFFSET {PAGE_P * 10}""")
+def q_page_incidents(spark, sf_dir):
+    st = _m1(spark, sf_dir)
+    return listings.listing_page(st.fact, st.subject, st.catalog, PAGE_P)
+
+
+@register("page_info", f"""{M1}, t AS (SELECT COUNT(*) AS total_rows FROM {ENRICH_FROM})
+SELECT total_rows, CAST(GREATEST(CEIL(total_rows / 10.0), 1) AS BIGINT) AS page_count,
+       CAST(CASE WHEN total_rows > 0 THEN {PAGE_P * 10 + 1} ELSE 0 END AS BIGINT) AS first_row,
+       CAST(LEAST({(PAGE_P + 1) * 10}, total_rows) AS BIGINT) AS last_row FROM t""")
+def q_page_info(spark, sf_dir):
+    st = _m1(spark, sf_dir)
+    from starledger.operators.joins import valid_children
+    return od.page_info(valid_children(st.fact, st.subject, st.catalog), PAGE_P)
