@@ -222,3 +222,118 @@ def orders_star_cte() -> str:
 def lineitem_star_cte() -> str:
     return (f"WITH subj AS ({SUPPLIER_SUBJECTS_SQL}), cat AS ({PART_CATALOG_SQL}), "
             f"fact AS ({LINEITEM_FACTS_SQL})")
+
+
+# ---------------------------------------------------------------------------
+# Staged (dirty) intake sheets derived from whole tables by modular rules.
+# Every cell is text; ``row_number`` is the physical sheet row (header = 1).
+
+def _s(c) -> F.Column:
+    return c.cast("string")
+
+
+def staged_subject_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    blank = (k % 17 == 0)
+
+    def cell(expr):
+        return F.when(blank, F.lit("")).otherwise(expr)
+
+    number = F.when((k % 5 == 0) & (k > 0), F.upper(F.format_string("Customer#%09d", k - 1))) \
+        .otherwise(F.col("c_name"))
+    first = F.when(k % 7 == 0, F.lit("")).when(k % 6 == 1, F.concat(F.lit(" "), _pick(FIRST_NAMES, k), F.lit(" "))) \
+        .otherwise(_pick(FIRST_NAMES, k))
+    grade = F.when(k % 19 == 0, F.lit("")).otherwise(_s(F.col("c_nationkey")))
+    status = (F.when(k % 11 == 0, "Bogus").when(k % 13 == 0, "   ").when(k % 4 == 0, "")
+              .when(k % 4 == 1, "ACTIVE").when(k % 4 == 2, " inactive ").otherwise("Active"))
+    return c.select(
+        (k + 2).alias("row_number"),
+        cell(number).alias("student_no"),
+        cell(first).alias("first_name"),
+        cell(_pick(LAST_NAMES, k * 3 + 2)).alias("last_name"),
+        cell(grade).alias("grade"),
+        cell(F.col("c_mktsegment")).alias("section"),
+        cell(F.concat(F.lit("Adviser "), _s(F.col("c_nationkey")))).alias("adviser"),
+        cell(status).alias("status"),
+    )
+
+
+def stored_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects already stored before a subject intake: every third customer."""
+    s = customer_subjects(spark, sf_dir)
+    return s.filter(F.col("id") % 3 == 0)
+
+
+def staged_fact_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    d = F.col("o_orderdate").cast("date")
+    y, m, dd = _s(F.year(d)), _s(F.month(d)), _s(F.dayofmonth(d))
+    r = k % 8
+    text = (F.when(r == 0, F.date_format(d, "yyyy-MM-dd"))
+            .when(r == 1, F.concat_ws("/", m, dd, y))
+            .when(r == 2, F.concat_ws("-", m, dd, y))
+            .when(r == 3, _s(F.datediff(d, F.lit("1899-12-30").cast("date"))))
+            .when(r == 4, F.concat_ws("/", dd, m, y))
+            .when(r == 5, F.date_format(d, "yyyyMMdd"))
+            .when(r == 6, F.date_format(d, "MM/dd/yyyy"))
+            .otherwise(F.concat_ws("-", dd, m, y)))
+    date_text = F.when(k % 37 == 0, F.lit("")).when(k % 13 == 0, F.lit("soon")).otherwise(text)
+    number = F.format_string("Customer#%09d", F.col("o_custkey"))
+    student = (F.when(k % 29 == 0, F.lit("")).when(k % 17 == 0, F.concat(F.lit("Nobody#"), _s(k)))
+               .when(k % 2 == 0, F.lower(number)).otherwise(number))
+    code = (F.when(k % 19 == 0, F.lit("")).when(k % 23 == 0, F.lit("ZZ-UNKNOWN"))
+            .when(k % 2 == 1, F.lower(F.col("o_orderpriority"))).otherwise(F.col("o_orderpriority")))
+    st = F.col("o_orderstatus")
+    status = (F.when(k % 31 == 0, "Pending").when(k % 5 == 0, "").when(st == "O", "open")
+              .when(st == "P", "Under Review").otherwise(" RESOLVED "))
+    return o.select(
+        (k + 2).alias("row_number"),
+        date_text.alias("incident_date"),
+        student.alias("student_no"),
+        code.alias("offense_code"),
+        F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("Counselled")).alias("action_taken"),
+        status.alias("status"),
+        _pick(REPORTERS, k).alias("reported_by"),
+        F.concat(F.lit("Imported row "), _s(k)).alias("notes"),
+    )
+
+
+STAGED_SUBJECTS_SQL = (
+    "SELECT c_custkey + 2 AS row_number, "
+    + ", ".join(
+        f"CASE WHEN c_custkey % 17 = 0 THEN '' ELSE {expr} END AS {name}" for name, expr in [
+            ("student_no", "CASE WHEN c_custkey % 5 = 0 AND c_custkey > 0 THEN upper(printf('Customer#%09d', c_custkey - 1)) ELSE c_name END"),
+            ("first_name", f"CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 6 = 1 THEN ' ' || {_sql_list(FIRST_NAMES)}[(c_custkey % 50) + 1] || ' ' ELSE {_sql_list(FIRST_NAMES)}[(c_custkey % 50) + 1] END"),
+            ("last_name", f"{_sql_list(LAST_NAMES)}[((c_custkey * 3 + 2) % 50) + 1]"),
+            ("grade", "CASE WHEN c_custkey % 19 = 0 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END"),
+            ("section", "c_mktsegment"),
+            ("adviser", "'Adviser ' || CAST(c_nationkey AS VARCHAR)"),
+            ("status", "CASE WHEN c_custkey % 11 = 0 THEN 'Bogus' WHEN c_custkey % 13 = 0 THEN '   ' WHEN c_custkey % 4 = 0 THEN '' "
+                       "WHEN c_custkey % 4 = 1 THEN 'ACTIVE' WHEN c_custkey % 4 = 2 THEN ' inactive ' ELSE 'Active' END"),
+        ])
+    + " FROM customer"
+)
+
+STAGED_FACTS_SQL = (
+    "SELECT o_orderkey + 2 AS row_number, "
+    "CASE WHEN o_orderkey % 37 = 0 THEN '' WHEN o_orderkey % 13 = 0 THEN 'soon' ELSE CASE o_orderkey % 8 "
+    "WHEN 0 THEN strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') "
+    "WHEN 1 THEN CAST(month(o_orderdate) AS VARCHAR) || '/' || CAST(day(o_orderdate) AS VARCHAR) || '/' || CAST(year(o_orderdate) AS VARCHAR) "
+    "WHEN 2 THEN CAST(month(o_orderdate) AS VARCHAR) || '-' || CAST(day(o_orderdate) AS VARCHAR) || '-' || CAST(year(o_orderdate) AS VARCHAR) "
+    "WHEN 3 THEN CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS VARCHAR) "
+    "WHEN 4 THEN CAST(day(o_orderdate) AS VARCHAR) || '/' || CAST(month(o_orderdate) AS VARCHAR) || '/' || CAST(year(o_orderdate) AS VARCHAR) "
+    "WHEN 5 THEN strftime(CAST(o_orderdate AS DATE), '%Y%m%d') "
+    "WHEN 6 THEN strftime(CAST(o_orderdate AS DATE), '%m/%d/%Y') "
+    "ELSE CAST(day(o_orderdate) AS VARCHAR) || '-' || CAST(month(o_orderdate) AS VARCHAR) || '-' || CAST(year(o_orderdate) AS VARCHAR) END END AS incident_date, "
+    "CASE WHEN o_orderkey % 29 = 0 THEN '' WHEN o_orderkey % 17 = 0 THEN 'Nobody#' || CAST(o_orderkey AS VARCHAR) "
+    "WHEN o_orderkey % 2 = 0 THEN lower(printf('Customer#%09d', o_custkey)) ELSE printf('Customer#%09d', o_custkey) END AS student_no, "
+    "CASE WHEN o_orderkey % 19 = 0 THEN '' WHEN o_orderkey % 23 = 0 THEN 'ZZ-UNKNOWN' WHEN o_orderkey % 2 = 1 THEN lower(o_orderpriority) "
+    "ELSE o_orderpriority END AS offense_code, "
+    "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Counselled' END AS action_taken, "
+    "CASE WHEN o_orderkey % 31 = 0 THEN 'Pending' WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderstatus = 'O' THEN 'open' "
+    "WHEN o_orderstatus = 'P' THEN 'Under Review' ELSE ' RESOLVED ' END AS status, "
+    f"{_sql_list(REPORTERS)}[(o_orderkey % 4) + 1] AS reported_by, "
+    "'Imported row ' || CAST(o_orderkey AS VARCHAR) AS notes FROM orders"
+)
