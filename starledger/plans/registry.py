@@ -30,3 +30,4 @@ def load_all() -> None:
     from starledger.plans import queries_listings  # noqa: F401
     from starledger.plans import queries_intake  # noqa: F401
     from starledger.plans import queries_maintain  # noqa: F401
+    from starledger.plans import queries_sources  # noqa: F401
