@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starledger.functions.scalars import (
-    backfill_blank, canonical, clean_text, date_error, missing_labels, parse_date, seq_format, seq_suffix,
+    DATE_INVALID_MSG, DATE_REQUIRED_MSG, backfill_blank, canonical, clean_text, missing_labels, parse_date,
+    seq_format, seq_suffix,
 )
 from starledger.operators.joins import bounded_broadcast
 from starledger.operators.ordering import first_errors
@@ -81,7 +82,7 @@ def validate_subjects(staged: DataFrame) -> DataFrame:
 
 
 def import_subjects(staged: DataFrame, stored: DataFrame, spec: StarSpec = DEFAULT_SPEC,
-                    first_id: Column | int | None = None) -> IntakeResult:
+                    first_id: Column | int | None = None, checkpoint: bool = True) -> IntakeResult:
     """H4: validate -> skip keys already stored -> first row per key wins ->
     append.  Invalid rows never reserve a key; a stored key skips every
     staged row that carries it.  New ids continue after the stored maximum
@@ -98,7 +99,7 @@ def import_subjects(staged: DataFrame, stored: DataFrame, spec: StarSpec = DEFAU
     outcome = (F.when(F.col("error").isNotNull(), "error")
                .when(F.col("_is_first").isNotNull(), "imported")
                .otherwise("skipped"))
-    v = v.withColumn("outcome", outcome)
+    v = materialize(v.withColumn("outcome", outcome), checkpoint)
     outcomes = v.select(ROW, "student_no", "outcome", F.col("error").alias("message"))
     if first_id is None:
         first_id = stored.agg((F.coalesce(F.max(spec.subject_key), F.lit(0)) + 1).alias("m")).scalar()
@@ -126,7 +127,7 @@ def validate_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame,
         clean_text(_cell(staged, "student_no")).alias("student_no"),
         clean_text(_cell(staged, "offense_code")).alias("offense_code"),
         canonical(_cell(staged, "status"), FACT_STATUSES, FACT_STATUS_DEFAULT).alias("status"),
-        _cell(staged, "incident_date").alias("_date_raw"),
+        clean_text(_cell(staged, "incident_date")).alias("_date_text"),
         clean_text(_cell(staged, "action_taken")).alias("_action"),
         clean_text(_cell(staged, "reported_by")).alias("reported_by"),
         clean_text(_cell(staged, "notes")).alias("notes"),
@@ -137,6 +138,8 @@ def validate_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame,
         .select(F.col("_lk").alias("_ck"), F.col("_m.id").alias("offense_id"),
                 F.col(f"_m.{spec.recommended_action}").alias("_default_action"))
     cat = bounded_broadcast(cat)
+    # Parse once; the error chain below reads the parsed column.
+    s = s.withColumn("incident_date", parse_date("_date_text", cleaned=True))
     j = s.join(subj, F.lower(s["student_no"]) == subj["_sk"], "left").drop("_sk")
     j = j.join(cat, F.lower(j["offense_code"]) == cat["_ck"], "left").drop("_ck")
     error = F.coalesce(
@@ -146,17 +149,33 @@ def validate_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame,
         F.when(F.col("offense_id").isNull(),
                F.concat(F.lit("Offense code "), F.col("offense_code"), F.lit(" was not found"))),
         F.when(F.col("status").isNull(), F.lit(FACT_STATUS_MSG)),
-        date_error("_date_raw"),
+        F.when(F.col("_date_text") == "", F.lit(DATE_REQUIRED_MSG)),
+        F.when(F.col("incident_date").isNull(), F.lit(DATE_INVALID_MSG)),
     )
-    return j.withColumn("incident_date", parse_date("_date_raw")).withColumn("error", error)
+    return j.withColumn("error", error)
+
+
+def materialize(df: DataFrame, enabled: bool = True) -> DataFrame:
+    """Cut lineage by writing ``df`` as a Parquet table in the shared
+    checkpoint folder (``spark.checkpoint.dir``) and reading it back, so the
+    later passes read the written rows instead of recomputing an expensive
+    plan, and a lost executor re-reads instead of redoing the work.  (Parquet
+    is columnar and compact; an RDD checkpoint would Java-serialize rows.)"""
+    if not enabled:
+        return df
+    from starledger.session import scratch_path
+    path = scratch_path(df.sparkSession, "materialized")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def import_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame, existing: DataFrame,
-                 spec: StarSpec = DEFAULT_SPEC) -> IntakeResult:
+                 spec: StarSpec = DEFAULT_SPEC, checkpoint: bool = True) -> IntakeResult:
     """H6: validate -> default action from the catalog -> sequential numbers
     in file order after the largest stored number -> append.  Nothing is
-    skipped by this intake."""
-    v = validate_facts(staged, subject, catalog, spec)
+    skipped by this intake.  The validated rows are checkpointed once: the
+    outcome counts and the two numbering passes all read them."""
+    v = materialize(validate_facts(staged, subject, catalog, spec), checkpoint)
     v = v.withColumn("outcome", F.when(F.col("error").isNull(), "imported").otherwise("error"))
     outcomes = v.select(ROW, "student_no", "outcome", F.col("error").alias("message"))
     base_no = existing.agg(F.coalesce(F.max(seq_suffix(spec.fact_no, spec.fact_prefix)), F.lit(0))

@@ -20,8 +20,13 @@ BROADCAST_MAX_ROWS = 2_000_000
 
 
 def is_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows.  The check reads at
-    most ``max_rows + 1`` rows (a limit pushes into the scan)."""
+    """True when ``df`` holds at most ``max_rows`` rows.  A constant frame's
+    row count is known; otherwise the check reads at most ``max_rows + 1``
+    rows (the limit stops the scan early)."""
+    from starledger.sources.constants import KNOWN_ROWS
+    known = KNOWN_ROWS.get(df)
+    if known is not None:
+        return known <= max_rows
     return df.limit(max_rows + 1).count() <= max_rows
 
 

@@ -1,0 +1,24 @@
+"""Partitioning helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread CPU-heavy per-row work over the cluster when the input is a
+    handful of files (each small file or row group is one scan task).
+
+    A no-op when the input already has at least ``min_partitions`` files
+    (default: the cluster's default parallelism) -- the normal case for
+    large inputs, where adding a shuffle would only cost.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    try:
+        n_files = len(df.inputFiles())
+    except Exception:  # noqa: BLE001 - non-file sources: leave as is
+        return df
+    if n_files >= want:
+        return df
+    return df.repartition(want)

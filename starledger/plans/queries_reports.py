@@ -66,7 +66,7 @@ h AS (SELECT COUNT(*) AS high_risk_students FROM (
 SELECT t.*, a.active_students, h.high_risk_students FROM t, a, h""")
 def q_dashboard_totals(spark, sf_dir):
     st = _m1(spark, sf_dir)
-    return reports.dashboard(st.subject, st.fact, st.catalog, year=Y)["totals"]
+    return reports.dashboard_totals(st.subject, st.fact, st.catalog, year=Y)
 
 
 @register("active_subjects", f"{M1} SELECT COUNT(*) AS active_students FROM subj WHERE status = 'Active'")

@@ -10,16 +10,21 @@ from starledger.operators import aggregates as agg
 from starledger.spec import DEFAULT_SPEC, StarSpec
 
 
-def dashboard(subject: DataFrame, fact: DataFrame, catalog: DataFrame,
-              spec: StarSpec = DEFAULT_SPEC, year: int | None = None, n: int = 10) -> dict[str, DataFrame]:
-    """The six dashboard parts for one year, as lazy frames."""
-    totals = agg.merge_single_rows(
+def dashboard_totals(subject: DataFrame, fact: DataFrame, catalog: DataFrame,
+                     spec: StarSpec = DEFAULT_SPEC, year: int | None = None) -> DataFrame:
+    """D1 + D2 + D3 as one KPI row (three one-row aggregates merged)."""
+    return agg.merge_single_rows(
         agg.kpi_totals(fact, catalog, spec, year),
         agg.active_subjects(subject, spec),
         agg.high_risk_count(fact, catalog, spec, year),
     )
+
+
+def dashboard(subject: DataFrame, fact: DataFrame, catalog: DataFrame,
+              spec: StarSpec = DEFAULT_SPEC, year: int | None = None, n: int = 10) -> dict[str, DataFrame]:
+    """The six dashboard parts for one year, as lazy frames."""
     return {
-        "totals": totals,
+        "totals": dashboard_totals(subject, fact, catalog, spec, year),
         "monthly": agg.monthly_trend(fact, catalog, spec, year),
         "top_subjects": agg.top_subjects(fact, subject, catalog, spec, year, n),
         "top_catalog": agg.top_catalog(fact, catalog, spec, year, n),

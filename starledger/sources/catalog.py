@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from starledger.sources.constants import values_frame
 from starledger.spec import CATALOG_SCHEMA
 
 # --- fixed values (must equal the reference's catalog texts) -------------------
@@ -92,13 +93,11 @@ def catalog_frame(spark: SparkSession, rows: Sequence[tuple] = OFFICIAL_CATALOG,
     action)`` rows; ids are assigned in the given order."""
     data = [(first_id + i, code, name, cat, int(pts), act, active)
             for i, (code, name, cat, pts, act) in enumerate(rows)]
-    return spark.createDataFrame(data, CATALOG_SCHEMA)
+    return values_frame(spark, data, CATALOG_SCHEMA)
 
 
 def code_map_frame(spark: SparkSession, mapping: dict[str, str] = LEGACY_CODE_MAP) -> DataFrame:
     """Key-remap table (old_code, new_code) as a bounded constant frame."""
-    return spark.createDataFrame(sorted(mapping.items()), "old_code string, new_code string")
+    schema = T.StructType([T.StructField("old_code", T.StringType()), T.StructField("new_code", T.StringType())])
+    return values_frame(spark, sorted(mapping.items()), schema)
 
-
-def with_category_points(df: DataFrame, category_col: str = "category") -> DataFrame:
-    return df.withColumn("is_major", F.col(category_col) == "Major")
