@@ -324,3 +324,25 @@ def q_insert_fact_rejects(spark, sf_dir):
 def q_ensure_column(spark, sf_dir):
     s = fx.customer_subjects(spark, sf_dir)
     return mt.ensure_column(mt.ensure_column(s, "status", "Active"), "notes", "")
+
+
+# --------------------------------------------------------------------------- C6 / H2
+FK_SQL = """SELECT f.id, f.student_id, f.offense_id, s.id IS NULL AS missing_subject, c.id IS NULL AS missing_catalog
+FROM fact f LEFT JOIN {subj} s ON s.id = f.student_id LEFT JOIN {cat} c ON c.id = f.offense_id
+WHERE s.id IS NULL OR c.id IS NULL"""
+
+
+@register("fk_audit", f"{M1}, subj3 AS (SELECT * FROM subj WHERE id % 3 <> 0) "
+                      + FK_SQL.format(subj="subj3", cat="cat"))
+def q_fk_audit(spark, sf_dir):
+    from starledger.operators.joins import fk_audit
+    st = fx.orders_star(spark, sf_dir)
+    return fk_audit(st.fact, st.subject.filter(F.col("id") % 3 != 0), st.catalog)
+
+
+@register("fk_audit_lineitem", f"{M2}, cat_active AS (SELECT * FROM cat WHERE active) "
+                               + FK_SQL.format(subj="subj", cat="cat_active"))
+def q_fk_audit_lineitem(spark, sf_dir):
+    from starledger.operators.joins import fk_audit
+    st = fx.lineitem_star(spark, sf_dir)
+    return fk_audit(st.fact, st.subject, st.catalog.filter(F.col("active")))
