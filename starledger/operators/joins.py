@@ -9,6 +9,7 @@ has *measured* the side).
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from starledger.spec import DEFAULT_SPEC, StarSpec
 
 BROADCAST_MAX_ROWS = 2_000_000
+_CHECKED: dict = {}
 
 
 def is_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
@@ -27,7 +29,11 @@ def is_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     known = KNOWN_ROWS.get(df)
     if known is not None:
         return known <= max_rows
-    return df.limit(max_rows + 1).count() <= max_rows
+    key = (id(df), max_rows)
+    if key not in _CHECKED or _CHECKED[key][0]() is not df:
+        # Inputs are immutable snapshots: a frame's bound is checked once.
+        _CHECKED[key] = (weakref.ref(df), df.limit(max_rows + 1).count() <= max_rows)
+    return _CHECKED[key][1]
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

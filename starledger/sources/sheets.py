@@ -8,6 +8,7 @@ counted in the numbering.  Headers are slugged and aliased as metadata only.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,16 +69,33 @@ def stage_rows(raw: DataFrame, row_col: str | None = ROW_COL) -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str, fmt: str = "csv",
-               aliases: Mapping[str, str] = HEADER_ALIASES) -> DataFrame:
-    """Read a staged sheet (CSV with a header row, or Parquet of strings),
-    normalise headers, number rows in file order, drop blank rows."""
-    if fmt == "csv":
-        raw = spark.read.option("header", True).option("inferSchema", False) \
-            .option("multiLine", False).csv(path)
-    else:
+               aliases: Mapping[str, str] = HEADER_ALIASES, sep: str = ",") -> DataFrame:
+    """Read one staged sheet file: header row, then data rows.
+
+    CSV: lines are read with the text source (which keeps empty lines),
+    numbered in file order (header = row 1), and parsed with the built-in
+    ``from_csv`` into positional string cells, so blank lines still count in
+    the numbering.  Cells beyond the header width are ignored; missing
+    cells are NULL.  Embedded newlines inside quoted cells are not supported.
+    Parquet: a table of text cells with a ``row_number`` column.
+    Headers are slugged/aliased (later duplicates win); blank rows dropped.
+    """
+    if fmt != "csv":
         raw = spark.read.parquet(path)
         raw = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) if c != ROW_COL else F.col(c)
                            for c in raw.columns])
-    has_rows = ROW_COL in raw.columns
-    df = normalize_headers(raw, aliases)
-    return stage_rows(df, ROW_COL if has_rows else None)
+        has_rows = ROW_COL in raw.columns
+        return stage_rows(normalize_headers(raw, aliases), ROW_COL if has_rows else None)
+    lines = spark.read.text(path)
+    header_text = lines.limit(1).first()  # the header line: one bounded row
+    if header_text is None:
+        raise ValueError("The first worksheet is empty")
+    headers = next(csv.reader([header_text.value], delimiter=sep))
+    slugs = [header_slug(h, aliases) for h in headers]
+    last_pos = {slug: i for i, slug in enumerate(slugs) if slug}  # later duplicate wins
+    ddl = ", ".join(f"_c{i} STRING" for i in range(len(headers)))
+    numbered = number_rows(lines, ROW_COL, start=1).filter(F.col(ROW_COL) > 1)
+    cells = F.from_csv(F.col("value"), ddl, {"sep": sep, "mode": "PERMISSIVE"})
+    parsed = numbered.select(F.col(ROW_COL), cells.alias("_r"))
+    df = parsed.select(F.col(ROW_COL), *[F.col(f"_r._c{i}").alias(slug) for slug, i in last_pos.items()])
+    return stage_rows(df, ROW_COL)

@@ -61,7 +61,8 @@ def synth_facts(rows: DataFrame, key: str, n_subjects, year: int, catalog: DataF
         _pick(REPORTERS, i).alias("reported_by"),
         F.lit(SEED_NOTE).alias("notes"),
     )
-    c = F.broadcast(catalog.select(F.col("id").alias("_cid"), F.col("recommended_action").alias("action_taken")))
+    from starledger.operators.joins import bounded_broadcast
+    c = bounded_broadcast(catalog.select(F.col("id").alias("_cid"), F.col("recommended_action").alias("action_taken")))
     j = f.join(c, f["offense_id"] == c["_cid"], "left")
     return j.select("id", "incident_no", "incident_date", "student_id", "offense_id", "action_taken",
                     "status", "reported_by", "notes")

@@ -154,3 +154,19 @@ def test_first_per_key_with_hot_key(spark):
     firsts = first_per_key(df, F.lower("k"), "row_number")
     assert firsts.filter(F.col("k") == "hot").first().row_number == 2
     assert firsts.count() == 20001
+
+
+def test_read_sheet_csv_counts_blank_lines(spark, tmp_path):
+    from starledger.sources.sheets import read_sheet
+    p = tmp_path / "students.csv"
+    p.write_text("LRN,First Name,Last Name,Grade Level,Section,Status,Code\n"
+                 "S-1,Ana,Cruz,7,A,,x\n"
+                 "\n"
+                 ",,,,,,\n"
+                 "S-2,\"Lim, Jr\",Tan,8,B,ACTIVE\n"
+                 "S-3,Bo,Go,9,C,Active,y,extra\n")
+    df = read_sheet(spark, str(p))
+    got = sorted((r.row_number, r.student_no, r.first_name, r.status) for r in df.collect())
+    assert got == [(2, "S-1", "Ana", None), (5, "S-2", "Lim, Jr", "ACTIVE"), (6, "S-3", "Bo", "Active")]
+    assert df.columns == ["row_number", "student_no", "first_name", "last_name", "grade", "section", "status",
+                          "offense_code"]
