@@ -32,7 +32,7 @@ def subject_rollup(fact: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAULT
     if catalog_small is None:
         catalog_small = is_bounded(catalog)
     if catalog_small:
-        f = with_catalog(fact.select(spec.fact_subject, spec.fact_catalog, spec.fact_date),
+        f = with_catalog(fact.select(spec.fact_subject, spec.fact_catalog, spec.fact_date, spec.fact_status),
                          catalog, spec, (spec.category, spec.points), broadcast=True, how=how)
         return f.groupBy(F.col(spec.fact_subject).alias("_sid")).agg(
             F.count(F.lit(1)).alias("total"),
@@ -40,11 +40,13 @@ def subject_rollup(fact: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAULT
             count_when(F.col(spec.category) == spec.major).alias("major"),
             F.sum(spec.points).cast("bigint").alias("points"),
             F.max(spec.fact_date).alias("last_date"),
+            count_when(F.col(spec.fact_status) == spec.open_status).alias("open"),
         )
     # Large catalog: collapse facts to (subject, item) pairs, join, re-aggregate.
     pairs = fact.groupBy(F.col(spec.fact_subject).alias("_sid"),
                          F.col(spec.fact_catalog).alias("_cid")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(spec.fact_date).alias("d"))
+        F.count(F.lit(1)).alias("n"), F.max(spec.fact_date).alias("d"),
+        count_when(F.col(spec.fact_status) == spec.open_status).alias("o"))
     cat = catalog_cols(catalog, spec, (spec.category, spec.points))
     j = pairs.join(cat, pairs["_cid"] == cat["_cat_id"], how)
     return j.groupBy("_sid").agg(
@@ -53,25 +55,43 @@ def subject_rollup(fact: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAULT
         F.sum(F.when(F.col(spec.category) == spec.major, F.col("n")).otherwise(0)).cast("bigint").alias("major"),
         F.sum(F.col("n") * F.col(spec.points)).cast("bigint").alias("points"),
         F.max("d").alias("last_date"),
+        F.sum("o").cast("bigint").alias("open"),
     )
 
 
+KPI_COLS = ("total_incidents", "minor_incidents", "major_incidents", "severity_points",
+            "open_cases", "students_with_incidents")
+
+
+def kpi_and_risk(fact: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAULT_SPEC,
+                 year: int | None = None, threshold: int | None = None) -> DataFrame:
+    """D1 + D3 from ONE per-subject roll-up of ``fact ⋈ catalog``.
+
+    The roll-up has one row per subject, so the exact distinct-subject count
+    is its non-null key count (no separate distinct aggregation) and the
+    high-risk count is a conditional count over it: the year's facts are
+    scanned and shuffled once for all seven values.
+    """
+    t = spec.high_points if threshold is None else threshold
+    per = subject_rollup(year_facts(fact, spec, year), catalog, spec)
+    out = per.agg(
+        F.sum("total").alias("total_incidents"),
+        F.sum("minor").alias("minor_incidents"),
+        F.sum("major").alias("major_incidents"),
+        F.sum("points").alias("severity_points"),
+        F.sum("open").alias("open_cases"),
+        F.count(F.col("_sid")).alias("students_with_incidents"),
+        F.count_if(F.col("points") >= t).alias("high_risk_students"),
+    )
+    return out.select(*[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+                        for c in (*KPI_COLS, "high_risk_students")])
+
+
 def kpi_totals(fact: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAULT_SPEC,
                year: int | None = None) -> DataFrame:
     """One row of year KPIs.  Conditional sums are coalesced to 0 on an
     empty year (decision Q1).  ``students_with_incidents`` is exact."""
-    f = year_facts(fact, spec, year).select(spec.fact_subject, spec.fact_catalog, spec.fact_status)
-    f = with_catalog(f, catalog, spec, (spec.category, spec.points))
-    return f.agg(
-        F.count(F.lit(1)).alias("total_incidents"),
-        count_when(F.col(spec.category) == spec.minor).alias("minor_incidents"),
-        count_when(F.col(spec.category) == spec.major).alias("major_incidents"),
-        F.coalesce(F.sum(spec.points), F.lit(0)).cast("bigint").alias("severity_points"),
-        count_when(F.col(spec.fact_status) == spec.open_status).alias("open_cases"),
-        F.count_distinct(F.col(spec.fact_subject)).alias("students_with_incidents"),
-    ).select(*[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in (
-        "total_incidents", "minor_incidents", "major_incidents", "severity_points",
-        "open_cases", "students_with_incidents")])
+    return kpi_and_risk(fact, catalog, spec, year).select(*KPI_COLS)
 
 
 def active_subjects(subject: DataFrame, spec: StarSpec = DEFAULT_SPEC) -> DataFrame:

@@ -12,12 +12,12 @@ from starledger.spec import DEFAULT_SPEC, StarSpec
 
 def dashboard_totals(subject: DataFrame, fact: DataFrame, catalog: DataFrame,
                      spec: StarSpec = DEFAULT_SPEC, year: int | None = None) -> DataFrame:
-    """D1 + D2 + D3 as one KPI row (three one-row aggregates merged)."""
+    """D1 + D2 + D3 as one KPI row: the fact-side values come from one
+    per-subject roll-up, the active count from the subject table."""
     return agg.merge_single_rows(
-        agg.kpi_totals(fact, catalog, spec, year),
+        agg.kpi_and_risk(fact, catalog, spec, year),
         agg.active_subjects(subject, spec),
-        agg.high_risk_count(fact, catalog, spec, year),
-    )
+    ).select(*agg.KPI_COLS, "active_students", "high_risk_students")
 
 
 def dashboard(subject: DataFrame, fact: DataFrame, catalog: DataFrame,
