@@ -14,13 +14,11 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starledger.functions.scalars import header_slug
+from starledger.functions.scalars import header_slug, strip_text
 from starledger.operators.windows import number_rows
 from starledger.spec import HEADER_ALIASES
 
 ROW_COL = "row_number"
-# Any character that Python's str.strip() would not remove.
-NON_SPACE = "[^\\t\\n\\x0B\\f\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
 def normalize_headers(df: DataFrame, aliases: Mapping[str, str] = HEADER_ALIASES,
@@ -59,9 +57,9 @@ def stage_rows(raw: DataFrame, row_col: str | None = ROW_COL) -> DataFrame:
         df = number_rows(df, ROW_COL, start=2)
         row_col = ROW_COL
     cells = [c for c in df.columns if c != row_col]
-    # A cell is blank when it has no character other than whitespace; the
-    # OR short-circuits at the first filled cell (a regex *find*, no replace).
-    filled = [F.coalesce(F.col(c).cast("string").rlike(NON_SPACE), F.lit(False)) for c in cells]
+    # A cell is blank when only whitespace remains; the OR short-circuits at
+    # the first filled cell.
+    filled = [F.coalesce(F.length(strip_text(F.col(c).cast("string"))) > 0, F.lit(False)) for c in cells]
     cond = filled[0]
     for f in filled[1:]:
         cond = cond | f
