@@ -137,7 +137,7 @@ def validate_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame,
     cat = lookup_first(catalog, spec.code, spec.catalog_key, (spec.recommended_action,)) \
         .select(F.col("_lk").alias("_ck"), F.col("_m.id").alias("offense_id"),
                 F.col(f"_m.{spec.recommended_action}").alias("_default_action"))
-    cat = bounded_broadcast(cat)
+    cat = bounded_broadcast(cat, within=catalog)
     # Parse once; the error chain below reads the parsed column.
     s = s.withColumn("incident_date", parse_date("_date_text", cleaned=True))
     j = s.join(subj, F.lower(s["student_no"]) == subj["_sk"], "left").drop("_sk")

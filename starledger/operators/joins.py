@@ -21,14 +21,19 @@ BROADCAST_MAX_ROWS = 2_000_000
 _CHECKED: dict = {}
 
 
-def is_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
+def is_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, within: DataFrame | None = None) -> bool:
     """True when ``df`` holds at most ``max_rows`` rows.  A constant frame's
-    row count is known; otherwise the check reads at most ``max_rows + 1``
-    rows (the limit stops the scan early)."""
+    row count is known, and so is an upper bound for any filter/projection/
+    distinct of one (pass it as ``within``); otherwise the check reads at most
+    ``max_rows + 1`` rows (the limit stops the scan early)."""
     from starledger.sources.constants import KNOWN_ROWS
     known = KNOWN_ROWS.get(df)
-    if known is not None:
-        return known <= max_rows
+    if known is None and within is not None:
+        known = KNOWN_ROWS.get(within)
+    if known is not None and known <= max_rows:
+        return True
+    if known is not None and within is None:
+        return False
     key = (id(df), max_rows)
     if key not in _CHECKED or _CHECKED[key][0]() is not df:
         # Inputs are immutable snapshots: a frame's bound is checked once.
@@ -36,9 +41,10 @@ def is_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     return _CHECKED[key][1]
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      within: DataFrame | None = None) -> DataFrame:
     """Broadcast hint only behind a size check; unchanged frame otherwise."""
-    return F.broadcast(df) if is_bounded(df, max_rows) else df
+    return F.broadcast(df) if is_bounded(df, max_rows, within) else df
 
 
 def catalog_cols(catalog: DataFrame, spec: StarSpec = DEFAULT_SPEC,
@@ -54,7 +60,7 @@ def with_catalog(fact: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAULT_S
     ``inner``, or ``left`` to keep facts whose catalog row is missing)."""
     cat = catalog_cols(catalog, spec, cols)
     if broadcast is None:
-        cat = bounded_broadcast(cat)
+        cat = bounded_broadcast(cat, within=catalog)
     elif broadcast:
         cat = F.broadcast(cat)
     return fact.join(cat, fact[spec.fact_catalog] == cat["_cat_id"], how).drop("_cat_id")
@@ -75,7 +81,7 @@ def enrich(fact: DataFrame, subject: DataFrame, catalog: DataFrame,
                        F.col(spec.catalog_name).alias("offense_name"),
                        F.col(spec.category).alias("category"),
                        F.col(spec.points).alias("severity_points"))
-    c = bounded_broadcast(c)
+    c = bounded_broadcast(c, within=catalog)
     out = fact.join(s, fact[spec.fact_subject] == s["_subj_id"], "inner")
     out = out.join(c, out[spec.fact_catalog] == c["_cat_id"], "inner")
     return out.drop("_subj_id", "_cat_id")

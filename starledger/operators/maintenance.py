@@ -220,7 +220,7 @@ def insert_facts(fact: DataFrame, subject: DataFrame, catalog: DataFrame, batch:
     ``order_col`` order."""
     s = subject.select(F.col(spec.subject_key).alias("_sid"), F.lit(True).alias("_has_s"))
     c = bounded_broadcast(catalog.select(F.col(spec.catalog_key).alias("_cid"),
-                                         F.col(spec.recommended_action).alias("_default_action")))
+                                         F.col(spec.recommended_action).alias("_default_action")), within=catalog)
     b = batch.join(s, batch[spec.fact_subject] == s["_sid"], "left") \
         .join(c, batch[spec.fact_catalog] == c["_cid"], "left")
     reason = F.when(F.col("_has_s").isNull(), "Student not found").when(F.col("_cid").isNull(), "Offense not found")

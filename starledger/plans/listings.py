@@ -38,13 +38,13 @@ def incident_listing(fact: DataFrame, subject: DataFrame, catalog: DataFrame,
     cat = catalog
     if category:
         cat = catalog.filter(F.col(spec.category) == category)
+    if search:
+        f = search_facts(f, subject, cat, search, spec)
     if search or limit is None:
         out = enrich(f, subject, cat, spec)
-        if search:
-            out = out.filter(any_contains(INCIDENT_SEARCH_COLS, search))
         out = out.orderBy(F.col(spec.fact_date).desc(), F.col(spec.fact_key).desc())
         return out if limit is None else out.limit(check_limit(limit))
-    keys = bounded_broadcast(cat.select(F.col(spec.catalog_key).alias("_cid")))
+    keys = bounded_broadcast(cat.select(F.col(spec.catalog_key).alias("_cid")), within=catalog)
     f = f.join(keys, f[spec.fact_catalog] == keys["_cid"], "left_semi")
     s_keys = subject.select(F.col(spec.subject_key).alias("_sid"))
     f = f.join(s_keys, f[spec.fact_subject] == s_keys["_sid"], "left_semi")
@@ -53,12 +53,34 @@ def incident_listing(fact: DataFrame, subject: DataFrame, catalog: DataFrame,
     return out.orderBy(F.col(spec.fact_date).desc(), F.col(spec.fact_key).desc())
 
 
+def search_facts(fact: DataFrame, subject: DataFrame, catalog: DataFrame, search: str,
+                 spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
+    """B3 over the 3-way join without joining every fact first.
+
+    A fact matches when its number, its subject's number or names, or its
+    catalog item's name contains ``search`` (case-insensitive).  The matching
+    subjects and catalog items are computed on the dimension tables and
+    attached to facts as flags through key joins; when those key sets are
+    provably small they are broadcast, so the fact table is filtered in its
+    scan stage with no shuffle, and only matching facts reach the detail join.
+    """
+    s_hit = subject.filter(any_contains([spec.subject_no, spec.first_name, spec.last_name], search)) \
+        .select(F.col(spec.subject_key).alias("_s_hit")).distinct()
+    c_hit = catalog.filter(any_contains([spec.catalog_name], search)) \
+        .select(F.col(spec.catalog_key).alias("_c_hit")).distinct()
+    s_hit, c_hit = bounded_broadcast(s_hit, within=subject), bounded_broadcast(c_hit, within=catalog)
+    f = fact.join(s_hit, fact[spec.fact_subject] == s_hit["_s_hit"], "left")
+    f = f.join(c_hit, f[spec.fact_catalog] == c_hit["_c_hit"], "left")
+    hit = any_contains([spec.fact_no], search) | F.col("_s_hit").isNotNull() | F.col("_c_hit").isNotNull()
+    return f.filter(hit).drop("_s_hit", "_c_hit")
+
+
 def listing_page(fact: DataFrame, subject: DataFrame, catalog: DataFrame, p: int,
                  spec: StarSpec = DEFAULT_SPEC, n: int = 10) -> DataFrame:
     """E8 on the enriched listing: page ``p`` (0-based) of ``n`` rows, most
     recent first.  Paging runs on key columns (semi joins for the inner-join
     semantics); details are joined to the ``n`` page rows only."""
-    c_keys = bounded_broadcast(catalog.select(F.col(spec.catalog_key).alias("_cid")))
+    c_keys = bounded_broadcast(catalog.select(F.col(spec.catalog_key).alias("_cid")), within=catalog)
     f = fact.join(c_keys, fact[spec.fact_catalog] == c_keys["_cid"], "left_semi")
     s_keys = subject.select(F.col(spec.subject_key).alias("_sid"))
     f = f.join(s_keys, f[spec.fact_subject] == s_keys["_sid"], "left_semi")

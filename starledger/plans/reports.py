@@ -91,7 +91,7 @@ def record_history(subject: DataFrame, fact: DataFrame, catalog: DataFrame,
                        F.col(spec.catalog_name).alias("offense_name"), F.col(spec.category).alias("category"),
                        F.col(spec.points).alias("severity_points"))
     from starledger.operators.joins import bounded_broadcast
-    j = f.join(bounded_broadcast(c), f[spec.fact_catalog] == c["_cid"], "inner")
+    j = f.join(bounded_broadcast(c, within=catalog), f[spec.fact_catalog] == c["_cid"], "inner")
     return j.select(F.col(spec.fact_subject).alias("student_id"), F.col(spec.fact_key).alias("id"),
                     spec.fact_no, spec.fact_date, spec.action, spec.fact_status, spec.reporter, spec.notes,
                     "offense_code", "offense_name", "category", "severity_points")
