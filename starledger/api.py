@@ -109,15 +109,22 @@ class Ledger:
         return mt.guarded_delete(self.catalog, self.fact, keys, s.catalog_key, s.fact_catalog,
                                  [s.code, s.catalog_name], on_missing)
 
-    def sync_catalog(self, rows=OFFICIAL_CATALOG, legacy: dict[str, str] = LEGACY_CODE_MAP) -> "Ledger":
+    def sync_catalog(self, rows=OFFICIAL_CATALOG, legacy: dict[str, str] = LEGACY_CODE_MAP,
+                     remap_legacy: bool = True) -> "Ledger":
         """Catalog sync in three steps: rows under a retired code are renamed
         ``LEGACY-<code>`` (a retired code may also be a current official
         code); the official rows are upserted (active, texts overwritten,
         missing codes inserted); facts on each ``LEGACY-`` row move to its
         replacement in one simultaneous remap and the ``LEGACY-`` rows are
-        dropped.  Pairs with a side missing are skipped."""
+        dropped.  Pairs with a side missing are skipped.
+
+        The legacy move is a one-time migration (``remap_legacy=True`` once);
+        later syncs pass ``remap_legacy=False`` and are idempotent -- otherwise
+        facts recorded on a retired code that is also an official code would
+        move again on every sync.
+        """
         s, spark = self.spec, self.catalog.sparkSession
-        retired = list(legacy)
+        retired = list(legacy) if remap_legacy else []
         renamed = self.catalog.withColumn(
             s.code, F.when(F.col(s.code).isin(retired), F.concat(F.lit(LEGACY_PREFIX), F.col(s.code)))
             .otherwise(F.col(s.code)))
@@ -126,6 +133,8 @@ class Ledger:
                                           f"{s.points} int, {s.recommended_action} string, _ord long")
         cat = mt.upsert(renamed, upd, s.code, [s.catalog_name, s.category, s.points, s.recommended_action],
                         "_ord", on_update={s.active: F.lit(True)}, id_col=s.catalog_key)
+        if not remap_legacy:
+            return self.with_tables(catalog=cat)
         mapping = code_map_frame(spark, {LEGACY_PREFIX + k: v for k, v in legacy.items()})
         rm = mt.remap_keys(self.fact, cat, mapping, s)
         return self.with_tables(catalog=rm.catalog, fact=rm.fact)

@@ -66,3 +66,14 @@ def test_sync_catalog_and_guarded_delete(spark):
     keys = spark.createDataFrame([(1,)], "id long")
     res = lg.delete_subjects(keys)
     assert res.snapshot.count() == lg.subject.count()  # subject 1 has facts -> rejected
+
+
+def test_sync_is_idempotent_after_the_one_time_remap(spark):
+    from conftest import rows
+    lg = ledger(spark)
+    old = catalog_frame(spark, [("MAJ-004", "Old", "Major", 5, "")])
+    f = spark.createDataFrame([(1, "INC-1", dt.date(2026, 1, 1), 1, 1, "", "Open", "", "")], lg.fact.schema)
+    once = Ledger(lg.subject, old, f).sync_catalog()
+    again = once.sync_catalog(remap_legacy=False)
+    assert rows(again.catalog) == rows(once.catalog)
+    assert rows(again.fact) == rows(once.fact)
