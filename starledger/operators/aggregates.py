@@ -109,16 +109,29 @@ def high_risk_count(fact: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAUL
 
 
 def monthly_trend(fact: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAULT_SPEC,
-                  year: int | None = None) -> DataFrame:
-    """Total, minor, major, points per 'yyyy-MM'; empty months absent."""
+                  year: int | None = None, fill_gaps: bool = False) -> DataFrame:
+    """Total, minor, major, points per 'yyyy-MM'; empty months are absent
+    unless ``fill_gaps`` (needs ``year``): then a 12-month spine (a constant
+    12-row relation) is left-joined and empty months show zeros."""
     f = year_facts(fact, spec, year).select(spec.fact_date, spec.fact_catalog)
     f = with_catalog(f, catalog, spec, (spec.category, spec.points))
-    return f.groupBy(month_text(spec.fact_date).alias("month")).agg(
+    out = f.groupBy(month_text(spec.fact_date).alias("month")).agg(
         F.count(F.lit(1)).alias("total"),
         count_when(F.col(spec.category) == spec.minor).alias("minor"),
         count_when(F.col(spec.category) == spec.major).alias("major"),
         F.coalesce(F.sum(spec.points), F.lit(0)).cast("bigint").alias("points"),
     )
+    if not fill_gaps:
+        return out
+    if year is None:
+        raise ValueError("fill_gaps needs a year")
+    from pyspark.sql import types as T
+    from starledger.sources.constants import values_frame
+    spine = values_frame(out.sparkSession, [(f"{year:04d}-{m:02d}",) for m in range(1, 13)],
+                         T.StructType([T.StructField("month", T.StringType())]))
+    j = spine.join(out, "month", "left")
+    zero = F.lit(0).cast("bigint")
+    return j.select("month", *[F.coalesce(c, zero).alias(c) for c in ("total", "minor", "major", "points")])
 
 
 def top_subjects(fact: DataFrame, subject: DataFrame, catalog: DataFrame,

@@ -217,3 +217,14 @@ SELECT CAST(COALESCE(MAX(COALESCE(TRY_CAST(regexp_extract(substr(incident_no, 5)
 FROM fact WHERE upper(substr(incident_no, 1, 4)) = 'INC-'""")
 def q_next_seq(spark, sf_dir):
     return agg.next_seq(_m1(spark, sf_dir).fact)
+
+
+@register("monthly_trend_filled", f"""{M1}, m AS ({MONTHLY_SQL.replace(str(Y), "2001").replace(str(Y + 1), "2002")}),
+spine AS (SELECT strftime(make_date(2001, g, 1), '%Y-%m') AS month FROM generate_series(1, 12) t(g))
+SELECT spine.month, COALESCE(m.total, 0) AS total, COALESCE(m.minor, 0) AS minor,
+       COALESCE(m.major, 0) AS major, COALESCE(m.points, 0) AS points
+FROM spine LEFT JOIN m ON m.month = spine.month""")
+def q_monthly_trend_filled(spark, sf_dir):
+    st = _m1(spark, sf_dir)
+    # 2001 has facts only through August: the spine fills the rest with zeros.
+    return agg.monthly_trend(st.fact, st.catalog, year=2001, fill_gaps=True)
