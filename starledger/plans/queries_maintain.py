@@ -346,3 +346,25 @@ def q_fk_audit_lineitem(spark, sf_dir):
     from starledger.operators.joins import fk_audit
     st = fx.lineitem_star(spark, sf_dir)
     return fk_audit(st.fact, st.subject, st.catalog.filter(F.col("active")))
+
+
+@register("protected_preview_catalog", f"""{M2},
+k AS (SELECT p_partkey AS id FROM part WHERE p_size % 7 = 0),
+prot AS (SELECT c.id, c.code, c.name, COUNT(*) AS incident_count
+         FROM cat c JOIN fact f ON f.offense_id = c.id WHERE c.id IN (SELECT id FROM k)
+         GROUP BY c.id, c.code, c.name),
+h AS (SELECT code, id, code || ' - ' || name AS label FROM prot ORDER BY code, id LIMIT 3),
+n AS (SELECT COUNT(*) AS c FROM prot)
+SELECT n.c AS protected_count,
+       CASE WHEN n.c = 1 THEN printf('%d selected offense has', n.c) ELSE printf('%d selected offenses have', n.c) END
+       || ' incident records and cannot be deleted: '
+       || (SELECT string_agg(label, ', ' ORDER BY code, id) FROM h)
+       || CASE WHEN n.c > 3 THEN printf(', and %d more', n.c - 3) ELSE '' END
+       || '. No offenses were deleted' AS message
+FROM n WHERE n.c > 0""")
+def q_protected_preview_catalog(spark, sf_dir):
+    st = fx.lineitem_star(spark, sf_dir)
+    keys = read_table(spark, sf_dir, "part").filter(F.col("p_size") % 7 == 0).select(F.col("p_partkey").alias("id"))
+    res = mt.guarded_delete(st.catalog, st.fact, keys, "id", "offense_id", ["code", "name"])
+    label = F.concat(F.col("code"), F.lit(" - "), F.col("name"))
+    return mt.protected_preview(res.protected, label, [F.col("code"), F.col("id")], "offense")
