@@ -3,10 +3,11 @@
 No operator here uses a window without ``partitionBy`` over unbounded data:
 such a window plans ``SinglePartition`` and moves every row into one task.
 Global positions are built from per-bucket counts instead: rows are grouped
-into buckets of a bounded width of the (unique) order value, a running sum
-over the *bucket counts* gives each bucket's offset, and a window partitioned
-by bucket ranks the rows inside it.  A bucket never holds more than ``width``
-rows, whatever the key distribution.
+into at most 2^20 buckets of equal width over the (unique) order value's
+span, a running sum over the *bucket counts* gives each bucket's offset, and
+a window partitioned by bucket ranks the rows inside it.  Both windows are
+bounded whatever the key distribution: the count window by the bucket cap,
+a bucket by the width (unique values).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_WIDTH = 1 << 16
+MAX_BUCKETS = 1 << 20
 
 
 def first_per_key(df: DataFrame, key: Column, order_col: str) -> DataFrame:
@@ -37,12 +38,24 @@ def _bucket_offsets(d: DataFrame, bucket: str) -> DataFrame:
 
 
 def dense_sequence(df: DataFrame, order_col: str, out: str = "seq", start: int | Column = 1,
-                   width: int = DEFAULT_WIDTH) -> DataFrame:
+                   width: int | None = None, max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Number rows ``start, start+1, ...`` in ``order_col`` order, no gaps.
 
     ``order_col`` must be a unique integer-valued column (a file row number).
+    The bucket width is derived from the value span (scalar subqueries over
+    min/max) so that there are at most ``max_buckets`` buckets: the one
+    un-partitioned window runs over at most that many count rows, and a
+    bucket holds at most ``span / max_buckets`` rows, for any key spread.
     """
-    d = df.withColumn("_b", F.floor(F.col(order_col) / F.lit(width)).cast("bigint"))
+    c = F.col(order_col)
+    if width is None:
+        lo = df.agg(F.min(order_col).cast("bigint").alias("_lo")).scalar()
+        hi = df.agg(F.max(order_col).cast("bigint").alias("_hi")).scalar()
+        w = F.greatest(F.ceil((hi - lo + 1) / F.lit(max_buckets)), F.lit(1)).cast("bigint")
+        bucket = F.floor((c - lo) / w)
+    else:
+        bucket = F.floor(c / F.lit(width))
+    d = df.withColumn("_b", bucket.cast("bigint"))
     offs = _bucket_offsets(d, "_b")
     ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(order_col)))
     s = start if isinstance(start, Column) else F.lit(start)
