@@ -66,9 +66,6 @@ def with_catalog(fact: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAULT_S
     return fact.join(cat, fact[spec.fact_catalog] == cat["_cat_id"], how).drop("_cat_id")
 
 
-SUBJECT_LISTING_COLS = ("student_no", "first_name", "last_name", "grade", "section")
-
-
 def enrich(fact: DataFrame, subject: DataFrame, catalog: DataFrame,
            spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
     """Fact ⋈ subject ⋈ catalog; all fact columns plus subject number,

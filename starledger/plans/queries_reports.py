@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from starledger.operators import aggregates as agg
 from starledger.plans import fixtures as fx
 from starledger.plans import reports
