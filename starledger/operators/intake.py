@@ -169,8 +169,9 @@ def materialize(df: DataFrame, enabled: bool = True) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def import_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame, existing: DataFrame,
-                 spec: StarSpec = DEFAULT_SPEC, checkpoint: bool = True) -> IntakeResult:
+def import_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame, existing: DataFrame | None,
+                 spec: StarSpec = DEFAULT_SPEC, checkpoint: bool = True,
+                 base_no: Column | int | None = None, base_id: Column | int | None = None) -> IntakeResult:
     """H6: validate -> default action from the catalog -> sequential numbers
     in file order after the largest stored number -> append.  Nothing is
     skipped by this intake.  The validated rows are checkpointed once: the
@@ -178,9 +179,15 @@ def import_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame, exis
     v = materialize(validate_facts(staged, subject, catalog, spec), checkpoint)
     v = v.withColumn("outcome", F.when(F.col("error").isNull(), "imported").otherwise("error"))
     outcomes = v.select(ROW, "student_no", "outcome", F.col("error").alias("message"))
-    base_no = existing.agg(F.coalesce(F.max(seq_suffix(spec.fact_no, spec.fact_prefix)), F.lit(0))
-                           .alias("m")).scalar()
-    base_id = existing.agg(F.coalesce(F.max(spec.fact_key), F.lit(0)).alias("m")).scalar()
+    # Largest stored number and id: given by the caller (e.g. a stream's
+    # high-water mark) or read from the stored facts.
+    if base_no is None:
+        base_no = existing.agg(F.coalesce(F.max(seq_suffix(spec.fact_no, spec.fact_prefix)), F.lit(0))
+                               .alias("m")).scalar()
+    if base_id is None:
+        base_id = existing.agg(F.coalesce(F.max(spec.fact_key), F.lit(0)).alias("m")).scalar()
+    base_no = base_no if isinstance(base_no, Column) else F.lit(base_no)
+    base_id = base_id if isinstance(base_id, Column) else F.lit(base_id)
     acc = dense_sequence(v.filter(F.col("outcome") == "imported"), ROW, "_seq", start=1)
     accepted = acc.select(
         (base_id + F.col("_seq")).cast("bigint").alias("id"),

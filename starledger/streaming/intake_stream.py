@@ -8,8 +8,10 @@ runs the same set-based fact intake (H5/H6) against the current snapshot.
 Exactly-once: each micro-batch writes its output under ``batch_id=<n>``
 with ``overwrite``, so a retried batch replaces its own files and never
 duplicates rows; the checkpoint location (shared storage) records progress.
-Numbering continues from the facts already written, so numbers stay dense
-across batches.
+Numbering continues densely across batches from a high-water mark: the
+stored facts' largest number and id are read once when the stream starts,
+and every batch appends one row (its largest number and id) to a tiny
+``hwm`` table, so a batch never rescans the fact history.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from starledger.functions.predicates import in_year
-from starledger.functions.scalars import month_text
+from starledger.functions.scalars import month_text, seq_suffix
 from starledger.operators.intake import import_facts
 from starledger.operators.joins import with_catalog
 from starledger.session import checkpoint_dir
@@ -61,19 +63,31 @@ def start_fact_intake(spark: SparkSession, source_dir: str, subject: DataFrame,
     stream = reader.format(fmt).load(source_dir)
     facts_dir = os.path.join(out_dir, "facts")
     outcomes_dir = os.path.join(out_dir, "outcomes")
+    hwm_dir = os.path.join(out_dir, "hwm")
     if checkpoint_location is None:
         checkpoint_location = os.path.join(checkpoint_dir(spark), "fact-intake-" + os.path.basename(out_dir))
+    # One bounded row, read once: the stored facts' largest number and id.
+    base = base_facts.agg(
+        F.coalesce(F.max(seq_suffix(spec.fact_no, spec.fact_prefix)), F.lit(0)).alias("no"),
+        F.coalesce(F.max(spec.fact_key), F.lit(0)).alias("id")).first()
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        written = None
-        if _exists(spark, facts_dir):
-            # Rows of earlier batches (a retried batch excludes its own files).
-            written = spark.read.parquet(facts_dir).filter(F.col("batch_id") != batch_id) \
-                .drop("batch_id", "row_number")
-        existing = base_facts if written is None else base_facts.unionByName(written.select(*base_facts.columns))
-        res = import_facts(stage_rows(batch), subject, catalog, existing, spec)
-        res.accepted.write.mode("overwrite").parquet(f"{facts_dir}/batch_id={batch_id}")
+        no, fid = F.lit(base["no"]), F.lit(base["id"])
+        if _exists(spark, hwm_dir):
+            # Marks of earlier batches (a retried batch ignores its own).
+            prev = spark.read.parquet(hwm_dir).filter(F.col("batch_id") != batch_id) \
+                .agg(F.max("no").alias("no"), F.max("id").alias("id"))
+            no = F.greatest(no, F.coalesce(prev.select("no").scalar(), F.lit(0)))
+            fid = F.greatest(fid, F.coalesce(prev.select("id").scalar(), F.lit(0)))
+        res = import_facts(stage_rows(batch), subject, catalog, None, spec, base_no=no, base_id=fid)
+        acc = res.accepted
+        acc.write.mode("overwrite").parquet(f"{facts_dir}/batch_id={batch_id}")
         res.outcomes.write.mode("overwrite").parquet(f"{outcomes_dir}/batch_id={batch_id}")
+        written = spark.read.parquet(f"{facts_dir}/batch_id={batch_id}")
+        mark = written.agg(F.max(seq_suffix(spec.fact_no, spec.fact_prefix)).alias("no"),
+                           F.max(spec.fact_key).alias("id"))
+        mark.select(F.coalesce("no", no).alias("no"), F.coalesce("id", fid).alias("id")) \
+            .write.mode("overwrite").parquet(f"{hwm_dir}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
