@@ -34,3 +34,19 @@ def append_to(df: DataFrame, path: str) -> None:
 def write_report(doc: DataFrame, path: str) -> None:
     """Write the one-row nested report document as JSON."""
     doc.coalesce(1).write.mode("errorifexists").json(path)
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None,
+                  mode: str = "errorifexists") -> None:
+    """Save ``df`` as a catalog table bucketed (and sorted) by ``key``.
+
+    Write the subject table bucketed by its id and the fact table by its
+    subject key with the same bucket count: the per-subject roll-up then
+    aggregates inside each bucket and the join back to subjects is a
+    bucket-to-bucket merge -- no shuffle of the fact table.  ``path`` makes
+    it an external table at shared storage.
+    """
+    w = df.write.mode(mode).bucketBy(buckets, key).sortBy(key)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
