@@ -27,3 +27,18 @@ def test_bucketed_summary_has_no_shuffle(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.sql("DROP TABLE IF EXISTS b_subject")
         spark.sql("DROP TABLE IF EXISTS b_fact")
+
+
+def test_year_partitioned_facts_prune_directories(spark, tmp_path):
+    from starledger.operators.aggregates import with_year_partition
+    from starledger.sources.sinks import write_snapshot
+    st = fx.orders_star(spark, SF_SMALL)
+    p = str(tmp_path / "facts")
+    write_snapshot(with_year_partition(st.fact), p, partition_by=["incident_year"])
+    facts = spark.read.parquet(p)
+    out = agg.subject_summary(st.subject, facts, st.catalog, year=1998)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out.explain()
+    assert "PartitionFilters: [isnotnull(incident_year" in buf.getvalue() and "= 1998)" in buf.getvalue()
+    assert rows(out) == rows(agg.subject_summary(st.subject, st.fact, st.catalog, year=1998))
