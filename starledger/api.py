@@ -26,7 +26,8 @@ from starledger.plans.listings import incident_listing
 from starledger.sources.catalog import LEGACY_CODE_MAP, OFFICIAL_CATALOG, code_map_frame
 from starledger.sources.sheets import read_sheet, require_columns, stage_rows
 from starledger.spec import (
-    DEFAULT_SPEC, FACT_REQUIRED, LIST_LIMIT_DEFAULT, SUBJECT_REQUIRED, StarSpec,
+    DEFAULT_SPEC, FACT_REQUIRED, LIST_LIMIT_DEFAULT, MSG_PARENT_CATALOG, MSG_PARENT_SUBJECT, REASON_NOT_FOUND,
+    SUBJECT_REQUIRED, StarSpec,
 )
 
 
@@ -163,9 +164,9 @@ class Ledger:
         u = updates.join(ids, updates[s.fact_key] == ids["_fid"], "left")
         u = u.join(subj, u[s.fact_subject] == subj["_sid"], "left")
         u = u.join(cat, u[s.fact_catalog] == cat["_cid"], "left")
-        reason = (F.when(F.col("_fid").isNull(), "not found")
-                  .when(F.col("_sid").isNull(), "Student not found")
-                  .when(F.col("_cid").isNull(), "Offense not found"))
+        reason = (F.when(F.col("_fid").isNull(), REASON_NOT_FOUND)
+                  .when(F.col("_sid").isNull(), MSG_PARENT_SUBJECT)
+                  .when(F.col("_cid").isNull(), MSG_PARENT_CATALOG))
         u = u.withColumn("reason", reason)
         good = u.filter(F.col("reason").isNull()) \
             .withColumn(s.action, backfill_blank(s.action, F.col("_dflt"))) \

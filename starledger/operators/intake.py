@@ -24,13 +24,14 @@ from starledger.operators.joins import bounded_broadcast
 from starledger.operators.ordering import first_errors
 from starledger.operators.windows import dense_sequence
 from starledger.spec import (
-    DEFAULT_SPEC, ERRORS_LISTED, FACT_STATUS_DEFAULT, FACT_STATUSES, SUBJECT_LABELS,
+    DEFAULT_SPEC, ERRORS_LISTED, FACT_STATUS_DEFAULT, FACT_STATUSES, MSG_CODE_NOT_FOUND, MSG_CODE_REQUIRED,
+    MSG_FACT_STATUS, MSG_NUMBER_REQUIRED, MSG_SUBJECT_NOT_FOUND, MSG_SUBJECT_STATUS, SUBJECT_LABELS,
     SUBJECT_STATUS_DEFAULT, SUBJECT_STATUSES, StarSpec,
 )
 
 ROW = "row_number"
-SUBJECT_STATUS_MSG = "Status must be Active or Inactive"
-FACT_STATUS_MSG = "Status must be Open, Parent Notified, Under Review, or Resolved"
+SUBJECT_STATUS_MSG = MSG_SUBJECT_STATUS
+FACT_STATUS_MSG = MSG_FACT_STATUS
 
 
 @dataclass
@@ -143,11 +144,12 @@ def validate_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame,
     j = s.join(subj, F.lower(s["student_no"]) == subj["_sk"], "left").drop("_sk")
     j = j.join(cat, F.lower(j["offense_code"]) == cat["_ck"], "left").drop("_ck")
     error = F.coalesce(
-        F.when(F.col("student_no") == "", F.lit("Student No. is required")),
-        F.when(F.col("offense_code") == "", F.lit("Offense Code is required")),
-        F.when(F.col("student_id").isNull(), F.concat(F.lit("Student "), F.col("student_no"), F.lit(" was not found"))),
+        F.when(F.col("student_no") == "", F.lit(MSG_NUMBER_REQUIRED)),
+        F.when(F.col("offense_code") == "", F.lit(MSG_CODE_REQUIRED)),
+        F.when(F.col("student_id").isNull(),
+               F.concat(F.lit(MSG_SUBJECT_NOT_FOUND[0]), F.col("student_no"), F.lit(MSG_SUBJECT_NOT_FOUND[1]))),
         F.when(F.col("offense_id").isNull(),
-               F.concat(F.lit("Offense code "), F.col("offense_code"), F.lit(" was not found"))),
+               F.concat(F.lit(MSG_CODE_NOT_FOUND[0]), F.col("offense_code"), F.lit(MSG_CODE_NOT_FOUND[1]))),
         F.when(F.col("status").isNull(), F.lit(FACT_STATUS_MSG)),
         F.when(F.col("_date_text") == "", F.lit(DATE_REQUIRED_MSG)),
         F.when(F.col("incident_date").isNull(), F.lit(DATE_INVALID_MSG)),

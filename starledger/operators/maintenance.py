@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from starledger.functions.scalars import backfill_blank, default_date, plural_has, seq_format, seq_suffix
 from starledger.operators.joins import bounded_broadcast, dedupe_keys, missing_keys, protected_parents
 from starledger.operators.windows import dense_sequence
-from starledger.spec import DEFAULT_SPEC, StarSpec
+from starledger.spec import (
+    DEFAULT_SPEC, MSG_NONE_DELETED, MSG_PARENT_CATALOG, MSG_PARENT_SUBJECT, MSG_PROTECTED, MSG_PROTECTED_MORE,
+    REASON_CONFLICT, REASON_DUPLICATE_BATCH, REASON_DUPLICATE_ID, REASON_NOT_FOUND, StarSpec,
+)
 
 
 def any_rows(df: DataFrame) -> Column:
@@ -148,9 +151,9 @@ def protected_preview(protected: DataFrame, label: Column, order: Sequence[Colum
     from starledger.operators.aggregates import merge_single_rows
     m = merge_single_rows(heads, n)
     text = F.concat_ws(", ", F.transform("_h", lambda x: x["_label"]))
-    more = F.when(F.col("_n") > k, F.format_string(", and %d more", F.col("_n") - k)).otherwise("")
-    msg = F.concat(plural_has("_n", noun), F.lit(" incident records and cannot be deleted: "), text, more,
-                   F.lit(f". No {plural_noun} were deleted"))
+    more = F.when(F.col("_n") > k, F.format_string(MSG_PROTECTED_MORE, F.col("_n") - k)).otherwise("")
+    msg = F.concat(plural_has("_n", noun), F.lit(MSG_PROTECTED), text, more,
+                   F.lit(MSG_NONE_DELETED.format(plural_noun)))
     return m.filter(F.col("_n") > 0).select(F.col("_n").alias("protected_count"), msg.alias("message"))
 
 
@@ -171,7 +174,8 @@ def insert_new(base: DataFrame, batch: DataFrame, key: str, order_col: str, id_c
     b = batch.join(stored, batch[key] == stored["_bk"], "left").drop("_bk")
     firsts = b.groupBy(F.col(key).alias("_fk")).agg(F.min(order_col).alias("_first"))
     b = b.join(firsts, (b[key] == firsts["_fk"]) & (b[order_col] == firsts["_first"]), "left")
-    reason = F.when(F.col("_stored").isNotNull(), "conflict").when(F.col("_first").isNull(), "duplicate in batch")
+    reason = F.when(F.col("_stored").isNotNull(), REASON_CONFLICT) \
+        .when(F.col("_first").isNull(), REASON_DUPLICATE_BATCH)
     b = b.withColumn("reason", reason).drop("_fk", "_first", "_stored")
     ok = dense_sequence(b.filter(F.col("reason").isNull()), order_col, "_new_id", start=next_id(base, id_col))
     ins = ok.select(*[F.col("_new_id").cast(base.schema[c].dataType).alias(c) if c == id_col
@@ -192,14 +196,14 @@ def update_rows(base: DataFrame, updates: DataFrame, cols: Sequence[str], id_col
     u = u.join(ids, u["_uid"] == ids["_bid"], "left")
     per_id = u.groupBy(F.col("_uid").alias("_cid")).agg(F.count(F.lit(1)).alias("_cn"))
     u = u.join(per_id, u["_uid"] == per_id["_cid"], "left")
-    reason = F.when(F.col("_bid").isNull(), F.lit("not found")).when(F.col("_cn") > 1, F.lit("duplicate id"))
+    reason = F.when(F.col("_bid").isNull(), F.lit(REASON_NOT_FOUND)).when(F.col("_cn") > 1, F.lit(REASON_DUPLICATE_ID))
     if unique_key is not None:
         owners = base.select(F.col(unique_key).alias("_ok"), F.col(id_col).alias("_owner"))
         u = u.join(owners, u[f"_u_{unique_key}"] == owners["_ok"], "left")
         dup = u.groupBy(F.col(f"_u_{unique_key}").alias("_dk")).agg(F.count(F.lit(1)).alias("_dn"))
         u = u.join(dup, u[f"_u_{unique_key}"] == dup["_dk"], "left")
-        reason = reason.when(F.col("_owner").isNotNull() & (F.col("_owner") != F.col("_uid")), "conflict") \
-            .when(F.col("_dn") > 1, "conflict")
+        reason = reason.when(F.col("_owner").isNotNull() & (F.col("_owner") != F.col("_uid")), REASON_CONFLICT) \
+            .when(F.col("_dn") > 1, REASON_CONFLICT)
     u = u.withColumn("reason", reason)
     good = u.filter(F.col("reason").isNull()).select("_uid", *[f"_u_{c}" for c in cols], F.lit(True).alias("_hit"))
     j = base.join(good, base[id_col] == good["_uid"], "left")
@@ -223,7 +227,7 @@ def insert_facts(fact: DataFrame, subject: DataFrame, catalog: DataFrame, batch:
                                          F.col(spec.recommended_action).alias("_default_action")), within=catalog)
     b = batch.join(s, batch[spec.fact_subject] == s["_sid"], "left") \
         .join(c, batch[spec.fact_catalog] == c["_cid"], "left")
-    reason = F.when(F.col("_has_s").isNull(), "Student not found").when(F.col("_cid").isNull(), "Offense not found")
+    reason = F.when(F.col("_has_s").isNull(), MSG_PARENT_SUBJECT).when(F.col("_cid").isNull(), MSG_PARENT_CATALOG)
     b = b.withColumn("reason", reason)
     ok = dense_sequence(b.filter(F.col("reason").isNull()), order_col, "_seq", start=0)
     base_no = fact.agg(F.coalesce(F.max(seq_suffix(spec.fact_no, spec.fact_prefix)), F.lit(0)).alias("_m")).scalar()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from starledger.functions.scalars import header_slug, strip_text
 from starledger.operators.windows import number_rows
-from starledger.spec import HEADER_ALIASES
+from starledger.spec import HEADER_ALIASES, MSG_MISSING_COLUMNS
 
 ROW_COL = "row_number"
 
@@ -42,7 +42,7 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> None:
     missing = sorted(set(required) - set(df.columns))
     if missing:
         readable = ", ".join(m.replace("_", " ").title() for m in missing)
-        raise ValueError(f"Missing required Excel columns: {readable}")
+        raise ValueError(MSG_MISSING_COLUMNS.format(readable))
 
 
 def stage_rows(raw: DataFrame, row_col: str | None = ROW_COL) -> DataFrame:
