@@ -19,7 +19,7 @@ from starledger.functions.scalars import backfill_blank, default_date
 from starledger.operators.joins import bounded_broadcast
 from starledger.operators import aggregates as agg
 from starledger.operators import intake, maintenance as mt
-from starledger.operators.filters import project_public, subject_by_no
+from starledger.operators.filters import project_public, subject_by_id, subject_by_no
 from starledger.operators.ordering import catalog_order, check_limit, list_subjects
 from starledger.plans import reports
 from starledger.plans.listings import incident_listing
@@ -75,11 +75,13 @@ class Ledger:
         require_columns(staged, SUBJECT_REQUIRED)
         return intake.import_subjects(staged, self.subject, self.spec)
 
-    def subject_record(self, subject_no: str) -> dict[str, DataFrame]:
-        """Profile, all-time totals and history of one Active subject (empty
-        frames when the subject is unknown or inactive)."""
+    def subject_record(self, subject_no: str | None = None, key: int | None = None) -> dict[str, DataFrame]:
+        """Profile, all-time totals and history of one Active subject, by
+        number (ignoring case) or by id (empty frames when the subject is
+        unknown or inactive)."""
         s = self.spec
-        prof = subject_by_no(self.subject, subject_no, s).filter(F.col(s.subject_status) == s.active_status)
+        one = subject_by_id(self.subject, key, s) if key is not None else subject_by_no(self.subject, subject_no, s)
+        prof = one.filter(F.col(s.subject_status) == s.active_status)
         keys = prof.select(F.col(s.subject_key).alias("_k"))
         facts = self.fact.join(keys, self.fact[s.fact_subject] == keys["_k"], "left_semi")
         return {

@@ -15,7 +15,7 @@ from starledger.spec import DEFAULT_SPEC, SUGGEST_SIZE, StarSpec
 SUBJECT_PUBLIC = ("id", "student_no", "first_name", "last_name", "grade", "section", "adviser", "status")
 
 __all__ = ["project_public", "filter_eq", "search_any", "in_year", "in_month", "active_only",
-           "search_table", "suggest", "lookup_label", "subject_by_no", "with_labels"]
+           "search_table", "suggest", "lookup_label", "subject_by_no", "subject_by_id", "with_labels"]
 
 
 def project_public(df: DataFrame, cols: Sequence[str] = SUBJECT_PUBLIC) -> DataFrame:
@@ -82,6 +82,11 @@ def subject_by_no(subject: DataFrame, number: str, spec: StarSpec = DEFAULT_SPEC
     return subject.filter(F.lower(F.col(spec.subject_no)) == (number or "").lower())
 
 
+def subject_by_id(subject: DataFrame, key: int, spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
+    """Point lookup by id (pushed to the scan as an equality filter)."""
+    return subject.filter(F.col(spec.subject_key) == key)
+
+
 def with_labels(subject: DataFrame, spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
     """Display columns: full name, grade-section, option label, adviser or '—'."""
     return subject.select(

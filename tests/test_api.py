@@ -36,6 +36,7 @@ def test_subject_record(spark):
     dates = [(h.incident_date, h.id) for h in hist]
     assert dates == sorted(dates, reverse=True)
     assert lg.subject_record("nobody")["subject"].count() == 0
+    assert lg.subject_record(key=1)["totals"].first().total_incidents == tot.total_incidents
 
 
 def test_update_facts_checks_and_defaults(spark):
