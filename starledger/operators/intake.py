@@ -114,9 +114,18 @@ def import_subjects(staged: DataFrame, stored: DataFrame, spec: StarSpec = DEFAU
 # --------------------------------------------------------------------------- facts
 
 def lookup_first(dim: DataFrame, key_col: str, id_col: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per ``lower(key)``: the lowest id wins (as a point query's first row)."""
-    return dim.groupBy(F.lower(F.col(key_col)).alias("_lk")).agg(
-        F.min_by(F.struct(F.col(id_col).alias("id"), *[F.col(c) for c in extra]), F.col(id_col)).alias("_m"))
+    """One row per ``lower(key)``: the lowest id wins (as a point query's first row).
+
+    Output ``_lk`` and a struct ``_m`` of ``id`` and ``extra``.  The grouping
+    is a fixed-width ``min(id)`` (hash aggregation with map-side combine);
+    extra columns are joined back on the unique id.
+    """
+    firsts = dim.groupBy(F.lower(F.col(key_col)).alias("_lk")).agg(F.min(id_col).alias("_fid"))
+    if not extra:
+        return firsts.select("_lk", F.struct(F.col("_fid").alias("id")).alias("_m"))
+    cols = dim.select(F.col(id_col).alias("_did"), *[F.col(c) for c in extra])
+    j = firsts.join(cols, firsts["_fid"] == cols["_did"], "inner")
+    return j.select("_lk", F.struct(F.col("_fid").alias("id"), *[F.col(c) for c in extra]).alias("_m"))
 
 
 def validate_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame,

@@ -88,13 +88,13 @@ def lookup_ci(df: DataFrame, key_col: str, dim: DataFrame, dim_key: str,
               take: Sequence[str], prefix: str) -> DataFrame:
     """C4: case-insensitive lookup, at most one match per row.
 
-    The dimension is reduced to one row per ``lower(key)`` (the lowest id
-    wins) before a LEFT join, so a row never fans out.  Output columns are
+    The dimension is reduced to one row per ``lower(key)`` (the lowest
+    ``take[0]`` wins) before a LEFT join, so a row never fans out.  Output columns are
     ``<prefix><c>`` for ``c`` in ``take``; NULL when there is no match.
     """
-    first = dim.groupBy(F.lower(F.col(dim_key)).alias("_lk")).agg(
-        F.min_by(F.struct(*[F.col(c).alias(c) for c in take]), F.col(take[0])).alias("_m"))
-    first = first.select("_lk", *[F.col(f"_m.{c}").alias(f"{prefix}{c}") for c in take])
+    from starledger.operators.intake import lookup_first
+    first = lookup_first(dim, dim_key, take[0], tuple(take[1:]))
+    first = first.select("_lk", *[F.col(f"_m.{c}" if c != take[0] else "_m.id").alias(f"{prefix}{c}") for c in take])
     out = df.join(first, F.lower(df[key_col]) == first["_lk"], "left")
     return out.drop("_lk")
 
