@@ -52,3 +52,24 @@ def test_listing_limits_before_detail_join(spark):
     assert df.count() == 50
     p = plan_text(df)
     assert "TakeOrderedAndProject" in p or "CollectLimit" in p or "GlobalLimit" in p
+
+
+def test_intake_numbering_window_is_partitioned(spark):
+    from starledger.operators import intake
+    from starledger.sources.sheets import stage_rows
+    st = fx.orders_star(spark, SF_SMALL)
+    res = intake.import_facts(stage_rows(fx.staged_fact_sheet(spark, SF_SMALL)), st.subject, st.catalog, st.fact)
+    p = plan_text(res.accepted)
+    # the per-row ranking window is partitioned by bucket; the only
+    # un-partitioned window runs over the (capped) bucket counts
+    assert "row_number() windowspecdefinition(_b" in p.replace("  ", " ")
+    for line in p.splitlines():
+        if "windowspecdefinition(" in line and "row_number()" in line:
+            assert "windowspecdefinition(_b" in line
+
+
+def test_band_counts_sum_to_subjects(spark):
+    st = fx.orders_star(spark, SF_SMALL)
+    s = agg.subject_summary(st.subject, st.fact, st.catalog, year=1998)
+    bands = agg.risk_band_counts(s)
+    assert bands.agg({"subjects": "sum"}).first()[0] == st.subject.count()
