@@ -147,3 +147,23 @@ def q_page_info(spark, sf_dir):
     st = _m1(spark, sf_dir)
     from starledger.operators.joins import valid_children
     return od.page_info(valid_children(st.fact, st.subject, st.catalog), PAGE_P)
+
+
+@register("list_subjects_filtered", f"""{M1} SELECT {PUBLIC} FROM subj
+WHERE (contains(lower(student_no), 'a') OR contains(lower(first_name), 'a') OR contains(lower(last_name), 'a'))
+  AND grade = '3' AND status = 'Active'
+ORDER BY {NUM_GRADE}, section, last_name, first_name, id LIMIT 500""")
+def q_list_subjects_filtered(spark, sf_dir):
+    from starledger.api import Ledger
+    st = _m1(spark, sf_dir)
+    return Ledger(st.subject, st.catalog, st.fact).list_subjects(search="A", grade="3", status="Active")
+
+
+@register("incident_listing_search", f"""{M1} SELECT {ENRICHED} FROM {ENRICH_FROM}
+WHERE (contains(lower(i.incident_no), 'cruz') OR contains(lower(s.student_no), 'cruz')
+   OR contains(lower(s.first_name), 'cruz') OR contains(lower(s.last_name), 'cruz') OR contains(lower(o.name), 'cruz'))
+  AND o.category = 'Minor'
+ORDER BY i.incident_date DESC, i.id DESC LIMIT 50""")
+def q_incident_listing_search(spark, sf_dir):
+    st = _m1(spark, sf_dir)
+    return listings.incident_listing(st.fact, st.subject, st.catalog, search="cruz", category="Minor", limit=50)

@@ -78,3 +78,21 @@ def test_sync_is_idempotent_after_the_one_time_remap(spark):
     again = once.sync_catalog(remap_legacy=False)
     assert rows(again.catalog) == rows(once.catalog)
     assert rows(again.fact) == rows(once.fact)
+
+
+def test_import_subjects_from_csv(spark, tmp_path):
+    import pytest
+    lg = ledger(spark)
+    p = tmp_path / "people.csv"
+    p.write_text("LRN,First Name,Last Name,Grade Level,Class Section,Status\n"
+                 "NEW-1,Ana,Cruz,7,A,\n"
+                 "customer#000000001,Ben,Lim,8,B,Active\n"
+                 "NEW-2,,Tan,9,C,Bogus\n")
+    res = lg.import_subjects(str(p))
+    s = res.summary().first()
+    assert (s.imported, s.skipped, s.error_count, s.total_rows) == (1, 1, 1, 3)
+    assert res.accepted.first().id == 150  # continues after the stored maximum (ids 0..149)
+    bad = tmp_path / "bad.csv"
+    bad.write_text("LRN,First Name\nX,Y\n")
+    with pytest.raises(ValueError, match="Missing required Excel columns: Grade, Last Name, Section"):
+        lg.import_subjects(str(bad))
