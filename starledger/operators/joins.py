@@ -142,9 +142,17 @@ def dedupe_keys(keys: DataFrame, key: str = "id") -> DataFrame:
 
 def missing_keys(keys: DataFrame, table: DataFrame, key: str = "id",
                  table_key: str = "id") -> DataFrame:
-    """Requested keys that are not in ``table`` (anti join)."""
-    t = table.select(F.col(table_key).alias("_tk"))
+    """Requested keys that are not in ``table``.
+
+    When the request is provably small, the table is semi-joined against the
+    broadcast keys first (a filtered scan, no shuffle of the table), and the
+    anti join runs between two small frames.
+    """
     k = dedupe_keys(keys, key)
+    t = table.select(F.col(table_key).alias("_tk"))
+    if is_bounded(k):
+        present = t.join(F.broadcast(k.withColumnRenamed(key, "_rk")), t["_tk"] == F.col("_rk"), "left_semi")
+        return k.join(present, k[key] == present["_tk"], "left_anti")
     return k.join(t, k[key] == t["_tk"], "left_anti")
 
 
@@ -159,11 +167,15 @@ def protected_parents(parent: DataFrame, child: DataFrame, keys: DataFrame,
                       count_name: str = "incident_count") -> DataFrame:
     """Requested parents that still have children, with child counts.
 
-    Children are counted per foreign key *before* the join (partial
-    aggregation absorbs a hot parent), then joined to the requested parents.
+    Children are first reduced to the requested parents (a semi join against
+    the broadcast keys when the request is provably small, so the child
+    table is only filtered in its scan stage), then counted per foreign key
+    with partial aggregation (a hot parent collapses map-side), then joined
+    to the requested parents.
     """
-    k = dedupe_keys(keys, "id").withColumnRenamed("id", "_k")
-    counts = child.groupBy(F.col(child_fk).alias("_fk")).agg(F.count(F.lit(1)).alias(count_name))
+    k = bounded_broadcast(dedupe_keys(keys, "id").withColumnRenamed("id", "_k"))
+    c = child.join(k, child[child_fk] == k["_k"], "left_semi")
+    counts = c.groupBy(F.col(child_fk).alias("_fk")).agg(F.count(F.lit(1)).alias(count_name))
     p = parent.join(k, parent[parent_key] == k["_k"], "left_semi")
     out = p.join(counts, p[parent_key] == counts["_fk"], "inner")
     return out.select(F.col(parent_key).alias("id"), *cols, count_name)

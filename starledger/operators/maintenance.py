@@ -109,7 +109,8 @@ class DeleteResult:
 
 
 def _apply_delete(table: DataFrame, keys: DataFrame, key: str, blocked: Column) -> DataFrame:
-    k = dedupe_keys(keys, "id").select(F.col("id").alias("_dk"), F.lit(True).alias("_del"))
+    # A provably small request is broadcast: the table is filtered in its scan stage.
+    k = bounded_broadcast(dedupe_keys(keys, "id").select(F.col("id").alias("_dk"), F.lit(True).alias("_del")))
     j = table.join(k, table[key] == k["_dk"], "left")
     return j.filter(F.col("_del").isNull() | blocked).select(*table.columns)
 
