@@ -37,6 +37,17 @@ def last_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
     return df.join(last, (df[key] == last["_k"]) & (df[order_col] == last["_last"]), "left_semi")
 
 
+def present_keys(table: DataFrame, table_key: str, probe: DataFrame, probe_key: str) -> DataFrame:
+    """Rows of ``table`` whose ``table_key`` occurs among ``probe[probe_key]``.
+
+    A request batch is usually far smaller than the stored table: when the
+    distinct probe keys are provably small they are broadcast, and the table
+    is only filtered in its scan stage (no shuffle of the table).
+    """
+    k = bounded_broadcast(probe.select(F.col(probe_key).alias("_pk")).distinct())
+    return table.join(k, table[table_key] == k["_pk"], "left_semi")
+
+
 def next_id(base: DataFrame, id_col: str = "id") -> Column:
     """Scalar subquery: 1 + the largest id (1 when empty)."""
     return base.agg((F.coalesce(F.max(id_col), F.lit(0)) + 1).cast("bigint").alias("_n")).scalar()
@@ -53,14 +64,15 @@ def upsert(base: DataFrame, updates: DataFrame, key: str, cols: Sequence[str], o
     on_update = on_update or {}
     u = last_per_key(updates, key, order_col)
     ur = u.select(F.col(key).alias("_uk"), *[F.col(c).alias(f"_u_{c}") for c in cols], F.lit(True).alias("_hit"))
-    j = base.join(ur, base[key] == ur["_uk"], "left")
+    j = base.join(bounded_broadcast(ur), base[key] == ur["_uk"], "left")
     hit = F.col("_hit").isNotNull()
     kept = j.select(*[
         F.when(hit, F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in cols
         else F.when(hit, on_update[c]).otherwise(F.col(c)).alias(c) if c in on_update
         else F.col(c)
         for c in base.columns])
-    new = u.join(base.select(F.col(key).alias("_bk")), u[key] == F.col("_bk"), "left_anti")
+    stored = present_keys(base, key, u, key).select(F.col(key).alias("_bk"))
+    new = u.join(stored, u[key] == F.col("_bk"), "left_anti")
     new = dense_sequence(new, order_col, "_new_id", start=next_id(base, id_col))
     inserted = new.select(*[
         F.col("_new_id").cast(base.schema[c].dataType).alias(c) if c == id_col
@@ -171,7 +183,7 @@ def insert_new(base: DataFrame, batch: DataFrame, key: str, order_col: str, id_c
     """Insert rows whose unique ``key`` is new (exact match); conflicts
     with stored rows, and later duplicates inside the batch, are rejected.
     New ids follow the stored maximum in ``order_col`` order."""
-    stored = base.select(F.col(key).alias("_bk"), F.lit(True).alias("_stored"))
+    stored = present_keys(base, key, batch, key).select(F.col(key).alias("_bk"), F.lit(True).alias("_stored"))
     b = batch.join(stored, batch[key] == stored["_bk"], "left").drop("_bk")
     firsts = b.groupBy(F.col(key).alias("_fk")).agg(F.min(order_col).alias("_first"))
     b = b.join(firsts, (b[key] == firsts["_fk"]) & (b[order_col] == firsts["_first"]), "left")
@@ -193,13 +205,14 @@ def update_rows(base: DataFrame, updates: DataFrame, cols: Sequence[str], id_col
     that two updates set at once, is rejected (not applied)."""
     on_update = on_update or {}
     u = updates.select(F.col(id_col).alias("_uid"), *[F.col(c).alias(f"_u_{c}") for c in cols])
-    ids = base.select(F.col(id_col).alias("_bid"))
+    ids = present_keys(base, id_col, u, "_uid").select(F.col(id_col).alias("_bid"))
     u = u.join(ids, u["_uid"] == ids["_bid"], "left")
     per_id = u.groupBy(F.col("_uid").alias("_cid")).agg(F.count(F.lit(1)).alias("_cn"))
     u = u.join(per_id, u["_uid"] == per_id["_cid"], "left")
     reason = F.when(F.col("_bid").isNull(), F.lit(REASON_NOT_FOUND)).when(F.col("_cn") > 1, F.lit(REASON_DUPLICATE_ID))
     if unique_key is not None:
-        owners = base.select(F.col(unique_key).alias("_ok"), F.col(id_col).alias("_owner"))
+        owners = present_keys(base, unique_key, u, f"_u_{unique_key}") \
+            .select(F.col(unique_key).alias("_ok"), F.col(id_col).alias("_owner"))
         u = u.join(owners, u[f"_u_{unique_key}"] == owners["_ok"], "left")
         dup = u.groupBy(F.col(f"_u_{unique_key}").alias("_dk")).agg(F.count(F.lit(1)).alias("_dn"))
         u = u.join(dup, u[f"_u_{unique_key}"] == dup["_dk"], "left")
@@ -207,7 +220,7 @@ def update_rows(base: DataFrame, updates: DataFrame, cols: Sequence[str], id_col
             .when(F.col("_dn") > 1, REASON_CONFLICT)
     u = u.withColumn("reason", reason)
     good = u.filter(F.col("reason").isNull()).select("_uid", *[f"_u_{c}" for c in cols], F.lit(True).alias("_hit"))
-    j = base.join(good, base[id_col] == good["_uid"], "left")
+    j = base.join(bounded_broadcast(good), base[id_col] == good["_uid"], "left")
     hit = F.col("_hit").isNotNull()
     snap = j.select(*[
         F.when(hit, F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c) if c in cols
