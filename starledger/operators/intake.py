@@ -89,7 +89,11 @@ def import_subjects(staged: DataFrame, stored: DataFrame, spec: StarSpec = DEFAU
     staged row that carries it.  New ids continue after the stored maximum
     in file order."""
     v = validate_subjects(staged).withColumn("_key", F.lower(F.col("student_no")))
-    stored_keys = stored.select(F.lower(F.col(spec.subject_no)).alias("_sk")).distinct() \
+    # Probe the stored table with the sheet's keys (broadcast when provably
+    # small): only stored numbers that occur in the sheet are read back.
+    sheet_keys = bounded_broadcast(v.select(F.col("_key").alias("_pk")).distinct())
+    stored_lk = stored.select(F.lower(F.col(spec.subject_no)).alias("_sk"))
+    stored_keys = stored_lk.join(sheet_keys, stored_lk["_sk"] == sheet_keys["_pk"], "left_semi").distinct() \
         .withColumn("_stored", F.lit(True))
     v = v.join(stored_keys, (v["_key"] == stored_keys["_sk"]) & v["error"].isNull(), "left").drop("_sk")
     fresh = F.col("error").isNull() & F.col("_stored").isNull()
@@ -142,7 +146,12 @@ def validate_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame,
         clean_text(_cell(staged, "reported_by")).alias("reported_by"),
         clean_text(_cell(staged, "notes")).alias("notes"),
     )
-    subj = lookup_first(subject, spec.subject_no, spec.subject_key) \
+    # Resolve only the subject numbers the sheet names: the subject table is
+    # probed with the sheet's distinct keys (broadcast when provably small)
+    # instead of being aggregated whole.
+    sheet_keys = bounded_broadcast(s.select(F.lower(F.col("student_no")).alias("_pk")).distinct())
+    named = subject.join(sheet_keys, F.lower(subject[spec.subject_no]) == sheet_keys["_pk"], "left_semi")
+    subj = lookup_first(named, spec.subject_no, spec.subject_key) \
         .select(F.col("_lk").alias("_sk"), F.col("_m.id").alias("student_id"))
     cat = lookup_first(catalog, spec.code, spec.catalog_key, (spec.recommended_action,)) \
         .select(F.col("_lk").alias("_ck"), F.col("_m.id").alias("offense_id"),
