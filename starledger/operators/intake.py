@@ -109,7 +109,7 @@ def import_subjects(staged: DataFrame, stored: DataFrame, spec: StarSpec = DEFAU
     if first_id is None:
         first_id = stored.agg((F.coalesce(F.max(spec.subject_key), F.lit(0)) + 1).alias("m")).scalar()
     acc = v.filter(F.col("outcome") == "imported")
-    acc = dense_sequence(acc, ROW, "id", start=first_id)
+    acc = dense_sequence(acc, ROW, "id", start=first_id, width=None)  # materialized: span pass is cheap
     accepted = acc.select(F.col("id").cast("bigint").alias("id"), "student_no", "first_name", "last_name",
                           "grade", "section", "adviser", "status", ROW)
     return IntakeResult(outcomes, accepted)
@@ -208,7 +208,7 @@ def import_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame, exis
         base_id = existing.agg(F.coalesce(F.max(spec.fact_key), F.lit(0)).alias("m")).scalar()
     base_no = base_no if isinstance(base_no, Column) else F.lit(base_no)
     base_id = base_id if isinstance(base_id, Column) else F.lit(base_id)
-    acc = dense_sequence(v.filter(F.col("outcome") == "imported"), ROW, "_seq", start=1)
+    acc = dense_sequence(v.filter(F.col("outcome") == "imported"), ROW, "_seq", start=1, width=None)
     accepted = acc.select(
         (base_id + F.col("_seq")).cast("bigint").alias("id"),
         seq_format(base_no + F.col("_seq"), spec.fact_no_format).alias("incident_no"),

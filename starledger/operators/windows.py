@@ -3,11 +3,11 @@
 No operator here uses a window without ``partitionBy`` over unbounded data:
 such a window plans ``SinglePartition`` and moves every row into one task.
 Global positions are built from per-bucket counts instead: rows are grouped
-into at most 2^20 buckets of equal width over the (unique) order value's
-span, a running sum over the *bucket counts* gives each bucket's offset, and
-a window partitioned by bucket ranks the rows inside it.  Both windows are
-bounded whatever the key distribution: the count window by the bucket cap,
-a bucket by the width (unique values).
+into equal-width buckets of the (unique) order value, a running sum over the
+*bucket counts* gives each bucket's offset, and a window partitioned by
+bucket ranks the rows inside it.  A bucket holds at most ``width`` rows;
+with the span-derived width (``width=None``) the count window is also capped
+at 2^20 rows whatever the key spread.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BUCKETS = 1 << 20
+DEFAULT_WIDTH = 1 << 16
 
 
 def first_per_key(df: DataFrame, key: Column, order_col: str) -> DataFrame:
@@ -38,14 +39,15 @@ def _bucket_offsets(d: DataFrame, bucket: str) -> DataFrame:
 
 
 def dense_sequence(df: DataFrame, order_col: str, out: str = "seq", start: int | Column = 1,
-                   width: int | None = None, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                   width: int | None = DEFAULT_WIDTH, max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Number rows ``start, start+1, ...`` in ``order_col`` order, no gaps.
 
     ``order_col`` must be a unique integer-valued column (a file row number).
-    The bucket width is derived from the value span (scalar subqueries over
-    min/max) so that there are at most ``max_buckets`` buckets: the one
-    un-partitioned window runs over at most that many count rows, and a
-    bucket holds at most ``span / max_buckets`` rows, for any key spread.
+    With a fixed ``width`` a bucket holds at most ``width`` rows and the count
+    window has one row per non-empty bucket (for dense row numbers: rows /
+    width).  With ``width=None`` the width is derived from the value span
+    (min/max scalar subqueries, one extra pass -- cheap on materialized
+    input) so there are at most ``max_buckets`` buckets for any key spread.
     """
     c = F.col(order_col)
     if width is None:

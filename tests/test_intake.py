@@ -141,7 +141,7 @@ def test_dense_sequence_is_gapless_in_order(spark):
 def test_dense_sequence_sparse_keys_bounded_buckets(spark):
     # very sparse order values: the derived width keeps the bucket count small
     df = spark.range(0, 5000).select(((F.col("id") * 1_000_003) ** 1).cast("long").alias("r"))
-    seq = dense_sequence(df, "r", "n", start=1, max_buckets=64)
+    seq = dense_sequence(df, "r", "n", start=1, width=None, max_buckets=64)
     got = [(r.r, r.n) for r in seq.orderBy("r").collect()]
     assert [n for _, n in got] == list(range(1, 5001))
     nb = df.select(F.floor((F.col("r") - 0) / ((5000 * 1_000_003) // 64 + 1))).distinct().count()
