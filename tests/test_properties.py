@@ -68,3 +68,68 @@ def test_parse_date_matches_model(spark, batch):
     want = [model(t) for t in texts]
     bad = [(t, g, w) for t, g, w in zip(texts, got, want) if g != w]
     assert not bad, bad[:5]
+
+
+# --- subject intake against a row-at-a-time model ---------------------------
+from starledger.operators import intake  # noqa: E402
+from starledger.sources.sheets import stage_rows  # noqa: E402
+from starledger.spec import SUBJECT_SCHEMA  # noqa: E402
+
+LABELS = [("student_no", "Student No."), ("first_name", "First Name"), ("last_name", "Last Name"),
+          ("grade", "Grade"), ("section", "Section")]
+STATUSES = {"active": "Active", "inactive": "Inactive"}
+
+
+def clean(v):
+    return "" if v is None else v.strip()
+
+
+def model_import(rows, stored):
+    seen, out = set(), {}
+    for rn, cells in rows:
+        if not any(clean(v) for v in cells.values()):
+            continue  # blank row: dropped, still numbered
+        vals = {c: clean(cells.get(c)) for c, _ in LABELS}
+        status = STATUSES.get(clean(cells.get("status") or "Active").lower())
+        missing = [lbl for c, lbl in LABELS if not vals[c]]
+        if missing:
+            out[rn] = ("error", "Missing " + ", ".join(missing))
+            continue
+        if not status:
+            out[rn] = ("error", "Status must be Active or Inactive")
+            continue
+        k = vals["student_no"].lower()
+        if k in seen or k in stored:
+            out[rn] = ("skipped", None)
+            continue
+        seen.add(k)
+        out[rn] = ("imported", None)
+    return out
+
+
+cell_rows = st.lists(st.tuples(
+    st.sampled_from(["A1", "a1", "B2", "b2", "C3", " C3 ", "", " "]),
+    st.sampled_from(["Ann", "", " "]),
+    st.sampled_from(["Lee", ""]),
+    st.sampled_from(["7", ""]),
+    st.sampled_from(["A", ""]),
+    st.sampled_from([None, "", " ", "active", "ACTIVE", " Inactive ", "bogus"]),
+), min_size=1, max_size=40)
+
+
+@settings(max_examples=4, deadline=None)
+@given(cell_rows)
+def test_subject_import_matches_row_model(spark, sheet):
+    rows = [(i + 2, dict(zip(["student_no", "first_name", "last_name", "grade", "section", "status"], r)))
+            for i, r in enumerate(sheet)]
+    df = spark.createDataFrame(
+        [(rn, c["student_no"], c["first_name"], c["last_name"], c["grade"], c["section"], "", c["status"])
+         for rn, c in rows],
+        "row_number long, student_no string, first_name string, last_name string, grade string, "
+        "section string, adviser string, status string")
+    stored = spark.createDataFrame([(1, "B2", "S", "T", "7", "A", "", "Active")], SUBJECT_SCHEMA)
+    res = intake.import_subjects(stage_rows(df), stored, checkpoint=False)
+    got = {r.row_number: (r.outcome, r.message) for r in res.outcomes.collect()}
+    assert got == model_import(rows, {"b2"})
+    s = res.summary().first()
+    assert s.imported + s.skipped + s.error_count == s.total_rows == len(got)
