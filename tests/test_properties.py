@@ -133,3 +133,70 @@ def test_subject_import_matches_row_model(spark, sheet):
     assert got == model_import(rows, {"b2"})
     s = res.summary().first()
     assert s.imported + s.skipped + s.error_count == s.total_rows == len(got)
+
+
+# --- fact intake against a row-at-a-time model ------------------------------
+from starledger.sources.catalog import catalog_frame  # noqa: E402
+from starledger.spec import FACT_SCHEMA, FACT_STATUSES  # noqa: E402
+
+
+def model_facts(rows, subjects, catalog, base_no, base_id):
+    out, acc, n = {}, [], 0
+    for rn, c in rows:
+        if not any(clean(v) for v in c.values()):
+            continue
+        sn, oc = clean(c["student_no"]), clean(c["offense_code"])
+        status = FACT_STATUSES.get(clean(c["status"] or "Open").lower())
+        sid, off = subjects.get(sn.lower()), catalog.get(oc.lower())
+        text = clean(c["incident_date"])
+        if not sn:
+            err = "Student No. is required"
+        elif not oc:
+            err = "Offense Code is required"
+        elif sid is None:
+            err = f"Student {sn} was not found"
+        elif off is None:
+            err = f"Offense code {oc} was not found"
+        elif not status:
+            err = "Status must be Open, Parent Notified, Under Review, or Resolved"
+        elif not text:
+            err = "Incident Date is required"
+        elif model(text) is None:
+            err = "Incident Date must use YYYY-MM-DD or a recognized Excel date"
+        else:
+            err = None
+        out[rn] = ("error", err) if err else ("imported", None)
+        if not err:
+            n += 1
+            acc.append((rn, base_id + n, f"INC-{base_no + n:05d}", model(text), sid, off[0],
+                        clean(c["action_taken"]) or off[1], status))
+    return out, acc
+
+
+fact_rows = st.lists(st.tuples(
+    st.sampled_from(["2026-02-13", "3/4/2026", "13/02/2026", "46037", "soon", "", "02/30/2026"]),
+    st.sampled_from(["S-1", "s-1", "S-2", "S-9", "", " "]),
+    st.sampled_from(["MAJ-1", "maj-1", "MIN-1", "ZZ", ""]),
+    st.sampled_from(["", "Called"]),
+    st.sampled_from([None, "", "open", "RESOLVED", "Pending", " under review "]),
+), min_size=1, max_size=40)
+
+
+@settings(max_examples=4, deadline=None)
+@given(fact_rows)
+def test_fact_import_matches_row_model(spark, sheet):
+    cols = ["incident_date", "student_no", "offense_code", "action_taken", "status"]
+    rows = [(i + 2, dict(zip(cols, r))) for i, r in enumerate(sheet)]
+    df = spark.createDataFrame([(rn, *[c[k] for k in cols], "", "") for rn, c in rows],
+                               "row_number long, incident_date string, student_no string, offense_code string, "
+                               "action_taken string, status string, reported_by string, notes string")
+    subj = spark.createDataFrame([(1, "S-1", "A", "B", "7", "A", "", "Active"), (2, "S-2", "C", "D", "8", "B", "", "Active")],
+                                 SUBJECT_SCHEMA)
+    cat = catalog_frame(spark, [("MAJ-1", "Big", "Major", 5, "Refer"), ("MIN-1", "Small", "Minor", 1, "Warn")])
+    existing = spark.createDataFrame([(7, "INC-00020", dt.date(2026, 1, 1), 1, 1, "", "Open", "", "")], FACT_SCHEMA)
+    res = intake.import_facts(stage_rows(df), subj, cat, existing, checkpoint=False)
+    want_out, want_acc = model_facts(rows, {"s-1": 1, "s-2": 2}, {"maj-1": (1, "Refer"), "min-1": (2, "Warn")}, 20, 7)
+    assert {r.row_number: (r.outcome, r.message) for r in res.outcomes.collect()} == want_out
+    got_acc = sorted((r.row_number, r.id, r.incident_no, r.incident_date, r.student_id, r.offense_id,
+                      r.action_taken, r.status) for r in res.accepted.collect())
+    assert got_acc == want_acc
