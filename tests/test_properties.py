@@ -200,3 +200,39 @@ def test_fact_import_matches_row_model(spark, sheet):
     got_acc = sorted((r.row_number, r.id, r.incident_no, r.incident_date, r.student_id, r.offense_id,
                       r.action_taken, r.status) for r in res.accepted.collect())
     assert got_acc == want_acc
+
+
+# --- keyed upsert against a dict model -------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from starledger.operators import maintenance as mt  # noqa: E402
+
+upserts = st.lists(st.tuples(st.sampled_from(["A", "B", "C", "D", "E"]), st.integers(1, 10)), min_size=0, max_size=12)
+
+
+@settings(max_examples=4, deadline=None)
+@given(upserts)
+def test_upsert_matches_model(spark, batch):
+    base_rows = [("A", "a", "Minor", 1, "", False), ("C", "c", "Major", 5, "", False)]
+    base = catalog_frame(spark, [r[:5] for r in base_rows], active=False)
+    upd = spark.createDataFrame([(k, f"n{p}", "Minor", p, "x", i) for i, (k, p) in enumerate(batch)],
+                                "code string, name string, category string, severity_points int, "
+                                "recommended_action string, ord long")
+    cols = ["name", "category", "severity_points", "recommended_action"]
+    out = mt.upsert(base, upd, "code", cols, "ord", on_update={"active": F.lit(True)})
+    # model: stored ids kept; new keys get ids after the maximum, in the order of their winning (last) rows
+    model = {"A": [1, "a", 1, False], "C": [2, "c", 5, False]}
+    last = {}
+    for i, (k, p) in enumerate(batch):
+        last[k] = (i, p)
+    nxt = 3
+    for k, (i, p) in sorted(last.items(), key=lambda kv: kv[1][0]):
+        if k in model:
+            model[k][1:] = [f"n{p}", p, True]
+        else:
+            model[k] = [nxt, f"n{p}", p, True]
+            nxt += 1
+    got = {r.code: [r.id, r.name, r.severity_points, r.active] for r in out.collect()}
+    assert got == model
+    again = mt.upsert(out, upd, "code", cols, "ord", on_update={"active": F.lit(True)})
+    assert {r.code: [r.id, r.name, r.severity_points, r.active] for r in again.collect()} == model
