@@ -28,6 +28,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starledger.llm import substring
+    ship(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs).withColumnsRenamed({"n_sentences__": "n_sentences", "n_removed__": "n_removed"})
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starledger.llm import packing
+    ship(spark)
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starledger.llm import topk
     ship(spark)
@@ -76,5 +89,5 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_format, op2_language_id, op5_top_k, op6_near_dedup, op7_bpe, op9_token_counts, op10_fingerprints)}
+    op1_chat_format, op2_language_id, op3_substring_dedup, op4_packing, op5_top_k, op6_near_dedup, op7_bpe, op9_token_counts, op10_fingerprints)}
 ORACLE = {"op5_top_k": OP5_SQL}
