@@ -61,6 +61,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starledger.llm import pitmanyor
+    ship(spark)
+    return pitmanyor.score(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starledger.llm import tokencount
     ship(spark)
@@ -89,5 +95,5 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_format, op2_language_id, op3_substring_dedup, op4_packing, op5_top_k, op6_near_dedup, op7_bpe, op9_token_counts, op10_fingerprints)}
+    op1_chat_format, op2_language_id, op3_substring_dedup, op4_packing, op5_top_k, op6_near_dedup, op7_bpe, op8_lm_score, op9_token_counts, op10_fingerprints)}
 ORACLE = {"op5_top_k": OP5_SQL}
