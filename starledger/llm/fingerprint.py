@@ -109,22 +109,24 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
     The edited text has the last floor(n_chars / 3) code points replaced by
     the first as many (or all) of the next document in descending id order.
     Whole texts are shuffled once, by (id, hash); both joins read that one
-    exchange.  The next document's side then sends a prefix and a fingerprint.
+    exchange (nothing is computed or renamed below it, so that its plan is the same
+    for both).  The next document's side then sends a prefix and a fingerprint.
     """
     base = (docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LEAST)).alias("id"),
                         text_or_empty().alias("text"))
             .withColumn("h", F.xxhash64("text")))
     order = successors(base)
-    texts = base.select("id", "h", "text", sketch(F.col("text"), k).alias("fp"))
-    sent = (order.join(texts.withColumnsRenamed({"id": "next_id", "h": "next_h"}), ["next_id", "next_h"])
-            .select("id", "h", F.expr("substring(text, 1, cast(n div 3 as int))").alias("prefix"),
-                    F.col("fp").alias("next_fp"))
+    texts = base.select("id", "h", "text")
+    wanted = order.select(F.col("id").alias("for_id"), F.col("h").alias("for_h"), "n", F.col("next_id").alias("id"), F.col("next_h").alias("h"))
+    sent = (texts.join(wanted, ["id", "h"])
+            .select(F.col("for_id").alias("id"), F.col("for_h").alias("h"), F.expr("substring(text, 1, cast(n div 3 as int))").alias("prefix"),
+                    sketch(F.col("text"), k).alias("next_fp"))
             .dropDuplicates(["id", "h"]))
     both = texts.join(sent, ["id", "h"])
     n = F.length("text").cast("bigint")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(length(text) div 3 as int))"), F.col("prefix"))
-    rows = both.select(F.when(F.col("id") != LEAST, F.col("id")).alias("doc_id"), n.alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
-    rows = rows.withColumn("edited_fp", sketch(F.col("edited"), k))
+    rows = both.select(F.when(F.col("id") != LEAST, F.col("id")).alias("doc_id"), n.alias("n_chars"), edited.alias("edited"), "text", "next_fp")
+    rows = rows.withColumns({"fp": sketch(F.col("text"), k), "edited_fp": sketch(F.col("edited"), k)})
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
