@@ -84,22 +84,22 @@ def spans(counts: list[int], hashes: list[int]) -> tuple[np.ndarray, np.ndarray,
         v = (v ^ (v >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         return v ^ (v >> np.uint64(29))
 
-    return first, end, rolled(B1, I1, h).view(np.int64), (rolled(B2, I2, h ^ (h >> np.uint64(17))) >> np.uint64(33)).astype(np.int64)
+    return first, end, rolled(B1, I1, h).view(np.int64), (rolled(B2, I2, h ^ (h >> np.uint64(17))) >> np.uint64(33)).astype(np.int32)
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
-    """(id, th, i, j, h, g): every span of every document."""
+    """(id, th, i, h, g): the first sentence and hashes of every span."""
     def run(batches):
         for b in batches:
             out = []
             for id_, th, text in zip(b["id"], b["th"], b["text"]):
                 _, counts, hashes = sentences(text)
                 if len(counts) >= RUN:
-                    i, j, h, g = spans(counts, hashes)
-                    out.append(pd.DataFrame({"id": id_, "th": th, "i": i, "j": j, "h": h, "g": g}))
+                    i, _, h, g = spans(counts, hashes)
+                    out.append(pd.DataFrame({"id": id_, "th": th, "i": i, "h": h, "g": g}))
             if out:
                 yield pd.concat(out)
-    return docs.mapInPandas(run, "id bigint, th bigint, i int, j int, h bigint, g int")
+    return docs.mapInPandas(run, "id bigint, th bigint, i int, h bigint, g int")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,10 +111,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = [F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST)).alias("id"), th.alias("th")]
     rows = written(span_rows(docs.filter(F.col(text_col).isNotNull()).select(*key, F.col(text_col).alias("text"))), "spans")
     # place: where a span starts; the smallest is its first occurrence
-    repeated = (rows.groupBy("h", "g").agg(F.min(F.struct("id", "th", "i")).alias("first"), F.max(F.struct("id", "th", "i")).alias("last"))
-                .filter("first != last").select("h", "g", "first"))
+    repeated = (rows.groupBy("h", "g").agg(F.min(F.struct("id", "th", "i")).alias("first"), F.count("*").alias("n"))
+                .filter("n > 1").select("h", "g", "first"))
     cover = (rows.join(repeated, ["h", "g"]).filter(F.struct("id", "th", "i") != F.col("first"))
-             .groupBy("id", "th").agg(F.collect_set(F.struct("i", "j")).alias("cover__")))
+             .groupBy("id", "th").agg(F.collect_set("i").alias("cover__")))
     names = docs.columns
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     own = docs.select("*", F.struct(*key).alias("key__"))
@@ -130,16 +130,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     total.append(0)
                     gone.append(0)
                     continue
-                ends, _, _ = sentences(text)
+                ends, counts, hashes = sentences(text)
                 total.append(len(ends))
                 if cover is None or not len(cover):
                     texts.append(text)
                     gone.append(0)
                     continue
                 out = np.zeros(len(ends) + 1, np.int64)
-                for c in cover:
-                    out[c["i"]] += 1
-                    out[c["j"]] -= 1
+                first, end, _, _ = spans(counts, hashes)
+                out[first[cover]] += 1  # spans are numbered by their first sentence
+                np.subtract.at(out, end[cover], 1)
                 covered = np.cumsum(out)[:-1] > 0
                 starts = [0, *ends[:-1]]
                 texts.append("".join(text[s:e] for s, e, c in zip(starts, ends, covered) if not c))
