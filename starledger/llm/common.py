@@ -31,8 +31,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make the package importable in the Python workers (once a session)."""
+def ship(spark: SparkSession, batch_rows: int = 1000) -> None:
+    """Make the package importable in the Python workers (once a session),
+    and set how many rows a worker holds at a time: whole texts are long, so
+    fewer than Spark's default of 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

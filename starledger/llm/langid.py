@@ -107,7 +107,7 @@ class Ftrl:
 
 def features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, counts = np.unique(grams(text), return_counts=True)
-    return at, counts * (SCALE / counts.sum()) * idf[at]
+    return at.astype(np.int32), (counts * (SCALE / counts.sum()) * idf[at]).astype(np.float32)
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:

@@ -63,7 +63,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starledger.llm import pitmanyor
-    ship(spark)
+    ship(spark, 10_000)
     return pitmanyor.score(read(spark, sf_dir, "documents"))
 
 
