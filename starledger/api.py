@@ -20,7 +20,7 @@ from starledger.operators.joins import bounded_broadcast
 from starledger.operators import aggregates as agg
 from starledger.operators import intake, maintenance as mt
 from starledger.operators.filters import project_public, subject_by_id, subject_by_no
-from starledger.operators.ordering import catalog_order, check_limit, list_subjects
+from starledger.operators.ordering import catalog_order, list_subjects
 from starledger.plans import reports
 from starledger.plans.listings import incident_listing
 from starledger.sources.catalog import LEGACY_CODE_MAP, OFFICIAL_CATALOG, code_map_frame
@@ -48,14 +48,14 @@ class Ledger:
 
     # ----------------------------------------------------------- subjects
     def list_subjects(self, search: str = "", grade: str = "", section: str = "", status: str = "",
-                      limit: int = LIST_LIMIT_DEFAULT) -> DataFrame:
+                      limit: int | None = LIST_LIMIT_DEFAULT) -> DataFrame:
         s, df = self.spec, self.subject
         if search:
             df = df.filter(any_contains([s.subject_no, s.first_name, s.last_name], search))
         for col, val in ((s.grade, grade), (s.section, section), (s.subject_status, status)):
             if val:
                 df = df.filter(F.col(col) == val)
-        return list_subjects(project_public(df), s, check_limit(limit))
+        return list_subjects(project_public(df), s, limit)
 
     def create_subjects(self, batch: DataFrame, order_col: str) -> mt.WriteResult:
         return mt.insert_new(self.subject, batch, self.spec.subject_no, order_col, self.spec.subject_key)

@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starledger.functions.scalars import num_prefix
-from starledger.spec import DEFAULT_SPEC, LIST_LIMIT_DEFAULT, LIST_LIMIT_MAX, PAGE_SIZE, StarSpec
+from starledger.spec import DEFAULT_SPEC, LIST_LIMIT_DEFAULT, PAGE_SIZE, StarSpec
 
 
-def check_limit(limit: int) -> int:
-    if not 1 <= limit <= LIST_LIMIT_MAX:
-        raise ValueError(f"limit must be between 1 and {LIST_LIMIT_MAX}")
-    return limit
+def limited(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows; all rows for ``None``.  There is no ceiling."""
+    if limit is None:
+        return df
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    return df.limit(limit)
 
 
 def subject_list_order(df: DataFrame, spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
@@ -26,8 +29,8 @@ def subject_list_order(df: DataFrame, spec: StarSpec = DEFAULT_SPEC) -> DataFram
                       F.col(spec.first_name).asc(), F.col(spec.subject_key).asc())
 
 
-def list_subjects(df: DataFrame, spec: StarSpec = DEFAULT_SPEC, limit: int = LIST_LIMIT_DEFAULT) -> DataFrame:
-    return subject_list_order(df, spec).limit(check_limit(limit))
+def list_subjects(df: DataFrame, spec: StarSpec = DEFAULT_SPEC, limit: int | None = LIST_LIMIT_DEFAULT) -> DataFrame:
+    return limited(subject_list_order(df, spec), limit)
 
 
 def recent_first(df: DataFrame, date_col: str = "incident_date", key: str = "id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from starledger.functions.predicates import any_contains, in_month
 from starledger.operators.joins import bounded_broadcast, enrich
-from starledger.operators.ordering import check_limit
+from starledger.operators.ordering import limited
 from starledger.spec import DEFAULT_SPEC, LIST_LIMIT_DEFAULT, StarSpec
 
 INCIDENT_SEARCH_COLS = ("incident_no", "student_no", "first_name", "last_name", "offense_name")
@@ -43,12 +43,12 @@ def incident_listing(fact: DataFrame, subject: DataFrame, catalog: DataFrame,
     if search or limit is None:
         out = enrich(f, subject, cat, spec)
         out = out.orderBy(F.col(spec.fact_date).desc(), F.col(spec.fact_key).desc())
-        return out if limit is None else out.limit(check_limit(limit))
+        return limited(out, limit)
     keys = bounded_broadcast(cat.select(F.col(spec.catalog_key).alias("_cid")), within=catalog)
     f = f.join(keys, f[spec.fact_catalog] == keys["_cid"], "left_semi")
     s_keys = subject.select(F.col(spec.subject_key).alias("_sid"))
     f = f.join(s_keys, f[spec.fact_subject] == s_keys["_sid"], "left_semi")
-    top = f.orderBy(F.col(spec.fact_date).desc(), F.col(spec.fact_key).desc()).limit(check_limit(limit))
+    top = limited(f.orderBy(F.col(spec.fact_date).desc(), F.col(spec.fact_key).desc()), limit)
     out = enrich(F.broadcast(top), subject, cat, spec)
     return out.orderBy(F.col(spec.fact_date).desc(), F.col(spec.fact_key).desc())
 

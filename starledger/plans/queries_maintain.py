@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starledger.operators import maintenance as mt
-from starledger.operators.aggregates import year_facts
 from starledger.plans import fixtures as fx
 from starledger.plans.registry import register
 from starledger.sources.tables import read_table
@@ -101,13 +100,13 @@ def _inactive_keys(spark, sf_dir):
 
 def _guard(spark, sf_dir, keys=None):
     st = fx.orders_star(spark, sf_dir)
-    child = year_facts(st.fact, year=Y)
+    child = st.fact
     keys = _inactive_keys(spark, sf_dir) if keys is None else keys
     return mt.guarded_delete(st.subject, child, keys, "id", "student_id",
                              ["student_no", "first_name", "last_name"])
 
 
-GUARD_CTE = f"""{M1}, ch AS (SELECT * FROM fact WHERE {YR}),
+GUARD_CTE = f"""{M1}, ch AS (SELECT * FROM fact),
 k AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_acctbal < 0),
 miss AS (SELECT id FROM k WHERE id NOT IN (SELECT id FROM subj)),
 prot AS (SELECT s.id, s.student_no, s.first_name, s.last_name, COUNT(*) AS incident_count
@@ -122,7 +121,7 @@ def q_guarded_delete(spark, sf_dir):
     return _guard(spark, sf_dir).snapshot
 
 
-@register("guarded_delete_ok", f"""{M1}, ch AS (SELECT * FROM fact WHERE {YR}),
+@register("guarded_delete_ok", f"""{M1}, ch AS (SELECT * FROM fact),
 k AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_acctbal < 0 AND c_custkey NOT IN (SELECT student_id FROM ch)),
 miss AS (SELECT id FROM k WHERE id NOT IN (SELECT id FROM subj)),
 prot AS (SELECT s.id FROM subj s JOIN ch ON ch.student_id = s.id WHERE s.id IN (SELECT id FROM k))
@@ -130,7 +129,7 @@ SELECT {PUBLIC} FROM subj
 WHERE id NOT IN (SELECT id FROM k) OR EXISTS (SELECT 1 FROM miss) OR EXISTS (SELECT 1 FROM prot)""")
 def q_guarded_delete_ok(spark, sf_dir):
     st = fx.orders_star(spark, sf_dir)
-    child = year_facts(st.fact, year=Y).select(F.col("student_id").alias("id"))
+    child = st.fact.select(F.col("student_id").alias("id"))
     keys = _inactive_keys(spark, sf_dir).join(child, "id", "left_anti")
     return _guard(spark, sf_dir, keys).snapshot
 

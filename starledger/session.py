@@ -32,17 +32,17 @@ def get_session(master: str | None = None, partitions: int | None = None,
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.shuffle.partitions": str(partitions or 8),
         "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
         "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     }
+    if partitions:  # else the cluster's own setting holds
+        conf["spark.sql.shuffle.partitions"] = str(partitions)
     if master and master.startswith("local"):
         conf.setdefault("spark.driver.memory", "8g")
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
@@ -50,13 +50,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is configured by the operator of the cluster and
-    is shared storage; it is only read here.  Only when it is unset (local
-    tests) is a scratch folder created and registered.
+    is shared storage; it is only read here.  Only when it is unset and the
+    master is local (tests) is a scratch folder created and registered; on a
+    cluster that is an error, as executors would write to their own disks.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        # Unset: only in local tests.  A cluster names shared storage here.
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="starledger-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)

@@ -75,7 +75,7 @@ CATEGORIES = ("Minor", "Major")
 POINTS_MIN, POINTS_MAX = 1, 10
 # Report limits: top-N size, default and max listing size, errors listed.
 TOP_N = 10
-LIST_LIMIT_DEFAULT, LIST_LIMIT_MAX = 500, 1000
+LIST_LIMIT_DEFAULT = 500
 ERRORS_LISTED = 10
 PAGE_SIZE = 10
 SUGGEST_SIZE = 8
