@@ -20,6 +20,7 @@ from starledger.operators.joins import bounded_broadcast
 from starledger.operators import aggregates as agg
 from starledger.operators import intake, maintenance as mt
 from starledger.operators.filters import project_public, subject_by_id, subject_by_no
+from starledger.operators.intake import catalog_rules, fact_rules, subject_rules
 from starledger.operators.ordering import catalog_order, list_subjects
 from starledger.plans import reports
 from starledger.plans.listings import incident_listing
@@ -58,12 +59,15 @@ class Ledger:
         return list_subjects(project_public(df), s, limit)
 
     def create_subjects(self, batch: DataFrame, order_col: str) -> mt.WriteResult:
-        return mt.insert_new(self.subject, batch, self.spec.subject_no, order_col, self.spec.subject_key)
+        """Domain rules first, then the unique number; see ``insert_new``."""
+        s = self.spec
+        return mt.insert_new(self.subject, batch, s.subject_no, order_col, s.subject_key, rules=subject_rules(s))
 
     def update_subjects(self, updates: DataFrame) -> mt.WriteResult:
         s = self.spec
         cols = [s.subject_no, s.first_name, s.last_name, s.grade, s.section, s.adviser, s.subject_status]
-        return mt.update_rows(self.subject, updates, cols, s.subject_key, unique_key=s.subject_no)
+        return mt.update_rows(self.subject, updates, cols, s.subject_key, unique_key=s.subject_no,
+                              rules=subject_rules(s))
 
     def delete_subjects(self, keys: DataFrame, on_missing: str = "reject") -> mt.DeleteResult:
         s = self.spec
@@ -100,12 +104,13 @@ class Ledger:
         return catalog_order(df, s)
 
     def create_catalog_items(self, batch: DataFrame, order_col: str) -> mt.WriteResult:
-        return mt.insert_new(self.catalog, batch, self.spec.code, order_col, self.spec.catalog_key)
+        s = self.spec
+        return mt.insert_new(self.catalog, batch, s.code, order_col, s.catalog_key, rules=catalog_rules(s))
 
     def update_catalog_items(self, updates: DataFrame) -> mt.WriteResult:
         s = self.spec
         cols = [s.code, s.catalog_name, s.category, s.points, s.recommended_action, s.active]
-        return mt.update_rows(self.catalog, updates, cols, s.catalog_key, unique_key=s.code)
+        return mt.update_rows(self.catalog, updates, cols, s.catalog_key, unique_key=s.code, rules=catalog_rules(s))
 
     def delete_catalog_items(self, keys: DataFrame, on_missing: str = "reject") -> mt.DeleteResult:
         s = self.spec
@@ -152,7 +157,8 @@ class Ledger:
         return agg.next_seq(self.fact, self.spec.fact_no, self.spec.fact_prefix)
 
     def create_facts(self, batch: DataFrame, order_col: str, as_of: str) -> mt.WriteResult:
-        return mt.insert_facts(self.fact, self.subject, self.catalog, batch, order_col, as_of, self.spec)
+        return mt.insert_facts(self.fact, self.subject, self.catalog, batch, order_col, as_of, self.spec,
+                               rules=fact_rules(self.spec))
 
     def update_facts(self, updates: DataFrame, as_of: str) -> mt.WriteResult:
         """Full-row update by id.  Checks in order: the fact exists, its new

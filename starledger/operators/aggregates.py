@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from starledger.functions.predicates import in_year
 from starledger.functions.scalars import count_when, month_text, risk_band, seq_suffix
-from starledger.operators.joins import catalog_cols, is_bounded, with_catalog
+from starledger.operators.joins import catalog_cols, is_constant, with_catalog
 from starledger.spec import DEFAULT_SPEC, StarSpec
 
 
@@ -45,7 +45,7 @@ def subject_rollup(fact: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAULT
     points, last_date``.  ``how="inner"`` drops facts whose catalog row is
     missing; ``how="left"`` counts them with no category and no points."""
     if catalog_small is None:
-        catalog_small = is_bounded(catalog)
+        catalog_small = is_constant(catalog)
     if catalog_small:
         f = with_catalog(fact.select(spec.fact_subject, spec.fact_catalog, spec.fact_date, spec.fact_status),
                          catalog, spec, (spec.category, spec.points), broadcast=True, how=how)

@@ -24,9 +24,9 @@ from starledger.operators.joins import bounded_broadcast
 from starledger.operators.ordering import first_errors
 from starledger.operators.windows import dense_sequence
 from starledger.spec import (
-    DEFAULT_SPEC, ERRORS_LISTED, FACT_STATUS_DEFAULT, FACT_STATUSES, MSG_CODE_NOT_FOUND, MSG_CODE_REQUIRED,
-    MSG_FACT_STATUS, MSG_NUMBER_REQUIRED, MSG_SUBJECT_NOT_FOUND, MSG_SUBJECT_STATUS, SUBJECT_LABELS,
-    SUBJECT_STATUS_DEFAULT, SUBJECT_STATUSES, StarSpec,
+    CATEGORIES, DEFAULT_SPEC, ERRORS_LISTED, FACT_STATUS_DEFAULT, FACT_STATUSES, MSG_CODE_NOT_FOUND,
+    MSG_CODE_REQUIRED, MSG_FACT_STATUS, MSG_NUMBER_REQUIRED, MSG_SUBJECT_NOT_FOUND, MSG_SUBJECT_STATUS,
+    POINTS_MAX, POINTS_MIN, SUBJECT_LABELS, SUBJECT_STATUS_DEFAULT, SUBJECT_STATUSES, StarSpec,
 )
 
 ROW = "row_number"
@@ -242,15 +242,21 @@ def catalog_rules(spec: StarSpec = DEFAULT_SPEC) -> dict[str, Column]:
     return {
         "code_required": F.length(F.col(spec.code)) < 1,
         "name_required": F.length(F.col(spec.catalog_name)) < 1,
-        "category_domain": ~F.col(spec.category).isin("Minor", "Major"),
-        "points_range": ~F.col(spec.points).between(1, 10),
+        "category_domain": ~F.col(spec.category).isin(*CATEGORIES),
+        "points_range": ~F.col(spec.points).between(POINTS_MIN, POINTS_MAX),
     }
 
 
+def fact_rules(spec: StarSpec = DEFAULT_SPEC) -> dict[str, Column]:
+    """Domain rule of a fact row; a missing status counts as the default."""
+    status = F.coalesce(F.col(spec.fact_status), F.lit(spec.open_status))
+    return {"status_domain": ~status.isin(*FACT_STATUSES.values())}
+
+
 def subject_rules(spec: StarSpec = DEFAULT_SPEC) -> dict[str, Column]:
     rules = {f"{c}_required": F.length(F.col(c)) < 1 for c in
              (spec.subject_no, spec.first_name, spec.last_name, spec.grade, spec.section)}
-    rules["status_domain"] = ~F.col(spec.subject_status).isin("Active", "Inactive")
+    rules["status_domain"] = ~F.col(spec.subject_status).isin(*SUBJECT_STATUSES.values())
     return rules
 
 

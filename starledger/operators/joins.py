@@ -1,15 +1,14 @@
 """Joins (C1-C8).
 
-Broadcast policy: a side is hinted for broadcast only when its row count is
-*proven* bounded -- a constant frame, a ``limit(n)`` result, or a frame whose
-bounded ``limit(max_rows + 1).count()`` check passed.  Otherwise the planner
-decides (sort-merge, or an AQE broadcast conversion after the shuffle stage
-has *measured* the side).
+Broadcast policy: a side is hinted for broadcast only when it is a constant
+frame, or derived from one by filters and projections.  Otherwise the planner
+decides by the sizes in bytes that it knows (a small file), and AQE by the
+sizes that a shuffle stage has *measured*.  No join here runs a job while the
+plan is built.
 """
 
 from __future__ import annotations
 
-import weakref
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -17,34 +16,17 @@ from pyspark.sql import functions as F
 
 from starledger.spec import DEFAULT_SPEC, StarSpec
 
-BROADCAST_MAX_ROWS = 2_000_000
-_CHECKED: dict = {}
 
-
-def is_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, within: DataFrame | None = None) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows.  A constant frame's
-    row count is known, and so is an upper bound for any filter/projection/
-    distinct of one (pass it as ``within``); otherwise the check reads at most
-    ``max_rows + 1`` rows (the limit stops the scan early)."""
+def is_constant(df: DataFrame, within: DataFrame | None = None) -> bool:
+    """``df``, or ``within`` of which ``df`` is a filter, projection or
+    distinct, is a constant frame (its rows are part of the plan)."""
     from starledger.sources.constants import KNOWN_ROWS
-    known = KNOWN_ROWS.get(df)
-    if known is None and within is not None:
-        known = KNOWN_ROWS.get(within)
-    if known is not None and known <= max_rows:
-        return True
-    if known is not None and within is None:
-        return False
-    key = (id(df), max_rows)
-    if key not in _CHECKED or _CHECKED[key][0]() is not df:
-        # Inputs are immutable snapshots: a frame's bound is checked once.
-        _CHECKED[key] = (weakref.ref(df), df.limit(max_rows + 1).count() <= max_rows)
-    return _CHECKED[key][1]
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                      within: DataFrame | None = None) -> DataFrame:
-    """Broadcast hint only behind a size check; unchanged frame otherwise."""
-    return F.broadcast(df) if is_bounded(df, max_rows, within) else df
+    return df in KNOWN_ROWS or (within is not None and within in KNOWN_ROWS)
+
+
+def bounded_broadcast(df: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """Broadcast hint on constant frames; unchanged frame otherwise."""
+    return F.broadcast(df) if is_constant(df, within) else df
 
 
 def catalog_cols(catalog: DataFrame, spec: StarSpec = DEFAULT_SPEC,
@@ -144,16 +126,14 @@ def missing_keys(keys: DataFrame, table: DataFrame, key: str = "id",
                  table_key: str = "id") -> DataFrame:
     """Requested keys that are not in ``table``.
 
-    When the request is provably small, the table is semi-joined against the
-    broadcast keys first (a filtered scan, no shuffle of the table), and the
-    anti join runs between two small frames.
+    The table is semi-joined against the request first: where the planner
+    knows or AQE measures a small request, the table is only filtered in its
+    scan stage, and the anti join runs between two small frames.
     """
     k = dedupe_keys(keys, key)
     t = table.select(F.col(table_key).alias("_tk"))
-    if is_bounded(k):
-        present = t.join(F.broadcast(k.withColumnRenamed(key, "_rk")), t["_tk"] == F.col("_rk"), "left_semi")
-        return k.join(present, k[key] == present["_tk"], "left_anti")
-    return k.join(t, k[key] == t["_tk"], "left_anti")
+    present = t.join(k.withColumnRenamed(key, "_rk"), t["_tk"] == F.col("_rk"), "left_semi")
+    return k.join(present, k[key] == present["_tk"], "left_anti")
 
 
 def by_keys(df: DataFrame, keys: DataFrame, key: str = "id", df_key: str = "id") -> DataFrame:

@@ -178,17 +178,31 @@ class WriteResult:
     inserted: DataFrame | None = None  # the new rows alone, when rows are added
 
 
-def insert_new(base: DataFrame, batch: DataFrame, key: str, order_col: str, id_col: str = "id") -> WriteResult:
+def first_broken(rules: dict[str, Column] | None) -> Column:
+    """Name of the first rule that a row breaks, NULL when it keeps them all.
+    A rule that gives NULL counts as broken, as in ``domain_audit``."""
+    if not rules:
+        return F.lit(None).cast("string")
+    return F.coalesce(*[F.when(F.coalesce(c, F.lit(True)), F.lit(name)) for name, c in rules.items()])
+
+
+def insert_new(base: DataFrame, batch: DataFrame, key: str, order_col: str, id_col: str = "id",
+               rules: dict[str, Column] | None = None) -> WriteResult:
     """Insert rows whose unique ``key`` is new (exact match); conflicts
     with stored rows, and later duplicates inside the batch, are rejected.
-    New ids follow the stored maximum in ``order_col`` order."""
+    New ids follow the stored maximum in ``order_col`` order.  A row that
+    breaks one of the ``rules`` (name -> Column, true when broken) is rejected
+    with the rule's name and reserves no key."""
+    checked = batch.withColumn("_broken", first_broken(rules))
     stored = present_keys(base, key, batch, key).select(F.col(key).alias("_bk"), F.lit(True).alias("_stored"))
-    b = batch.join(stored, batch[key] == stored["_bk"], "left").drop("_bk")
-    firsts = b.groupBy(F.col(key).alias("_fk")).agg(F.min(order_col).alias("_first"))
+    b = checked.join(stored, checked[key] == stored["_bk"], "left").drop("_bk")
+    firsts = checked.filter(F.col("_broken").isNull()).groupBy(F.col(key).alias("_fk")) \
+        .agg(F.min(order_col).alias("_first"))
     b = b.join(firsts, (b[key] == firsts["_fk"]) & (b[order_col] == firsts["_first"]), "left")
-    reason = F.when(F.col("_stored").isNotNull(), REASON_CONFLICT) \
+    reason = F.when(F.col("_broken").isNotNull(), F.col("_broken")) \
+        .when(F.col("_stored").isNotNull(), REASON_CONFLICT) \
         .when(F.col("_first").isNull(), REASON_DUPLICATE_BATCH)
-    b = b.withColumn("reason", reason).drop("_fk", "_first", "_stored")
+    b = b.withColumn("reason", reason).drop("_fk", "_first", "_stored", "_broken")
     ok = dense_sequence(b.filter(F.col("reason").isNull()), order_col, "_new_id", start=next_id(base, id_col))
     ins = ok.select(*[F.col("_new_id").cast(base.schema[c].dataType).alias(c) if c == id_col
                       else (F.col(c) if c in batch.columns else F.lit(None)).cast(base.schema[c].dataType).alias(c)
@@ -198,22 +212,28 @@ def insert_new(base: DataFrame, batch: DataFrame, key: str, order_col: str, id_c
 
 
 def update_rows(base: DataFrame, updates: DataFrame, cols: Sequence[str], id_col: str = "id",
-                unique_key: str | None = None, on_update: dict[str, Column] | None = None) -> WriteResult:
+                unique_key: str | None = None, on_update: dict[str, Column] | None = None,
+                rules: dict[str, Column] | None = None) -> WriteResult:
     """Full-row update by id.  Absent ids are rejected; with
     ``unique_key``, an update whose key is held by another stored row, or
-    that two updates set at once, is rejected (not applied)."""
+    that two updates set at once, is rejected (not applied).  An update that
+    breaks one of the ``rules`` (over the update's columns) is rejected with
+    the rule's name and stands in no other update's way."""
     on_update = on_update or {}
-    u = updates.select(F.col(id_col).alias("_uid"), *[F.col(c).alias(f"_u_{c}") for c in cols])
+    u = updates.select(F.col(id_col).alias("_uid"), *[F.col(c).alias(f"_u_{c}") for c in cols],
+                       first_broken(rules).alias("_broken"))
     ids = present_keys(base, id_col, u, "_uid").select(F.col(id_col).alias("_bid"))
+    kept = u.filter(F.col("_broken").isNull())
+    per_id = kept.groupBy(F.col("_uid").alias("_cid")).agg(F.count(F.lit(1)).alias("_cn"))
     u = u.join(ids, u["_uid"] == ids["_bid"], "left")
-    per_id = u.groupBy(F.col("_uid").alias("_cid")).agg(F.count(F.lit(1)).alias("_cn"))
     u = u.join(per_id, u["_uid"] == per_id["_cid"], "left")
-    reason = F.when(F.col("_bid").isNull(), F.lit(REASON_NOT_FOUND)).when(F.col("_cn") > 1, F.lit(REASON_DUPLICATE_ID))
+    reason = F.when(F.col("_broken").isNotNull(), F.col("_broken")) \
+        .when(F.col("_bid").isNull(), F.lit(REASON_NOT_FOUND)).when(F.col("_cn") > 1, F.lit(REASON_DUPLICATE_ID))
     if unique_key is not None:
         owners = present_keys(base, unique_key, u, f"_u_{unique_key}") \
             .select(F.col(unique_key).alias("_ok"), F.col(id_col).alias("_owner"))
         u = u.join(owners, u[f"_u_{unique_key}"] == owners["_ok"], "left")
-        dup = u.groupBy(F.col(f"_u_{unique_key}").alias("_dk")).agg(F.count(F.lit(1)).alias("_dn"))
+        dup = kept.groupBy(F.col(f"_u_{unique_key}").alias("_dk")).agg(F.count(F.lit(1)).alias("_dn"))
         u = u.join(dup, u[f"_u_{unique_key}"] == dup["_dk"], "left")
         reason = reason.when(F.col("_owner").isNotNull() & (F.col("_owner") != F.col("_uid")), REASON_CONFLICT) \
             .when(F.col("_dn") > 1, REASON_CONFLICT)
@@ -230,17 +250,21 @@ def update_rows(base: DataFrame, updates: DataFrame, cols: Sequence[str], id_col
 
 
 def insert_facts(fact: DataFrame, subject: DataFrame, catalog: DataFrame, batch: DataFrame,
-                 order_col: str, as_of: str, spec: StarSpec = DEFAULT_SPEC) -> WriteResult:
+                 order_col: str, as_of: str, spec: StarSpec = DEFAULT_SPEC,
+                 rules: dict[str, Column] | None = None) -> WriteResult:
     """Insert facts after parent checks (subject first, then catalog);
     a missing date becomes ``as_of``; a blank action takes the catalog's
     recommended action; numbers continue the stored sequence in
-    ``order_col`` order."""
+    ``order_col`` order.  A row that breaks one of the ``rules`` is rejected
+    with the rule's name, before the parent checks."""
     s = subject.select(F.col(spec.subject_key).alias("_sid"), F.lit(True).alias("_has_s"))
     c = bounded_broadcast(catalog.select(F.col(spec.catalog_key).alias("_cid"),
                                          F.col(spec.recommended_action).alias("_default_action")), within=catalog)
+    batch = batch.withColumn("_broken", first_broken(rules))
     b = batch.join(s, batch[spec.fact_subject] == s["_sid"], "left") \
         .join(c, batch[spec.fact_catalog] == c["_cid"], "left")
-    reason = F.when(F.col("_has_s").isNull(), MSG_PARENT_SUBJECT).when(F.col("_cid").isNull(), MSG_PARENT_CATALOG)
+    reason = F.when(F.col("_broken").isNotNull(), F.col("_broken")) \
+        .when(F.col("_has_s").isNull(), MSG_PARENT_SUBJECT).when(F.col("_cid").isNull(), MSG_PARENT_CATALOG)
     b = b.withColumn("reason", reason)
     ok = dense_sequence(b.filter(F.col("reason").isNull()), order_col, "_seq", start=0)
     base_no = fact.agg(F.coalesce(F.max(seq_suffix(spec.fact_no, spec.fact_prefix)), F.lit(0)).alias("_m")).scalar()

@@ -367,3 +367,53 @@ def q_protected_preview_catalog(spark, sf_dir):
     res = mt.guarded_delete(st.catalog, st.fact, keys, "id", "offense_id", ["code", "name"])
     label = F.concat(F.col("code"), F.lit(" - "), F.col("name"))
     return mt.protected_preview(res.protected, label, [F.col("code"), F.col("id")], "offense")
+
+
+# --------------------------------------------------------------------------- H1 / H2 on writes
+def _raw_items(spark, sf_dir):
+    """Every part as a catalog row as a user might send it: some categories and points out of their domains."""
+    p = read_table(spark, sf_dir, "part")
+    size = F.col("p_size")
+    return p.select(F.col("p_partkey").alias("id"), F.format_string("X-%05d", "p_partkey").alias("code"),
+                    F.when(size % 17 == 0, "").otherwise(F.col("p_name")).alias("name"),
+                    F.when(size % 3 == 0, "Minor").when(size % 3 == 1, "Major").otherwise("Moderate").alias("category"),
+                    (size % 13).cast("int").alias("severity_points"))
+
+
+ITEMS_CTE = """items AS (
+  SELECT p_partkey AS id, printf('X-%05d', p_partkey) AS code, CASE p_size % 17 WHEN 0 THEN '' ELSE p_name END AS name,
+         ['Minor', 'Major', 'Moderate'][1 + p_size % 3] AS category, CAST(p_size % 13 AS INTEGER) AS severity_points
+  FROM part),
+broken AS (
+  SELECT id, 2 AS pos, 'name_required' AS rule FROM items WHERE name = ''
+  UNION ALL SELECT id, 3, 'category_domain' FROM items WHERE category = 'Moderate'
+  UNION ALL SELECT id, 4, 'points_range' FROM items WHERE severity_points IN (0, 11, 12))"""
+
+
+@register("domain_audit_catalog", f"WITH {ITEMS_CTE} SELECT id, rule FROM broken")
+def q_domain_audit_catalog(spark, sf_dir):
+    from starledger.operators.intake import catalog_rules, domain_audit
+    return domain_audit(_raw_items(spark, sf_dir), catalog_rules())
+
+
+@register("insert_catalog_rejects", f"""WITH {ITEMS_CTE}
+SELECT id AS ord, printf('X-%05d', id) AS code, min_by(rule, pos) AS reason FROM broken GROUP BY id""")
+def q_insert_catalog_rejects(spark, sf_dir):
+    from starledger.operators.intake import catalog_rules
+    batch = _raw_items(spark, sf_dir).withColumnRenamed("id", "ord")
+    return mt.insert_new(fx.part_catalog(spark, sf_dir), batch, "code", "ord", rules=catalog_rules()).rejected
+
+
+@register("domain_audit_facts", """SELECT o_orderkey AS id, 'status_domain' AS rule FROM orders WHERE o_orderstatus = 'P'""")
+def q_domain_audit_facts(spark, sf_dir):
+    from starledger.operators.intake import domain_audit, fact_rules
+    letter = F.col("o_orderstatus")
+    status = F.when(letter == "O", "Open").when(letter == "F", "Resolved").otherwise(letter)
+    facts = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"))
+    return domain_audit(facts, fact_rules())
+
+
+@register("null_audit", "SELECT o_orderkey AS ord, 'incident_date_not_null' AS rule FROM orders WHERE o_orderkey % 9 = 0")
+def q_null_audit(spark, sf_dir):
+    from starledger.operators.intake import null_audit
+    return null_audit(_fact_batch(spark, sf_dir), ["student_id", "offense_id", "incident_date", "status"], key="ord")

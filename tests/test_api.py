@@ -96,3 +96,25 @@ def test_import_subjects_from_csv(spark, tmp_path):
     bad.write_text("LRN,First Name\nX,Y\n")
     with pytest.raises(ValueError, match="Missing required Excel columns: Grade, Last Name, Section"):
         lg.import_subjects(str(bad))
+
+
+def test_writes_keep_domain_rules(spark):
+    lg = ledger(spark)
+    row = lg.subject.limit(1).drop("id")
+    batch = (row.withColumn("student_no", F.lit("N-1")).withColumn("ord", F.lit(1))
+             .unionByName(row.withColumn("student_no", F.lit("")).withColumn("ord", F.lit(2)))
+             .unionByName(row.withColumn("student_no", F.lit("N-3")).withColumn("status", F.lit("Bogus")).withColumn("ord", F.lit(3)))
+             .unionByName(row.withColumn("student_no", F.lit("N-3")).withColumn("ord", F.lit(4))))
+    res = lg.create_subjects(batch, "ord")
+    assert sorted((r.ord, r.reason) for r in res.rejected.collect()) == [(2, "student_no_required"), (3, "status_domain")]
+    assert sorted(r.student_no for r in res.inserted.collect()) == ["N-1", "N-3"]
+    bad = lg.subject.filter("id = 1").withColumn("status", F.lit("Bogus"))
+    assert [r.reason for r in lg.update_subjects(bad).rejected.collect()] == ["status_domain"]
+    item = lg.catalog.filter("id = 1")
+    bad = item.withColumn("severity_points", F.lit(11))
+    assert [r.reason for r in lg.update_catalog_items(bad).rejected.collect()] == ["points_range"]
+    facts = lg.fact.filter("id <= 2").withColumn("ord", F.col("id"))
+    facts = facts.withColumn("status", F.when(F.col("id") == 1, "NOT-A-STATUS"))
+    res = lg.create_facts(facts, "ord", "2001-12-31")
+    assert [(r.ord, r.reason) for r in res.rejected.collect()] == [(1, "status_domain")]
+    assert [r.status for r in res.inserted.collect()] == ["Open"]
