@@ -111,8 +111,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = [F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST)).alias("id"), th.alias("th")]
     rows = written(span_rows(docs.filter(F.col(text_col).isNotNull()).select(*key, F.col(text_col).alias("text"))), "spans")
     # place: where a span starts; the smallest is its first occurrence
-    repeated = (rows.groupBy("h", "g").agg(F.min(F.struct("id", "th", "i")).alias("first"), F.count("*").alias("n"))
-                .filter("n > 1").select("h", "g", "first"))
+    # written, so that the join reads plain exchanges and a frequent span's rows can be split
+    repeated = written(rows.groupBy("h", "g").agg(F.min(F.struct("id", "th", "i")).alias("first"), F.count("*").alias("n"))
+                       .filter("n > 1").select("h", "g", "first"), "repeats")
     cover = (rows.join(repeated, ["h", "g"]).filter(F.struct("id", "th", "i") != F.col("first"))
              .groupBy("id", "th").agg(F.collect_set("i").alias("cover__")))
     names = docs.columns
