@@ -2,6 +2,7 @@
 rows, empty tables, extra columns; and brute force on the sample tables."""
 import collections
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -137,6 +138,21 @@ def test_leaders_that_fail_lose_no_link(spark):
     assert cls == {i: i % 4 for i in range(12)}
 
 
+def test_scattered_edits_down_to_the_threshold_are_found(spark):
+    """Pairs whose similarity is 0.8 to 0.9, edits scattered or evenly spaced."""
+    ship(spark)
+    r, rows = random.Random(6), []
+    for k in range(90):
+        n = (5, 10, 30, 50, 100, 200)[k % 6]
+        a = [f"w{r.randrange(10 ** 6)}" for _ in range(n)]
+        edits = int((1 - (0.8, 0.85, 0.9)[k % 3]) * n + 1e-9)
+        at = [int((i + 0.5) * n / edits) for i in range(edits)] if k % 5 == 0 else r.sample(range(n), edits)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(f"e{k}x{i}" if i in at else w for i, w in enumerate(a)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    cls = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(docs).collect()}
+    assert sum(cls[i] == i - i % 2 for i in range(180)) >= 178  # at most one pair of 90 missed
+
+
 def test_packing_places_every_id_once(docs):
     path = queries.vocabulary("byte_bpe_50k.json")
     got = packing.pack(docs.filter("doc_id is null or doc_id != 7"), path).collect()
