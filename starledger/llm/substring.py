@@ -1,10 +1,12 @@
 """Substring dedup by sliding sentence spans (operator 3).
 
-A text is cut after sentence ends and line breaks.  Sentences of more than
-``LONG`` words are cut again after words chosen by their hash, so that a
-passage without punctuation is cut alike wherever it stands.  The span that
-starts at a sentence covers ``RUN`` sentences and goes on until it holds
-``MIN_WORDS`` words.  Span hashes are joined over all documents; sentences
+A text is cut after sentence ends and line breaks, and after the word of
+smallest hash in each window of ``CUT`` words.  So two cuts are at most
+``CUT`` words apart, and whether a word is one depends on the ``CUT`` - 1
+words on either side only: a passage is cut alike wherever it stands, but for
+its first and last words.  The span that starts at a piece ("sentence" below)
+covers ``RUN`` of them and goes on until it holds ``MIN_WORDS`` words; every
+run of 50 words holds one whose cuts do not depend on what is around it.  Span hashes are joined over all documents; sentences
 that lie in a repeated span which is not its first occurrence (smallest id,
 then position) are removed.
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from starledger.llm.common import written
 
-RUN, MIN_WORDS, LONG, CUT = 3, 12, 20, 8
+RUN, MIN_WORDS, CUT = 3, 12, 8
 LEAST = -(1 << 63)
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 WORD = re.compile(r"\S+")
@@ -35,21 +37,30 @@ B1, B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 I1, I2 = pow(B1, -1, 1 << 64), pow(B2, -1, 1 << 64)
 
 
+def _cuts(words: list[str]) -> np.ndarray:
+    """Whether a word is the smallest by hash, the last of equals, in a window of ``CUT``."""
+    cut = np.zeros(len(words), bool)
+    if len(words) >= CUT:
+        h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+        windows = np.lib.stride_tricks.sliding_window_view(h[::-1], CUT)
+        cut[len(h) - 1 - (np.arange(len(windows)) + windows.argmin(axis=1))] = True
+    return cut
+
+
 def _pieces(text: str):
-    """(end, words) of each sentence or part of a long one."""
-    for m in SENTENCE.finditer(text):
-        words = m[0].lower().split()
-        if len(words) <= LONG:
-            yield m.end(), words
-            continue
+    """(end, words) of each sentence or part of one."""
+    parts = [(m.end(), [(w.end(), w[0].lower()) for w in WORD.finditer(text, m.start(), m.end())]) for m in SENTENCE.finditer(text)]
+    cut, at = _cuts([w for _, words in parts for _, w in words]).tolist(), 0
+    for end, words in parts:
         own = []
-        for w in WORD.finditer(text, m.start(), m.end()):
-            word = w[0].lower()
-            own.append(word)
-            if xxhash.xxh3_64_intdigest(word) % CUT == 0:
-                yield w.end(), own
+        for w_end, w in words[:-1]:
+            own.append(w)
+            if cut[at]:
+                yield w_end, own
                 own = []
-        yield m.end(), own
+            at += 1
+        at += len(words) > 0
+        yield end, own + [w for _, w in words[-1:]]
 
 
 def sentences(text: str) -> tuple[list[int], list[int], list[int]]:

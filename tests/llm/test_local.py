@@ -108,6 +108,20 @@ def test_sentences_cover_the_text_and_spans_ignore_place():
     assert not of("start here. " + passage) & of("a b c. " * 9)
 
 
+def test_passages_of_50_words_share_a_span_wherever_they_stand():
+    """Put in mid-sentence, with and without punctuation."""
+    r = random.Random(7)
+    of = lambda t: set(zip(*[x.tolist() for x in substring.spans(*substring.sentences(t)[1:])[2:]]))
+
+    def prose(n, stop):
+        return " ".join(f"w{r.randrange(3000)}" + ("." if r.random() < stop else "") for _ in range(n))
+    for k in range(300):
+        stop = (0, 0.06, 0.2)[k % 3]
+        passage = prose(51, stop)
+        a, b = (f"{prose(r.randint(1, 40), stop)} {passage} {prose(r.randint(1, 40), stop)}" for _ in range(2))
+        assert of(a) & of(b)
+
+
 def test_top_k_accumulation_and_ties():
     r = np.random.default_rng(2)
     q, m = r.integers(-3, 3, (5, 8)), r.integers(-3, 3, (40, 8))
