@@ -5,7 +5,7 @@ document are sequences of their own; what is left (less than a window) is an
 item.  Items are dealt by range of their most telling term, and each task
 cuts its stream into shards of ``SHARD`` items with a BM25 inverted index
 each.  An unused item is the seed of the next window; the index returns its
-unused neighbours by BM25 score, which fill the window greedily.  The last
+unused neighbours by BM25 score over all terms of the seed, which fill the window greedily.  The last
 one is cut where the window ends, and its rest stays unused.  Only the last
 window of a shard can need padding.
 
@@ -33,7 +33,7 @@ from starledger.llm.common import text_or_empty, written
 WINDOW = 1024
 END_ID = 0
 SHARD = 2048
-TERMS = 12  # of a seed that are looked up
+COMMON = 64  # items of a shard; terms in more have a dense row
 K1, B = 1.2, 0.75
 PIECE = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
          "sequence_id bigint, offset bigint")
@@ -152,18 +152,26 @@ class Index:
             terms.append(t)
             docs.append(np.full(len(t), d))
             weights.append(w)
-            top = np.argpartition(-w, TERMS)[:TERMS] if len(w) > TERMS else np.arange(len(w))
-            self.queries.append(t[top])
+            self.queries.append(t)
         terms, docs, weights = map(np.concatenate, (terms, docs, weights))
         order = np.argsort(terms, kind="stable")
         self.docs, self.weights = docs[order], weights[order]
         self.terms, self.at = np.unique(terms[order], return_index=True)
         self.at = np.append(self.at, len(terms))
         self.n = len(ids)
+        common = np.flatnonzero(np.diff(self.at) > COMMON)
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n))
+        for j, k in enumerate(common):
+            own = slice(self.at[k], self.at[k + 1])
+            self.dense[j, self.docs[own]] = self.weights[own]
 
     def scores(self, seed: int) -> np.ndarray:
-        out = np.zeros(self.n)
-        for k in np.searchsorted(self.terms, self.queries[seed]):
+        at = np.searchsorted(self.terms, self.queries[seed])
+        row = self.row[at]
+        out = self.dense[row[row >= 0]].sum(axis=0)
+        for k in at[row < 0]:
             lo, hi = self.at[k], self.at[k + 1]
             out[self.docs[lo:hi]] += self.weights[lo:hi]
         return out

@@ -63,6 +63,21 @@ def test_pack_shard_places_each_id_once_and_fills_windows():
     assert len(spans) == 60 and max(sizes) == 1024 and sum(x < 1024 for x in sizes) <= 1
 
 
+def test_scores_count_every_term_of_the_seed():
+    r = np.random.default_rng(3)
+    idf, mean = r.uniform(0.1, 5.0, 400), 90.0
+    ids = [np.minimum(r.integers(0, 400, r.integers(1, 200)), r.integers(0, 400, 1)) for _ in range(150)]
+    index = packing.Index(ids, idf, mean)
+    k1, b = packing.K1, packing.B
+    for seed in range(0, 150, 10):
+        want = np.zeros(150)
+        for d, x in enumerate(ids):
+            for t in np.unique(ids[seed]):
+                tf = (x == t).sum()
+                want[d] += idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(x) / mean))
+        assert np.allclose(index.scores(seed), want)
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
