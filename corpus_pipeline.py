@@ -20,16 +20,15 @@ from starledger.llm.common import read, ship, written
 from starledger.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is predicted with a score of at least
-    ``LEAST_SCORE``; texts without a letter have none."""
+    """Keep documents that a language is predicted for; texts without a
+    letter have none.  Without a labelled row to learn from all pass."""
     ship(spark)
     docs = docs.select(*COLUMNS)
-    return (langid.predict(docs, langid.train(langid.training_rows(docs)))
-            .filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS))
+    model = langid.train(langid.training_rows(docs))
+    return docs if model is None else langid.predict(docs, model).filter(F.col("lang_pred") != "und").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

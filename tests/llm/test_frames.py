@@ -233,6 +233,18 @@ def test_fingerprints_merge_and_contain(spark):
     assert {x["g"]: len(x["fp"]) for x in fingerprint.merge_groups(parts, ["g"]).collect()} == {1: 64, 2: 64}
 
 
+def test_language_stage_keeps_short_mixed_and_unlabelled_texts(spark):
+    ship(spark)
+    base = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(*corpus_pipeline.COLUMNS).filter("text rlike '[a-z]{3}'").limit(150)
+    words = {r["lang"]: r["text"].split()[:8] for r in base.filter("lang is not null").collect()}
+    mixed = [" ".join(w for group in zip(*words.values()) for w in group), "ok", "la", "x y"]
+    odd = spark.createDataFrame([(-1 - i, t, None, "s", len(t)) for i, t in enumerate(mixed)], base.schema)
+    both = base.unionByName(odd)
+    for docs in (both, both.withColumn("lang", F.lit(None).cast("string"))):
+        got = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SF_SMALL).collect()}
+        assert got == {r["doc_id"] for r in docs.collect()}
+
+
 def test_pipeline_keeps_what_each_stage_kept(spark, docs):
     d = docs.select(*corpus_pipeline.COLUMNS)
     seen = []
