@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starledger.llm import middle
 from starledger.llm.common import read, ship
 
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -78,6 +80,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(read(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starledger.llm import ruleset
+    ship(spark)
+    return ruleset.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starledger.llm import whitening
+    ship(spark)
+    return whitening.whitened_components(read(spark, sf_dir, "embeddings"))
+
+
 OP5_SQL = """
 WITH e AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -95,5 +113,6 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_format, op2_language_id, op3_substring_dedup, op4_packing, op5_top_k, op6_near_dedup, op7_bpe, op8_lm_score, op9_token_counts, op10_fingerprints)}
-ORACLE = {"op5_top_k": OP5_SQL}
+    op1_chat_format, op2_language_id, op3_substring_dedup, op4_packing, op5_top_k, op6_near_dedup, op7_bpe, op8_lm_score, op9_token_counts, op10_fingerprints,
+    op11_fill_in_middle, op12_quality, op13_whitening)}
+ORACLE = {"op5_top_k": OP5_SQL, "op11_fill_in_middle": middle.SQL}
