@@ -10,7 +10,7 @@ reduced rows, never on raw facts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starledger.functions.predicates import in_year
@@ -40,15 +40,13 @@ def year_facts(fact: DataFrame, spec: StarSpec = DEFAULT_SPEC, year: int | None
 
 
 def subject_rollup(fact: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAULT_SPEC,
-                   catalog_small: bool | None = None, how: str = "inner") -> DataFrame:
+                   how: str = "inner") -> DataFrame:
     """Per-subject totals of ``fact ⋈ catalog``: ``_sid, total, minor, major,
     points, last_date``.  ``how="inner"`` drops facts whose catalog row is
     missing; ``how="left"`` counts them with no category and no points."""
-    if catalog_small is None:
-        catalog_small = is_constant(catalog)
-    if catalog_small:
+    if is_constant(catalog):
         f = with_catalog(fact.select(spec.fact_subject, spec.fact_catalog, spec.fact_date, spec.fact_status),
-                         catalog, spec, (spec.category, spec.points), broadcast=True, how=how)
+                         catalog, spec, (spec.category, spec.points), how=how)
         return f.groupBy(F.col(spec.fact_subject).alias("_sid")).agg(
             F.count(F.lit(1)).alias("total"),
             count_when(F.col(spec.category) == spec.minor).alias("minor"),
@@ -205,10 +203,14 @@ def subject_summary(subject: DataFrame, fact: DataFrame, catalog: DataFrame,
     )
 
 
-def summary_order(df: DataFrame) -> DataFrame:
+def summary_keys() -> list[Column]:
     """Points DESC, total DESC, grade (as text), section, last name, id."""
-    return df.orderBy(F.desc("severity_points"), F.desc("total_offenses"), F.asc("grade"),
-                      F.asc("section"), F.asc("last_name"), F.asc("id"))
+    return [F.desc("severity_points"), F.desc("total_offenses"), F.asc("grade"),
+            F.asc("section"), F.asc("last_name"), F.asc("id")]
+
+
+def summary_order(df: DataFrame) -> DataFrame:
+    return df.orderBy(*summary_keys())
 
 
 def subject_totals(subject: DataFrame, fact: DataFrame, catalog: DataFrame,

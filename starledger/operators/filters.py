@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starledger.functions.predicates import any_contains, eq_filters, haystack, in_month, in_year
@@ -48,11 +48,11 @@ def search_table(df: DataFrame, q: str, cols: Sequence[str] | None = None) -> Da
     return df.filter(any_contains([F.col(c).cast("string") for c in cols], q))
 
 
-def grade_section(spec: StarSpec = DEFAULT_SPEC) -> F.Column:
+def grade_section(spec: StarSpec = DEFAULT_SPEC) -> Column:
     return F.concat_ws("-", F.col(spec.grade), F.col(spec.section))
 
 
-def subject_haystack(spec: StarSpec = DEFAULT_SPEC) -> F.Column:
+def subject_haystack(spec: StarSpec = DEFAULT_SPEC) -> Column:
     return haystack([F.col(spec.subject_no), F.col(spec.first_name), F.col(spec.last_name),
                      grade_section(spec), F.col(spec.adviser)])
 
@@ -66,15 +66,26 @@ def suggest(subject: DataFrame, q: str, spec: StarSpec = DEFAULT_SPEC, n: int =
     return subject_list_order(df, spec).limit(n)
 
 
-def option_label(spec: StarSpec = DEFAULT_SPEC) -> F.Column:
+def option_label(spec: StarSpec = DEFAULT_SPEC) -> Column:
     """'<no> - <first> <last> (<grade>-<section>)'."""
     return F.concat(F.col(spec.subject_no), F.lit(" - "), F.col(spec.first_name), F.lit(" "),
                     F.col(spec.last_name), F.lit(" ("), grade_section(spec), F.lit(")"))
 
 
+def label_is(text: Column, spec: StarSpec = DEFAULT_SPEC) -> Column:
+    """The subject's option label equals the trimmed text, ignoring case."""
+    return F.lower(option_label(spec)) == F.lower(strip_text(text))
+
+
 def lookup_label(subject: DataFrame, text: str, spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
-    """Subjects whose option label equals the trimmed text, ignoring case."""
-    return subject.filter(F.lower(option_label(spec)) == F.lower(strip_text(F.lit(text or ""))))
+    """B10 for one typed text."""
+    return subject.filter(label_is(F.lit(text or ""), spec))
+
+
+def lookup_labels(subject: DataFrame, typed: DataFrame, col: str, spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
+    """B10 for many typed texts: ``typed`` with the subjects each one names
+    (null columns where it names none); an equi-join on the folded label."""
+    return typed.join(subject, label_is(F.coalesce(typed[col], F.lit("")), spec), "left")
 
 
 def subject_by_no(subject: DataFrame, number: str, spec: StarSpec = DEFAULT_SPEC) -> DataFrame:

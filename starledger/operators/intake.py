@@ -22,6 +22,7 @@ from starledger.functions.scalars import (
 )
 from starledger.operators.joins import bounded_broadcast
 from starledger.operators.ordering import first_errors
+from starledger.operators.ranged import materialize
 from starledger.operators.windows import dense_sequence
 from starledger.spec import (
     CATEGORIES, DEFAULT_SPEC, ERRORS_LISTED, FACT_STATUS_DEFAULT, FACT_STATUSES, MSG_CODE_NOT_FOUND,
@@ -88,28 +89,26 @@ def import_subjects(staged: DataFrame, stored: DataFrame, spec: StarSpec = DEFAU
     append.  Invalid rows never reserve a key; a stored key skips every
     staged row that carries it.  New ids continue after the stored maximum
     in file order."""
-    v = validate_subjects(staged).withColumn("_key", F.lower(F.col("student_no")))
-    # Probe the stored table with the sheet's keys (broadcast when provably
-    # small): only stored numbers that occur in the sheet are read back.
-    sheet_keys = bounded_broadcast(v.select(F.col("_key").alias("_pk")).distinct())
-    stored_lk = stored.select(F.lower(F.col(spec.subject_no)).alias("_sk"))
-    stored_keys = stored_lk.join(sheet_keys, stored_lk["_sk"] == sheet_keys["_pk"], "left_semi").distinct() \
-        .withColumn("_stored", F.lit(True))
-    v = v.join(stored_keys, (v["_key"] == stored_keys["_sk"]) & v["error"].isNull(), "left").drop("_sk")
-    fresh = F.col("error").isNull() & F.col("_stored").isNull()
-    firsts = v.filter(fresh).groupBy(F.col("_key").alias("_fk")).agg(F.min(ROW).alias("_first")) \
-        .withColumn("_is_first", F.lit(True))
-    v = v.join(firsts, (v["_key"] == firsts["_fk"]) & (v[ROW] == firsts["_first"]), "left") \
-        .drop("_fk", "_first")
+    v = materialize(validate_subjects(staged).withColumn("_key", F.lower(F.col("student_no"))), checkpoint)
+    good, bad = v.filter(F.col("error").isNull()), v.filter(F.col("error").isNotNull())
+    # One row for each number of the sheet: its first row, and whether it is
+    # stored.  Only stored numbers that occur in the sheet are read back.
+    keys = good.groupBy(F.col("_key").alias("_fk")).agg(F.min(ROW).alias("_first"))
+    lower = F.lower(F.col(spec.subject_no))
+    stored_keys = stored.select(lower.alias("_sk")).join(keys.select(F.col("_fk").alias("_pk")), F.col("_sk") == F.col("_pk"), "left_semi").distinct()
+    keys = keys.join(stored_keys, keys["_fk"] == stored_keys["_sk"], "left_anti")
+    good = good.join(keys, (good["_key"] == keys["_fk"]) & (good[ROW] == keys["_first"]), "left") \
+        .withColumn("_is_first", F.col("_first").isNotNull()).drop("_fk", "_first")
+    v = good.unionByName(bad.withColumn("_is_first", F.lit(False)))
     outcome = (F.when(F.col("error").isNotNull(), "error")
-               .when(F.col("_is_first").isNotNull(), "imported")
+               .when(F.col("_is_first"), "imported")
                .otherwise("skipped"))
     v = materialize(v.withColumn("outcome", outcome), checkpoint)
     outcomes = v.select(ROW, "student_no", "outcome", F.col("error").alias("message"))
     if first_id is None:
         first_id = stored.agg((F.coalesce(F.max(spec.subject_key), F.lit(0)) + 1).alias("m")).scalar()
     acc = v.filter(F.col("outcome") == "imported")
-    acc = dense_sequence(acc, ROW, "id", start=first_id, width=None)  # materialized: span pass is cheap
+    acc = dense_sequence(acc, ROW, "id", start=first_id)
     accepted = acc.select(F.col("id").cast("bigint").alias("id"), "student_no", "first_name", "last_name",
                           "grade", "section", "adviser", "status", ROW)
     return IntakeResult(outcomes, accepted)
@@ -133,7 +132,7 @@ def lookup_first(dim: DataFrame, key_col: str, id_col: str, extra: tuple[str, ..
 
 
 def validate_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame,
-                   spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
+                   spec: StarSpec = DEFAULT_SPEC, checkpoint: bool = True) -> DataFrame:
     """H5: lookups (C4) then the rule order: number blank, code blank,
     subject unknown, code unknown, bad status, date missing or unparsable."""
     s = staged.select(
@@ -146,28 +145,30 @@ def validate_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame,
         clean_text(_cell(staged, "reported_by")).alias("reported_by"),
         clean_text(_cell(staged, "notes")).alias("notes"),
     )
-    # Resolve only the subject numbers the sheet names: the subject table is
-    # probed with the sheet's distinct keys (broadcast when provably small)
-    # instead of being aggregated whole.
-    sheet_keys = bounded_broadcast(s.select(F.lower(F.col("student_no")).alias("_pk")).distinct())
-    named = subject.join(sheet_keys, F.lower(subject[spec.subject_no]) == sheet_keys["_pk"], "left_semi")
-    subj = lookup_first(named, spec.subject_no, spec.subject_key) \
+    # The cleaned sheet is written once; probe, lookups and rules read it.
+    s = materialize(s.withColumn("incident_date", parse_date("_date_text", cleaned=True)), checkpoint)
+    # Rows with a blank number or code are errors already and enter no join.
+    named = (F.col("student_no") != "") & (F.col("offense_code") != "")
+    rows, blank = s.filter(named), s.filter(~named)
+    # Resolve only the subject numbers the sheet names.
+    sheet_keys = rows.select(F.lower(F.col("student_no")).alias("_pk")).distinct()
+    meant = subject.join(sheet_keys, F.lower(subject[spec.subject_no]) == sheet_keys["_pk"], "left_semi")
+    subj = lookup_first(meant, spec.subject_no, spec.subject_key) \
         .select(F.col("_lk").alias("_sk"), F.col("_m.id").alias("student_id"))
     cat = lookup_first(catalog, spec.code, spec.catalog_key, (spec.recommended_action,)) \
         .select(F.col("_lk").alias("_ck"), F.col("_m.id").alias("offense_id"),
                 F.col(f"_m.{spec.recommended_action}").alias("_default_action"))
     cat = bounded_broadcast(cat, within=catalog)
-    # Parse once; the error chain below reads the parsed column.
-    s = s.withColumn("incident_date", parse_date("_date_text", cleaned=True))
-    j = s.join(subj, F.lower(s["student_no"]) == subj["_sk"], "left").drop("_sk")
+    j = rows.join(subj, F.lower(rows["student_no"]) == subj["_sk"], "left").drop("_sk")
     j = j.join(cat, F.lower(j["offense_code"]) == cat["_ck"], "left").drop("_ck")
+    j = j.unionByName(blank, allowMissingColumns=True)
     error = F.coalesce(
         F.when(F.col("student_no") == "", F.lit(MSG_NUMBER_REQUIRED)),
         F.when(F.col("offense_code") == "", F.lit(MSG_CODE_REQUIRED)),
         F.when(F.col("student_id").isNull(),
-               F.concat(F.lit(MSG_SUBJECT_NOT_FOUND[0]), F.col("student_no"), F.lit(MSG_SUBJECT_NOT_FOUND[1]))),
+               F.format_string(MSG_SUBJECT_NOT_FOUND, F.col("student_no"))),
         F.when(F.col("offense_id").isNull(),
-               F.concat(F.lit(MSG_CODE_NOT_FOUND[0]), F.col("offense_code"), F.lit(MSG_CODE_NOT_FOUND[1]))),
+               F.format_string(MSG_CODE_NOT_FOUND, F.col("offense_code"))),
         F.when(F.col("status").isNull(), F.lit(FACT_STATUS_MSG)),
         F.when(F.col("_date_text") == "", F.lit(DATE_REQUIRED_MSG)),
         F.when(F.col("incident_date").isNull(), F.lit(DATE_INVALID_MSG)),
@@ -175,20 +176,6 @@ def validate_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame,
     return j.withColumn("error", error)
 
 
-def materialize(df: DataFrame, enabled: bool = True) -> DataFrame:
-    """Cut lineage by writing ``df`` as a Parquet table in the shared
-    checkpoint folder (``spark.checkpoint.dir``) and reading it back, so the
-    later passes read the written rows instead of recomputing an expensive
-    plan, and a lost executor re-reads instead of redoing the work.  (Parquet
-    is columnar and compact; an RDD checkpoint would Java-serialize rows.)"""
-    if not enabled:
-        return df
-    from starledger.session import scratch_path
-    path = scratch_path(df.sparkSession, "materialized")
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def import_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame, existing: DataFrame | None,
                  spec: StarSpec = DEFAULT_SPEC, checkpoint: bool = True,
                  base_no: Column | int | None = None, base_id: Column | int | None = None) -> IntakeResult:
@@ -196,7 +183,7 @@ def import_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame, exis
     in file order after the largest stored number -> append.  Nothing is
     skipped by this intake.  The validated rows are checkpointed once: the
     outcome counts and the two numbering passes all read them."""
-    v = materialize(validate_facts(staged, subject, catalog, spec), checkpoint)
+    v = materialize(validate_facts(staged, subject, catalog, spec, checkpoint), checkpoint)
     v = v.withColumn("outcome", F.when(F.col("error").isNull(), "imported").otherwise("error"))
     outcomes = v.select(ROW, "student_no", "outcome", F.col("error").alias("message"))
     # Largest stored number and id: given by the caller (e.g. a stream's
@@ -208,7 +195,7 @@ def import_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame, exis
         base_id = existing.agg(F.coalesce(F.max(spec.fact_key), F.lit(0)).alias("m")).scalar()
     base_no = base_no if isinstance(base_no, Column) else F.lit(base_no)
     base_id = base_id if isinstance(base_id, Column) else F.lit(base_id)
-    acc = dense_sequence(v.filter(F.col("outcome") == "imported"), ROW, "_seq", start=1, width=None)
+    acc = dense_sequence(v.filter(F.col("outcome") == "imported"), ROW, "_seq", start=1)
     accepted = acc.select(
         (base_id + F.col("_seq")).cast("bigint").alias("id"),
         seq_format(base_no + F.col("_seq"), spec.fact_no_format).alias("incident_no"),

@@ -36,15 +36,10 @@ def catalog_cols(catalog: DataFrame, spec: StarSpec = DEFAULT_SPEC,
 
 
 def with_catalog(fact: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAULT_SPEC,
-                 cols: Sequence[str] = ("category", "severity_points"),
-                 broadcast: bool | None = None, how: str = "inner") -> DataFrame:
+                 cols: Sequence[str] = ("category", "severity_points"), how: str = "inner") -> DataFrame:
     """Fact JOIN catalog on the catalog key, adding ``cols`` (``how`` is
     ``inner``, or ``left`` to keep facts whose catalog row is missing)."""
-    cat = catalog_cols(catalog, spec, cols)
-    if broadcast is None:
-        cat = bounded_broadcast(cat, within=catalog)
-    elif broadcast:
-        cat = F.broadcast(cat)
+    cat = bounded_broadcast(catalog_cols(catalog, spec, cols), within=catalog)
     return fact.join(cat, fact[spec.fact_catalog] == cat["_cat_id"], how).drop("_cat_id")
 
 

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from starledger.functions.scalars import backfill_blank, default_date, plural_has, seq_format, seq_suffix
 from starledger.operators.joins import bounded_broadcast, dedupe_keys, missing_keys, protected_parents
+from starledger.operators.ranged import materialize
 from starledger.operators.windows import dense_sequence
 from starledger.spec import (
-    DEFAULT_SPEC, MSG_NONE_DELETED, MSG_PARENT_CATALOG, MSG_PARENT_SUBJECT, MSG_PROTECTED, MSG_PROTECTED_MORE,
+    DEFAULT_SPEC, MSG_PARENT_CATALOG, MSG_PARENT_SUBJECT, MSG_PROTECTED, MSG_PROTECTED_MORE,
     REASON_CONFLICT, REASON_DUPLICATE_BATCH, REASON_DUPLICATE_ID, REASON_NOT_FOUND, StarSpec,
 )
 
@@ -62,7 +63,9 @@ def upsert(base: DataFrame, updates: DataFrame, key: str, cols: Sequence[str], o
     after the current maximum in ``order_col`` order; ids of existing rows
     are kept.  Duplicate keys in ``updates``: the last by ``order_col`` wins."""
     on_update = on_update or {}
-    u = last_per_key(updates, key, order_col)
+    # The batch is read once, its last row for each key is written once.
+    last = updates.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*updates.columns), order_col).alias("_row"))
+    u = materialize(last.select("_row.*"))
     ur = u.select(F.col(key).alias("_uk"), *[F.col(c).alias(f"_u_{c}") for c in cols], F.lit(True).alias("_hit"))
     j = base.join(ur, base[key] == ur["_uk"], "left")
     hit = F.col("_hit").isNotNull()
@@ -164,8 +167,7 @@ def protected_preview(protected: DataFrame, label: Column, order: Sequence[Colum
     m = merge_single_rows(heads, n)
     text = F.concat_ws(", ", F.transform("_h", lambda x: x["_label"]))
     more = F.when(F.col("_n") > k, F.format_string(MSG_PROTECTED_MORE, F.col("_n") - k)).otherwise("")
-    msg = F.concat(plural_has("_n", noun), F.lit(MSG_PROTECTED), text, more,
-                   F.lit(MSG_NONE_DELETED.format(plural_noun)))
+    msg = F.format_string(MSG_PROTECTED, plural_has("_n", noun), text, more, F.lit(plural_noun))
     return m.filter(F.col("_n") > 0).select(F.col("_n").alias("protected_count"), msg.alias("message"))
 
 
@@ -193,7 +195,7 @@ def insert_new(base: DataFrame, batch: DataFrame, key: str, order_col: str, id_c
     New ids follow the stored maximum in ``order_col`` order.  A row that
     breaks one of the ``rules`` (name -> Column, true when broken) is rejected
     with the rule's name and reserves no key."""
-    checked = batch.withColumn("_broken", first_broken(rules))
+    checked = materialize(batch.withColumn("_broken", first_broken(rules)))
     stored = present_keys(base, key, batch, key).select(F.col(key).alias("_bk"), F.lit(True).alias("_stored"))
     b = checked.join(stored, checked[key] == stored["_bk"], "left").drop("_bk")
     firsts = checked.filter(F.col("_broken").isNull()).groupBy(F.col(key).alias("_fk")) \
@@ -202,7 +204,7 @@ def insert_new(base: DataFrame, batch: DataFrame, key: str, order_col: str, id_c
     reason = F.when(F.col("_broken").isNotNull(), F.col("_broken")) \
         .when(F.col("_stored").isNotNull(), REASON_CONFLICT) \
         .when(F.col("_first").isNull(), REASON_DUPLICATE_BATCH)
-    b = b.withColumn("reason", reason).drop("_fk", "_first", "_stored", "_broken")
+    b = materialize(b.withColumn("reason", reason).drop("_fk", "_first", "_stored", "_broken"))
     ok = dense_sequence(b.filter(F.col("reason").isNull()), order_col, "_new_id", start=next_id(base, id_col))
     ins = ok.select(*[F.col("_new_id").cast(base.schema[c].dataType).alias(c) if c == id_col
                       else (F.col(c) if c in batch.columns else F.lit(None)).cast(base.schema[c].dataType).alias(c)
@@ -222,6 +224,7 @@ def update_rows(base: DataFrame, updates: DataFrame, cols: Sequence[str], id_col
     on_update = on_update or {}
     u = updates.select(F.col(id_col).alias("_uid"), *[F.col(c).alias(f"_u_{c}") for c in cols],
                        first_broken(rules).alias("_broken"))
+    u = materialize(u)
     ids = present_keys(base, id_col, u, "_uid").select(F.col(id_col).alias("_bid"))
     kept = u.filter(F.col("_broken").isNull())
     per_id = kept.groupBy(F.col("_uid").alias("_cid")).agg(F.count(F.lit(1)).alias("_cn"))
@@ -237,7 +240,7 @@ def update_rows(base: DataFrame, updates: DataFrame, cols: Sequence[str], id_col
         u = u.join(dup, u[f"_u_{unique_key}"] == dup["_dk"], "left")
         reason = reason.when(F.col("_owner").isNotNull() & (F.col("_owner") != F.col("_uid")), REASON_CONFLICT) \
             .when(F.col("_dn") > 1, REASON_CONFLICT)
-    u = u.withColumn("reason", reason)
+    u = materialize(u.withColumn("reason", reason))
     good = u.filter(F.col("reason").isNull()).select("_uid", *[f"_u_{c}" for c in cols], F.lit(True).alias("_hit"))
     j = base.join(bounded_broadcast(good), base[id_col] == good["_uid"], "left")
     hit = F.col("_hit").isNotNull()
@@ -265,7 +268,7 @@ def insert_facts(fact: DataFrame, subject: DataFrame, catalog: DataFrame, batch:
         .join(c, batch[spec.fact_catalog] == c["_cid"], "left")
     reason = F.when(F.col("_broken").isNotNull(), F.col("_broken")) \
         .when(F.col("_has_s").isNull(), MSG_PARENT_SUBJECT).when(F.col("_cid").isNull(), MSG_PARENT_CATALOG)
-    b = b.withColumn("reason", reason)
+    b = materialize(b.withColumn("reason", reason))
     ok = dense_sequence(b.filter(F.col("reason").isNull()), order_col, "_seq", start=0)
     base_no = fact.agg(F.coalesce(F.max(seq_suffix(spec.fact_no, spec.fact_prefix)), F.lit(0)).alias("_m")).scalar()
     first = next_id(fact, spec.fact_key)

@@ -7,7 +7,7 @@ sorts the whole input.  Paging uses ``offset`` the same way.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starledger.functions.scalars import num_prefix
@@ -23,24 +23,36 @@ def limited(df: DataFrame, limit: int | None) -> DataFrame:
     return df.limit(limit)
 
 
-def subject_list_order(df: DataFrame, spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
+def subject_list_keys(spec: StarSpec = DEFAULT_SPEC) -> list[Column]:
     """Numeric grade, section, last name, first name, id."""
-    return df.orderBy(num_prefix(spec.grade).asc(), F.col(spec.section).asc(), F.col(spec.last_name).asc(),
-                      F.col(spec.first_name).asc(), F.col(spec.subject_key).asc())
+    return [num_prefix(spec.grade).asc(), F.col(spec.section).asc(), F.col(spec.last_name).asc(),
+            F.col(spec.first_name).asc(), F.col(spec.subject_key).asc()]
+
+
+def subject_list_order(df: DataFrame, spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
+    return df.orderBy(*subject_list_keys(spec))
 
 
 def list_subjects(df: DataFrame, spec: StarSpec = DEFAULT_SPEC, limit: int | None = LIST_LIMIT_DEFAULT) -> DataFrame:
     return limited(subject_list_order(df, spec), limit)
 
 
-def recent_first(df: DataFrame, date_col: str = "incident_date", key: str = "id") -> DataFrame:
+def recent_keys(date_col: str = "incident_date", key: str = "id") -> list[Column]:
     """Date DESC, id DESC."""
-    return df.orderBy(F.col(date_col).desc(), F.col(key).desc())
+    return [F.col(date_col).desc(), F.col(key).desc()]
 
 
-def catalog_order(df: DataFrame, spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
+def recent_first(df: DataFrame, date_col: str = "incident_date", key: str = "id") -> DataFrame:
+    return df.orderBy(*recent_keys(date_col, key))
+
+
+def catalog_keys(spec: StarSpec = DEFAULT_SPEC) -> list[Column]:
     """Category DESC ('Minor' before 'Major'), then code."""
-    return df.orderBy(F.col(spec.category).desc(), F.col(spec.code).asc())
+    return [F.col(spec.category).desc(), F.col(spec.code).asc()]
+
+
+def catalog_order(df: DataFrame, spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
+    return df.orderBy(*catalog_keys(spec))
 
 
 def first_errors(errors: DataFrame, n: int = 10, row_col: str = "row") -> DataFrame:
@@ -55,8 +67,12 @@ def page(df: DataFrame, order: list, p: int, n: int = PAGE_SIZE) -> DataFrame:
 
 def page_info(df: DataFrame, p: int, n: int = PAGE_SIZE) -> DataFrame:
     """Total rows, page count (at least 1), first and last row numbers of page ``p``."""
-    total = F.count(F.lit(1))
-    return df.agg(total.alias("total_rows")).select(
+    return page_numbers(df.agg(F.count(F.lit(1)).alias("total_rows")), p, n)
+
+
+def page_numbers(totals: DataFrame, p: int, n: int = PAGE_SIZE) -> DataFrame:
+    """E8 from a row with ``total_rows``."""
+    return totals.select(
         "total_rows",
         F.greatest(F.ceil(F.col("total_rows") / F.lit(n)), F.lit(1)).cast("bigint").alias("page_count"),
         F.when(F.col("total_rows") > 0, F.lit(p * n + 1)).otherwise(0).cast("bigint").alias("first_row"),

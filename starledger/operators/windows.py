@@ -2,12 +2,9 @@
 
 No operator here uses a window without ``partitionBy`` over unbounded data:
 such a window plans ``SinglePartition`` and moves every row into one task.
-Global positions are built from per-bucket counts instead: rows are grouped
-into equal-width buckets of the (unique) order value, a running sum over the
-*bucket counts* gives each bucket's offset, and a window partitioned by
-bucket ranks the rows inside it.  A bucket holds at most ``width`` rows;
-with the span-derived width (``width=None``) the count window is also capped
-at 2^20 rows whatever the key spread.
+Global positions are built from the counts of written range partitions
+(``operators.ranged``) or of scan partitions: a running sum over one row for
+each partition gives its offset.
 """
 
 from __future__ import annotations
@@ -15,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 1 << 20
-DEFAULT_WIDTH = 1 << 16
+from starledger.operators.ranged import running_before, write_ranged
 
 
 def first_per_key(df: DataFrame, key: Column, order_col: str) -> DataFrame:
@@ -31,38 +27,15 @@ def first_per_key(df: DataFrame, key: Column, order_col: str) -> DataFrame:
     return out.drop("_fk")
 
 
-def _bucket_offsets(d: DataFrame, bucket: str) -> DataFrame:
-    counts = d.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-    # Window over the bucket counts only (one row per non-empty bucket).
-    w = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(bucket, F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("bigint").alias("_off"))
-
-
 def dense_sequence(df: DataFrame, order_col: str, out: str = "seq", start: int | Column = 1,
-                   width: int | None = DEFAULT_WIDTH, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                   ranges: int | None = None) -> DataFrame:
     """Number rows ``start, start+1, ...`` in ``order_col`` order, no gaps.
 
-    ``order_col`` must be a unique integer-valued column (a file row number).
-    With a fixed ``width`` a bucket holds at most ``width`` rows and the count
-    window has one row per non-empty bucket (for dense row numbers: rows /
-    width).  With ``width=None`` the width is derived from the value span
-    (min/max scalar subqueries, one extra pass -- cheap on materialized
-    input) so there are at most ``max_buckets`` buckets for any key spread.
-    """
-    c = F.col(order_col)
-    if width is None:
-        lo = df.agg(F.min(order_col).cast("bigint").alias("_lo")).scalar()
-        hi = df.agg(F.max(order_col).cast("bigint").alias("_hi")).scalar()
-        w = F.greatest(F.ceil((hi - lo + 1) / F.lit(max_buckets)), F.lit(1)).cast("bigint")
-        bucket = F.floor((c - lo) / w)
-    else:
-        bucket = F.floor(c / F.lit(width))
-    d = df.withColumn("_b", bucket.cast("bigint"))
-    offs = _bucket_offsets(d, "_b")
-    ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(order_col)))
-    s = start if isinstance(start, Column) else F.lit(start)
-    j = ranked.join(offs, "_b")
-    return j.withColumn(out, (F.col("_off") + F.col("_r") - 1 + s).cast("bigint")).drop("_b", "_off", "_r")
+    ``order_col`` must be unique.  The rows are written in range partitions of
+    it; a row's number is the count of all earlier ranges plus its position in
+    its own, so that one row for each range meets in a window, however the
+    keys are spread (dense row numbers, timestamps, 64-bit hashes)."""
+    return write_ranged(df, [F.col(order_col)], "numbered", ranges).numbered(out, start)
 
 
 def number_rows(df: DataFrame, out: str = "row_index", start: int = 1) -> DataFrame:
@@ -74,7 +47,8 @@ def number_rows(df: DataFrame, out: str = "row_index", start: int = 1) -> DataFr
     """
     d = df.withColumn("_mid", F.monotonically_increasing_id())
     d = d.withColumn("_p", F.shiftright("_mid", 33)).withColumn("_i", F.col("_mid").bitwiseAND((1 << 33) - 1))
-    offs = _bucket_offsets(d, "_p")
+    counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    offs = running_before(counts, "_p", "_n", "_off").select("_p", "_off")
     j = d.join(offs, "_p")
     return j.withColumn(out, (F.col("_off") + F.col("_i") + F.lit(start)).cast("bigint")) \
         .drop("_mid", "_p", "_i", "_off")

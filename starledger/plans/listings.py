@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starledger.functions.predicates import any_contains, in_month
-from starledger.operators.joins import bounded_broadcast, enrich
-from starledger.operators.ordering import limited
-from starledger.spec import DEFAULT_SPEC, LIST_LIMIT_DEFAULT, StarSpec
+from starledger.operators.joins import bounded_broadcast, enrich, valid_children
+from starledger.operators.ordering import limited, recent_keys
+from starledger.operators.paging import PageIndex, build_page_index
+from starledger.spec import DEFAULT_SPEC, LIST_LIMIT_DEFAULT, PAGE_SIZE, StarSpec
 
 INCIDENT_SEARCH_COLS = ("incident_no", "student_no", "first_name", "last_name", "offense_name")
 
@@ -32,7 +33,7 @@ def incident_listing(fact: DataFrame, subject: DataFrame, catalog: DataFrame,
     Without a text search no predicate needs subject columns, so the plan
     first keeps facts whose subject exists (a semi join on key columns only),
     takes the top ``limit`` rows, and only then joins the at most ``limit``
-    rows to subject and catalog details (a broadcast of a provably small side).
+    rows to subject and catalog details (the planner knows the limit).
     """
     f = incident_filter(fact, spec, month, status)
     cat = catalog
@@ -49,7 +50,7 @@ def incident_listing(fact: DataFrame, subject: DataFrame, catalog: DataFrame,
     s_keys = subject.select(F.col(spec.subject_key).alias("_sid"))
     f = f.join(s_keys, f[spec.fact_subject] == s_keys["_sid"], "left_semi")
     top = limited(f.orderBy(F.col(spec.fact_date).desc(), F.col(spec.fact_key).desc()), limit)
-    out = enrich(F.broadcast(top), subject, cat, spec)
+    out = enrich(top, subject, cat, spec)
     return out.orderBy(F.col(spec.fact_date).desc(), F.col(spec.fact_key).desc())
 
 
@@ -85,4 +86,19 @@ def listing_page(fact: DataFrame, subject: DataFrame, catalog: DataFrame, p: int
     s_keys = subject.select(F.col(spec.subject_key).alias("_sid"))
     f = f.join(s_keys, f[spec.fact_subject] == s_keys["_sid"], "left_semi")
     rows = f.orderBy(F.col(spec.fact_date).desc(), F.col(spec.fact_key).desc()).offset(p * n).limit(n)
-    return enrich(F.broadcast(rows), subject, catalog, spec)
+    return enrich(rows, subject, catalog, spec)
+
+
+def listing_index(fact: DataFrame, subject: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAULT_SPEC,
+                  n: int = PAGE_SIZE, ranges: int | None = None) -> PageIndex:
+    """The facts of one snapshot whose parents exist, most recent first,
+    sorted once so that any page is a seek."""
+    return build_page_index(valid_children(fact, subject, catalog, spec), recent_keys(spec.fact_date, spec.fact_key),
+                            n, ranges, "listing-index")
+
+
+def indexed_page(index: PageIndex, subject: DataFrame, catalog: DataFrame, p: int,
+                 spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
+    """Page ``p`` of the index with subject and catalog details, which only
+    the page's rows are joined to."""
+    return enrich(index.page(p).limit(index.size), subject, catalog, spec).orderBy("rank")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from starledger.operators import filters as flt
 from starledger.operators import ordering as od
 from starledger.operators.joins import by_keys
+from starledger.operators.paging import ranked
 from starledger.plans import fixtures as fx
 from starledger.plans import listings
 from starledger.plans.registry import register
@@ -98,26 +99,17 @@ def q_suggest_subjects(spark, sf_dir):
     return flt.suggest(flt.project_public(_m1(spark, sf_dir).subject), "  ALYSSA ")
 
 
-def _label_of(key: int) -> str:
-    """Option label of fixture subject ``key`` by the fixture rules (driver-side text)."""
-    first = fx.FIRST_NAMES[key % 50]
-    last = fx.LAST_NAMES[(key * 3 + 2) % 50]
-    return f"Customer#{key:09d} - {first} {last}"
-
-
-LOOKUP_TEXT = "  " + _label_of(42).upper() + " (%) "
-
-
-@register("lookup_label", f"""{M1} SELECT {PUBLIC} FROM subj
-WHERE lower(student_no || ' - ' || first_name || ' ' || last_name || ' (' || grade || '-' || section || ')')
-    = lower(trim(replace('{LOOKUP_TEXT}', '(%)', '(' || grade || '-' || section || ')')))""")
+# What a user might have typed for every subject: its label in other case, with
+# blanks around it, and for some subjects a label that is nobody's.
+@register("lookup_label", f"""{M1}, t AS (SELECT id AS typed_id, CASE WHEN id % 7 = 0 THEN 'nobody' ELSE '  ' || upper(
+       student_no || ' - ' || first_name || ' ' || last_name || ' (' || grade || '-' || section || ')') || ' ' END AS typed FROM subj)
+SELECT t.typed_id, s.id FROM t LEFT JOIN subj s
+  ON lower(s.student_no || ' - ' || s.first_name || ' ' || s.last_name || ' (' || s.grade || '-' || s.section || ')') = lower(trim(t.typed))""")
 def q_lookup_label(spark, sf_dir):
     subj = flt.project_public(_m1(spark, sf_dir).subject)
-    # The grade-section part of the label comes from the data (one label per row).
-    probe = F.regexp_replace(F.lit(LOOKUP_TEXT), r"\(%\)", F.concat(F.lit("("), F.col("grade"), F.lit("-"),
-                                                                    F.col("section"), F.lit(")")))
-    from starledger.functions.scalars import strip_text
-    return subj.filter(F.lower(flt.option_label()) == F.lower(strip_text(probe)))
+    typed = F.when(F.col("id") % 7 == 0, "nobody").otherwise(F.concat(F.lit("  "), F.upper(flt.option_label()), F.lit(" ")))
+    asked = subj.select(F.col("id").alias("typed_id"), typed.alias("typed"))
+    return flt.lookup_labels(subj, asked, "typed").select("typed_id", "id")
 
 
 @register("with_labels", f"""{M1} SELECT id, first_name || ' ' || last_name AS full_name,
@@ -149,6 +141,58 @@ def q_page_info(spark, sf_dir):
     return od.page_info(valid_children(st.fact, st.subject, st.catalog), PAGE_P)
 
 
+# First, middle and last page of all facts: pages are numbered from both ends.
+def _pages_sql(cte: str) -> str:
+    return f"""{cte}, t AS (SELECT {ENRICHED}, ROW_NUMBER() OVER (ORDER BY i.incident_date DESC, i.id DESC) - 1 AS rank FROM {ENRICH_FROM}),
+n AS (SELECT GREATEST((COUNT(*) - 1) // 10, 0) AS last FROM t)
+SELECT t.* FROM t, n WHERE t.rank // 10 IN (0, n.last // 2, n.last)"""
+
+
+def _three_pages(st, ranges):
+    index = listings.listing_index(st.fact, st.subject, st.catalog, ranges=ranges)
+    last = index.last_page()
+    first, *others = [listings.indexed_page(index, st.subject, st.catalog, p) for p in sorted({0, last // 2, last})]
+    for page in others:
+        first = first.unionByName(page)
+    return first
+
+
+@register("page_seek", _pages_sql(M1))
+def q_page_seek(spark, sf_dir):
+    return _three_pages(_m1(spark, sf_dir), 12)
+
+
+@register("page_seek_lineitem", _pages_sql(M2))
+def q_page_seek_lineitem(spark, sf_dir):
+    return _three_pages(fx.lineitem_star(spark, sf_dir), None)
+
+
+@register("page_seek_info", f"""{M1}, t AS (SELECT COUNT(*) AS total_rows FROM {ENRICH_FROM})
+SELECT total_rows, CAST(GREATEST(CEIL(total_rows / 10.0), 1) AS BIGINT) AS page_count,
+       CAST(CASE WHEN total_rows > 0 THEN {PAGE_P * 10 + 1} ELSE 0 END AS BIGINT) AS first_row,
+       CAST(LEAST({(PAGE_P + 1) * 10}, total_rows) AS BIGINT) AS last_row FROM t""")
+def q_page_seek_info(spark, sf_dir):
+    st = _m1(spark, sf_dir)
+    return listings.listing_index(st.fact, st.subject, st.catalog).info(PAGE_P)
+
+
+# Orders as a column: the place of every row.
+@register("list_subjects_ranked", f"""{M1} SELECT {PUBLIC}, ROW_NUMBER() OVER (ORDER BY {NUM_GRADE}, section, last_name, first_name, id) AS rank_no
+FROM subj""")
+def q_list_subjects_ranked(spark, sf_dir):
+    return ranked(flt.project_public(_m1(spark, sf_dir).subject), od.subject_list_keys())
+
+
+@register("recent_ranked", f"{M2} SELECT id, incident_date, ROW_NUMBER() OVER (ORDER BY incident_date DESC, id DESC) AS rank_no FROM fact")
+def q_recent_ranked(spark, sf_dir):
+    return ranked(fx.lineitem_facts(spark, sf_dir).select("id", "incident_date"), od.recent_keys())
+
+
+@register("catalog_ranked", f"{M2} SELECT id, code, category, ROW_NUMBER() OVER (ORDER BY category DESC, code) AS rank_no FROM cat")
+def q_catalog_ranked(spark, sf_dir):
+    return ranked(fx.part_catalog(spark, sf_dir).select("id", "code", "category"), od.catalog_keys())
+
+
 @register("list_subjects_filtered", f"""{M1} SELECT {PUBLIC} FROM subj
 WHERE (contains(lower(student_no), 'a') OR contains(lower(first_name), 'a') OR contains(lower(last_name), 'a'))
   AND grade = '3' AND status = 'Active'

@@ -153,6 +153,13 @@ def q_top_catalog_share(spark, sf_dir):
     return rank_share(agg.top_catalog(st.fact, st.catalog, year=Y), k=5)
 
 
+@register("summary_ranked", f"""{M1}, {SUMMARY_CTE}
+SELECT *, ROW_NUMBER() OVER (ORDER BY severity_points DESC, total_offenses DESC, grade, section, last_name, id) AS rank_no FROM sm""")
+def q_summary_ranked(spark, sf_dir):
+    from starledger.operators.paging import ranked
+    return ranked(q_subject_summary(spark, sf_dir), agg.summary_keys())
+
+
 @register("risk_band_counts", f"{M1}, {SUMMARY_CTE} SELECT risk_band, COUNT(*) AS subjects FROM sm GROUP BY risk_band")
 def q_risk_band_counts(spark, sf_dir):
     return agg.risk_band_counts(q_subject_summary(spark, sf_dir))

@@ -112,15 +112,14 @@ MSG_SUBJECT_STATUS = "Status must be Active or Inactive"
 MSG_FACT_STATUS = "Status must be Open, Parent Notified, Under Review, or Resolved"
 MSG_NUMBER_REQUIRED = "Student No. is required"
 MSG_CODE_REQUIRED = "Offense Code is required"
-MSG_SUBJECT_NOT_FOUND = ("Student ", " was not found")
-MSG_CODE_NOT_FOUND = ("Offense code ", " was not found")
+MSG_SUBJECT_NOT_FOUND = "Student %s was not found"
+MSG_CODE_NOT_FOUND = "Offense code %s was not found"
 MSG_DATE_REQUIRED = "Incident Date is required"
 MSG_DATE_INVALID = "Incident Date must use YYYY-MM-DD or a recognized Excel date"
 MSG_PARENT_SUBJECT = "Student not found"
 MSG_PARENT_CATALOG = "Offense not found"
-MSG_PROTECTED = " incident records and cannot be deleted: "
+MSG_PROTECTED = "%s incident records and cannot be deleted: %s%s. No %s were deleted"
 MSG_PROTECTED_MORE = ", and %d more"
-MSG_NONE_DELETED = ". No {} were deleted"
 # Reasons of this engine's batch rejections (no reference text exists).
 REASON_NOT_FOUND = "not found"
 REASON_CONFLICT = "conflict"

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +45,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema  # noqa: B018 - resolves the files, reads no rows
         return True
-    except Exception:  # noqa: BLE001 - missing path
-        return False
+    except AnalysisException as e:
+        # any other failure must stop the batch: without the marks numbers would repeat
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def start_fact_intake(spark: SparkSession, source_dir: str, subject: DataFrame, catalog: DataFrame,
@@ -106,7 +110,7 @@ def start_monthly_rollup(spark: SparkSession, facts_dir: str, catalog: DataFrame
         stream = stream.filter(in_year(spec.fact_date, year))
     # The catalog is a static side: broadcast only behind the bounded check.
     f = with_catalog(stream.select(spec.fact_date, spec.fact_catalog), catalog, spec,
-                     (spec.category, spec.points), broadcast=None)
+                     (spec.category, spec.points))
     agg = f.groupBy(month_text(spec.fact_date).alias("month")).agg(
         F.count(F.lit(1)).alias("total"),
         F.sum(F.when(F.col(spec.category) == spec.minor, 1).otherwise(0)).cast("bigint").alias("minor"),

@@ -133,19 +133,21 @@ def test_headers_normalised_and_required(spark):
 
 def test_dense_sequence_is_gapless_in_order(spark):
     df = spark.range(0, 300000, 3).withColumnRenamed("id", "r")
-    seq = dense_sequence(df, "r", "n", start=10, width=1024)
+    seq = dense_sequence(df, "r", "n", start=10, ranges=6)
     got = [(r.r, r.n) for r in seq.orderBy("r").collect()]
     assert [n for _, n in got] == list(range(10, 10 + len(got)))
 
 
-def test_dense_sequence_sparse_keys_bounded_buckets(spark):
-    # very sparse order values: the derived width keeps the bucket count small
-    df = spark.range(0, 5000).select(((F.col("id") * 1_000_003) ** 1).cast("long").alias("r"))
-    seq = dense_sequence(df, "r", "n", start=1, width=None, max_buckets=64)
-    got = [(r.r, r.n) for r in seq.orderBy("r").collect()]
-    assert [n for _, n in got] == list(range(1, 5001))
-    nb = df.select(F.floor((F.col("r") - 0) / ((5000 * 1_000_003) // 64 + 1))).distinct().count()
-    assert nb <= 64
+def test_dense_sequence_of_hashed_keys(spark):
+    # 64-bit hashes, the sparsest keys there are: one offset row for each range
+    from starledger.operators.ranged import PART, write_ranged
+    df = spark.range(0, 20000).select(F.xxhash64("id").alias("r"))
+    t = write_ranged(df, [F.col("r")], "test", ranges=6)
+    assert t.ranges.count() <= 6 and t.ranges.agg(F.sum("rows")).first()[0] == 20000
+    got = [(r.r, r.n) for r in t.numbered("n", 1).orderBy("r").collect()]
+    assert [n for _, n in got] == list(range(1, 20001))
+    assert t.all_rows().select(PART).distinct().count() == t.ranges.count()
+    assert dense_sequence(df.limit(0), "r", "n").count() == 0
 
 
 def test_number_rows_follows_scan_order(spark, tmp_path):
