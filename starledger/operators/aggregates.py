@@ -184,7 +184,11 @@ def subject_summary(subject: DataFrame, fact: DataFrame, catalog: DataFrame,
     catalog``: the year predicate filters facts *before* the join, so
     subjects without facts that year stay with zero counts and NULL date.
     """
-    per = subject_rollup(year_facts(fact, spec, year), catalog, spec, how="left")
+    return summary_of(subject, subject_rollup(year_facts(fact, spec, year), catalog, spec, how="left"), spec)
+
+
+def summary_of(subject: DataFrame, per: DataFrame, spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
+    """D7 from per-subject totals (``_sid, total, minor, major, points, last_date``)."""
     s = subject.select(F.col(spec.subject_key).alias("id"), F.col(spec.subject_no).alias("student_no"),
                        F.col(spec.first_name).alias("first_name"), F.col(spec.last_name).alias("last_name"),
                        F.col(spec.grade).alias("grade"), F.col(spec.section).alias("section"))

@@ -23,7 +23,7 @@ from starledger.functions.scalars import (
 from starledger.operators.joins import bounded_broadcast
 from starledger.operators.ordering import first_errors
 from starledger.operators.ranged import materialize
-from starledger.operators.windows import dense_sequence
+from starledger.operators.windows import dense_sequence, number_accepted
 from starledger.spec import (
     CATEGORIES, DEFAULT_SPEC, ERRORS_LISTED, FACT_STATUS_DEFAULT, FACT_STATUSES, MSG_CODE_NOT_FOUND,
     MSG_CODE_REQUIRED, MSG_FACT_STATUS, MSG_NUMBER_REQUIRED, MSG_SUBJECT_NOT_FOUND, MSG_SUBJECT_STATUS,
@@ -103,12 +103,11 @@ def import_subjects(staged: DataFrame, stored: DataFrame, spec: StarSpec = DEFAU
     outcome = (F.when(F.col("error").isNotNull(), "error")
                .when(F.col("_is_first"), "imported")
                .otherwise("skipped"))
-    v = materialize(v.withColumn("outcome", outcome), checkpoint)
-    outcomes = v.select(ROW, "student_no", "outcome", F.col("error").alias("message"))
+    done = number_accepted(v.withColumn("outcome", outcome), F.col("outcome") != "imported", ROW)
+    outcomes = done.all_rows().select(ROW, "student_no", "outcome", F.col("error").alias("message"))
     if first_id is None:
         first_id = stored.agg((F.coalesce(F.max(spec.subject_key), F.lit(0)) + 1).alias("m")).scalar()
-    acc = v.filter(F.col("outcome") == "imported")
-    acc = dense_sequence(acc, ROW, "id", start=first_id)
+    acc = done.numbered("id", first_id).filter(F.col("outcome") == "imported")
     accepted = acc.select(F.col("id").cast("bigint").alias("id"), "student_no", "first_name", "last_name",
                           "grade", "section", "adviser", "status", ROW)
     return IntakeResult(outcomes, accepted)
@@ -181,11 +180,12 @@ def import_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame, exis
                  base_no: Column | int | None = None, base_id: Column | int | None = None) -> IntakeResult:
     """H6: validate -> default action from the catalog -> sequential numbers
     in file order after the largest stored number -> append.  Nothing is
-    skipped by this intake.  The validated rows are checkpointed once: the
-    outcome counts and the two numbering passes all read them."""
-    v = materialize(validate_facts(staged, subject, catalog, spec, checkpoint), checkpoint)
+    skipped by this intake.  The validated rows are written once, in file
+    order: outcome counts, errors and numbers all read them."""
+    v = validate_facts(staged, subject, catalog, spec, checkpoint)
     v = v.withColumn("outcome", F.when(F.col("error").isNull(), "imported").otherwise("error"))
-    outcomes = v.select(ROW, "student_no", "outcome", F.col("error").alias("message"))
+    done = number_accepted(v, F.col("outcome") != "imported", ROW)
+    outcomes = done.all_rows().select(ROW, "student_no", "outcome", F.col("error").alias("message"))
     # Largest stored number and id: given by the caller (e.g. a stream's
     # high-water mark) or read from the stored facts.
     if base_no is None:
@@ -195,7 +195,7 @@ def import_facts(staged: DataFrame, subject: DataFrame, catalog: DataFrame, exis
         base_id = existing.agg(F.coalesce(F.max(spec.fact_key), F.lit(0)).alias("m")).scalar()
     base_no = base_no if isinstance(base_no, Column) else F.lit(base_no)
     base_id = base_id if isinstance(base_id, Column) else F.lit(base_id)
-    acc = dense_sequence(v.filter(F.col("outcome") == "imported"), ROW, "_seq", start=1)
+    acc = done.numbered("_seq", 1).filter(F.col("outcome") == "imported")
     accepted = acc.select(
         (base_id + F.col("_seq")).cast("bigint").alias("id"),
         seq_format(base_no + F.col("_seq"), spec.fact_no_format).alias("incident_no"),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from starledger.functions.scalars import backfill_blank, default_date, plural_has, seq_format, seq_suffix
 from starledger.operators.joins import bounded_broadcast, dedupe_keys, missing_keys, protected_parents
 from starledger.operators.ranged import materialize
-from starledger.operators.windows import dense_sequence
+from starledger.operators.windows import dense_sequence, number_accepted
 from starledger.spec import (
     DEFAULT_SPEC, MSG_PARENT_CATALOG, MSG_PARENT_SUBJECT, MSG_PROTECTED, MSG_PROTECTED_MORE,
     REASON_CONFLICT, REASON_DUPLICATE_BATCH, REASON_DUPLICATE_ID, REASON_NOT_FOUND, StarSpec,
@@ -195,7 +195,7 @@ def insert_new(base: DataFrame, batch: DataFrame, key: str, order_col: str, id_c
     New ids follow the stored maximum in ``order_col`` order.  A row that
     breaks one of the ``rules`` (name -> Column, true when broken) is rejected
     with the rule's name and reserves no key."""
-    checked = materialize(batch.withColumn("_broken", first_broken(rules)))
+    checked = batch.withColumn("_broken", first_broken(rules))
     stored = present_keys(base, key, batch, key).select(F.col(key).alias("_bk"), F.lit(True).alias("_stored"))
     b = checked.join(stored, checked[key] == stored["_bk"], "left").drop("_bk")
     firsts = checked.filter(F.col("_broken").isNull()).groupBy(F.col(key).alias("_fk")) \
@@ -204,12 +204,13 @@ def insert_new(base: DataFrame, batch: DataFrame, key: str, order_col: str, id_c
     reason = F.when(F.col("_broken").isNotNull(), F.col("_broken")) \
         .when(F.col("_stored").isNotNull(), REASON_CONFLICT) \
         .when(F.col("_first").isNull(), REASON_DUPLICATE_BATCH)
-    b = materialize(b.withColumn("reason", reason).drop("_fk", "_first", "_stored", "_broken"))
-    ok = dense_sequence(b.filter(F.col("reason").isNull()), order_col, "_new_id", start=next_id(base, id_col))
+    b = b.withColumn("reason", reason).drop("_fk", "_first", "_stored", "_broken")
+    done = number_accepted(b, F.col("reason").isNotNull(), order_col)
+    ok = done.numbered("_new_id", next_id(base, id_col)).filter(F.col("reason").isNull())
     ins = ok.select(*[F.col("_new_id").cast(base.schema[c].dataType).alias(c) if c == id_col
                       else (F.col(c) if c in batch.columns else F.lit(None)).cast(base.schema[c].dataType).alias(c)
                       for c in base.columns])
-    rej = b.filter(F.col("reason").isNotNull()).select(order_col, key, "reason")
+    rej = done.all_rows().filter(F.col("reason").isNotNull()).select(order_col, key, "reason")
     return WriteResult(base.unionByName(ins), rej, ins)
 
 
@@ -268,8 +269,8 @@ def insert_facts(fact: DataFrame, subject: DataFrame, catalog: DataFrame, batch:
         .join(c, batch[spec.fact_catalog] == c["_cid"], "left")
     reason = F.when(F.col("_broken").isNotNull(), F.col("_broken")) \
         .when(F.col("_has_s").isNull(), MSG_PARENT_SUBJECT).when(F.col("_cid").isNull(), MSG_PARENT_CATALOG)
-    b = materialize(b.withColumn("reason", reason))
-    ok = dense_sequence(b.filter(F.col("reason").isNull()), order_col, "_seq", start=0)
+    done = number_accepted(b.withColumn("reason", reason), F.col("reason").isNotNull(), order_col)
+    ok = done.numbered("_seq").filter(F.col("reason").isNull())
     base_no = fact.agg(F.coalesce(F.max(seq_suffix(spec.fact_no, spec.fact_prefix)), F.lit(0)).alias("_m")).scalar()
     first = next_id(fact, spec.fact_key)
     ins = ok.select(
@@ -283,7 +284,7 @@ def insert_facts(fact: DataFrame, subject: DataFrame, catalog: DataFrame, batch:
         F.coalesce(F.col(spec.reporter), F.lit("")).alias(spec.reporter),
         F.coalesce(F.col(spec.notes), F.lit("")).alias(spec.notes),
     )
-    rej = b.filter(F.col("reason").isNotNull()).select(order_col, "reason")
+    rej = done.all_rows().filter(F.col("reason").isNotNull()).select(order_col, "reason")
     return WriteResult(fact.select(*ins.columns).unionByName(ins), rej, ins)
 
 

@@ -114,12 +114,21 @@ class RangedTable:
             out = rows if i == 0 else out.unionByName(rows)
         return out.filter((F.col("rank") >= first) & (F.col("rank") < first + n)).select(*self.columns, "rank")
 
-    def holding(self, low: Column, high: Column) -> list[int]:
+    def holding(self, low, high) -> list[int]:
         """Ranges whose leading column meets ``low .. high``.  The caller asks
         for narrow intervals; one small number for each range met is collected."""
-        hit = self.ranges.filter((F.col("low") <= high) & (F.col("high") >= low))
+        hit = self.ranges.filter((F.col("low") <= F.lit(high)) & (F.col("high") >= F.lit(low)))
         return [r[PART] for r in hit.select(PART).orderBy(PART).collect()]
 
+    def holding_each(self, values: Sequence) -> dict:
+        """For each value the ranges whose leading column may hold it, in one
+        pass over the ranges."""
+        if not values:
+            return {}
+        met = F.filter(F.array(*[F.lit(v) for v in values]), lambda v: (F.col("low") <= v) & (F.col("high") >= v))
+        hit = self.ranges.select(PART, met.alias("met")).filter(F.size("met") > 0).orderBy(PART).collect()
+        return {v: [h[PART] for h in hit if v in h["met"]] for v in values}
+
 
 def write_ranged(df: DataFrame, order: Sequence[Column], name: str, ranges: int | None = None,
                  split: bool = False, leading: str | None = None) -> RangedTable:

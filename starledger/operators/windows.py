@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starledger.operators.ranged import running_before, write_ranged
+from starledger.operators.ranged import RangedTable, running_before, write_ranged
 
 
 def first_per_key(df: DataFrame, key: Column, order_col: str) -> DataFrame:
@@ -38,6 +38,13 @@ def dense_sequence(df: DataFrame, order_col: str, out: str = "seq", start: int |
     return write_ranged(df, [F.col(order_col)], "numbered", ranges).numbered(out, start)
 
 
+def number_accepted(df: DataFrame, rejected: Column, order_col: str) -> RangedTable:
+    """Write a classified batch once, accepted rows first, each part in
+    ``order_col`` order: the accepted rows' ranks (``numbered``) are gapless
+    from 0, and the rejected rows are read from the same files."""
+    return write_ranged(df, [rejected.asc(), F.col(order_col)], "classified")
+
+
 def number_rows(df: DataFrame, out: str = "row_index", start: int = 1) -> DataFrame:
     """Dense 1-based row index in scan order (``zipWithIndex`` as DataFrame ops).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from starledger.functions.predicates import any_contains, in_month
 from starledger.operators.joins import bounded_broadcast, enrich, valid_children
 from starledger.operators.ordering import limited, recent_keys
 from starledger.operators.paging import PageIndex, build_page_index
+from starledger.operators.trigrams import TrigramIndex, build_trigram_index, search_facts_indexed
 from starledger.spec import DEFAULT_SPEC, LIST_LIMIT_DEFAULT, PAGE_SIZE, StarSpec
 
 INCIDENT_SEARCH_COLS = ("incident_no", "student_no", "first_name", "last_name", "offense_name")
@@ -76,6 +79,27 @@ def search_facts(fact: DataFrame, subject: DataFrame, catalog: DataFrame, search
     return f.filter(hit).drop("_s_hit", "_c_hit")
 
 
+class SearchIndexes(NamedTuple):
+    """The three indexes that a listing search needs, of one snapshot."""
+    numbers: TrigramIndex
+    subjects: TrigramIndex
+    items: TrigramIndex
+
+
+def listing_search_indexes(fact: DataFrame, subject: DataFrame, catalog: DataFrame, spec: StarSpec = DEFAULT_SPEC,
+                           ranges: int | None = None) -> SearchIndexes:
+    return SearchIndexes(
+        build_trigram_index(fact, spec.fact_key, [spec.fact_no], ranges),
+        build_trigram_index(subject, spec.subject_key, [spec.subject_no, spec.first_name, spec.last_name], ranges),
+        build_trigram_index(catalog, spec.catalog_key, [spec.catalog_name], ranges))
+
+
+def indexed_search(indexes: SearchIndexes, subject: DataFrame, catalog: DataFrame, search: str,
+                   spec: StarSpec = DEFAULT_SPEC) -> DataFrame:
+    """B3 over the enriched listing through the indexes."""
+    return enrich(search_facts_indexed(*indexes, search, spec), subject, catalog, spec)
+
+
 def listing_page(fact: DataFrame, subject: DataFrame, catalog: DataFrame, p: int,
                  spec: StarSpec = DEFAULT_SPEC, n: int = 10) -> DataFrame:
     """E8 on the enriched listing: page ``p`` (0-based) of ``n`` rows, most

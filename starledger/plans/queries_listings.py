@@ -8,6 +8,7 @@ from starledger.operators import filters as flt
 from starledger.operators import ordering as od
 from starledger.operators.joins import by_keys
 from starledger.operators.paging import ranked
+from starledger.operators.trigrams import build_trigram_index
 from starledger.plans import fixtures as fx
 from starledger.plans import listings
 from starledger.plans.registry import register
@@ -176,6 +177,53 @@ def q_page_seek_info(spark, sf_dir):
     return listings.listing_index(st.fact, st.subject, st.catalog).info(PAGE_P)
 
 
+# The same searches through the trigram index.
+def _subject_index(spark, sf_dir, cols):
+    return build_trigram_index(flt.project_public(_m1(spark, sf_dir).subject), "id", cols)
+
+
+@register("search_indexed_subjects", f"""{M1} SELECT {PUBLIC} FROM subj
+WHERE contains(lower(student_no), 'cruz') OR contains(lower(first_name), 'cruz') OR contains(lower(last_name), 'cruz')""")
+def q_search_indexed_subjects(spark, sf_dir):
+    return _subject_index(spark, sf_dir, ["student_no", "first_name", "last_name"]).search("Cruz")
+
+
+@register("search_indexed_table", f"""{M1} SELECT {PUBLIC} FROM subj WHERE """
+          + " OR ".join(f"contains(lower(CAST({c} AS VARCHAR)), '12')" for c in flt.SUBJECT_PUBLIC))
+def q_search_indexed_table(spark, sf_dir):
+    return _subject_index(spark, sf_dir, flt.SUBJECT_PUBLIC).search("12")
+
+
+def _indexed_listing(st, search):
+    return listings.indexed_search(listings.listing_search_indexes(st.fact, st.subject, st.catalog), st.subject, st.catalog, search)
+
+
+def _listing_search_sql(cte, needle):
+    cells = ("i.incident_no", "s.student_no", "s.first_name", "s.last_name", "o.name")
+    return f"{cte} SELECT {ENRICHED} FROM {ENRICH_FROM} WHERE " + " OR ".join(f"contains(lower({c}), '{needle}')" for c in cells)
+
+
+@register("search_indexed_incidents", _listing_search_sql(M1, "cruz"))
+def q_search_indexed_incidents(spark, sf_dir):
+    return _indexed_listing(_m1(spark, sf_dir), "Cruz")
+
+
+# An item name, a number, and a text that is nowhere, on the large catalog.
+@register("search_indexed_items", _listing_search_sql(M2, "old rod"))
+def q_search_indexed_items(spark, sf_dir):
+    return _indexed_listing(fx.lineitem_star(spark, sf_dir), "Old Rod")
+
+
+@register("search_indexed_number", _listing_search_sql(M1, "inc-0012"))
+def q_search_indexed_number(spark, sf_dir):
+    return _indexed_listing(_m1(spark, sf_dir), "INC-0012")
+
+
+@register("search_indexed_nothing", _listing_search_sql(M1, "cruzzz"))
+def q_search_indexed_nothing(spark, sf_dir):
+    return _indexed_listing(_m1(spark, sf_dir), "cruzzz")
+
+
 # Orders as a column: the place of every row.
 @register("list_subjects_ranked", f"""{M1} SELECT {PUBLIC}, ROW_NUMBER() OVER (ORDER BY {NUM_GRADE}, section, last_name, first_name, id) AS rank_no
 FROM subj""")

@@ -202,10 +202,93 @@ def q_record_history(spark, sf_dir):
     return reports.record_history(st.subject, st.fact, st.catalog)
 
 
-@register("dashboard_bundle")
+# The nested document, flattened on both sides: (part, position, field, value).
+def _flat_sql(part: str, source: str, order: str, fields: list[str]) -> str:
+    rows = f"(SELECT *, ROW_NUMBER() OVER (ORDER BY {order}) AS position FROM ({source}) q)"
+    return " UNION ALL ".join(f"SELECT '{part}' AS part, position, '{f}' AS field, CAST({f} AS VARCHAR) AS value FROM {rows}" for f in fields)
+
+
+TOTAL_FIELDS = [*agg.KPI_COLS, "active_students", "high_risk_students"]
+TOTALS_ROW_SQL = """SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_incidents, CAST(coalesce(sum(n_minor), 0) AS BIGINT) AS minor_incidents,
+       CAST(coalesce(sum(n_major), 0) AS BIGINT) AS major_incidents, CAST(coalesce(sum(pts), 0) AS BIGINT) AS severity_points,
+       CAST(coalesce(sum(n_open), 0) AS BIGINT) AS open_cases, count(student_id) AS students_with_incidents,
+       (SELECT count(*) FROM subj WHERE status = 'Active') AS active_students, count(*) FILTER (WHERE pts >= 12) AS high_risk_students
+FROM sums"""
+
+
+def bundle_sql(cte: str) -> str:
+    parts = [
+        _flat_sql("totals", TOTALS_ROW_SQL, "total_incidents", TOTAL_FIELDS),
+        _flat_sql("monthly", MONTHLY_SQL, "month", ["month", "total", "minor", "major", "points"]),
+        _flat_sql("top_students", TOP_SUBJECTS_SQL, "points DESC, incident_count DESC, id",
+                  ["id", "student_no", "first_name", "last_name", "grade", "section", "incident_count", "points"]),
+        _flat_sql("top_offenses", TOP_CATALOG_SQL, "incident_count DESC, name, id", ["id", "code", "name", "category", "incident_count"]),
+    ]
+    return f"{cte}, {YEAR_SUMS} SELECT CAST({Y} AS INTEGER) AS year, * FROM ({' UNION ALL '.join(parts)}) u"
+
+
+@register("dashboard_bundle", bundle_sql(M1))
 def q_dashboard_bundle(spark, sf_dir):
     st = _m1(spark, sf_dir)
-    return reports.dashboard_bundle(reports.dashboard(st.subject, st.fact, st.catalog, year=Y), Y)
+    return reports.flat_bundle(reports.dashboard_bundle(reports.dashboard(st.subject, st.fact, st.catalog, year=Y), Y))
+
+
+@register("dashboard_bundle_lineitem", bundle_sql(M2))
+def q_dashboard_bundle_lineitem(spark, sf_dir):
+    st = fx.lineitem_star(spark, sf_dir)
+    return reports.flat_bundle(reports.dashboard_bundle(reports.dashboard(st.subject, st.fact, st.catalog, year=Y), Y))
+
+
+# The kept roll-up through a write: a fifth of the facts is deleted, a seventh
+# moves to other subjects, items, dates and states, an eleventh is added.
+def _write(spark, sf_dir):
+    from pyspark.sql import functions as F
+    st = fx.lineitem_star(spark, sf_dir)
+    f, k = st.fact, F.col("id")
+    deleted = f.filter(k % 5 == 0)
+    before = f.filter((k % 5 != 0) & (k % 7 == 0))
+    moved = before.withColumns({"student_id": F.col("student_id") % 50 + 1, "incident_date": F.date_add("incident_date", 40),
+                                "status": F.when(F.col("status") == "Open", "Resolved").otherwise("Open")})
+    new = f.filter(k % 11 == 0).withColumns({"id": k + 100_000_000, "offense_id": F.col("offense_id") % 90 + 1})
+    after = f.filter((k % 5 != 0) & (k % 7 != 0)).unionByName(moved).unionByName(new)
+    return st, deleted.unionByName(before), moved.unionByName(new), after
+
+
+def _kept(spark, sf_dir):
+    from starledger.operators.ranged import materialize
+    from starledger.operators.rollup import KeptRollup, build_rollup
+    st, removed, added, after = _write(spark, sf_dir)
+    kept = KeptRollup(materialize(build_rollup(st.fact).cells, name="rollup"))
+    return st, kept.changed(removed, added, after)
+
+
+AFTER_CTE = f"""{M2.replace('fact AS (', 'fact0 AS (')},
+fact AS (SELECT * FROM fact0 WHERE id % 5 <> 0 AND id % 7 <> 0
+  UNION ALL SELECT id, incident_no, incident_date + 40, student_id % 50 + 1, offense_id, action_taken,
+                   CASE WHEN status = 'Open' THEN 'Resolved' ELSE 'Open' END, reported_by, notes FROM fact0 WHERE id % 5 <> 0 AND id % 7 = 0
+  UNION ALL SELECT id + 100000000, incident_no, incident_date, student_id, offense_id % 90 + 1, action_taken, status, reported_by, notes
+            FROM fact0 WHERE id % 11 = 0)"""
+
+
+@register("rollup_after_write", f"""{AFTER_CTE}
+SELECT student_id, offense_id, strftime(incident_date, '%Y-%m') AS month, count(*) AS n,
+       count(*) FILTER (WHERE status = 'Open') AS open, max(incident_date) AS last_date
+FROM fact GROUP BY ALL""")
+def q_rollup_after_write(spark, sf_dir):
+    from starledger.operators.rollup import ITEM, MONTH, SUBJECT
+    return _kept(spark, sf_dir)[1].cells.withColumnsRenamed({SUBJECT: "student_id", ITEM: "offense_id", MONTH: "month"})
+
+
+@register("rollup_summary", f"{AFTER_CTE}, {SUMMARY_CTE} SELECT * FROM sm")
+def q_rollup_summary(spark, sf_dir):
+    st, kept = _kept(spark, sf_dir)
+    return reports.kept_summary(kept, st.subject, st.catalog, Y)
+
+
+@register("rollup_dashboard", bundle_sql(AFTER_CTE))
+def q_rollup_dashboard(spark, sf_dir):
+    st, kept = _kept(spark, sf_dir)
+    return reports.flat_bundle(reports.dashboard_bundle(reports.kept_dashboard(kept, st.subject, st.catalog, Y), Y))
 
 
 @register("row_counts", f"""{M1}

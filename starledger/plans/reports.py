@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starledger.functions.scalars import month_label
 from starledger.operators import aggregates as agg
+from starledger.operators.ranged import materialize
+from starledger.operators.rollup import KeptRollup, report_rollup
 from starledger.spec import DEFAULT_SPEC, StarSpec
 
 
@@ -21,13 +23,44 @@ def dashboard_totals(subject: DataFrame, fact: DataFrame, catalog: DataFrame,
 
 
 def dashboard(subject: DataFrame, fact: DataFrame, catalog: DataFrame,
-              spec: StarSpec = DEFAULT_SPEC, year: int | None = None, n: int = 10) -> dict[str, DataFrame]:
-    """The six dashboard parts for one year, as lazy frames."""
+              spec: StarSpec = DEFAULT_SPEC, year: int | None = None, n: int = 10,
+              checkpoint: bool = True) -> dict[str, DataFrame]:
+    """The dashboard parts for one year, as lazy frames over one roll-up
+    of the year's facts, which is written once (``checkpoint=False`` leaves it
+    a plan that each part runs)."""
+    rolled = materialize(report_rollup(agg.year_facts(fact, spec, year), catalog, spec), checkpoint, "dashboard")
+    return dashboard_parts(rolled, subject, catalog, spec, n)
+
+
+def dashboard_parts(rolled: DataFrame, subject: DataFrame, catalog: DataFrame,
+                    spec: StarSpec = DEFAULT_SPEC, n: int = 10) -> dict[str, DataFrame]:
+    """The parts from the rows of ``report_rollup``, of facts or kept."""
+    def level(name: str) -> DataFrame:
+        return rolled.filter(F.col("level") == name)
+    per = level("subject").filter(F.col("known") > 0)
+    zero = F.lit(0).cast("bigint")
+    kpi = per.agg(F.sum("known").alias("total_incidents"), F.sum("minor").alias("minor_incidents"),
+                  F.sum("major").alias("major_incidents"), F.sum("points").alias("severity_points"),
+                  F.sum("open").alias("open_cases"), F.count("key_id").alias("students_with_incidents"),
+                  F.count_if(F.col("points") >= spec.high_points).alias("high_risk_students"))
+    kpi = kpi.select(*[F.coalesce(c, zero).cast("bigint").alias(c) for c in kpi.columns])
+    totals = agg.merge_single_rows(kpi, agg.active_subjects(subject, spec)) \
+        .select(*agg.KPI_COLS, "active_students", "high_risk_students")
+    monthly = level("month").filter(F.col("known") > 0).select(
+        F.col("key_text").alias("month"), F.col("known").alias("total"), "minor", "major", "points")
+    s = subject.select(F.col(spec.subject_key).alias("id"), F.col(spec.subject_no).alias("student_no"),
+                       F.col(spec.first_name).alias("first_name"), F.col(spec.last_name).alias("last_name"),
+                       F.col(spec.grade).alias("grade"), F.col(spec.section).alias("section"))
+    tops = per.join(s, per["key_id"] == s["id"]).select(*s.columns, F.col("known").alias("incident_count"), "points")
+    c = catalog.select(F.col(spec.catalog_key).alias("id"), F.col(spec.code).alias("code"),
+                       F.col(spec.catalog_name).alias("name"), F.col(spec.category).alias("category"))
+    items = level("item")
+    top_items = items.join(c, items["key_id"] == c["id"]).select(*c.columns, F.col("total").alias("incident_count"))
     return {
-        "totals": dashboard_totals(subject, fact, catalog, spec, year),
-        "monthly": agg.monthly_trend(fact, catalog, spec, year),
-        "top_subjects": agg.top_subjects(fact, subject, catalog, spec, year, n),
-        "top_catalog": agg.top_catalog(fact, catalog, spec, year, n),
+        "totals": totals,
+        "monthly": monthly,
+        "top_subjects": tops.orderBy(F.desc("points"), F.desc("incident_count"), F.asc("id")).limit(n),
+        "top_catalog": top_items.orderBy(F.desc("incident_count"), F.asc("name"), F.asc("id")).limit(n),
     }
 
 
@@ -55,6 +88,35 @@ def dashboard_bundle(parts: dict[str, DataFrame], year: int) -> DataFrame:
     return out.select(F.lit(year).alias("year"), "totals", "monthly", "top_students", "top_offenses")
 
 
+def kept_dashboard(kept: KeptRollup, subject: DataFrame, catalog: DataFrame, year: int | None = None,
+                   n: int = 10) -> dict[str, DataFrame]:
+    """R1 from the kept roll-up: no fact is read."""
+    return dashboard_parts(kept.report_rollup(catalog, year), subject, catalog, kept.spec, n)
+
+
+def kept_summary(kept: KeptRollup, subject: DataFrame, catalog: DataFrame, year: int | None = None) -> DataFrame:
+    """D7/R2 from the kept roll-up."""
+    r = kept.report_rollup(catalog, year).filter(F.col("level") == "subject")
+    per = r.select(F.col("key_id").alias("_sid"), "total", "minor", "major", "points", "last_date")
+    return agg.summary_of(subject, per, kept.spec)
+
+
+def flat_bundle(bundle: DataFrame) -> DataFrame:
+    """The nested document as rows (part, position from 1, field, value): the
+    shape in which it can be compared with a flat query."""
+    def cells(part: str, position: Column, row: Column, fields: list[str]) -> Column:
+        return F.array(*[F.struct(F.lit(part).alias("part"), position.cast("bigint").alias("position"), F.lit(f).alias("field"),
+                                  row.getField(f).cast("string").alias("value")) for f in fields])
+    fields = {c: [x.name for x in (t.elementType if hasattr(t, "elementType") else t).fields]
+              for c, t in ((f.name, f.dataType) for f in bundle.schema.fields) if c != "year"}
+    parts = [cells("totals", F.lit(1), F.col("totals"), fields["totals"])]
+
+    def listed(part: str) -> Column:
+        return F.flatten(F.transform(part, lambda row, i: cells(part, i + 1, row, fields[part])))
+    parts += [listed(c) for c in fields if c != "totals"]
+    return bundle.select("year", F.explode(F.concat(*parts)).alias("_c")).select("year", "_c.*")
+
+
 def monthly_labels(monthly: DataFrame) -> DataFrame:
     """Chart series rows: month, label, total, minor, major, points."""
     return monthly.select("month", month_label("month").alias("label"), "total", "minor", "major", "points")

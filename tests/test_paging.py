@@ -46,9 +46,10 @@ def test_hot_leading_value_is_split(spark):
     t = write_ranged(df, [F.col("k"), F.col("id")], "test", ranges=6, split=True, leading="k")
     sizes = [r["rows"] for r in t.ranges.collect()]
     assert max(sizes) < 3 * 9000 / 6
-    parts = t.holding(F.lit("hot"), F.lit("hot"))
+    parts = t.holding("hot", "hot")
     assert t.rows_of(parts).filter("k = 'hot'").count() == 6000
-    assert t.rows_of(t.holding(F.lit("zzz"), F.lit("zzzz"))).count() == 0
+    assert t.holding_each(["hot", "zzz"]) == {"hot": parts, "zzz": []} and t.holding_each([]) == {}
+    assert t.rows_of(t.holding("zzz", "zzzz")).count() == 0
 
 
 def test_empty_and_clashing_tables(spark):
