@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starledger.functions.predicates import any_contains
-from starledger.functions.scalars import backfill_blank, default_date
-from starledger.operators.joins import bounded_broadcast
 from starledger.operators import aggregates as agg
 from starledger.operators import intake, maintenance as mt
 from starledger.operators.filters import project_public, subject_by_id, subject_by_no
@@ -26,10 +24,7 @@ from starledger.plans import reports
 from starledger.plans.listings import incident_listing
 from starledger.sources.catalog import LEGACY_CODE_MAP, OFFICIAL_CATALOG, code_map_frame
 from starledger.sources.sheets import read_sheet, require_columns, stage_rows
-from starledger.spec import (
-    DEFAULT_SPEC, FACT_REQUIRED, LIST_LIMIT_DEFAULT, MSG_PARENT_CATALOG, MSG_PARENT_SUBJECT, REASON_NOT_FOUND,
-    SUBJECT_REQUIRED, StarSpec,
-)
+from starledger.spec import DEFAULT_SPEC, FACT_REQUIRED, LIST_LIMIT_DEFAULT, SUBJECT_REQUIRED, StarSpec
 
 
 # Fixed value: prefix given to rows under a retired code during a catalog sync.
@@ -161,28 +156,8 @@ class Ledger:
                                rules=fact_rules(self.spec))
 
     def update_facts(self, updates: DataFrame, as_of: str) -> mt.WriteResult:
-        """Full-row update by id.  Checks in order: the fact exists, its new
-        subject exists, its new catalog item exists; a blank action takes the
-        catalog default and a missing date becomes ``as_of``."""
-        s = self.spec
-        ids = self.fact.select(F.col(s.fact_key).alias("_fid"))
-        subj = self.subject.select(F.col(s.subject_key).alias("_sid"))
-        cat = bounded_broadcast(self.catalog.select(F.col(s.catalog_key).alias("_cid"),
-                                                    F.col(s.recommended_action).alias("_dflt")), within=self.catalog)
-        u = updates.join(ids, updates[s.fact_key] == ids["_fid"], "left")
-        u = u.join(subj, u[s.fact_subject] == subj["_sid"], "left")
-        u = u.join(cat, u[s.fact_catalog] == cat["_cid"], "left")
-        reason = (F.when(F.col("_fid").isNull(), REASON_NOT_FOUND)
-                  .when(F.col("_sid").isNull(), MSG_PARENT_SUBJECT)
-                  .when(F.col("_cid").isNull(), MSG_PARENT_CATALOG))
-        u = u.withColumn("reason", reason)
-        good = u.filter(F.col("reason").isNull()) \
-            .withColumn(s.action, backfill_blank(s.action, F.col("_dflt"))) \
-            .withColumn(s.fact_date, default_date(s.fact_date, as_of))
-        cols = [s.fact_date, s.fact_subject, s.fact_catalog, s.action, s.fact_status, s.reporter, s.notes]
-        res = mt.update_rows(self.fact, good.select(s.fact_key, *cols), cols, s.fact_key)
-        rej = u.filter(F.col("reason").isNotNull()).select(s.fact_key, "reason").unionByName(res.rejected)
-        return mt.WriteResult(res.snapshot, rej)
+        """Full-row update by id; see ``maintenance.update_facts``."""
+        return mt.update_facts(self.fact, self.subject, self.catalog, updates, as_of, self.spec, fact_rules(self.spec))
 
     def delete_facts(self, keys: DataFrame, on_missing: str = "reject") -> mt.DeleteResult:
         return mt.delete_keys(self.fact, keys, self.spec.fact_key, on_missing)

@@ -57,12 +57,15 @@ def next_id(base: DataFrame, id_col: str = "id") -> Column:
 # --------------------------------------------------------------------------- G1
 
 def upsert(base: DataFrame, updates: DataFrame, key: str, cols: Sequence[str], order_col: str,
-           on_update: dict[str, Column] | None = None, id_col: str = "id") -> DataFrame:
+           on_update: dict[str, Column] | None = None, id_col: str = "id",
+           on_insert: dict[str, Column] | None = None, first_id: Column | None = None) -> DataFrame:
     """G1: keyed upsert.  Matching keys overwrite ``cols`` (plus ``on_update``
     constant columns, e.g. ``active = true``); new keys are inserted with ids
-    after the current maximum in ``order_col`` order; ids of existing rows
+    after the current maximum (or from ``first_id``) in ``order_col`` order,
+    with the constants of ``on_update`` and ``on_insert``; ids of existing rows
     are kept.  Duplicate keys in ``updates``: the last by ``order_col`` wins."""
     on_update = on_update or {}
+    fresh = on_update | (on_insert or {})
     # The batch is read once, its last row for each key is written once.
     last = updates.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*updates.columns), order_col).alias("_row"))
     u = materialize(last.select("_row.*"))
@@ -75,11 +78,11 @@ def upsert(base: DataFrame, updates: DataFrame, key: str, cols: Sequence[str], o
         else F.col(c)
         for c in base.columns])
     new = u.join(base.select(F.col(key).alias("_bk")), u[key] == F.col("_bk"), "left_anti")
-    new = dense_sequence(new, order_col, "_new_id", start=next_id(base, id_col))
+    new = dense_sequence(new, order_col, "_new_id", start=next_id(base, id_col) if first_id is None else first_id)
     inserted = new.select(*[
         F.col("_new_id").cast(base.schema[c].dataType).alias(c) if c == id_col
         else F.col(c).cast(base.schema[c].dataType).alias(c) if c in cols or c == key
-        else on_update[c].cast(base.schema[c].dataType).alias(c) if c in on_update
+        else fresh[c].cast(base.schema[c].dataType).alias(c) if c in fresh
         else F.lit(None).cast(base.schema[c].dataType).alias(c)
         for c in base.columns])
     return kept.unionByName(inserted)
@@ -189,12 +192,14 @@ def first_broken(rules: dict[str, Column] | None) -> Column:
 
 
 def insert_new(base: DataFrame, batch: DataFrame, key: str, order_col: str, id_col: str = "id",
-               rules: dict[str, Column] | None = None) -> WriteResult:
+               rules: dict[str, Column] | None = None, on_insert: dict[str, Column] | None = None) -> WriteResult:
     """Insert rows whose unique ``key`` is new (exact match); conflicts
     with stored rows, and later duplicates inside the batch, are rejected.
     New ids follow the stored maximum in ``order_col`` order.  A row that
     breaks one of the ``rules`` (name -> Column, true when broken) is rejected
-    with the rule's name and reserves no key."""
+    with the rule's name and reserves no key.  ``on_insert`` sets constant
+    columns of the new rows (timestamps)."""
+    const = on_insert or {}
     checked = batch.withColumn("_broken", first_broken(rules))
     stored = present_keys(base, key, batch, key).select(F.col(key).alias("_bk"), F.lit(True).alias("_stored"))
     b = checked.join(stored, checked[key] == stored["_bk"], "left").drop("_bk")
@@ -208,7 +213,7 @@ def insert_new(base: DataFrame, batch: DataFrame, key: str, order_col: str, id_c
     done = number_accepted(b, F.col("reason").isNotNull(), order_col)
     ok = done.numbered("_new_id", next_id(base, id_col)).filter(F.col("reason").isNull())
     ins = ok.select(*[F.col("_new_id").cast(base.schema[c].dataType).alias(c) if c == id_col
-                      else (F.col(c) if c in batch.columns else F.lit(None)).cast(base.schema[c].dataType).alias(c)
+                      else const.get(c, F.col(c) if c in batch.columns else F.lit(None)).cast(base.schema[c].dataType).alias(c)
                       for c in base.columns])
     rej = done.all_rows().filter(F.col("reason").isNotNull()).select(order_col, key, "reason")
     return WriteResult(base.unionByName(ins), rej, ins)
@@ -288,6 +293,34 @@ def insert_facts(fact: DataFrame, subject: DataFrame, catalog: DataFrame, batch:
     return WriteResult(fact.select(*ins.columns).unionByName(ins), rej, ins)
 
 
+def update_facts(fact: DataFrame, subject: DataFrame, catalog: DataFrame, updates: DataFrame, as_of: str,
+                 spec: StarSpec = DEFAULT_SPEC, rules: dict[str, Column] | None = None,
+                 on_update: dict[str, Column] | None = None) -> WriteResult:
+    """G7 for facts: full-row update by id.  Checks in order: the domain
+    rules, the fact exists, its new subject exists, its new catalog item
+    exists; a blank action takes the item's recommended action and a missing
+    date becomes ``as_of``."""
+    u = materialize(updates.withColumn("_broken", first_broken(rules)), name="request")
+    ids = present_keys(fact, spec.fact_key, u, spec.fact_key).select(F.col(spec.fact_key).alias("_fid"))
+    subj = present_keys(subject, spec.subject_key, u, spec.fact_subject).select(F.col(spec.subject_key).alias("_sid"))
+    cat = bounded_broadcast(catalog.select(F.col(spec.catalog_key).alias("_cid"),
+                                           F.col(spec.recommended_action).alias("_dflt")), within=catalog)
+    j = u.join(ids, u[spec.fact_key] == ids["_fid"], "left")
+    j = j.join(subj, j[spec.fact_subject] == subj["_sid"], "left")
+    j = j.join(cat, j[spec.fact_catalog] == cat["_cid"], "left")
+    reason = F.when(F.col("_broken").isNotNull(), F.col("_broken")) \
+        .when(F.col("_fid").isNull(), REASON_NOT_FOUND) \
+        .when(F.col("_sid").isNull(), MSG_PARENT_SUBJECT).when(F.col("_cid").isNull(), MSG_PARENT_CATALOG)
+    j = materialize(j.withColumn("reason", reason), name="request")
+    good = j.filter(F.col("reason").isNull()) \
+        .withColumn(spec.action, backfill_blank(spec.action, F.col("_dflt"))) \
+        .withColumn(spec.fact_date, default_date(spec.fact_date, as_of))
+    cols = [spec.fact_date, spec.fact_subject, spec.fact_catalog, spec.action, spec.fact_status, spec.reporter, spec.notes]
+    res = update_rows(fact, good.select(spec.fact_key, *cols), cols, spec.fact_key, on_update=on_update)
+    rej = j.filter(F.col("reason").isNotNull()).select(spec.fact_key, "reason").unionByName(res.rejected)
+    return WriteResult(res.snapshot, rej)
+
+
 def ensure_column(df: DataFrame, name: str, default, dtype: str = "string") -> DataFrame:
     """Add ``name`` with ``default`` when absent; unchanged otherwise."""
     return df if name in df.columns else df.withColumn(name, F.lit(default).cast(dtype))

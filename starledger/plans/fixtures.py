@@ -263,8 +263,9 @@ def staged_subject_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     def cell(expr):
         return F.when(blank, F.lit("")).otherwise(expr)
 
-    number = F.when((k % 5 == 0) & (k > 0), F.upper(F.format_string("Customer#%09d", k - 1))) \
-        .otherwise(F.col("c_name"))
+    def numbered(n):  # every third row names a stored subject, the others new ones
+        return F.when(n % 3 == 0, F.format_string("Customer#%09d", n)).otherwise(F.format_string("Pupil#%09d", n))
+    number = F.when((k % 5 == 0) & (k > 0), F.upper(numbered(k - 1))).otherwise(numbered(k))
     first = F.when(k % 7 == 0, F.lit("")).when(k % 6 == 1, F.concat(F.lit(" "), _pick(FIRST_NAMES, k), F.lit(" "))) \
         .otherwise(_pick(FIRST_NAMES, k))
     grade = F.when(k % 19 == 0, F.lit("")).otherwise(_s(F.col("c_nationkey")))
@@ -282,13 +283,6 @@ def staged_subject_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
-def stored_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subjects already stored before a subject intake: every third customer."""
-    s = customer_subjects(spark, sf_dir)
-    return s.filter(F.col("id") % 3 == 0)
-
-
 @_memo
 def staged_fact_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
@@ -329,7 +323,9 @@ STAGED_SUBJECTS_SQL = (
     "SELECT c_custkey + 2 AS row_number, "
     + ", ".join(
         f"CASE WHEN c_custkey % 17 = 0 THEN '' ELSE {expr} END AS {name}" for name, expr in [
-            ("student_no", "CASE WHEN c_custkey % 5 = 0 AND c_custkey > 0 THEN upper(printf('Customer#%09d', c_custkey - 1)) ELSE c_name END"),
+            ("student_no", "CASE WHEN c_custkey % 5 = 0 AND c_custkey > 0 "
+                           "THEN upper(printf(CASE (c_custkey - 1) % 3 WHEN 0 THEN 'Customer#%09d' ELSE 'Pupil#%09d' END, c_custkey - 1)) "
+                           "ELSE printf(CASE c_custkey % 3 WHEN 0 THEN 'Customer#%09d' ELSE 'Pupil#%09d' END, c_custkey) END"),
             ("first_name", f"CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 6 = 1 THEN ' ' || {_sql_list(FIRST_NAMES)}[(c_custkey % 50) + 1] || ' ' ELSE {_sql_list(FIRST_NAMES)}[(c_custkey % 50) + 1] END"),
             ("last_name", f"{_sql_list(LAST_NAMES)}[((c_custkey * 3 + 2) % 50) + 1]"),
             ("grade", "CASE WHEN c_custkey % 19 = 0 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END"),

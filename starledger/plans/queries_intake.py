@@ -54,7 +54,7 @@ def PARSE(t: str) -> str:
 
 
 SUBJECT_FLOW = f"""{M1},
-stored AS (SELECT * FROM subj WHERE id % 3 = 0),
+stored AS (SELECT * FROM subj),
 st AS ({fx.STAGED_SUBJECTS_SQL}),
 nb AS (SELECT * FROM st WHERE {_non_blank(SUBJECT_CELLS)}),
 cl AS (SELECT row_number, {", ".join(f"{CLEAN(c)} AS {c}" for c in SUBJECT_CELLS[:-1])},
@@ -102,7 +102,7 @@ SUMMARY_COLS = """CAST(COALESCE(SUM(CASE WHEN outcome = 'imported' THEN 1 ELSE 0
 
 def _subject_import(spark, sf_dir):
     staged = stage_rows(fx.staged_subject_sheet(spark, sf_dir))
-    return intake.import_subjects(staged, fx.stored_subjects(spark, sf_dir))
+    return intake.import_subjects(staged, fx.customer_subjects(spark, sf_dir))
 
 
 def _fact_import(spark, sf_dir):

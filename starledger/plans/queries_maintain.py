@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from starledger.operators import maintenance as mt
@@ -38,7 +40,7 @@ def _catalog_updates(spark, sf_dir):
     return u1.unionByName(u2).unionByName(u3)
 
 
-@register("upsert_catalog", f"""{M2},
+UPSERT_SQL = f"""{M2},
 u0 AS (SELECT printf('P-%05d', p_partkey) AS code, upper(p_name) AS name,
               CASE WHEN p_size >= 26 THEN 'Minor' ELSE 'Major' END AS category,
               CAST(1 + (p_size + 3) % 10 AS INTEGER) AS severity_points, 'Revised' AS recommended_action, p_partkey * 2 AS ord
@@ -58,7 +60,10 @@ FROM cat c LEFT JOIN u ON u.code = c.code
 UNION ALL
 SELECT CAST((SELECT MAX(id) FROM cat) + ROW_NUMBER() OVER (ORDER BY ord) AS BIGINT), code, name, category,
        severity_points, recommended_action, TRUE
-FROM u WHERE code NOT IN (SELECT code FROM cat)""")
+FROM u WHERE code NOT IN (SELECT code FROM cat)"""
+
+
+@register("upsert_catalog", UPSERT_SQL)
 def q_upsert_catalog(spark, sf_dir):
     cat = fx.part_catalog(spark, sf_dir)
     return mt.upsert(cat, _catalog_updates(spark, sf_dir), "code",
@@ -318,6 +323,99 @@ def q_insert_fact_rejects(spark, sf_dir):
     return mt.insert_facts(st.fact, st.subject, st.catalog, _fact_batch(spark, sf_dir), "ord", AS_OF).rejected
 
 
+# --------------------------------------------------------------------------- G7 for facts, timestamps
+BORN, NOW = dt.datetime(2020, 1, 1, 8), dt.datetime(2021, 6, 1, 12, 30)
+BORN_SQL, NOW_SQL = f"TIMESTAMP '{BORN}'", f"TIMESTAMP '{NOW}'"
+
+
+def _fact_updates(spark, sf_dir):
+    """An update of every fourth fact: some unknown facts, subjects and items, some states out of the domain."""
+    b, k = _fact_batch(spark, sf_dir), F.col("ord")
+    status = F.when(k % 28 == 0, "Pending").otherwise("Resolved")
+    return b.filter(k % 4 == 0).select(F.when(k % 36 == 0, -k).otherwise(k).alias("id"), "incident_date", "student_id", "offense_id", "action_taken",
+                                       status.alias("status"), "reported_by", "notes")
+
+
+FACT_UPDATE_CTE = f"""{FACT_BATCH_CTE.replace("r AS (SELECT b.*", "r0 AS (SELECT b.*")},
+u AS (SELECT CASE WHEN ord % 36 = 0 THEN -ord ELSE ord END AS id, incident_date, student_id, offense_id,
+             CASE WHEN action_taken = '' THEN da ELSE action_taken END AS action_taken,
+             CASE WHEN ord % 28 = 0 THEN 'Pending' ELSE 'Resolved' END AS status, reason AS parent FROM r0 WHERE ord % 4 = 0),
+r AS (SELECT u.*, CASE WHEN status = 'Pending' THEN 'status_domain' WHEN id NOT IN (SELECT id FROM fact) THEN 'not found' ELSE parent END AS reason FROM u)"""
+UPDATED_FACT = f"""f.id, f.incident_no, CASE WHEN r.id IS NULL THEN f.incident_date ELSE COALESCE(r.incident_date, DATE '{AS_OF}') END AS incident_date,
+       COALESCE(r.student_id, f.student_id) AS student_id, COALESCE(r.offense_id, f.offense_id) AS offense_id,
+       COALESCE(r.action_taken, f.action_taken) AS action_taken, COALESCE(r.status, f.status) AS status,
+       CASE WHEN r.id IS NULL THEN f.reported_by ELSE 'Batch' END AS reported_by, f.notes"""
+
+
+def _update_facts(spark, sf_dir):
+    from starledger.operators.intake import fact_rules
+    from starledger.operators.versions import stamps, with_stamps
+    st = fx.orders_star(spark, sf_dir)
+    return mt.update_facts(with_stamps(st.fact, BORN), st.subject, st.catalog, _fact_updates(spark, sf_dir), AS_OF,
+                           rules=fact_rules(), on_update=stamps(NOW)[1])
+
+
+@register("update_facts", f"""{FACT_UPDATE_CTE}
+SELECT {UPDATED_FACT}, {BORN_SQL} AS created_at, CASE WHEN r.id IS NULL THEN {BORN_SQL} ELSE {NOW_SQL} END AS updated_at
+FROM fact f LEFT JOIN (SELECT * FROM r WHERE reason IS NULL) r ON r.id = f.id""")
+def q_update_facts(spark, sf_dir):
+    return _update_facts(spark, sf_dir).snapshot
+
+
+@register("update_fact_rejects", f"{FACT_UPDATE_CTE} SELECT id, reason FROM r WHERE reason IS NOT NULL")
+def q_update_fact_rejects(spark, sf_dir):
+    return _update_facts(spark, sf_dir).rejected
+
+
+# Copy-on-write: the same kinds of writes on a versioned table.
+def _versioned_facts(spark, sf_dir):
+    from starledger.operators import versions
+    return versions.create(versions.with_stamps(fx.order_facts(spark, sf_dir), BORN), "id", 32)
+
+
+@register("version_update", f"""{M1}
+SELECT * REPLACE (CASE WHEN id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50 AND l_discount = 0) THEN 'Resolved' ELSE status END AS status),
+       {BORN_SQL} AS created_at,
+       CASE WHEN id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50 AND l_discount = 0) THEN {NOW_SQL} ELSE {BORN_SQL} END AS updated_at
+FROM fact""")
+def q_version_update(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").filter((F.col("l_quantity") == 50) & (F.col("l_discount") == 0))
+    keys = li.select(F.col("l_orderkey").alias("id")).distinct().withColumn("status", F.lit("Resolved"))
+    return _versioned_facts(spark, sf_dir).update(keys, ["status"], NOW)[0].rows()
+
+
+@register("version_delete", f"""{M1}, k AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')
+SELECT *, {BORN_SQL} AS created_at, {BORN_SQL} AS updated_at FROM fact WHERE id NOT IN (SELECT id FROM k)""")
+def q_version_delete(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    keys = o.filter((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")).select(F.col("o_orderkey").alias("id"))
+    return _versioned_facts(spark, sf_dir).delete(keys)[0].rows()
+
+
+@register("version_upsert", UPSERT_SQL.replace("AS active\nFROM cat c", f"AS active, {BORN_SQL} AS created_at, "
+          f"CASE WHEN u.code IS NOT NULL THEN {NOW_SQL} ELSE {BORN_SQL} END AS updated_at\nFROM cat c")
+          .replace("recommended_action, TRUE\nFROM u", f"recommended_action, TRUE, {NOW_SQL}, {NOW_SQL}\nFROM u"))
+def q_version_upsert(spark, sf_dir):
+    from starledger.operators import versions
+    cat = versions.create(versions.with_stamps(fx.part_catalog(spark, sf_dir), BORN), "code", 16)
+    return cat.upsert(_catalog_updates(spark, sf_dir), ["name", "category", "severity_points", "recommended_action"], "ord", "id", NOW,
+                      on_update={"active": F.lit(True)}).rows()
+
+
+# One person's record by number (B12, R3): the facts lie in buckets of the subject.
+@register("record_by_no", f"""{M1}, p AS (SELECT * FROM subj WHERE lower(student_no) = (SELECT lower(min(student_no)) FROM subj WHERE status = 'Active'))
+SELECT i.student_id, i.id, i.incident_no, i.incident_date, i.action_taken, i.status, i.reported_by, i.notes,
+       o.code AS offense_code, o.name AS offense_name, o.category, o.severity_points
+FROM fact i JOIN cat o ON o.id = i.offense_id WHERE i.student_id IN (SELECT id FROM p)""")
+def q_record_by_no(spark, sf_dir):
+    from starledger.operators import versions
+    from starledger.plans import reports
+    st = fx.orders_star(spark, sf_dir)
+    number = st.subject.filter(F.col("status") == "Active").agg(F.min("student_no").alias("n")).first()["n"]
+    facts = versions.create(st.fact, "student_id", 32)
+    return reports.record_by_no(st.subject, facts, st.catalog, (number or "").upper())["history"]
+
+
 # --------------------------------------------------------------------------- G9
 @register("ensure_column", f"{M1} SELECT {PUBLIC}, '' AS notes FROM subj")
 def q_ensure_column(spark, sf_dir):
@@ -331,20 +429,28 @@ FROM fact f LEFT JOIN {subj} s ON s.id = f.student_id LEFT JOIN {cat} c ON c.id
 WHERE s.id IS NULL OR c.id IS NULL"""
 
 
-@register("fk_audit", f"{M1}, subj3 AS (SELECT * FROM subj WHERE id % 3 <> 0) "
-                      + FK_SQL.format(subj="subj3", cat="cat"))
+# Orphans are made on the child's side, by keys that no parent has; parents are whole.
+def _orphans(fact, col, n):
+    return fact.withColumn(col, F.when(F.col("id") % n == 0, -F.col(col) - 1).otherwise(F.col(col)))
+
+
+def _orphans_sql(cte, col, n):
+    return cte.replace("fact AS (", "fact0 AS (") + f""",
+fact AS (SELECT * REPLACE (CASE WHEN id % {n} = 0 THEN -{col} - 1 ELSE {col} END AS {col}) FROM fact0) """
+
+
+@register("fk_audit", _orphans_sql(M1, "student_id", 11) + FK_SQL.format(subj="subj", cat="cat"))
 def q_fk_audit(spark, sf_dir):
     from starledger.operators.joins import fk_audit
     st = fx.orders_star(spark, sf_dir)
-    return fk_audit(st.fact, st.subject.filter(F.col("id") % 3 != 0), st.catalog)
+    return fk_audit(_orphans(st.fact, "student_id", 11), st.subject, st.catalog)
 
 
-@register("fk_audit_lineitem", f"{M2}, cat_active AS (SELECT * FROM cat WHERE active) "
-                               + FK_SQL.format(subj="subj", cat="cat_active"))
+@register("fk_audit_lineitem", _orphans_sql(M2, "offense_id", 13) + FK_SQL.format(subj="subj", cat="cat"))
 def q_fk_audit_lineitem(spark, sf_dir):
     from starledger.operators.joins import fk_audit
     st = fx.lineitem_star(spark, sf_dir)
-    return fk_audit(st.fact, st.subject, st.catalog.filter(F.col("active")))
+    return fk_audit(_orphans(st.fact, "offense_id", 13), st.subject, st.catalog)
 
 
 @register("protected_preview_catalog", f"""{M2},

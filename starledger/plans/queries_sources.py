@@ -78,4 +78,4 @@ SELECT CAST((SELECT COALESCE(MAX(id), 0) FROM stored) + ROW_NUMBER() OVER (ORDER
 FROM o WHERE outcome = 'imported'""")
 def q_append_rows(spark, sf_dir):
     res = _subject_import(spark, sf_dir)
-    return append_rows(fx.stored_subjects(spark, sf_dir), res.accepted)
+    return append_rows(fx.customer_subjects(spark, sf_dir), res.accepted)

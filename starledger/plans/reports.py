@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from starledger.functions.scalars import month_label
 from starledger.operators import aggregates as agg
+from starledger.operators.filters import project_public, subject_by_no
 from starledger.operators.ranged import materialize
 from starledger.operators.rollup import KeptRollup, report_rollup
+from starledger.operators.versions import Versioned
 from starledger.spec import DEFAULT_SPEC, StarSpec
 
 
@@ -159,5 +161,22 @@ def record_history(subject: DataFrame, fact: DataFrame, catalog: DataFrame,
                     "offense_code", "offense_name", "category", "severity_points")
 
 
+def record_by_no(subject: DataFrame, facts: Versioned, catalog: DataFrame, number: str,
+                 spec: StarSpec = DEFAULT_SPEC) -> dict[str, DataFrame]:
+    """One Active person's record by number, ignoring case.  ``facts``
+    is kept in buckets of the subject key: the files of one bucket are read.
+    The driver collects the person's id (the lowest, where a number repeats
+    in other case)."""
+    prof = subject_by_no(subject, number, spec).filter(F.col(spec.subject_status) == spec.active_status)
+    key = prof.agg(F.min(spec.subject_key).alias("k")).first()["k"]
+    prof = prof.filter(F.col(spec.subject_key) == F.lit(key))
+    own = facts.rows_of([]) if key is None else facts.lookup(key)
+    return {
+        "subject": project_public(prof),
+        "totals": agg.subject_totals(prof, own, catalog, spec),
+        "history": history_order(record_history(prof, own, catalog, spec)),
+    }
+
+
 def history_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.asc("student_id"), F.desc("incident_date"), F.desc("id"))
