@@ -279,3 +279,28 @@ def q_domain_audit(spark, sf_dir):
 GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1""")
 def q_unique_audit(spark, sf_dir):
     return intake.unique_audit(read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+# A sheet as real text in several files: quoted separators, quotes and line ends, blank rows.
+def _text_sheet(spark, sf_dir):
+    from starledger.session import scratch_path
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    cells = {"Student No.": F.format_string("O-%d", k), "First Name": F.when(k % 5 == 0, F.concat(F.lit("Clerk, "), "o_orderpriority")).otherwise(F.col("o_orderpriority")),
+             "Notes": F.when(k % 3 == 0, F.format_string('line one of %d\nline "two"\n\n', k)).when(k % 3 == 1, "plain").otherwise("")}
+    rows = o.select(k.alias("_k"), *[F.when(k % 7 != 0, c).alias(name) for name, c in cells.items()])
+    path = scratch_path(spark, "text-sheet")
+    rows.repartitionByRange(6, "_k").sortWithinPartitions("_k").drop("_k").write.option("header", True).option("quoteAll", True) \
+        .option("escape", '"').option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+@register("read_sheet", """SELECT ROW_NUMBER() OVER (ORDER BY o_orderkey) AS place, 'O-' || o_orderkey AS student_no,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'Clerk, ' ELSE '' END || o_orderpriority AS first_name,
+       CASE o_orderkey % 3 WHEN 0 THEN 'line one of ' || o_orderkey || chr(10) || 'line "two"' || chr(10) || chr(10) WHEN 1 THEN 'plain' ELSE '' END AS notes
+FROM orders WHERE o_orderkey % 7 <> 0""")
+def q_read_sheet(spark, sf_dir):
+    from starledger.operators.paging import ranked
+    from starledger.sources.sheets import read_sheet
+    sheet = read_sheet(spark, _text_sheet(spark, sf_dir))
+    return ranked(sheet, [F.col("row_number")], "place").select("place", "student_no", "first_name", F.coalesce("notes", F.lit("")).alias("notes"))

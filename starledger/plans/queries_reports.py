@@ -259,7 +259,7 @@ def _kept(spark, sf_dir):
     from starledger.operators.rollup import KeptRollup, build_rollup
     st, removed, added, after = _write(spark, sf_dir)
     kept = KeptRollup(materialize(build_rollup(st.fact).cells, name="rollup"))
-    return st, kept.changed(removed, added, after)
+    return st, KeptRollup(materialize(kept.changed(removed, added, after).cells, name="rollup"))
 
 
 AFTER_CTE = f"""{M2.replace('fact AS (', 'fact0 AS (')},

@@ -93,7 +93,8 @@ def dashboard_bundle(parts: dict[str, DataFrame], year: int) -> DataFrame:
 def kept_dashboard(kept: KeptRollup, subject: DataFrame, catalog: DataFrame, year: int | None = None,
                    n: int = 10) -> dict[str, DataFrame]:
     """R1 from the kept roll-up: no fact is read."""
-    return dashboard_parts(kept.report_rollup(catalog, year), subject, catalog, kept.spec, n)
+    rolled = materialize(kept.report_rollup(catalog, year), name="dashboard")
+    return dashboard_parts(rolled, subject, catalog, kept.spec, n)
 
 
 def kept_summary(kept: KeptRollup, subject: DataFrame, catalog: DataFrame, year: int | None = None) -> DataFrame:

@@ -9,12 +9,14 @@ counted in the numbering.  Headers are slugged and aliased as metadata only.
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starledger.functions.scalars import header_slug, strip_text
+from starledger.operators.ranged import materialize, running_before
 from starledger.operators.windows import number_rows
 from starledger.spec import HEADER_ALIASES, MSG_MISSING_COLUMNS
 
@@ -39,10 +41,9 @@ def normalize_headers(df: DataFrame, aliases: Mapping[str, str] = HEADER_ALIASES
 
 def require_columns(df: DataFrame, required: Iterable[str]) -> None:
     """A4: raise when required headers are missing (no Spark job runs)."""
-    missing = sorted(set(required) - set(df.columns))
-    if missing:
-        readable = ", ".join(m.replace("_", " ").title() for m in missing)
-        raise ValueError(MSG_MISSING_COLUMNS.format(readable))
+    labels = {name: name.replace("_", " ").title() for name in required if name not in df.columns}
+    if labels:
+        raise ValueError(MSG_MISSING_COLUMNS.format(", ".join(labels[name] for name in sorted(labels))))
 
 
 def stage_rows(raw: DataFrame, row_col: str | None = ROW_COL) -> DataFrame:
@@ -66,15 +67,58 @@ def stage_rows(raw: DataFrame, row_col: str | None = ROW_COL) -> DataFrame:
     return df.filter(cond)
 
 
+def sheet_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, text): the records of delimited text files, in parallel.
+
+    A quoted cell may hold line ends, so whether a line begins a record
+    depends on all quotes before it.  Files are read line by line in splits.
+    A split's state map is small: for either state that it may begin in
+    (outside or inside quotes) the state it ends in and how many records
+    begin in it.  One row for each split is scanned in file order; then every line knows
+    its record, and only lines that continue a record are gathered.
+
+    A record with a quote that is never closed takes the rest of its file, as
+    for any reader.  Line ends inside a cell are read as ``\\n``.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(
+        meta.getField("file_path").alias("file"), meta.getField("file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"), "value",
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("_quotes"))
+    # The lines keep their split's order on disk, and are read several times.
+    lines = materialize(lines, name="sheet-lines")
+    inside = Window.partitionBy("file", "_block").orderBy("_line")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("_odd", F.coalesce(F.sum("_quotes").over(earlier), F.lit(0)) % 2)
+    maps = lines.groupBy("file", "_block").agg(
+        F.sum("_quotes").alias("_q"), F.count_if(F.col("_odd") == 0).alias("_outside"), F.count_if(F.col("_odd") == 1).alias("_inside"))
+    in_file = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    maps = maps.withColumn("_enters", F.coalesce(F.sum("_q").over(in_file), F.lit(0)) % 2)
+    begun = F.when(F.col("_enters") == 0, F.col("_outside")).otherwise(F.col("_inside"))
+    maps = maps.withColumn("_begun", begun).withColumn("_before", F.coalesce(F.sum("_begun").over(in_file), F.lit(0)))
+    at = F.broadcast(maps.select("file", "_block", "_enters", "_before"))  # one row for each split
+    lines = lines.join(at, ["file", "_block"])
+    starts = (F.col("_odd") + F.col("_enters")) % 2 == 0
+    lines = lines.withColumn("_starts", starts)
+    lines = lines.withColumn("record", (F.col("_before") + F.count_if("_starts").over(inside)).cast("bigint"))
+    more = lines.filter(~F.col("_starts")).groupBy("file", "record") \
+        .agg(F.array_sort(F.collect_list(F.struct("_block", "_line", "value"))).alias("_more"))
+    first = lines.filter("_starts").select("file", "record", "value")
+    tail = F.array_join(F.transform("_more", lambda x: x["value"]), "\n")
+    return first.join(more, ["file", "record"], "left").select(
+        "file", "record", F.when(F.col("_more").isNull(), F.col("value")).otherwise(F.concat("value", F.lit("\n"), tail)).alias("text"))
+
+
 def read_sheet(spark: SparkSession, path: str, fmt: str = "csv",
                aliases: Mapping[str, str] = HEADER_ALIASES, sep: str = ",") -> DataFrame:
-    """Read one staged sheet file: header row, then data rows.
-
-    CSV: lines are read with the text source (which keeps empty lines),
-    numbered in file order (header = row 1), and parsed with the built-in
-    ``from_csv`` into positional string cells, so blank lines still count in
-    the numbering.  Cells beyond the header width are ignored; missing
-    cells are NULL.  Embedded newlines inside quoted cells are not supported.
+    """Read staged sheet files: in each a header row, then data rows.
+
+    CSV: records are found by ``sheet_records`` and parsed with the built-in
+    ``from_csv`` into positional string cells.  Quoted cells may hold
+    separators, doubled quotes and line ends.  Blank rows count in the numbering
+    (header = row 1).  Cells beyond the header width are ignored; missing
+    cells are NULL.  Several files are read as sheets pasted below each other in the
+    order of their paths, each under its own header; row numbers go on.
     Parquet: a table of text cells with a ``row_number`` column.
     Headers are slugged/aliased (later duplicates win); blank rows dropped.
     """
@@ -84,16 +128,22 @@ def read_sheet(spark: SparkSession, path: str, fmt: str = "csv",
                            for c in raw.columns])
         has_rows = ROW_COL in raw.columns
         return stage_rows(normalize_headers(raw, aliases), ROW_COL if has_rows else None)
-    lines = spark.read.text(path)
-    header_text = lines.limit(1).first()  # the header line: one bounded row
-    if header_text is None:
+    records = materialize(sheet_records(spark, path), name="sheet-records")
+    # One row for each file: its header and how many records come before it.
+    files = records.groupBy("file").agg(F.max("record").alias("_n"), F.max(F.when(F.col("record") == 1, F.col("text"))).alias("_header"))
+    files = materialize(running_before(files, "file", "_n", "_rows"), name="sheet-files")
+    layouts = [r["_header"] for r in files.select("_header").distinct().orderBy("_header").collect()]
+    if not layouts:
         raise ValueError("The first worksheet is empty")
-    headers = next(csv.reader([header_text.value], delimiter=sep))
-    slugs = [header_slug(h, aliases) for h in headers]
-    last_pos = {slug: i for i, slug in enumerate(slugs) if slug}  # later duplicate wins
-    ddl = ", ".join(f"_c{i} STRING" for i in range(len(headers)))
-    numbered = number_rows(lines, ROW_COL, start=1).filter(F.col(ROW_COL) > 1)
-    cells = F.from_csv(F.col("value"), ddl, {"sep": sep, "mode": "PERMISSIVE"})
-    parsed = numbered.select(F.col(ROW_COL), cells.alias("_r"))
-    df = parsed.select(F.col(ROW_COL), *[F.col(f"_r._c{i}").alias(slug) for slug, i in last_pos.items()])
-    return stage_rows(df, ROW_COL)
+    out = None
+    for header in layouts:  # the different headers, usually one
+        headers = next(csv.reader(io.StringIO(header, newline=""), delimiter=sep), [])
+        last_pos = {slug: i for i, slug in enumerate(header_slug(h, aliases) for h in headers) if slug}  # later duplicate wins
+        ddl = ", ".join(f"_c{i} STRING" for i in range(max(len(headers), 1)))
+        own = F.broadcast(files.filter(F.col("_header") == header).select("file", "_rows"))  # one row for each file
+        rows = records.filter(F.col("record") > 1).join(own, "file")
+        cells = F.from_csv(F.col("text"), ddl, {"sep": sep, "mode": "PERMISSIVE", "escape": '"'})
+        parsed = rows.select((F.col("_rows") + F.col("record")).alias(ROW_COL), cells.alias("_r"))
+        df = parsed.select(ROW_COL, *[F.col(f"_r._c{i}").alias(slug) for slug, i in last_pos.items()])
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return stage_rows(out, ROW_COL)
