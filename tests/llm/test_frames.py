@@ -103,6 +103,16 @@ def test_repeated_passage_goes_once(docs):
     assert got[1]["text"] == got[7]["text"] != ""
 
 
+def test_near_copies_without_ids_keep_one(spark):
+    ship(spark)
+    rows = [(None, NEAR), (None, NEAR.replace("word60 ", "changed ")), (None, NEAR.replace("word9 ", "other ")), (None, "something else entirely")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 4 and {r["class_id"] for r in got} == {None}
+    assert sum(r["kept"] for r in got) == 2
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert corpus_pipeline.drop_near_copies(spark, docs, None).count() == 2
+
+
 def test_near_copies_and_exact_copies(docs):
     got = neardup.near_duplicates(docs).collect()
     cls = {r["doc_id"]: r["class_id"] for r in got}
