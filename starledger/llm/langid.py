@@ -174,7 +174,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", per_lang: int = PER_LANG)
         col, k = np.nonzero(w)
         yield pd.DataFrame({"col": np.append(col, -1), "k": np.append(k, 0), "w": np.append(w[col, k], temp)})
 
-    got = sample.coalesce(1).mapInPandas(fit, "col int, k int, w double").toPandas()
+    # the bounded sample is drawn by all tasks and then moves to one
+    got = sample.repartition(1).mapInPandas(fit, "col int, k int, w double").toPandas()
     w, temp = np.zeros((DIM, len(langs)), np.float32), 1.0
     for col, k, x in got.itertuples(index=False):
         if col < 0:
