@@ -99,17 +99,22 @@ def spans(counts: list[int], hashes: list[int]) -> tuple[np.ndarray, np.ndarray,
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
-    """(id, th, i, h, g): the first sentence and hashes of every span."""
+    """(id, th, i, h, g): the first sentence and hashes of every span, and a
+    row with i = -1 whose h is the number of sentences."""
     def run(batches):
         for b in batches:
-            out = []
-            for id_, th, text in zip(b["id"], b["th"], b["text"]):
-                _, counts, hashes = sentences(text)
+            rows = []
+            for text in b["text"]:
+                ends, counts, hashes = sentences(text)
+                i, h, g = [-1], [len(ends)], [0]
                 if len(counts) >= RUN:
-                    i, _, h, g = spans(counts, hashes)
-                    out.append(pd.DataFrame({"id": id_, "th": th, "i": i, "h": h, "g": g}))
-            if out:
-                yield pd.concat(out)
+                    at, _, h1, h2 = spans(counts, hashes)
+                    i, h, g = np.append(i, at), np.append(h, h1), np.append(g, h2)
+                rows.append((i, h, g))
+            if rows:
+                sizes = [len(r[0]) for r in rows]
+                i, h, g = (np.concatenate([r[k] for r in rows]) for k in range(3))
+                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), sizes), "th": np.repeat(b["th"].to_numpy(), sizes), "i": i, "h": h, "g": g})
     return docs.mapInPandas(run, "id bigint, th bigint, i int, h bigint, g int")
 
 
@@ -123,31 +128,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = written(span_rows(docs.filter(F.col(text_col).isNotNull()).select(*key, F.col(text_col).alias("text"))), "spans")
     # place: where a span starts; the smallest is its first occurrence
     # written, so that the join reads plain exchanges and a frequent span's rows can be split
-    repeated = written(rows.groupBy("h", "g").agg(F.min(F.struct("id", "th", "i")).alias("first"), F.count("*").alias("n"))
+    placed = rows.filter("i >= 0")
+    repeated = written(placed.groupBy("h", "g").agg(F.min(F.struct("id", "th", "i")).alias("first"), F.count("*").alias("n"))
                        .filter("n > 1").select("h", "g", "first"), "repeats")
-    cover = (rows.join(repeated, ["h", "g"]).filter(F.struct("id", "th", "i") != F.col("first"))
-             .groupBy("id", "th").agg(F.collect_set("i").alias("cover__")))
-    names = docs.columns
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    own = docs.select("*", F.struct(*key).alias("key__"))
-    cover = cover.select(F.struct("id", "th").alias("key__"), "cover__")
-    joined = own.join(cover, "key__", "left").select(*names, "cover__")
+    cover = (placed.join(repeated, ["h", "g"]).filter(F.struct("id", "th", "i") != F.col("first"))
+             .groupBy("id", "th").agg(F.collect_set("i").alias("cover")))
+    counted = rows.filter("i < 0").groupBy("id", "th").agg(F.max("h").alias("n")).join(cover, ["id", "th"], "left")
+    # Input columns go by number inside, so that no name of theirs can clash.
+    names = [c for c in docs.columns if c.lower() not in ("n_sentences__", "n_removed__")]
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *[k.alias(f"key_{i}") for i, k in enumerate(key)])
+    fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)]
+    text_at = f"c{names.index(text_col)}"
+    same = (own["key_0"] == counted["id"]) & (own["key_1"] == counted["th"])
+    joined = own.join(counted, same, "left").select(*[f"c{i}" for i in range(len(names))], "n", "cover")
 
     def run(batches):
         for b in batches:
             texts, total, gone = [], [], []
-            for text, cover in zip(b[text_col], b["cover__"]):
+            for text, n, cover in zip(b[text_at], b["n"], b["cover"]):
                 if text is None:
                     texts.append(None)
                     total.append(0)
                     gone.append(0)
                     continue
-                ends, counts, hashes = sentences(text)
-                total.append(len(ends))
+                total.append(int(n))
                 if cover is None or not len(cover):
                     texts.append(text)
                     gone.append(0)
                     continue
+                ends, counts, hashes = sentences(text)
                 out = np.zeros(len(ends) + 1, np.int64)
                 first, end, _, _ = spans(counts, hashes)
                 out[first[cover]] += 1  # spans are numbered by their first sentence
@@ -156,7 +165,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 starts = [0, *ends[:-1]]
                 texts.append("".join(text[s:e] for s, e, c in zip(starts, ends, covered) if not c))
                 gone.append(int(covered.sum()))
-            b = b.drop(columns="cover__")
-            b[text_col] = texts
-            yield b.assign(n_sentences__=total, n_removed__=gone)
-    return joined.mapInPandas(run, ", ".join([*fields, "n_sentences__ bigint", "n_removed__ bigint"]))
+            b = b.drop(columns=["n", "cover"])
+            b[text_at] = texts
+            yield b.assign(n_sentences=total, n_removed=gone)
+    return joined.mapInPandas(run, ", ".join([*fields, "n_sentences bigint", "n_removed bigint"])).toDF(*names, "n_sentences__", "n_removed__")

@@ -103,6 +103,19 @@ def test_repeated_passage_goes_once(docs):
     assert got[1]["text"] == got[7]["text"] != ""
 
 
+def test_repeats_with_clashing_columns(spark):
+    ship(spark)
+    rows = [(8, "Opening of eight. " + PASSAGE + "the end of eight.", 1), (9, "Another start. " + PASSAGE + "different end with words of its own.", 2), (None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, cover__ int")
+    for c in ("key__", "n", "cover", "i", "N_REMOVED__", "n_sentences__", "a.b"):
+        docs = docs.withColumn(c, F.col("cover__"))
+    got = {r["doc_id"]: r for r in substring.remove_repeats(docs).collect()}
+    assert got[8]["n_removed__"] == 0 < got[9]["n_removed__"] and got[None]["n_sentences__"] == 0
+    assert [got[d][c] for d in (8, 9) for c in ("cover__", "key__", "n", "cover", "i", "a.b")] == [1] * 6 + [2] * 6
+    plain = {r["doc_id"]: r["text"] for r in substring.remove_repeats(docs.select("doc_id", "text")).collect()}
+    assert plain == {d: r["text"] for d, r in got.items()}
+
+
 def test_near_copies_without_ids_keep_one(spark):
     ship(spark)
     rows = [(None, NEAR), (None, NEAR.replace("word60 ", "changed ")), (None, NEAR.replace("word9 ", "other ")), (None, "something else entirely")]
