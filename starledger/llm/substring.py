@@ -99,8 +99,9 @@ def spans(counts: list[int], hashes: list[int]) -> tuple[np.ndarray, np.ndarray,
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
-    """(id, th, i, h, g): the first sentence and hashes of every span, and a
-    row with i = -1 whose h is the number of sentences."""
+    """(id, th, i, h, g): the first sentence and hashes of every span, once a
+    text; a row with i = -1, whose h is the number of sentences; and for each later
+    place of a span in its own text, i = -2 - place."""
     def run(batches):
         for b in batches:
             rows = []
@@ -109,7 +110,9 @@ def span_rows(docs: DataFrame) -> DataFrame:
                 i, h, g = [-1], [len(ends)], [0]
                 if len(counts) >= RUN:
                     at, _, h1, h2 = spans(counts, hashes)
-                    i, h, g = np.append(i, at), np.append(h, h1), np.append(g, h2)
+                    own = np.zeros(len(at), bool)
+                    own[np.unique(h1 ^ (h2.astype(np.int64) << 32), return_index=True)[1]] = True
+                    i, h, g = np.append(i, np.where(own, at, -2 - at)), np.append(h, np.where(own, h1, 0)), np.append(g, np.where(own, h2, 0))
                 rows.append((i, h, g))
             if rows:
                 sizes = [len(r[0]) for r in rows]
@@ -128,12 +131,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = written(span_rows(docs.filter(F.col(text_col).isNotNull()).select(*key, F.col(text_col).alias("text"))), "spans")
     # place: where a span starts; the smallest is its first occurrence
     # written, so that the join reads plain exchanges and a frequent span's rows can be split
-    placed = rows.filter("i >= 0")
-    repeated = written(placed.groupBy("h", "g").agg(F.min(F.struct("id", "th", "i")).alias("first"), F.count("*").alias("n"))
+    placed = rows.filter("i >= 0").drop("th") if unique else rows.filter("i >= 0")
+    # A text has a span once among these rows: the first text is the first place.
+    where = F.col("id") if unique else F.struct("id", "th")
+    repeated = written(placed.groupBy("h", "g").agg(F.min(where).alias("first"), F.count("*").alias("n"))
                        .filter("n > 1").select("h", "g", "first"), "repeats")
-    cover = (placed.join(repeated, ["h", "g"]).filter(F.struct("id", "th", "i") != F.col("first"))
+    later = placed.join(repeated, ["h", "g"]).filter(where != F.col("first")).select("id", (F.lit(0).cast("bigint") if unique else F.col("th")).alias("th"), "i")
+    cover = (later.union(rows.filter("i < -1").select("id", "th", (-2 - F.col("i")).alias("i")))
              .groupBy("id", "th").agg(F.collect_set("i").alias("cover")))
-    counted = rows.filter("i < 0").groupBy("id", "th").agg(F.max("h").alias("n")).join(cover, ["id", "th"], "left")
+    counted = rows.filter("i = -1").groupBy("id", "th").agg(F.max("h").alias("n")).join(cover, ["id", "th"], "left")
     # Input columns go by number inside, so that no name of theirs can clash.
     names = [c for c in docs.columns if c.lower() not in ("n_sentences__", "n_removed__")]
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *[k.alias(f"key_{i}") for i, k in enumerate(key)])
