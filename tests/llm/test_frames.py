@@ -2,7 +2,9 @@
 rows, empty tables, extra columns; and brute force on the sample tables."""
 import collections
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -116,6 +118,51 @@ def test_repeats_with_clashing_columns(spark):
     assert plain == {d: r["text"] for d, r in got.items()}
 
 
+def plain_cleaned(rows):
+    """Texts by id, from the rule: every span as its words, the first place of
+    each kept, all pieces of any other place removed."""
+    pieces, first = {}, {}
+    for d, text in sorted(rows):
+        own = [[end, words] for end, words in substring._pieces(text)]
+        for i in range(len(own) - 1, 0, -1):  # what has no words belongs to the piece before
+            if not own[i][1]:
+                own[i - 1][0] = own.pop(i)[0]
+        pieces[d] = [p for p in own if p[1]]
+    places = []
+    for d, own in sorted(pieces.items()):
+        for i in range(len(own)):
+            end = i + substring.RUN
+            while end <= len(own) and sum(len(w) for _, w in own[i:end]) < substring.MIN_WORDS:
+                end += 1
+            if end <= len(own):
+                span = tuple(tuple(w) for _, w in own[i:end])
+                places.append((d, i, end, first.setdefault(span, (d, i))))
+    gone = {(d, k) for d, i, end, at in places if (d, i) != at for k in range(i, end)}
+    out = {}
+    for d, text in rows:
+        starts = [0, *[end for end, _ in pieces[d]][:-1]]
+        kept = [text[s:end] for k, (s, (end, _)) in enumerate(zip(starts, pieces[d])) if (d, k) not in gone]
+        out[d] = "".join(kept) if any(x == d for x, _ in gone) else text
+    return out
+
+
+def test_repeats_against_all_spans(spark):
+    docs = queries.read(spark, SF_SMALL, "documents").select("doc_id", "text")
+    r = random.Random(4)
+    rows = [(x["doc_id"], x["text"]) for x in docs.collect() if x["text"] is not None]
+    long = [t for _, t in rows if len(t.split()) > 80]
+    top = max(d for d, _ in rows)
+    for k in range(40):  # passages of 55 words in the middle of other texts, with and without punctuation
+        words, host = r.choice(long).split(), [f"own{k}x{i}" for i in range(60)]
+        at = r.randrange(len(words) - 55)
+        rows.append((top + 1 + k, " ".join([*host[:30], *words[at:at + 55], *host[30:]])))
+    rows.append((top + 50, rows[0][1] + " " + rows[0][1]))
+    ship(spark)
+    got = {x["doc_id"]: x for x in substring.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert {d: x["text"] for d, x in got.items()} == plain_cleaned(rows)
+    assert all(got[top + 1 + k]["n_removed__"] > 0 for k in range(40))
+
+
 def test_near_copies_without_ids_keep_one(spark):
     ship(spark)
     rows = [(None, NEAR), (None, NEAR.replace("word60 ", "changed ")), (None, NEAR.replace("word9 ", "other ")), (None, "something else entirely")]
@@ -230,6 +277,21 @@ def test_scores_on_odd_rows(docs, spark):
     assert all(r["score"] < 0 and r["base_score"] < 0 for r in got)
 
 
+def test_base_scores_against_plain_counts(spark):
+    rows = [(r["doc_id"], (r["text"] or "").translate({c: c + 32 for c in range(65, 91)}))
+            for r in queries.read(spark, SF_SMALL, "documents").collect()]
+    tokens = {d: [*re.findall(r"[^\x20\x09-\x0D]+", t), None] for d, t in rows}
+    trained = collections.Counter(x for d, own in tokens.items() if zlib.crc32(str(d).encode()) % 5 != 1 for x in own)
+    n, v = sum(trained.values()), len(trained)
+    got = queries.op8_lm_score(spark, SF_SMALL).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        own = tokens[r["doc_id"]]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(trained[x] > 0 for x in own), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((trained[x] + 0.5) / (n + 0.5 * (v + 1))) for x in own), rel=1e-9)
+
+
 def test_held_out_score_beats_the_base(spark):
     got = queries.op8_lm_score(spark, SF_SMALL).filter("held_out").selectExpr("sum(score)", "sum(base_score)").first()
     assert got[0] > got[1]
