@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starledger.llm.common import written
+from starledger.llm.common import forget, written
 
 RUN, MIN_WORDS, CUT = 3, 12, 8
 LEAST = -(1 << 63)
@@ -139,7 +139,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = placed.join(repeated, ["h", "g"]).filter(where != F.col("first")).select("id", (F.lit(0).cast("bigint") if unique else F.col("th")).alias("th"), "i")
     cover = (later.union(rows.filter("i < -1").select("id", "th", (-2 - F.col("i")).alias("i")))
              .groupBy("id", "th").agg(F.collect_set("i").alias("cover")))
-    counted = rows.filter("i = -1").groupBy("id", "th").agg(F.max("h").alias("n")).join(cover, ["id", "th"], "left")
+    # Written, so that the span tables go before the texts are shuffled.
+    counted = written(rows.filter("i = -1").groupBy("id", "th").agg(F.max("h").alias("n")).join(cover, ["id", "th"], "left"), "cover")
+    forget(rows, repeated)
     # Input columns go by number inside, so that no name of theirs can clash.
     names = [c for c in docs.columns if c.lower() not in ("n_sentences__", "n_removed__")]
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *[k.alias(f"key_{i}") for i, k in enumerate(key)])
