@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starledger.llm.common import text_or_empty, written
+from starledger.llm.common import forget, text_or_empty, written
 
 WINDOW = 1024
 END_ID = 0
@@ -37,6 +37,7 @@ COMMON = 64  # items of a shard; terms in more have a dense row
 K1, B = 1.2, 0.75
 PIECE = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
          "sequence_id bigint, offset bigint")
+ITEM = "doc_id bigint, doc_tokens bigint, crcs array<bigint>, rest binary, terms binary, tf binary"
 
 
 class Encoder:
@@ -93,22 +94,27 @@ def crc(ids: np.ndarray) -> int:
 
 
 def items(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """(doc_id, doc_tokens, crcs, rest): checksums of the whole windows, and
-    the ids that are left as little-endian numbers of ``width`` bytes."""
+    """(doc_id, doc_tokens, crcs, rest, terms, tf): checksums of the whole
+    windows, the ids that are left, and their distinct ids with counts, as
+    little-endian numbers."""
     def run(batches):
         enc = encoder(path)
-        kind = id_type(enc.size)
+        kind, count = id_type(enc.size), id_type(window)
         for b in batches:
-            n, crcs, rest = [], [], []
+            n, crcs, rest, terms, tfs = [], [], [], [], []
             for t in b["text"]:
                 ids = np.append(enc.encode(t), np.uint32(END_ID))
                 full = len(ids) // window
                 n.append(len(ids))
                 crcs.append([crc(ids[i * window:(i + 1) * window]) for i in range(full)])
-                rest.append(ids[full * window:].astype(kind).tobytes())
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "doc_tokens": n, "crcs": crcs, "rest": rest})
+                left = ids[full * window:].astype(kind)
+                t, tf = np.unique(left, return_counts=True)
+                rest.append(left.tobytes())
+                terms.append(t.tobytes())
+                tfs.append(tf.astype(count).tobytes())
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "doc_tokens": n, "crcs": crcs, "rest": rest, "terms": terms, "tf": tfs})
     return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-            .mapInPandas(run, "doc_id bigint, doc_tokens bigint, crcs array<bigint>, rest binary"))
+            .mapInPandas(run, ITEM))
 
 
 def id_type(size: int) -> str:
@@ -122,14 +128,13 @@ def term_statistics(rows: DataFrame, size: int) -> tuple[np.ndarray, int, float]
     def run(batches):
         df, n, length = np.zeros(size, np.int64), 0, 0
         for b in batches:
-            for r in b["rest"]:
-                ids = np.frombuffer(r, kind)
-                df[np.unique(ids)] += 1
-                n += len(ids) > 0
-                length += len(ids)
+            for r, t in zip(b["rest"], b["terms"]):
+                df[np.frombuffer(t, kind)] += 1
+                n += len(t) > 0
+                length += len(r) // np.dtype(kind).itemsize
         at = np.flatnonzero(df)
         yield pd.DataFrame({"term": [*at, -1, -2], "n": [*df[at], n, length]})
-    got = rows.select("rest").mapInPandas(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.select("rest", "terms").mapInPandas(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     df, n, length = np.zeros(size), 0, 0  # at most size + 2 rows
     for term, x in got.itertuples(index=False):
         if term == -1:
@@ -142,23 +147,22 @@ def term_statistics(rows: DataFrame, size: int) -> tuple[np.ndarray, int, float]
 
 
 class Index:
-    """A BM25 inverted index over the items of one shard."""
-
-    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, docs, weights, self.queries = [], [], [], []
-        for d, x in enumerate(ids):
-            t, tf = np.unique(x, return_counts=True)
-            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / max(mean, 1e-9)))
-            terms.append(t)
-            docs.append(np.full(len(t), d))
-            weights.append(w)
-            self.queries.append(t)
-        terms, docs, weights = map(np.concatenate, (terms, docs, weights))
+    """A BM25 inverted index over the items of one shard, each given by its
+    distinct ids and their counts."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, mean: float):
+        self.queries = [t for t, _ in bags]
+        sizes = [len(t) for t in self.queries]
+        terms, tf = (np.concatenate(x) for x in zip(*bags))
+        docs = np.repeat(np.arange(len(bags)), sizes)
+        tf = tf.astype(np.float64)
+        lengths = np.bincount(docs, weights=tf)
+        weights = idf[terms] * tf * (K1 + 1) / (tf + np.repeat(K1 * (1 - B + B * lengths / max(mean, 1e-9)), sizes))
         order = np.argsort(terms, kind="stable")
         self.docs, self.weights = docs[order], weights[order]
         self.terms, self.at = np.unique(terms[order], return_index=True)
         self.at = np.append(self.at, len(terms))
-        self.n = len(ids)
+        self.n = len(bags)
         common = np.flatnonzero(np.diff(self.at) > COMMON)
         self.row = np.full(len(self.terms), -1)
         self.row[common] = np.arange(len(common))
@@ -177,6 +181,17 @@ class Index:
         return out
 
 
+def best_first(score: np.ndarray, some: int = 32):
+    """Items by falling score, ties by number.  The first few are sorted
+    alone, and the others only if those are used up."""
+    rest = np.arange(len(score))
+    if len(score) > some:
+        least = np.partition(score, -some)[-some]
+        few, rest = np.flatnonzero(score >= least), np.flatnonzero(score < least)
+        yield from few[np.argsort(-score[few], kind="stable")]
+    yield from rest[np.argsort(-score[rest], kind="stable")]
+
+
 def pack_shard(lengths: list[int], index: Index, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of (item, first id, end id)."""
     left = np.array(lengths)
@@ -189,8 +204,7 @@ def pack_shard(lengths: list[int], index: Index, window: int = WINDOW) -> list[l
             if room:
                 free = left > 0
                 score = np.where(free, index.scores(seed), -1.0)
-                order = np.lexsort((np.arange(len(left)), -score))
-                for d in order:
+                for d in best_first(score):
                     if not room or not left[d]:
                         break
                     n = min(room, int(left[d]))
@@ -207,6 +221,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD) -
     offset); every id of every document lies in exactly one."""
     size = encoder(path).size
     kind = id_type(size)
+    count = id_type(window)
     rows = written(items(docs, path, window), "pack-items")
     df, n, mean = term_statistics(rows, size)
     shared = docs.sparkSession.sparkContext.broadcast(np.log(1.0 + (n - df + 0.5) / (df + 0.5)))
@@ -215,8 +230,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD) -
         idf = shared.value
         for b in batches:
             key = []
-            for r in b["rest"]:
-                t, tf = np.unique(np.frombuffer(r, kind), return_counts=True)
+            for terms, tfs in zip(b["terms"], b["tf"]):
+                t, tf = np.frombuffer(terms, kind), np.frombuffer(tfs, count)
                 key.append(int(t[np.argmax(idf[t] * tf / (tf + K1))]) if len(t) else -1)
             yield b.assign(term=key, doc_id=b["doc_id"].astype("Int64"))
 
@@ -229,17 +244,18 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD) -
             nonlocal number
             out = []
             ids = [np.frombuffer(r[3], kind) for r in held]
-            for doc, total, crcs, _ in held:
+            for doc, total, crcs, *_ in held:
                 for i, c in enumerate(crcs):
                     out.append((doc, i * window, window, int(c), total, number, 0))
                     number += 1
             some = [i for i, x in enumerate(ids) if len(x)]
             if some:
                 own = [ids[i] for i in some]
-                for sequence in pack_shard([len(x) for x in own], Index(own, idf, mean), window):
+                bags = [(np.frombuffer(held[i][4], kind), np.frombuffer(held[i][5], count)) for i in some]
+                for sequence in pack_shard([len(x) for x in own], Index(bags, idf, mean), window):
                     at = 0
                     for d, lo, hi in sequence:
-                        doc, total, crcs, _ = held[some[d]]
+                        doc, total, crcs, *_ = held[some[d]]
                         out.append((doc, len(crcs) * window + lo, hi - lo, crc(own[d][lo:hi]), total, number, at))
                         at += hi - lo
                     number += 1
@@ -248,15 +264,16 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard: int = SHARD) -
             return frame.astype({"doc_id": "Int64"})
 
         for b in batches:
-            for r in zip(b["doc_id"].astype("Int64").astype(object).where(b["doc_id"].notna(), None), b["doc_tokens"], b["crcs"], b["rest"]):
+            for r in zip(b["doc_id"].astype("Int64").astype(object).where(b["doc_id"].notna(), None), b["doc_tokens"], b["crcs"], b["rest"], b["terms"], b["tf"]):
                 held.append(r)
                 if len(held) >= shard:
                     yield flush()
         if held:
             yield flush()
 
-    routed = rows.mapInPandas(route, "doc_id bigint, doc_tokens bigint, crcs array<bigint>, rest binary, term int")
+    routed = rows.mapInPandas(route, ITEM + ", term int")
     routed = written(routed.withColumn("o", F.xxhash64("doc_id", "rest")), "pack-routed")
+    forget(rows)
     parts = max(1, -(-n // (2 * shard)))
     return (routed.repartitionByRange(parts, "term", "o").sortWithinPartitions("term", "o", "doc_id")
-            .select("doc_id", "doc_tokens", "crcs", "rest").mapInPandas(run, PIECE))
+            .select("doc_id", "doc_tokens", "crcs", "rest", "terms", "tf").mapInPandas(run, PIECE))

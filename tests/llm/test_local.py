@@ -48,10 +48,21 @@ def test_packing_ids_equal_the_library():
         assert ours.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def bags(ids):
+    return [np.unique(x, return_counts=True) for x in ids]
+
+
+def test_best_first_is_a_stable_sort():
+    r = np.random.default_rng(5)
+    for n in (1, 5, 32, 33, 400):
+        for score in (r.random(n), r.integers(0, 4, n).astype(float), np.full(n, -1.0)):
+            assert list(packing.best_first(score)) == sorted(range(n), key=lambda i: (-score[i], i))
+
+
 def test_pack_shard_places_each_id_once_and_fills_windows():
     r = np.random.default_rng(1)
     ids = [r.integers(0, 50, r.integers(1, 1024)) for _ in range(60)]
-    sequences = packing.pack_shard([len(x) for x in ids], packing.Index(ids, np.ones(50), 500.0))
+    sequences = packing.pack_shard([len(x) for x in ids], packing.Index(bags(ids), np.ones(50), 500.0))
     spans = {}
     for s in sequences:
         for d, lo, hi in s:
@@ -67,7 +78,7 @@ def test_scores_count_every_term_of_the_seed():
     r = np.random.default_rng(3)
     idf, mean = r.uniform(0.1, 5.0, 400), 90.0
     ids = [np.minimum(r.integers(0, 400, r.integers(1, 200)), r.integers(0, 400, 1)) for _ in range(150)]
-    index = packing.Index(ids, idf, mean)
+    index = packing.Index(bags(ids), idf, mean)
     k1, b = packing.K1, packing.B
     for seed in range(0, 150, 10):
         want = np.zeros(150)
