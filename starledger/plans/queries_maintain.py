@@ -453,6 +453,33 @@ def q_fk_audit_lineitem(spark, sf_dir):
     return fk_audit(_orphans(st.fact, "offense_id", 13), st.subject, st.catalog)
 
 
+# The same audits by bitmaps of the keys.
+@register("fk_audit_bitmaps", _orphans_sql(M1, "student_id", 11) + FK_SQL.format(subj="subj", cat="cat"))
+def q_fk_audit_bitmaps(spark, sf_dir):
+    from starledger.operators import keysets
+    st = fx.orders_star(spark, sf_dir)
+    return keysets.fk_audit(_orphans(st.fact, "student_id", 11), st.subject, st.catalog)
+
+
+@register("fk_audit_lineitem_bitmaps", _orphans_sql(M2, "offense_id", 13) + FK_SQL.format(subj="subj", cat="cat"))
+def q_fk_audit_lineitem_bitmaps(spark, sf_dir):
+    from starledger.operators import keysets
+    st = fx.lineitem_star(spark, sf_dir)
+    return keysets.fk_audit(_orphans(st.fact, "offense_id", 13), st.subject, st.catalog)
+
+
+@register("missing_keys_bitmaps", f"{M1} SELECT id FROM ({PROBE}) k WHERE id NOT IN (SELECT id FROM fact)")
+def q_missing_keys_bitmaps(spark, sf_dir):
+    from starledger.operators import keysets
+    return keysets.missing_keys(_probe_keys(spark, sf_dir), fx.order_facts(spark, sf_dir))
+
+
+@register("distinct_keys_bitmaps", "SELECT CAST(COUNT(DISTINCT l_partkey) AS BIGINT) AS n_keys FROM lineitem")
+def q_distinct_keys_bitmaps(spark, sf_dir):
+    from starledger.operators import keysets
+    return keysets.count_keys(keysets.key_bits(read_table(spark, sf_dir, "lineitem"), "l_partkey"))
+
+
 @register("protected_preview_catalog", f"""{M2},
 k AS (SELECT p_partkey AS id FROM part WHERE p_size % 7 = 0),
 prot AS (SELECT c.id, c.code, c.name, COUNT(*) AS incident_count
