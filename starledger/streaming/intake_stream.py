@@ -8,6 +8,8 @@ runs the same set-based fact intake (H5/H6) against the current snapshot.
 Exactly-once: each micro-batch writes its output under ``batch_id=<n>``
 with ``overwrite``, so a retried batch replaces its own files and never
 duplicates rows; the checkpoint location (shared storage) records progress.
+Files of one batch are taken in the order of their paths; accepted rows and
+outcomes name their ``source_file`` next to the row number they have in it.
 Numbering continues densely across batches from a high-water mark: the
 stored facts' largest number and id are read once when the stream starts,
 and every batch appends one row (its largest number and id) to a tiny
@@ -19,7 +21,7 @@ from __future__ import annotations
 import os
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -29,9 +31,10 @@ from starledger.functions.scalars import month_text, seq_suffix
 from starledger.operators.intake import import_facts
 from starledger.operators.joins import with_catalog
 from starledger.session import checkpoint_dir
-from starledger.sources.sheets import stage_rows
+from starledger.sources.sheets import ROW_COL, stage_rows
 from starledger.spec import DEFAULT_SPEC, StarSpec
 
+ROWS_PER_FILE = 1 << 40
 FACT_SHEET_COLUMNS = ("incident_date", "student_no", "offense_code", "action_taken", "status",
                       "reported_by", "notes")
 FACT_SHEET_SCHEMA = T.StructType(
@@ -52,6 +55,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
+def file_ranks(batch: DataFrame) -> DataFrame:
+    """(source_file, rank): the files of one batch, one row each, by path."""
+    return batch.select("source_file").distinct().withColumn("rank", F.row_number().over(Window.orderBy("source_file")) - 1)
+
+
+def in_own_file(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of a batch with their file and the row number they have in it."""
+    return (rows.withColumn("rank", F.floor(F.col(ROW_COL) / ROWS_PER_FILE).cast("int")).join(files, "rank", "left").drop("rank")
+            .withColumn(ROW_COL, F.col(ROW_COL) % ROWS_PER_FILE))
+
+
 def start_fact_intake(spark: SparkSession, source_dir: str, subject: DataFrame, catalog: DataFrame,
                       base_facts: DataFrame, out_dir: str, spec: StarSpec = DEFAULT_SPEC,
                       fmt: str = "parquet", checkpoint_location: str | None = None,
@@ -64,7 +78,7 @@ def start_fact_intake(spark: SparkSession, source_dir: str, subject: DataFrame,
     reader = spark.readStream.schema(FACT_SHEET_SCHEMA)
     if fmt == "csv":
         reader = reader.option("header", True)
-    stream = reader.format(fmt).load(source_dir)
+    stream = reader.format(fmt).load(source_dir).select("*", F.col("_metadata.file_path").alias("source_file"))
     facts_dir = os.path.join(out_dir, "facts")
     outcomes_dir = os.path.join(out_dir, "outcomes")
     hwm_dir = os.path.join(out_dir, "hwm")
@@ -83,10 +97,13 @@ def start_fact_intake(spark: SparkSession, source_dir: str, subject: DataFrame,
                 .agg(F.max("no").alias("no"), F.max("id").alias("id"))
             no = F.greatest(no, F.coalesce(prev.select("no").scalar(), F.lit(0)))
             fid = F.greatest(fid, F.coalesce(prev.select("id").scalar(), F.lit(0)))
-        res = import_facts(stage_rows(batch), subject, catalog, None, spec, base_no=no, base_id=fid)
-        acc = res.accepted
+        files = file_ranks(batch)
+        place = (F.col("rank") * ROWS_PER_FILE + F.col(ROW_COL)).alias(ROW_COL)
+        rows = batch.join(files, "source_file").select(place, *FACT_SHEET_COLUMNS)
+        res = import_facts(stage_rows(rows), subject, catalog, None, spec, base_no=no, base_id=fid)
+        acc = in_own_file(res.accepted, files)
         acc.write.mode("overwrite").parquet(f"{facts_dir}/batch_id={batch_id}")
-        res.outcomes.write.mode("overwrite").parquet(f"{outcomes_dir}/batch_id={batch_id}")
+        in_own_file(res.outcomes, files).write.mode("overwrite").parquet(f"{outcomes_dir}/batch_id={batch_id}")
         written = spark.read.parquet(f"{facts_dir}/batch_id={batch_id}")
         mark = written.agg(F.max(seq_suffix(spec.fact_no, spec.fact_prefix)).alias("no"),
                            F.max(spec.fact_key).alias("id"))
