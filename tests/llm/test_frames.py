@@ -208,6 +208,34 @@ def test_leaders_that_fail_lose_no_link(spark):
     assert cls == {i: i % 4 for i in range(12)}
 
 
+def test_one_shared_bucket_loses_no_link(spark):
+    """Every text meets all others in one bucket and nowhere else; each is
+    near to one of them only, and the rounds of leaders end before its turn."""
+    ship(spark)
+    a = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    docs = spark.createDataFrame([(2 * k + e, a(k) + (" end" if e else "")) for k in range(30) for e in (0, 1)], "doc_id bigint, text string").repartition(3)
+    sketches = neardup.sketch_texts(docs).withColumn("sketch", F.array(F.lit(7).cast("bigint"), F.col("id")))
+    got = neardup.links(sketches, docs).join(sketches.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(
+        sketches.select(F.col("key").alias("b"), F.col("id").alias("y")), "b").collect()
+    assert {tuple(sorted((r["x"], r["y"]))) for r in got} == {(2 * k, 2 * k + 1) for k in range(30)}
+
+
+def test_blocks_of_a_bucket_meet_each_other(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    test_one_shared_bucket_loses_no_link(spark)
+
+
+def test_components_of_chains_stars_and_rings(spark):
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)] + [(400 - 7 * i, 393 - 7 * i) for i in range(9)]
+    r = random.Random(2)
+    name = {x: r.randbytes(16) for p in pairs for x in p}
+    edges = spark.createDataFrame([(bytearray(name[x]), bytearray(name[y])) for x, y in pairs] * 2, "a binary, b binary")
+    got = {bytes(x["key"]): bytes(x["root"]) for x in neardup.components(edges).collect()}
+    parts = [range(41), [100 + i for i in range(30)], range(200, 209), [400 - 7 * i for i in range(10)]]
+    assert got == {name[x]: min(name[y] for y in part) for part in parts for x in part}
+
+
 def test_scattered_edits_down_to_the_threshold_are_found(spark):
     """Pairs whose similarity is 0.8 to 0.9, edits scattered or evenly spaced."""
     ship(spark)
