@@ -343,6 +343,7 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, ro
     pairs = lambda frames: functools.reduce(DataFrame.unionByName, frames)
     found = written(pairs([s.filter("near").select("a", "b") for s in stars]).distinct(), "omh-found")
     if rest.isEmpty() and len(stars) == 1:
+        forget(members, facts, texts, *stars)
         return found
     root = components(found)
 
@@ -380,6 +381,7 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, ro
         left = written(left, "omh-open")
         forget(open_, ask, verdicts)
         open_ = left
+    forget(texts)
     return pairs(new)
 
 
@@ -486,14 +488,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     sketches = written(sketch_texts(docs), "omh")
     edges = written(links(sketches, docs, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "omh-links")
+    rows = written(sketches.select("id", "key"), "omh-rows")
+    forget(sketches)
     roots = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
-    texts = sketches.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"))
+    texts = rows.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_copies"))
     texts = written(texts.join(roots, "key", "left").join(degree, "key", "left")
                     .select("key", F.coalesce("root", "key").alias("root"), "first_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "omh-texts-classes")
     first = F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("first")
     classes = written(texts.groupBy("root").agg(first).select("root", F.col("first.first_id").alias("class_id"), F.col("first.key").alias("stands")), "omh-classes")
     by_text = texts.join(classes, "root").select("key", "class_id", "n_copies", "n_links", (F.col("key") == F.col("stands")).alias("stands"))
-    return (sketches.select(F.col("id").alias("doc_id"), "key").join(by_text, "key")
+    return (rows.select(F.col("id").alias("doc_id"), "key").join(by_text, "key")
             .withColumn("kept", F.col("stands") & F.col("doc_id").eqNullSafe(F.col("class_id")))
             .select("doc_id", "key", "class_id", "n_copies", "n_links", "kept"))

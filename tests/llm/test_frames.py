@@ -3,6 +3,7 @@ rows, empty tables, extra columns; and brute force on the sample tables."""
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ import corpus_pipeline
 from conftest import SF_SMALL
 from starledger.llm import bpe, chat, fingerprint, langid, neardup, packing, pitmanyor, queries, substring, tokencount, topk
 from starledger.llm.common import ship
+from starledger.session import checkpoint_dir
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, key string, class_id string, h string"
 LONG = "the very long text goes on. " * 4000
@@ -220,6 +222,14 @@ def test_one_shared_bucket_loses_no_link(spark):
     assert {tuple(sorted((r["x"], r["y"]))) for r in got} == {(2 * k, 2 * k + 1) for k in range(30)}
 
 
+def test_near_duplicates_leave_no_texts_or_sketches(spark, docs):
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert neardup.near_duplicates(docs).count() == docs.count()
+    left = set(os.listdir(folder)) - before
+    assert left and not [n for n in left if re.fullmatch(r"omh(-texts|-bags|-buckets|-nodes|-rays)?-[0-9a-f]{32}", n)]
+
+
 def test_blocks_of_a_bucket_meet_each_other(spark, monkeypatch):
     ship(spark)
     monkeypatch.setattr(neardup, "BLOCK", 7)
