@@ -20,6 +20,7 @@ matter in comparisons; other columns pass through.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -41,26 +42,35 @@ def _cuts(words: list[str]) -> np.ndarray:
     """Whether a word is the smallest by hash, the last of equals, in a window of ``CUT``."""
     cut = np.zeros(len(words), bool)
     if len(words) >= CUT:
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         windows = np.lib.stride_tricks.sliding_window_view(h[::-1], CUT)
         cut[len(h) - 1 - (np.arange(len(windows)) + windows.argmin(axis=1))] = True
     return cut
 
 
+def _word_ends(text: str, start: int, end: int) -> list[int]:
+    part = text[start:end]
+    sizes = [len(w) for w in part.split()]
+    first = end - len(part.lstrip())
+    if sum(sizes) + len(sizes) - 1 == len(part.strip()):  # one character between any two words
+        return [at - 1 for at in accumulate((n + 1 for n in sizes), initial=first)][1:]
+    return [m.end() for m in WORD.finditer(text, start, end)]
+
+
 def _pieces(text: str):
     """(end, words) of each sentence or part of one."""
-    parts = [(m.end(), [(w.end(), w[0].lower()) for w in WORD.finditer(text, m.start(), m.end())]) for m in SENTENCE.finditer(text)]
-    cut, at = _cuts([w for _, words in parts for _, w in words]).tolist(), 0
-    for end, words in parts:
-        own = []
-        for w_end, w in words[:-1]:
-            own.append(w)
-            if cut[at]:
-                yield w_end, own
-                own = []
-            at += 1
-        at += len(words) > 0
-        yield end, own + [w for _, w in words[-1:]]
+    parts = [(m.start(), m.end(), text[m.start():m.end()].lower().split()) for m in SENTENCE.finditer(text)]
+    cut, at = _cuts([w for _, _, words in parts for w in words]).tolist(), 0
+    for start, end, words in parts:
+        inner, lo = cut[at:at + max(len(words) - 1, 0)], 0
+        at += len(words)
+        if True in inner:  # only then the places of the words matter
+            ends = _word_ends(text, start, end)
+            for k, c in enumerate(inner, 1):
+                if c:
+                    yield ends[k - 1], words[lo:k]
+                    lo = k
+        yield end, words[lo:]
 
 
 def sentences(text: str) -> tuple[list[int], list[int], list[int]]:

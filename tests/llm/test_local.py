@@ -134,6 +134,14 @@ def test_sentences_cover_the_text_and_spans_ignore_place():
     assert not of("start here. " + passage) & of("a b c. " * 9)
 
 
+def test_word_ends_equal_the_pattern():
+    r = random.Random(8)
+    for text in ("", "  one", "one ", "\u0130 \u03a3\u03a3 x", *("".join(r.choices("ab \n\x1c\u2003\u0130", (4, 4, 4, 1, 1, 1, 1), k=60)) for _ in range(300))):
+        for start, end in ((0, len(text)), (min(3, len(text)), max(len(text) - 4, min(3, len(text))))):
+            if text[start:end].strip():
+                assert substring._word_ends(text, start, end) == [m.end() for m in substring.WORD.finditer(text, start, end)]
+
+
 def test_passages_of_50_words_share_a_span_wherever_they_stand():
     """Put in mid-sentence, with and without punctuation."""
     r = random.Random(7)
