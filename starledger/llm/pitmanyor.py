@@ -1,39 +1,42 @@
 """Language-model scoring with hierarchical Pitman-Yor processes (operator 8).
 
-The probability of a token is that of its class after the class before it,
-times that of the token in its class:
-
-* transitions: each class is a context restaurant that serves classes; all
-  of them share one parent restaurant, whose base is uniform;
-* emissions: each class is a restaurant that serves tokens; its base gives
-  ``UNKNOWN`` to the one unknown token and the rest evenly to the class's
-  training tokens.
-
-A token's class is a hash of its last two characters (``CLASSES`` of them,
-one for the end token), so both the contexts and the transition table have a
-fixed size, while emissions hold every distinct token of the corpus.
+Every training token is a context restaurant, which serves the tokens that
+follow it.  All of them share one parent restaurant of tokens; its base gives
+``UNKNOWN`` to the one unknown token and the rest evenly to the training
+tokens.  A text begins after an end token.
 
 Chinese-restaurant seating is sampled by Gibbs: the number of tables that
 serve a dish, given its customers c, the restaurant's other tables and the
 parent's probability, has the conditional S_d(c, t) a^t (S_d: generalised
 Stirling numbers, a: the weight of a new table), which sums over all seatings
-of that dish.  For c above ``EXACT`` its limit t - 1 ~ Poisson(a / d) is
-drawn.  Restaurants whose parent is a fixed base need only their table
-totals from sweep to sweep, so a sweep of the emissions is one pass over the
-vocabulary table.  Predictive probabilities are averaged over the sweeps
-after the burn-in, and the log of the average is the score.
-
-Blocks of documents are encoded against a vocabulary of their own; only each
-block's distinct tokens, not its text, meet the corpus counts in a join.
+of that dish.  That is the number of tables of a Poisson(a / d) crowd of Sibuya
+sizes that add up to c; for c above ``EXACT`` it is drawn from the Poisson
+law tilted to the sum c.  Predictive probabilities are averaged over the
+sweeps after the burn-in, and the log of the average is the score.
+
+Work is dealt in blocks of documents and in shards of keys:
+
+1. a block numbers its distinct tokens and pairs (previous token, token);
+2. its tokens meet those of other blocks by shard of their hash: corpus counts
+   and corpus numbers, those of tokens seen twice or more first;
+3. its pairs meet by shard of (number, number), so a frequent context is
+   spread over all shards: corpus counts of pairs;
+4. a pair seen once sits at one table.  A sweep draws the tables of the others
+   and adds them up by context and by token: one row for each token seen
+   twice or more.  A token seen once has one table everywhere;
+5. draws are functions of the pair, the sweep and that state, so a block
+   gets the state of its tokens and draws the tables of its pairs again.
 
 Defined results: null text counts as '' (one end token); without training
-rows every token is unknown and has the probability of its class; a null id counts as ''
+rows every token is unknown, which is certain (score 0); a null id counts as ''
 for the split; an empty table gives an empty frame; repeated rows are
 repeated; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -41,11 +44,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starledger.llm.common import remainder, text_or_empty
+from starledger.llm.common import remainder, text_or_empty, written
 from starledger.session import scratch_path
 
-CLASSES = 512
 BLOCK_TOKENS = 1 << 21
+SHARD_CHARS = 1 << 24  # the number of shards follows from the characters of all texts
 EXACT = 96
 THETA = 1.0
 UNKNOWN = 0.5  # of a new table's dish
@@ -86,16 +89,36 @@ def tables(c: np.ndarray, a: np.ndarray, d: float, u: np.ndarray, stirling: np.n
         p = np.cumsum(np.exp(logit - logit.max(axis=1, keepdims=True)), axis=1)
         t[at] = 1 + (p < u[at, None] * p[:, -1:]).sum(axis=1).clip(max=k - 1)
     at = np.flatnonzero(c > EXACT)
-    rate = a[at] / d
-    more, term = np.zeros(len(at), np.int64), np.exp(-rate)
-    below, k = term.copy(), 0
-    while len(at) and (open_ := (u[at] > below) & (more < 20 + 12 * rate)).any():
+    if len(at):
+        t[at] = np.minimum(1 + poisson(tilted(c[at], a[at] / d, d), u[at]), c[at])
+    return t
+
+
+def tilted(c: np.ndarray, rate: np.ndarray, d: float) -> np.ndarray:
+    """The rate of tables whose Sibuya sizes, tilted by x, add up to c on average:
+    rate * d * x * (1 - x)^(d - 1) = c, solved for log(1 - x)."""
+    lo, hi = np.full(len(c), -700.0), np.zeros(len(c))
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        over = np.log(rate * d) + np.log(-np.expm1(np.minimum(mid, -1e-300))) + (d - 1.0) * mid > np.log(c)
+        lo, hi = np.where(over, mid, lo), np.where(over, hi, mid)
+    return rate * -np.expm1(d * (lo + hi) / 2)
+
+
+def poisson(rate: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Poisson draws from numbers in (0, 1): by summing the law up to u, for rates above 100 by
+    its normal limit."""
+    z = np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * np.modf(u * (1 << 20))[0])
+    out = np.maximum(np.rint(rate + np.sqrt(rate) * z), 0).astype(np.int64)
+    at = np.flatnonzero(rate <= 100)
+    term = np.exp(-rate[at])
+    below, out[at], k = term.copy(), 0, 0
+    while (open_ := (u[at] > below) & (out[at] < 20 + 12 * rate[at])).any():
         k += 1
-        term = term * rate / k
-        more += open_
+        term = term * rate[at] / k
+        out[at] += open_
         below = below + term
-    t[at] = np.minimum(1 + more, c[at])
-    return t
+    return out
 
 
 def discount(ones: int, twos: int) -> float:
@@ -104,8 +127,8 @@ def discount(ones: int, twos: int) -> float:
 
 
 def transitions(counts: np.ndarray) -> np.ndarray:
-    """Averaged predictive probability of class j after class i, from the
-    counts (i, j)."""
+    """Averaged predictive probability of dish j in restaurant i, from the counts
+    (i, j): the same sampling for one small table, with a uniform base."""
     k = len(counts)
     d = discount(int((counts == 1).sum()), int((counts == 2).sum()))
     stirling = log_stirling(d)
@@ -129,22 +152,36 @@ def transitions(counts: np.ndarray) -> np.ndarray:
     return out / SWEEPS
 
 
-def word_class(word: bytes) -> int:
-    tail = word.decode(errors="replace")[-2:]
-    return 1 + xxhash.xxh3_64_intdigest(tail) % (CLASSES - 1)
+ROWS = "kind string, block bigint, shard int, doc_id bigint, held_out boolean, n bigint, data binary, more binary"
 
 
-ROWS = ("kind string, block bigint, doc_id bigint, held_out boolean, n bigint, at int, "
-        "word bigint, class int, ids binary")
+def table(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["kind", "block", "shard", "doc_id", "held_out", "n", "data", "more"])
+    return out.astype({"block": "Int64", "shard": "Int32", "doc_id": "Int64", "held_out": "boolean", "n": "Int64"})
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def joined(data, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(data), dtype)
+
+
+def sharded(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys ^ (keys >> np.uint64(31))) * _MIX[0] >> np.uint64(33)).astype(np.int64) % shards
+
+
+def slices(shard: np.ndarray):
+    """(shard, first, behind the last) of sorted shards."""
+    start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+    return [(int(shard[a]), a, b) for a, b in zip(start, [*start[1:], len(shard)])]
+
+
+def blocks(docs: DataFrame, shards: int) -> DataFrame:
     """Three kinds of rows for each block of documents:
 
-    ``text``: a document's tokens as numbers of the block's vocabulary, and
-    one row (n null) with the classes of that vocabulary;
-    ``word``: a word of that vocabulary with its training count;
-    ``pair``: a training count of class j after class i (at = i * K + j).
+    ``text``: a document as numbers of the block's pairs;
+    ``pair``: the block's pairs by context and token: the steps of the
+    context's number, the token's number, the training count;
+    ``word``: for each shard the block's tokens (keys, training counts).  Tokens
+    are numbered in this order.
     """
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
@@ -156,30 +193,30 @@ def blocks(docs: DataFrame) -> DataFrame:
             nonlocal size, made
             block = (part << 32) + made
             words = list(number)
-            keys = np.array([END, *(xxhash.xxh3_64_intdigest(w) for w in words[1:])], dtype=object)
-            keys = np.array([k if k < 1 << 63 else k - (1 << 64) for k in keys], np.int64)
-            classes = np.array([0, *map(word_class, words[1:])], np.int32)
-            train = [ids for _, held, ids in texts if not held]
-            every = np.concatenate(train) if train else np.zeros(0, np.int32)
-            counts = np.bincount(every, minlength=len(words))
-            cls = classes[every].astype(np.int64)
-            before = np.append(0, cls[:-1]) if len(cls) else cls  # a text begins after an end
-            pairs, n = np.unique(before * CLASSES + cls, return_counts=True)
-            common = {"kind": "word", "block": block, "doc_id": None, "held_out": None}
-            out = [
-                pd.DataFrame({"kind": "text", "block": block, "doc_id": [t[0] for t in texts], "held_out": [t[1] for t in texts],
-                              "n": [len(t[2]) for t in texts], "at": None, "word": None, "class": None,
-                              "ids": [t[2].tobytes() for t in texts]}),
-                pd.DataFrame(common | {"kind": "text", "n": None, "at": None, "word": None, "class": None,
-                                       "ids": [classes.astype(np.uint16).tobytes()]}),
-                pd.DataFrame(common | {"n": counts, "at": np.arange(len(words)), "word": keys, "class": classes, "ids": None}),
-                pd.DataFrame(common | {"kind": "pair", "n": n, "at": pairs, "word": None, "class": None, "ids": None})]
+            keys = np.fromiter((END % (1 << 64), *map(xxhash.xxh3_64_intdigest, words[1:])), np.uint64, len(words))
+            shard = sharded(keys, shards)
+            order = np.lexsort((keys, shard))
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            lengths = [len(ids) for _, _, ids in texts]
+            every = place[np.concatenate([ids for _, _, ids in texts])]
+            before = np.append(place[0], every[:-1])
+            trains = np.repeat([not held for _, held, _ in texts], lengths)
+            pairs, at = np.unique(before * len(words) + every, return_inverse=True)
+            n = np.bincount(at[trains], minlength=len(pairs)).astype(np.int32)
+            counts = np.bincount(every[trains], minlength=len(words)).astype(np.int32)
+            keys, at = keys[order], at.astype(np.int32)
+            pair = np.concatenate([np.diff(pairs // len(words), prepend=0).astype(np.int32), (pairs % len(words)).astype(np.int32), n])
+            out = [("pair", block, None, None, None, len(pairs), pair.tobytes(), None)]
+            out += [("word", block, s, None, None, b - a, keys[a:b].tobytes(), counts[a:b].tobytes()) for s, a, b in slices(shard[order])]
+            ends = np.cumsum(lengths)
+            out += [("text", block, None, t[0], t[1], n_, at[e - n_:e].tobytes(), None) for t, n_, e in zip(texts, lengths, ends)]
             texts.clear()
             number.clear()
             number[b"\n"] = 0
             size, made = 0, made + 1
-            types = {"doc_id": "Int64", "held_out": "boolean", "n": "Int64", "at": "Int32", "word": "Int64", "class": "Int32"}
-            yield from (x.astype(types) for x in out if len(x))
+            for lo in range(0, len(out), 4096):
+                yield table(out[lo:lo + 4096])
 
         for b in batches:
             for null, id_, held, text in zip(b["doc_id"].isna(), b["doc_id"], b["held_out"], b["text"]):
@@ -196,106 +233,237 @@ def blocks(docs: DataFrame) -> DataFrame:
                         text_or_empty().alias("text")).mapInPandas(run, ROWS))
 
 
-def emission_probability(c, t, cls, base, totals, d: float):
-    """Of tokens with c customers at t tables in their class's restaurant;
-    base: what a new table serves this very token with; totals: (tables,
-    customers) by class.  Linear in the tables: sweeps are averaged by
-    averaging those."""
-    t_sum, c_sum = totals
-    return (c - d * t + (THETA + d * t_sum[cls]) * base) / (THETA + c_sum[cls])
+def counted_words(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+    """``known``: corpus counts of a block's tokens, and their numbers in the shard: 0, 1 .. for
+    those seen twice or more, -2, -3 .. for those seen once, else -1.  ``shard``: how many of both, and all counts."""
+    keys, at = np.unique(joined(b["data"], np.uint64), return_inverse=True)
+    c = np.bincount(at, weights=joined(b["more"], np.int32), minlength=len(keys)).astype(np.int64)
+    number = np.full(len(keys), -1, np.int32)
+    number[c > 1] = np.arange((c > 1).sum())
+    number[c == 1] = -2 - np.arange((c == 1).sum())
+    rows, lo = [], 0
+    for block, n in zip(b["block"], b["n"]):
+        own, lo = at[lo:lo + n], lo + n
+        rows.append(("known", block, key[0], None, None, n, c[own].tobytes(), number[own].tobytes()))
+    rows.append(("shard", None, key[0], None, None, int(c.sum()), np.array([(c > 1).sum(), (c == 1).sum()], np.int64).tobytes(), None))
+    return table(rows)
+
+
+class Numbers:
+    """Corpus numbers of tokens from those in the shards."""
+
+    def __init__(self, twice: np.ndarray, once: np.ndarray):
+        self.twice, self.once = np.append(0, np.cumsum(twice)), np.cumsum(once) - once
+        self.repeated = int(self.twice[-1])
+
+    def of_block(self, known: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, corpus numbers; -1 if unknown) of a block's tokens."""
+        known = known.sort_values("shard")
+        shard = np.repeat(known["shard"].to_numpy(np.int64), known["n"].to_numpy(np.int64))
+        number = joined(known["more"], np.int32).astype(np.int64)
+        ids = np.where(number >= 0, self.twice[shard] + number, np.where(number < -1, self.repeated + self.once[shard] - 2 - number, -1))
+        return joined(known["data"], np.int64), ids
+
+
+def block_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    u, w, n = np.frombuffer(data, np.int32).reshape(3, -1)
+    return np.cumsum(u.astype(np.int64)), w, n
+
+
+def asked(u: np.ndarray, w: np.ndarray, ids: np.ndarray, shards: int):
+    """Places, keys and shards of a block's pairs of known tokens, by shard and key."""
+    at = np.flatnonzero((ids[u] >= 0) & (ids[w] >= 0))
+    keys = (ids[u[at]].astype(np.uint64) << np.uint64(32)) | ids[w[at]].astype(np.uint64)
+    shard = sharded(keys, shards)
+    order = np.lexsort((keys, shard))
+    return at[order], keys[order], shard[order]
+
+
+def split_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+class Base:
+    """The parent restaurant's law in one sweep."""
+
+    def __init__(self, d0: float, kinds: int, tables0: float, customers0: float):
+        self.d0, self.known, self.customers0 = d0, (1.0 - UNKNOWN) / max(kinds, 1), customers0
+        self.unknown = UNKNOWN if kinds else 1.0
+        self.new = THETA + d0 * tables0
+
+    def __call__(self, c0, t0):
+        """Of tokens with c0 customers at t0 tables; an unknown one has none."""
+        return (c0 - self.d0 * t0 + self.new * np.where(c0 > 0, self.known, self.unknown)) / (THETA + self.customers0)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
+    chars = docs.agg(F.sum(F.length(text_or_empty()).cast("bigint"))).first()[0] or 0
+    shards = 1 + chars // SHARD_CHARS
     path = scratch_path(spark, "py-blocks")
-    blocks(docs).write.partitionBy("kind").parquet(path)
+    blocks(docs, shards).write.partitionBy("kind").parquet(path)
     parts = spark.read.schema(ROWS).parquet(path)
-    texts = spark.read.schema(ROWS).parquet(path).filter("kind = 'text'").select("block", "doc_id", "held_out", "n", "ids")
     words = parts.filter("kind = 'word'")
-    vocabulary_path = scratch_path(spark, "py-vocabulary")
-    (words.groupBy("word").agg(F.sum("n").alias("c"), F.first("class").alias("class")).filter("c > 0")
-     .write.parquet(vocabulary_path))
-    vocab = spark.read.schema("word bigint, c bigint, class int").parquet(vocabulary_path)
-
-    # One row for each class and one of totals: at most CLASSES + 1 rows.
-    by_class = vocab.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("ones"),
-                                          F.count_if(F.col("c") == 2).alias("twos")).toPandas()
-    n_all, v = int(by_class["c"].sum()), int(by_class["v"].sum())
-    d = discount(int(by_class["ones"].sum()), int(by_class["twos"].sum()))
-    customers, dishes = np.zeros(CLASSES), np.zeros(CLASSES)
-    customers[by_class["class"]] = by_class["c"]
-    dishes[by_class["class"]] = by_class["v"]
-    served = (1.0 - UNKNOWN) / np.maximum(dishes, 1.0)  # by a new table of the class, for each known token
-
-    pairs = parts.filter("kind = 'pair'").groupBy("at").agg(F.sum("n").alias("n"))
-
-    def fit(batches):
-        counts = np.zeros(CLASSES * CLASSES, np.int64)
+    known = written(words.groupBy("shard").applyInPandas(counted_words, ROWS), "py-known")
+
+    # One row for each shard.
+    by_shard = sorted(known.filter("kind = 'shard'").select("shard", "n", "data").collect())
+    n_all = sum(r["n"] for r in by_shard)
+    twice, once = np.zeros((2, shards), np.int64)
+    for r in by_shard:
+        twice[r["shard"]], once[r["shard"]] = np.frombuffer(r["data"], np.int64)
+    numbers, hapax = Numbers(twice, once), int(once.sum())
+    repeated, v = numbers.repeated, numbers.repeated + hapax
+    if v >= 1 << 32:
+        raise ValueError("more than 2^32 training tokens")
+    known = known.filter("kind = 'known'")
+
+    def ask(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        _, ids = numbers.of_block(b[b["kind"] == "known"])
+        u, w, n = block_pairs(b.loc[b["kind"] == "pair", "data"].iloc[0])
+        at, keys, shard = asked(u, w, ids, shards)
+        return table([("ask", key[0], s, None, None, hi - lo, keys[lo:hi].tobytes(), n[at[lo:hi]].tobytes()) for s, lo, hi in slices(shard)])
+
+    def tally(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        """``count``: corpus counts of a block's pairs; ``twice``: pairs seen twice or more (keys, counts); ``context``, ``token``: how many
+        pairs seen once a token has on that side."""
+        keys, at = np.unique(joined(b["data"], np.uint64), return_inverse=True)
+        c = np.bincount(at, weights=joined(b["more"], np.int32), minlength=len(keys)).astype(np.int32)
+        rows, lo = [], 0
+        for block, n in zip(b["block"], b["n"]):
+            own, lo = at[lo:lo + n], lo + n
+            rows.append(("count", block, key[0], None, None, n, c[own].tobytes(), None))
+        rows.append(("twice", None, key[0], None, None, int((c == 2).sum()), keys[c > 1].tobytes(), c[c > 1].tobytes()))
+        for kind, ids in zip(("context", "token"), split_key(keys[c == 1])):
+            ids, n = np.unique(ids[ids < repeated], return_counts=True)
+            rows.append((kind, None, key[0], None, None, int((c == 1).sum()), ids.astype(np.uint32).tobytes(), n.astype(np.int32).tobytes()))
+        return table(rows)
+
+    asks = parts.filter("kind = 'pair'").unionByName(known).groupBy("block").applyInPandas(ask, ROWS)
+    tallied = asks.groupBy("shard").applyInPandas(tally, ROWS)
+    pair_path = scratch_path(spark, "py-pairs")
+    tallied.write.partitionBy("kind").parquet(pair_path)
+    tallied = spark.read.schema(ROWS).parquet(pair_path)
+    counts = tallied.filter("kind = 'count'")
+    of_counts = {r["kind"]: r["n"] for r in tallied.filter("kind in ('twice', 'context')").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    d = discount(of_counts.get("context") or 0, of_counts.get("twice") or 0)
+
+    def by_pair(batches):
         for b in batches:
-            counts[b["at"]] = b["n"]
-        yield pd.DataFrame({"p": [transitions(counts.reshape(CLASSES, CLASSES)).tobytes()]})
+            for keys, c in zip(b["data"], b["more"]):
+                u, w = split_key(np.frombuffer(keys, np.uint64))
+                for lo in range(0, len(u), 1 << 16):
+                    yield pd.DataFrame({"u": u[lo:lo + (1 << 16)], "w": w[lo:lo + (1 << 16)], "c": np.frombuffer(c, np.int32)[lo:lo + (1 << 16)]})
 
-    # The table of class pairs has CLASSES squared cells, whatever the corpus.
-    # They are summed by all tasks and then move to one.
-    table = pairs.repartition(1).mapInPandas(fit, "p binary").collect()
-    after = np.frombuffer(table[0]["p"]) if table else np.full(CLASSES * CLASSES, 1.0 / CLASSES)
+    def by_token(batches):
+        for b in batches:
+            for kind, data, n in zip(b["kind"], b["data"], b["more"]):
+                ids, n = np.frombuffer(data, np.uint32).astype(np.int64), np.frombuffer(n, np.int32)
+                for lo in range(0, len(ids), 1 << 16):
+                    own, zero = n[lo:lo + (1 << 16)], np.zeros(len(n[lo:lo + (1 << 16)]), np.int32)
+                    yield pd.DataFrame({"id": ids[lo:lo + (1 << 16)], "tu": own if kind == "context" else zero, "tw": zero if kind == "context" else own})
+
+    again = written(tallied.filter("kind = 'twice'").mapInPandas(by_pair, "u bigint, w bigint, c int"), "py-again")
+    ones = tallied.filter("kind in ('context', 'token')").mapInPandas(by_token, "id bigint, tu bigint, tw bigint")
+    first = again.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).cast("bigint").alias("tu"), F.lit(0).cast("bigint").alias("tw")),
+                                           F.struct(F.col("w").alias("id"), F.lit(0).cast("bigint").alias("tu"), F.lit(1).cast("bigint").alias("tw")))).alias("x")).select("x.*")
+    added = lambda df: df.groupBy("id").agg(F.sum("tu").alias("tu"), F.sum("tw").alias("tw"))
+    ones = written(added(ones), "py-ones")
+
+    # The state of a sweep: tables of the context (tu); customers and tables in the parent (tw, t0).
+    STATE = "id bigint, tu bigint, tw bigint, t0 bigint"
+    kinds0 = added(ones.unionByName(first)).agg(F.count_if(F.col("tw") == 1), F.count_if(F.col("tw") == 2)).first()
+    d0 = discount(hapax + (kinds0[0] or 0), kinds0[1] or 0)
+    states, bases, tables0 = [], [], float(v)
+    for sweep in range(BURN + SWEEPS):
+        drawn = first
+        if sweep:
+            old, base = states[-1], bases[-1]
+
+            def seat(batches, sweep=sweep, base=base):
+                stirling = log_stirling(d)
+                for b in batches:
+                    u, w, c = (b[x].to_numpy() for x in ("u", "w", "c"))
+                    a = (THETA + d * b["tu"].to_numpy()) * base(b["tw"].to_numpy(), b["t0"].to_numpy())
+                    t = tables(c.astype(np.int64), a, d, uniform((u << 32) | w, sweep), stirling)
+                    zero = np.zeros(len(t), np.int64)
+                    yield pd.DataFrame({"id": np.append(u, w), "tu": np.append(t, zero), "tw": np.append(zero, t)})
+
+            met = again.join(old.select(F.col("id").alias("u"), "tu"), "u").join(old.select(F.col("id").alias("w"), "tw", "t0"), "w")
+            drawn = met.select("u", "w", "c", "tu", "tw", "t0").mapInPandas(seat, "id bigint, tu bigint, tw bigint")
+
+        def parent(batches, sweep=sweep, tables0=tables0):
+            stirling = log_stirling(d0)
+            new = (THETA + d0 * tables0) * (1.0 - UNKNOWN) / max(v, 1)
+            for b in batches:
+                tw, id_ = b["tw"].to_numpy(), b["id"].to_numpy()
+                yield b.assign(t0=tables(tw, np.full(len(tw), new), d0, uniform(id_, 1000 + sweep), stirling))
 
-    totals = [dishes]
-    for sweep in range(BURN + SWEEPS - 1):
-        own = spark.sparkContext.broadcast(totals[-1])
+        state = written(added(ones.unionByName(drawn)).mapInPandas(parent, STATE), f"py-state-{sweep}")
+        all0 = state.agg(F.sum("t0"), F.sum("tw")).first()
+        tables0 = float((all0[0] or 0) + hapax)
+        bases.append(Base(d0, v, tables0, float((all0[1] or 0) + hapax)))
+        states.append(state)
+    kept = range(BURN - 1, BURN + SWEEPS)
 
-        def seat(batches, sweep=sweep, own=own):
-            stirling, sums = log_stirling(d), np.zeros(CLASSES, np.int64)
-            for b in batches:
-                c, cls = b["c"].to_numpy(), b["class"].to_numpy()
-                a = (THETA + d * own.value[cls]) * served[cls]
-                np.add.at(sums, cls, tables(c, a, d, uniform(b["word"].to_numpy(), sweep), stirling))
-            yield pd.DataFrame({"class": np.arange(CLASSES), "t": sums})
-
-        got = vocab.mapInPandas(seat, "class int, t bigint").groupBy("class").agg(F.sum("t").alias("t")).toPandas()
-        now = np.zeros(CLASSES)
-        now[got["class"]] = got["t"]
-        totals.append(now)
-    mean_tables = np.mean(totals[BURN:], axis=0)
-    model = spark.sparkContext.broadcast((np.log10(after), customers, totals, mean_tables))
-
-    def seated(batches):
-        totals = model.value[2]
-        stirling = log_stirling(d)
+    def shard_of(batches):
         for b in batches:
-            c, cls, key = b["c"].to_numpy(), b["class"].to_numpy(), b["word"].to_numpy()
-            t = np.zeros(len(c), np.int64)
-            for sweep in range(BURN, BURN + SWEEPS):
-                t += tables(c, (THETA + d * totals[sweep - 1][cls]) * served[cls], d, uniform(key, sweep - 1), stirling)
-            yield pd.DataFrame({"word": key, "c": c, "t": t})
-
-    known = vocab.mapInPandas(seated, "word bigint, c bigint, t bigint")
-    asked = words.select("block", "at", "word").join(known, "word").select("block", "at", "c", "t")
-
-    def read(key, texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        after, customers, _, mean_tables = model.value
-        cls = np.frombuffer(texts.loc[texts["n"].isna(), "ids"].iloc[0], np.uint16).astype(np.int64)
-        texts = texts[texts["n"].notna()]
-        c, t = np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64)
-        c[words["at"]] = words["c"]
-        t[words["at"]] = words["t"]
-        new = np.where(c > 0, served[cls], np.where(dishes > 0, UNKNOWN, 1.0)[cls])
-        p = np.log10(emission_probability(c, t / SWEEPS, cls, new, (mean_tables, customers), d))
-        base = np.log10((c + 0.5) / (n_all + 0.5 * (v + 1)))
+            yield b.assign(shard=(np.searchsorted(numbers.twice, b["id"].to_numpy(), side="right") - 1).astype(np.int32))
+
+    columns = [f"{c}{s}" for s in kept for c in ("tu", "tw", "t0")]
+    wide = None
+    for s in kept:
+        own = states[s].select("id", *[F.col(c).alias(f"{c}{s}") for c in ("tu", "tw", "t0")])
+        wide = own if wide is None else wide.join(own, "id")
+    wide = wide.mapInPandas(shard_of, "id bigint, " + ", ".join(f"{c} bigint" for c in columns) + ", shard int")
+
+    def state_of(key: tuple, b: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        """``state`` of a block's tokens seen twice or more."""
+        values = state.sort_values("id")[columns].to_numpy(np.int32).reshape(-1, len(columns))
+        rows = []
+        for block, more in zip(b["block"], b["more"]):
+            number = np.frombuffer(more, np.int32)
+            own = values[number[number >= 0]]
+            rows.append(("state", block, key[0], None, None, len(own), np.ascontiguousarray(own.T).tobytes(), None))
+        return table(rows)
+
+    sent = known.groupBy("shard").cogroup(wide.groupBy("shard")).applyInPandas(state_of, ROWS)
+
+    def read(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        of = {k: x for k, x in b.groupby("kind")}
+        texts = of["text"]
+        c, ids = numbers.of_block(of["known"])
+        u, w, _ = block_pairs(of["pair"]["data"].iloc[0])
+        at, keys, _ = asked(u, w, ids, shards)
+        cp = np.zeros(len(u), np.int64)
+        if "count" in of:
+            cp[at] = joined(of["count"].sort_values("shard")["data"], np.int32)
+        state = np.repeat(np.minimum(c, 1)[None, :], len(columns), axis=0)
+        own = [np.frombuffer(x, np.int32).reshape(len(columns), -1) for x in of["state"].sort_values("shard")["data"]] if "state" in of else []
+        if own:
+            state[:, (ids >= 0) & (ids < repeated)] = np.concatenate(own, axis=1)
+        more = at[cp[at] > 1]
+        spots, stirling, p = keys[cp[at] > 1].view(np.int64), log_stirling(d), np.zeros(len(u))
+        for i, sweep in enumerate(kept):
+            tu, p0 = state[3 * i], bases[sweep](state[3 * i + 1], state[3 * i + 2])
+            if i:
+                t = np.minimum(cp, 1)
+                t[more] = tables(cp[more], weight, d, uniform(spots, sweep), stirling)  # noqa: F821
+                p += (cp - d * t + (THETA + d * tu[u]) * p0[w]) / (THETA + c[u])
+            weight = (THETA + d * tu[u[more]]) * p0[w[more]]  # noqa: F841
+        p, base = np.log10(p / SWEEPS), np.log10((c + 0.5) / (n_all + 0.5 * (v + 1)))
         rows = []
-        for data in texts["ids"]:
-            ids = np.frombuffer(data, np.int32)
-            k = cls[ids]
-            before = np.append(0, k[:-1])
-            rows.append((len(ids), int((c[ids] > 0).sum()), n_all, float(base[ids].sum()),
-                         float(p[ids].sum() + after[before * CLASSES + k].sum())))
+        for data in texts["data"]:
+            pair = np.frombuffer(data, np.int32)
+            word = w[pair]
+            rows.append((len(pair), int((c[word] > 0).sum()), n_all, float(base[word].sum()), float(p[pair].sum())))
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
         return pd.concat([texts[["doc_id", "held_out"]].astype({"doc_id": "Int64"}).reset_index(drop=True), out], axis=1)
 
-    return (texts.groupBy("block").cogroup(asked.groupBy("block"))
-            .applyInPandas(read, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
-                                 "base_score double, score double"))
+    every = functools.reduce(DataFrame.unionByName, [parts.filter("kind in ('text', 'pair')"), known, counts, sent])
+    return every.groupBy("block").applyInPandas(read, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+                                                      "base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,6 +336,69 @@ def test_held_out_score_beats_the_base(spark):
     assert got[0] > got[1]
 
 
+def test_a_token_is_scored_in_its_own_context(spark):
+    """Tokens with equal ends and equal counts: only the pairs differ."""
+    texts = ["left-ab up-cd", "right-ab down-cd"] * 30
+    train = [d for d in range(400) if zlib.crc32(str(d).encode()) % 5 != 1][:len(texts)]
+    asked = [d for d in range(1000, 1100) if zlib.crc32(str(d).encode()) % 5 == 1]
+    asked_texts = ["left-ab up-cd", "left-ab down-cd", "right-ab down-cd", "left-ab new-cd"]
+    rows = [*zip(train, texts), *zip(asked, asked_texts)]
+    got = {r["doc_id"]: r for r in pitmanyor.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    seen, crossed, other, unknown = (got[d] for d in asked[:4])
+    assert seen["base_score"] == pytest.approx(crossed["base_score"])
+    assert seen["score"] > crossed["score"] + 1 and other["score"] > crossed["score"] + 1
+    assert unknown["score"] < seen["score"] - 1
+
+
+def plain_scores(rows):
+    """The model of ``pitmanyor`` in one process, over dictionaries."""
+    tokens = {d: [*t.lower().split(), None] for d, t in rows}
+    train = [own for d, own in tokens.items() if zlib.crc32(str(d).encode()) % 5 != 1]
+    c = collections.Counter(x for own in train for x in own)
+    pairs = collections.Counter(p for own in train for p in zip([None, *own], own))
+    v, keys = len(c), list(pairs)
+    of_count = collections.Counter(pairs.values())
+    d = pitmanyor.discount(of_count[1], of_count[2])
+    contexts = collections.Counter(collections.Counter(w for _, w in keys).values())
+    d0 = pitmanyor.discount(contexts[1], contexts[2])
+    word, n = {w: i for i, w in enumerate(c)}, np.array([pairs[k] for k in keys])
+    u, w = (np.array([word[k[i]] for k in keys]) for i in (0, 1))
+    t, t0, kept = np.ones(len(keys), np.int64), np.ones(v, np.int64), []
+    for sweep in range(pitmanyor.BURN + pitmanyor.SWEEPS):
+        if sweep:
+            t = pitmanyor.tables(n, (1 + d * tu[u]) * parent[w], d, pitmanyor.uniform(np.arange(len(keys)), sweep), pitmanyor.log_stirling(d))  # noqa: F821
+        tu, tw = np.bincount(u, weights=t, minlength=v), np.bincount(w, weights=t, minlength=v).astype(np.int64)
+        new = (1 + d0 * t0.sum()) * (1 - pitmanyor.UNKNOWN) / v
+        t0 = pitmanyor.tables(tw, np.full(v, new), d0, pitmanyor.uniform(np.arange(v), 1000 + sweep), pitmanyor.log_stirling(d0))
+        new, all0 = 1 + d0 * t0.sum(), 1 + tw.sum()
+        parent, unknown = (tw - d0 * t0 + new * (1 - pitmanyor.UNKNOWN) / v) / all0, new * pitmanyor.UNKNOWN / all0
+        if sweep >= pitmanyor.BURN:
+            kept.append((dict(zip(keys, t)), tu, parent, unknown))
+    out = {}
+    for doc, own in tokens.items():
+        out[doc] = 0.0
+        for x, y in zip([None, *own], own):
+            p = 0.0
+            for seats, tu, parent, unknown in kept:
+                up = parent[word[y]] if y in word else unknown
+                p += (pairs[x, y] - d * seats.get((x, y), 0) + (1 + d * (tu[word[x]] if x in word else 0)) * up) / (1 + c[x])
+            out[doc] += math.log10(p / len(kept))
+    return out
+
+
+def test_scores_against_the_model_in_one_process(spark, monkeypatch):
+    rows = [(r["doc_id"], r["text"]) for r in queries.read(spark, SF_SMALL, "documents").filter("text is not null and doc_id % 3 = 0").collect() if r["text"].isascii()]
+    rows += [(10 ** 6 + i, t) for i, (_, t) in enumerate(rows[:30])]
+    want = plain_scores(rows)
+    monkeypatch.setattr(pitmanyor, "SHARD_CHARS", 50_000)  # several shards and blocks
+    monkeypatch.setattr(pitmanyor, "BLOCK_TOKENS", 5_000)
+    got = {r["doc_id"]: r["score"] for r in pitmanyor.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got.keys() == want.keys()
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.003)
+    for d in want:
+        assert got[d] == pytest.approx(want[d], rel=0.03, abs=1.0)
+
+
 def test_fingerprints_against_a_plain_edit(docs):
     got = fingerprint.fingerprint_edits(docs.filter("doc_id is null or doc_id != 7")).collect()
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect() if r["doc_id"] != 7), key=lambda r: -(r[0] if r[0] is not None else -1 << 63))

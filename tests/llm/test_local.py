@@ -191,6 +191,15 @@ def test_table_counts_follow_their_conditional():
     assert (many >= 1).all()
 
 
+def test_tables_of_many_customers_follow_their_mean():
+    for d, c, a in ((0.5, 97, 100.0), (0.5, 300, 3.0), (0.8, 300, 500.0), (0.95, 97, 20.0)):
+        p = pitmanyor.log_stirling(d, 400)[c, 1:c + 1] + np.log(a) * np.arange(1, c + 1)
+        p = np.exp(p - p.max())
+        t = pitmanyor.tables(np.full(4000, c), np.full(4000, a), d, pitmanyor.uniform(np.arange(4000), 3), pitmanyor.log_stirling(d))
+        assert t.mean() == pytest.approx((p * np.arange(1, c + 1)).sum() / p.sum(), rel=0.05)
+    assert pitmanyor.tables(np.array([10 ** 7]), np.array([1e6]), 0.8, np.array([0.4]), pitmanyor.log_stirling(0.8))[0] > 1000
+
+
 def test_transitions_are_a_distribution():
     counts = np.random.default_rng(4).poisson(0.3, (20, 20)) * 3
     p = pitmanyor.transitions(counts)
