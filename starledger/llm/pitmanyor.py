@@ -36,6 +36,7 @@ repeated; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starledger.llm.common import remainder, text_or_empty, written
+from starledger.llm.common import forget, remainder, text_or_empty, written
 from starledger.session import scratch_path
 
 BLOCK_TOKENS = 1 << 21
@@ -160,8 +161,19 @@ def table(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"block": "Int64", "shard": "Int32", "doc_id": "Int64", "held_out": "boolean", "n": "Int64"})
 
 
-def joined(data, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(data), dtype)
+def packed(x: np.ndarray, kind=np.int32) -> bytes:
+    """Numbers, compressed byte by byte: most upper bytes are zero."""
+    x = np.ascontiguousarray(x, kind)
+    return zlib.compress(x.ravel().view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+
+
+def unpacked(data: bytes, kind=np.int32) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def joined(data, kind=np.int32) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in data)])
 
 
 def sharded(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -174,14 +186,20 @@ def slices(shard: np.ndarray):
     return [(int(shard[a]), a, b) for a, b in zip(start, [*start[1:], len(shard)])]
 
 
+def pairs_of(every: np.ndarray, end: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs (previous token, token) of texts, in order, and the pair of each token."""
+    pairs, at = np.unique(np.append(end, every[:-1]) * words + every, return_inverse=True)
+    return pairs // words, pairs % words, at
+
+
 def blocks(docs: DataFrame, shards: int) -> DataFrame:
-    """Three kinds of rows for each block of documents:
+    """Four kinds of rows for each block of documents:
 
-    ``text``: a document as numbers of the block's pairs;
-    ``pair``: the block's pairs by context and token: the steps of the
-    context's number, the token's number, the training count;
-    ``word``: for each shard the block's tokens (keys, training counts).  Tokens
-    are numbered in this order.
+    ``word``: for each shard the block's tokens (keys, training counts), which are
+    numbered in this order;
+    ``pair``: the block's pairs by context and token (``pairs_of``, training counts);
+    ``text``: a document's tokens as they first came in the block;
+    ``place``: their numbers.
     """
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
@@ -200,17 +218,15 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
             place[order] = np.arange(len(words))
             lengths = [len(ids) for _, _, ids in texts]
             every = place[np.concatenate([ids for _, _, ids in texts])]
-            before = np.append(place[0], every[:-1])
             trains = np.repeat([not held for _, held, _ in texts], lengths)
-            pairs, at = np.unique(before * len(words) + every, return_inverse=True)
-            n = np.bincount(at[trains], minlength=len(pairs)).astype(np.int32)
-            counts = np.bincount(every[trains], minlength=len(words)).astype(np.int32)
-            keys, at = keys[order], at.astype(np.int32)
-            pair = np.concatenate([np.diff(pairs // len(words), prepend=0).astype(np.int32), (pairs % len(words)).astype(np.int32), n])
-            out = [("pair", block, None, None, None, len(pairs), pair.tobytes(), None)]
-            out += [("word", block, s, None, None, b - a, keys[a:b].tobytes(), counts[a:b].tobytes()) for s, a, b in slices(shard[order])]
-            ends = np.cumsum(lengths)
-            out += [("text", block, None, t[0], t[1], n_, at[e - n_:e].tobytes(), None) for t, n_, e in zip(texts, lengths, ends)]
+            counts = np.bincount(every[trains], minlength=len(words))
+            u, w, at = pairs_of(every, place[0], len(words))
+            n = np.bincount(at[trains], minlength=len(u))
+            keys = keys[order]
+            out = [("pair", block, None, None, None, len(u), packed(np.append(np.diff(u, prepend=0), w)), packed(n)),
+                   ("place", block, None, None, None, len(words), packed(place), None)]
+            out += [("word", block, s, None, None, b - a, packed(keys[a:b], np.uint64), packed(counts[a:b])) for s, a, b in slices(shard[order])]
+            out += [("text", block, None, id_, held, len(ids), packed(ids), None) for id_, held, ids in texts]
             texts.clear()
             number.clear()
             number[b"\n"] = 0
@@ -237,14 +253,14 @@ def counted_words(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
     """``known``: corpus counts of a block's tokens, and their numbers in the shard: 0, 1 .. for
     those seen twice or more, -2, -3 .. for those seen once, else -1.  ``shard``: how many of both, and all counts."""
     keys, at = np.unique(joined(b["data"], np.uint64), return_inverse=True)
-    c = np.bincount(at, weights=joined(b["more"], np.int32), minlength=len(keys)).astype(np.int64)
+    c = np.bincount(at, weights=joined(b["more"]), minlength=len(keys)).astype(np.int64)
     number = np.full(len(keys), -1, np.int32)
     number[c > 1] = np.arange((c > 1).sum())
     number[c == 1] = -2 - np.arange((c == 1).sum())
     rows, lo = [], 0
     for block, n in zip(b["block"], b["n"]):
         own, lo = at[lo:lo + n], lo + n
-        rows.append(("known", block, key[0], None, None, n, c[own].tobytes(), number[own].tobytes()))
+        rows.append(("known", block, key[0], None, None, n, packed(c[own], np.int64), packed(number[own])))
     rows.append(("shard", None, key[0], None, None, int(c.sum()), np.array([(c > 1).sum(), (c == 1).sum()], np.int64).tobytes(), None))
     return table(rows)
 
@@ -260,16 +276,11 @@ class Numbers:
         """(counts, corpus numbers; -1 if unknown) of a block's tokens."""
         known = known.sort_values("shard")
         shard = np.repeat(known["shard"].to_numpy(np.int64), known["n"].to_numpy(np.int64))
-        number = joined(known["more"], np.int32).astype(np.int64)
+        number = joined(known["more"]).astype(np.int64)
         ids = np.where(number >= 0, self.twice[shard] + number, np.where(number < -1, self.repeated + self.once[shard] - 2 - number, -1))
         return joined(known["data"], np.int64), ids
 
 
-def block_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    u, w, n = np.frombuffer(data, np.int32).reshape(3, -1)
-    return np.cumsum(u.astype(np.int64)), w, n
-
-
 def asked(u: np.ndarray, w: np.ndarray, ids: np.ndarray, shards: int):
     """Places, keys and shards of a block's pairs of known tokens, by shard and key."""
     at = np.flatnonzero((ids[u] >= 0) & (ids[w] >= 0))
@@ -283,6 +294,17 @@ def split_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys: the steps of their first half, and their second half."""
+    u, w = split_key(keys)
+    return packed(np.append(np.diff(u, prepend=0), w), np.uint32)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    u, w = unpacked(data, np.uint32).astype(np.uint64).reshape(2, -1)
+    return (np.cumsum(u, dtype=np.uint64) << np.uint64(32)) | w
+
+
 class Base:
     """The parent restaurant's law in one sweep."""
 
@@ -296,6 +318,13 @@ class Base:
         return (c0 - self.d0 * t0 + self.new * np.where(c0 > 0, self.known, self.unknown)) / (THETA + self.customers0)
 
 
+def of_kind(parts: DataFrame, path: str, kind: str) -> DataFrame:
+    """Rows of one kind, which lie in a folder of their own."""
+    out = parts.filter(F.col("kind") == kind)
+    out.written_to = f"{path}/kind={kind}"
+    return out
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
@@ -304,8 +333,9 @@ def score(docs: DataFrame) -> DataFrame:
     path = scratch_path(spark, "py-blocks")
     blocks(docs, shards).write.partitionBy("kind").parquet(path)
     parts = spark.read.schema(ROWS).parquet(path)
-    words = parts.filter("kind = 'word'")
+    words, pairs = of_kind(parts, path, "word"), of_kind(parts, path, "pair")
     known = written(words.groupBy("shard").applyInPandas(counted_words, ROWS), "py-known")
+    forget(words)
 
     # One row for each shard.
     by_shard = sorted(known.filter("kind = 'shard'").select("shard", "n", "data").collect())
@@ -321,29 +351,32 @@ def score(docs: DataFrame) -> DataFrame:
 
     def ask(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         _, ids = numbers.of_block(b[b["kind"] == "known"])
-        u, w, n = block_pairs(b.loc[b["kind"] == "pair", "data"].iloc[0])
-        at, keys, shard = asked(u, w, ids, shards)
-        return table([("ask", key[0], s, None, None, hi - lo, keys[lo:hi].tobytes(), n[at[lo:hi]].tobytes()) for s, lo, hi in slices(shard)])
+        pair = b[b["kind"] == "pair"]
+        u, w = joined(pair["data"]).astype(np.int64).reshape(2, -1)
+        at, keys, shard = asked(np.cumsum(u), w, ids, shards)
+        n = joined(pair["more"])[at]
+        return table([("ask", key[0], s, None, None, hi - lo, packed_keys(keys[lo:hi]), packed(n[lo:hi])) for s, lo, hi in slices(shard)])
 
     def tally(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         """``count``: corpus counts of a block's pairs; ``twice``: pairs seen twice or more (keys, counts); ``context``, ``token``: how many
         pairs seen once a token has on that side."""
-        keys, at = np.unique(joined(b["data"], np.uint64), return_inverse=True)
-        c = np.bincount(at, weights=joined(b["more"], np.int32), minlength=len(keys)).astype(np.int32)
+        keys, at = np.unique(np.concatenate([unpacked_keys(x) for x in b["data"]]), return_inverse=True)
+        c = np.bincount(at, weights=joined(b["more"]), minlength=len(keys)).astype(np.int32)
         rows, lo = [], 0
         for block, n in zip(b["block"], b["n"]):
             own, lo = at[lo:lo + n], lo + n
-            rows.append(("count", block, key[0], None, None, n, c[own].tobytes(), None))
-        rows.append(("twice", None, key[0], None, None, int((c == 2).sum()), keys[c > 1].tobytes(), c[c > 1].tobytes()))
+            rows.append(("count", block, key[0], None, None, n, packed(c[own]), None))
+        rows.append(("twice", None, key[0], None, None, int((c == 2).sum()), packed_keys(keys[c > 1]), packed(c[c > 1])))
         for kind, ids in zip(("context", "token"), split_key(keys[c == 1])):
             ids, n = np.unique(ids[ids < repeated], return_counts=True)
-            rows.append((kind, None, key[0], None, None, int((c == 1).sum()), ids.astype(np.uint32).tobytes(), n.astype(np.int32).tobytes()))
+            rows.append((kind, None, key[0], None, None, int((c == 1).sum()), packed(np.diff(ids, prepend=0), np.uint32), packed(n)))
         return table(rows)
 
-    asks = parts.filter("kind = 'pair'").unionByName(known).groupBy("block").applyInPandas(ask, ROWS)
+    asks = pairs.unionByName(known).groupBy("block").applyInPandas(ask, ROWS)
     tallied = asks.groupBy("shard").applyInPandas(tally, ROWS)
     pair_path = scratch_path(spark, "py-pairs")
     tallied.write.partitionBy("kind").parquet(pair_path)
+    forget(pairs)
     tallied = spark.read.schema(ROWS).parquet(pair_path)
     counts = tallied.filter("kind = 'count'")
     of_counts = {r["kind"]: r["n"] for r in tallied.filter("kind in ('twice', 'context')").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
@@ -352,14 +385,14 @@ def score(docs: DataFrame) -> DataFrame:
     def by_pair(batches):
         for b in batches:
             for keys, c in zip(b["data"], b["more"]):
-                u, w = split_key(np.frombuffer(keys, np.uint64))
+                (u, w), c = split_key(unpacked_keys(keys)), unpacked(c)
                 for lo in range(0, len(u), 1 << 16):
-                    yield pd.DataFrame({"u": u[lo:lo + (1 << 16)], "w": w[lo:lo + (1 << 16)], "c": np.frombuffer(c, np.int32)[lo:lo + (1 << 16)]})
+                    yield pd.DataFrame({"u": u[lo:lo + (1 << 16)], "w": w[lo:lo + (1 << 16)], "c": c[lo:lo + (1 << 16)]})
 
     def by_token(batches):
         for b in batches:
             for kind, data, n in zip(b["kind"], b["data"], b["more"]):
-                ids, n = np.frombuffer(data, np.uint32).astype(np.int64), np.frombuffer(n, np.int32)
+                ids, n = np.cumsum(unpacked(data, np.uint32), dtype=np.int64), unpacked(n)
                 for lo in range(0, len(ids), 1 << 16):
                     own, zero = n[lo:lo + (1 << 16)], np.zeros(len(n[lo:lo + (1 << 16)]), np.int32)
                     yield pd.DataFrame({"id": ids[lo:lo + (1 << 16)], "tu": own if kind == "context" else zero, "tw": zero if kind == "context" else own})
@@ -411,57 +444,56 @@ def score(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield b.assign(shard=(np.searchsorted(numbers.twice, b["id"].to_numpy(), side="right") - 1).astype(np.int32))
 
-    columns = [f"{c}{s}" for s in kept for c in ("tu", "tw", "t0")]
-    wide = None
-    for s in kept:
-        own = states[s].select("id", *[F.col(c).alias(f"{c}{s}") for c in ("tu", "tw", "t0")])
-        wide = own if wide is None else wide.join(own, "id")
-    wide = wide.mapInPandas(shard_of, "id bigint, " + ", ".join(f"{c} bigint" for c in columns) + ", shard int")
+    forget(*states[:BURN - 1], again, ones)
+    long = functools.reduce(DataFrame.unionByName, [states[s].withColumn("sweep", F.lit(s)) for s in kept])
+    long = long.mapInPandas(shard_of, STATE + ", sweep int, shard int")
 
     def state_of(key: tuple, b: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         """``state`` of a block's tokens seen twice or more."""
-        values = state.sort_values("id")[columns].to_numpy(np.int32).reshape(-1, len(columns))
+        values = state.sort_values(["sweep", "id"])[["tu", "tw", "t0"]].to_numpy(np.int32).reshape(len(kept), -1, 3).transpose(0, 2, 1)
         rows = []
         for block, more in zip(b["block"], b["more"]):
-            number = np.frombuffer(more, np.int32)
-            own = values[number[number >= 0]]
-            rows.append(("state", block, key[0], None, None, len(own), np.ascontiguousarray(own.T).tobytes(), None))
+            number = unpacked(more)
+            own = values[:, :, number[number >= 0]]
+            rows.append(("state", block, key[0], None, None, own.shape[2], packed(np.diff(own, axis=0, prepend=0)), None))
         return table(rows)
 
-    sent = known.groupBy("shard").cogroup(wide.groupBy("shard")).applyInPandas(state_of, ROWS)
+    sent = known.groupBy("shard").cogroup(long.groupBy("shard")).applyInPandas(state_of, ROWS)
 
     def read(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         of = {k: x for k, x in b.groupby("kind")}
         texts = of["text"]
         c, ids = numbers.of_block(of["known"])
-        u, w, _ = block_pairs(of["pair"]["data"].iloc[0])
+        place = joined(of["place"]["data"])
+        tokens = [unpacked(x) for x in texts["data"]]
+        u, w, every = pairs_of(place[np.concatenate(tokens)].astype(np.int64), place[0], len(place))
         at, keys, _ = asked(u, w, ids, shards)
         cp = np.zeros(len(u), np.int64)
         if "count" in of:
-            cp[at] = joined(of["count"].sort_values("shard")["data"], np.int32)
-        state = np.repeat(np.minimum(c, 1)[None, :], len(columns), axis=0)
-        own = [np.frombuffer(x, np.int32).reshape(len(columns), -1) for x in of["state"].sort_values("shard")["data"]] if "state" in of else []
+            cp[at] = joined(of["count"].sort_values("shard")["data"])
+        state = np.tile(np.minimum(c, 1), (len(kept), 3, 1))
+        own = [unpacked(x).reshape(len(kept), 3, n) for n, x in of["state"].sort_values("shard")[["n", "data"]].itertuples(index=False)] if "state" in of else []
         if own:
-            state[:, (ids >= 0) & (ids < repeated)] = np.concatenate(own, axis=1)
+            state[:, :, (ids >= 0) & (ids < repeated)] = np.cumsum(np.concatenate(own, axis=2), axis=0)
         more = at[cp[at] > 1]
         spots, stirling, p = keys[cp[at] > 1].view(np.int64), log_stirling(d), np.zeros(len(u))
         for i, sweep in enumerate(kept):
-            tu, p0 = state[3 * i], bases[sweep](state[3 * i + 1], state[3 * i + 2])
+            tu, p0 = state[i, 0], bases[sweep](state[i, 1], state[i, 2])
             if i:
                 t = np.minimum(cp, 1)
                 t[more] = tables(cp[more], weight, d, uniform(spots, sweep), stirling)  # noqa: F821
                 p += (cp - d * t + (THETA + d * tu[u]) * p0[w]) / (THETA + c[u])
             weight = (THETA + d * tu[u[more]]) * p0[w[more]]  # noqa: F841
         p, base = np.log10(p / SWEEPS), np.log10((c + 0.5) / (n_all + 0.5 * (v + 1)))
-        rows = []
-        for data in texts["data"]:
-            pair = np.frombuffer(data, np.int32)
+        rows, lo = [], 0
+        for own in tokens:
+            pair, lo = every[lo:lo + len(own)], lo + len(own)
             word = w[pair]
             rows.append((len(pair), int((c[word] > 0).sum()), n_all, float(base[word].sum()), float(p[pair].sum())))
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
         return pd.concat([texts[["doc_id", "held_out"]].astype({"doc_id": "Int64"}).reset_index(drop=True), out], axis=1)
 
-    every = functools.reduce(DataFrame.unionByName, [parts.filter("kind in ('text', 'pair')"), known, counts, sent])
+    every = functools.reduce(DataFrame.unionByName, [parts.filter("kind in ('text', 'place')"), known, counts, sent])
     return every.groupBy("block").applyInPandas(read, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                                                       "base_score double, score double")
 
