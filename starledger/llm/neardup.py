@@ -13,10 +13,12 @@
   aligned with it; those that fail form the bucket of the next round.
 * A member that failed, and that verified links of other buckets have not put into its
   leader's class by then, is compared with every member of its buckets that is
-  of another class, by length and by bags of words, in blocks of members.  What
-  they leave is aligned: first the closest pair of two classes, which joins
-  most of them, then all pairs whose classes still differ.  So every near pair
-  that shares a bucket ends in one class, however many rounds were made.
+  of another class, in blocks of members: by length and by bags of words first,
+  which leaves few members; then these by alignment, the closest pairs first,
+  as long as their classes differ.  A pair that shares buckets is aligned in one of
+  them.  Tasks return the links that joined two classes, fewer than the rows
+  they were given.  So every near pair that shares a bucket ends in one class,
+  however many rounds were made.
 * A candidate is verified by banded alignment of the words: of the band of
   diagonals that the threshold allows, the furthest cell reached with 0, 1,
   2 .. edits.  Bags of words and of neighbouring words bound it first.
@@ -32,6 +34,7 @@ belong to one class; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -48,7 +51,6 @@ SHORT = 30
 SHORT_SKETCHES = 12
 THRESHOLD = 0.8
 ROUNDS = 2
-PROBES = 2   # turns in which two classes are compared by one pair
 BLOCK = 512  # rows a side that a task compares at a time
 FINE = 1024  # bins of those comparisons; a multiple of BINS
 BINS = 128
@@ -354,101 +356,139 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, ro
     failed = pairs([s.filter("not near").select("bucket", "a", "b") for s in stars]).join(of("b"), "b", "left").join(of("a"), "a", "left")
     failed = failed.filter(F.coalesce("root_b", "b") != F.coalesce("root_a", "a"))
     failed = written(failed.select("bucket", F.col("b").alias("key")).distinct(), "omh-failed")
-    aligned = written(pairs([s.filter("not near and d > bags").select("a", "b") for s in stars]).distinct(), "omh-aligned")
+    # A bucket of two texts is settled by its leader; one of three by two leaders, if both others failed the first.
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n_j"))
+    near = pairs(stars[:max(1, len(stars) - 1)]).filter("near").select("bucket").distinct().withColumn("mixed", F.lit(True))
+    open_ = sizes.join(near, "bucket", "left").filter(F.col("n_j") > F.when(F.col("mixed"), 2).otherwise(1 + len(stars))).select("bucket", "n_j")
+    failed = written(failed.join(open_, "bucket"), "omh-unsettled")
     forget(*stars)
-    open_ = written(asked_pairs(members, failed, texts, root, threshold).join(aligned, ["a", "b"], "left_anti"), "omh-open")
-    forget(members, failed, facts, aligned)
-    new = [found]
-    for turn in range(PROBES + 1):
-        if open_.isEmpty():
-            break
-        # First the closest pair of two classes by their bags: most classes join by it.  Then all that is left.
-        ask = open_
-        if turn < PROBES:
-            best = F.min_by(F.struct("a", "b", "bags"), F.struct("bags", "a", "b")).alias("best")
-            ask = open_.groupBy("root_a", "root_b").agg(best).select("best.*", "root_a", "root_b")
-        ask = written(ask, "omh-ask")
-        verdicts = written(verified(ask.select("a", "b", "bags"), texts, threshold), "omh-answers")
-        near = written(verdicts.filter("near").select("a", "b"), "omh-near")
-        new.append(near)
-        if turn == PROBES:
-            break
-        joined = components(ask.join(near, ["a", "b"], "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        left = open_.join(ask.select("a", "b"), ["a", "b"], "left_anti")
-        for x in ("root_a", "root_b"):
-            left = left.join(joined.select(F.col("key").alias(x), F.col("root").alias("to")), x, "left").withColumn(x, F.coalesce("to", x)).drop("to")
-        left = left.filter("root_a != root_b").select("a", "b", "bags", F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b"))
-        left = written(left, "omh-open")
-        forget(open_, ask, verdicts)
-        open_ = left
-    forget(texts)
-    return pairs(new)
+    new = joining_links(members, failed, texts, root, threshold)
+    forget(members, facts, texts)
+    return pairs([found, new])
 
 
-def asked_pairs(members: DataFrame, failed: DataFrame, texts: DataFrame, root: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, bags, root_a, root_b), a < b: every pair of a failed text (bucket, key) and
-    a member of that bucket whose classes differ and that neither length nor
-    bags rule out.
+def joining_links(members: DataFrame, failed: DataFrame, texts: DataFrame, root: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join the classes of failed texts (bucket, key, n_j: members of the bucket) and near
+    members of their buckets.
 
     A bucket is cut into blocks of asking texts and blocks of members; one
     group of rows is a block of each, so a task holds ``BLOCK`` rows a side,
     whatever the bucket."""
-    cuts = F.ceil(F.col("n") / BLOCK).cast("int")
-    asks = failed.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", cuts.alias("n_i"))
-    sizes = members.join(asks.select("bucket"), "bucket", "left_semi").groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", cuts.alias("n_j"))
-    own = members.join(asks, "bucket").join(sizes, "bucket").join(failed.withColumn("asks", F.lit(True)), ["bucket", "key"], "left")
-    own = written(own, "omh-opened")
+    asks = failed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_i"), F.ceil(F.max("n_j") / BLOCK).cast("int").alias("n_j"))
+    own = members.join(asks, "bucket").join(failed.select("bucket", "key", F.lit(True).alias("asks")), ["bucket", "key"], "left")
+    own = written(own.withColumn("asks", F.coalesce("asks", F.lit(False))), "omh-opened")
 
     def fine(batches):
         for b in batches:
             bags = [np.minimum(bag(word_hashes(t.lower().split()), FINE), 255).astype(np.uint8).tobytes() for t in b["text"]]
             yield pd.DataFrame({"key": b["key"], "bag": bags})
 
-    bags = texts.join(own.select("key").distinct(), "key", "left_semi").mapInPandas(fine, "key binary, bag binary")
-    opened, own = own, own.join(root, "key", "left").join(bags, "key")
-    own = written(own.select("bucket", "key", "n_words", "bag", F.coalesce("root", "key").alias("root"), F.coalesce("asks", F.lit(False)).alias("asks"), "n_i", "n_j"), "omh-open-buckets")
-    forget(opened)
     block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    row = ["bucket", "key", "n_words", "bag", "root", "asks"]
-    first = own.filter("asks").select(*row, F.lit(0).alias("side"), block("n_i").alias("i"), every("n_j").alias("j"))
-    second = own.select(*row, F.lit(1).alias("side"), every("n_i").alias("i"), block("n_j").alias("j"))
     group = ["bucket", "i", "j"]
 
-    def met(b: pd.DataFrame):
-        key, root, n, asks, side = (b[c].to_numpy() for c in ("key", "root", "n_words", "asks", "side"))
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows by blocks: of asking texts (side 0) and of all (side 1)."""
+        first = rows.filter("asks").select("bucket", block("n_i").alias("i"), every("n_j").alias("j"), F.lit(0).alias("side"), *columns)
+        second = rows.select("bucket", every("n_i").alias("i"), block("n_j").alias("j"), F.lit(1).alias("side"), *columns)
+        return first.union(second).repartition(*group).sortWithinPartitions(*group)
+
+    def groups(batches):
+        """The groups, as arrays by column, that lie in order in the batches."""
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            of = {c: b[c].to_numpy() for c in b.columns}
+            new = np.append(True, np.any([of[c][1:] != of[c][:-1] for c in group], axis=0))
+            start = np.flatnonzero(new)
+            for lo, hi in zip(start[:-1], start[1:]):
+                yield {c: x[lo:hi] for c, x in of.items()}
+            held = b.iloc[start[-1]:] if len(start) else None
+        if held is not None and len(held):
+            yield {c: held[c].to_numpy() for c in held.columns}
+
+    def candidates(g: dict):
+        """(i, those j that lengths and bags do not rule out, bags' distances) of each asking row i."""
+        x, y = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
+        key, root, n, asks = g["key"], g["root"], g["n_words"], g["asks"].astype(bool)
         if not len(x) or not len(y):
             return
-        bags = np.frombuffer(b"".join(b["bag"]), np.uint8).reshape(len(b), FINE).astype(np.int32)
-        coarse = bags.reshape(len(b), FINE // BINS, BINS).sum(axis=1)
+        bags = coarse = None
         most = lambda i, j: ((1.0 - threshold) * np.maximum(n[j], n[i]) + 1e-9).astype(np.int64)
         for i in x:
             j = y[np.abs(n[y] - n[i]) <= most(i, y)]
-            j = j[(root[j] != root[i]) & (~asks[j].astype(bool) | (key[j] > key[i]))]
+            j = j[(root[j] != root[i]) & (~asks[j] | (key[j] > key[i]))]
+            if not len(j):
+                continue
+            if bags is None:
+                bags = np.frombuffer(b"".join(g["bag"]), np.uint8).reshape(-1, FINE).astype(np.int32)
+                coarse = bags.reshape(len(bags), FINE // BINS, BINS).sum(axis=1)
             for own in (coarse, bags):
                 apart = (np.abs(own[j] - own[i]).sum(axis=1) + np.abs(own[j].sum(axis=1) - own[i].sum())) // 2
                 j, apart = j[apart <= most(i, j)], apart[apart <= most(i, j)]
-            for k, d in zip(j, apart):
-                yield (*sorted((key[i], key[k])), int(d), *sorted((root[i], root[k])))
+            if len(j):
+                yield i, j, apart
+
+    def meeting(batches):
+        """The rows that have a candidate."""
+        for part in packs(groups(batches), 4096):
+            out = []
+            for g in part:
+                met = {k for i, j, _ in candidates(g) for k in (i, *j)}
+                out += [(g["bucket"][k], g["key"][k]) for k in met]
+            yield pd.DataFrame(out, columns=["bucket", "key"])
+
+    def joining(batches):
+        """Near pairs of candidates, the closest first, whose classes no link of the group has joined yet."""
+        for g in groups(batches):
+            pairs = [(d, i, k) for i, j, apart in candidates(g) for d, k in zip(apart.tolist(), j.tolist()) if first_shared(g, i, k)]
+            pairs.sort(key=lambda p: p[0])
+            into: dict = {}
+
+            def top(x):
+                while x in into:  # noqa: B023
+                    x = into[x]  # noqa: B023
+                return x
+            out, words, ahead = [], functools.cache(lambda k: g["text"][k].lower().split()), 1  # noqa: B023
+            while pairs:
+                own, pairs = pairs[:ahead], pairs[ahead:]
+                open_ = [p for p in own if top(g["root"][p[1]]) != top(g["root"][p[2]])]
+                for (_, i, k), (near, _) in zip(open_, verify_pairs([(words(i), words(k)) for _, i, k in open_], threshold)):
+                    a, b = top(g["root"][i]), top(g["root"][k])
+                    if near and a != b:
+                        into[a] = b
+                        out.append((min(g["key"][i], g["key"][k]), max(g["key"][i], g["key"][k])))
+                ahead = min(2 * ahead, 256)
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    def first_shared(g: dict, i: int, k: int) -> bool:
+        """Whether no smaller bucket holds both texts, one of them asking."""
+        at, to = g["buckets"][i], g["buckets"][k]
+        own = np.concatenate([np.intersect1d(g["asked"][i], to), np.intersect1d(at, g["asked"][k])])
+        return own.min() == g["bucket"][i]
 
-    def run(batches):
-        held = []
-        for b in batches:
-            b = pd.concat([*held, b], ignore_index=True)
-            start = np.append(np.flatnonzero((b[group].ne(b[group].shift())).any(axis=1).to_numpy()), len(b))
-            out = [p for lo, hi in zip(start[:-2], start[1:-1]) for p in met(b.iloc[lo:hi])]
-            held = [b.iloc[start[-2]:]] if len(start) > 1 else []
-            yield pd.DataFrame(out, columns=["a", "b", "bags", "root_a", "root_b"])
-        if held:
-            yield pd.DataFrame(list(met(held[0].reset_index(drop=True))), columns=["a", "b", "bags", "root_a", "root_b"])
-
-    grouped = first.union(second).repartition(*group).sortWithinPartitions(*group)
-    out = written(grouped.mapInPandas(run, "a binary, b binary, bags int, root_a binary, root_b binary").distinct(), "omh-unlike")
-    forget(own)
+    bags = texts.join(own.select("key").distinct(), "key", "left_semi").mapInPandas(fine, "key binary, bag binary")
+    facts = own.join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = facts.join(bags, "key")
+    met = dealt(rows, "key", "n_words", "bag", "root", "asks").mapInPandas(meeting, "bucket bigint, key binary").distinct()
+    met = written(met, "omh-meeting")
+    held = own.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
+        F.collect_list("bucket").alias("buckets"), F.collect_list(F.when(F.col("asks"), F.col("bucket"))).alias("asked"))
+    few = rows.join(met, ["bucket", "key"], "left_semi").join(held, "key").join(texts.select("key", "text"), "key")
+    out = dealt(few, "key", "n_words", "bag", "root", "asks", "buckets", "asked", "text").mapInPandas(joining, "a binary, b binary")
+    out = written(out.distinct(), "omh-joining")
+    forget(own, met)
     return out
 
 
+def packs(items, size: int):
+    """Lists of up to ``size`` items."""
+    items = iter(items)
+    while part := list(itertools.islice(items, size)):
+        yield part
+
+
 def reach(n: str, m: str, threshold: float):
     """Edits that leave the similarity at the threshold or above."""
     return F.floor((1.0 - threshold) * F.greatest(n, m) + 1e-9).cast("int")

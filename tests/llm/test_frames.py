@@ -231,6 +231,25 @@ def test_near_duplicates_leave_no_texts_or_sketches(spark, docs):
     assert left and not [n for n in left if re.fullmatch(r"omh(-texts|-bags|-buckets|-nodes|-rays)?-[0-9a-f]{32}", n)]
 
 
+def test_a_group_of_like_bags_gives_no_table_of_pairs(spark, monkeypatch):
+    """Texts of the same words in other orders: no bound by words parts them, only alignment."""
+    ship(spark)
+    r, n, counts = random.Random(4), 40, {}
+    texts = [" ".join(r.sample([f"w{i}" for i in range(60)], 60)) for _ in range(n)]
+    texts[-1] = texts[-2] + " end"  # one near pair, which the leaders' rounds do not come to
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    sketches = neardup.sketch_texts(docs).withColumn("sketch", F.array(F.lit(7).cast("bigint"), F.col("id")))
+    plain = neardup.written
+
+    def watched(df, name):
+        out = plain(df, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+    monkeypatch.setattr(neardup, "written", watched)
+    got = neardup.links(sketches, docs).collect()
+    assert len(got) == 1 and max(counts.values()) <= 2 * n, counts
+
+
 def test_blocks_of_a_bucket_meet_each_other(spark, monkeypatch):
     ship(spark)
     monkeypatch.setattr(neardup, "BLOCK", 7)
