@@ -29,6 +29,7 @@ from starledger.session import scratch_path
 
 PART, POS = "_range", "_position"
 ROW_BITS = (1 << 33) - 1  # the row part of monotonically_increasing_id
+RANGE_ROWS = 1 << 21  # about so many rows a range holds, beyond what the shuffle's partitions hold so
 
 
 def materialize(df: DataFrame, enabled: bool = True, name: str = "materialized") -> DataFrame:
@@ -131,26 +132,34 @@ class RangedTable:
 
 
 def write_ranged(df: DataFrame, order: Sequence[Column], name: str, ranges: int | None = None,
-                 split: bool = False, leading: str | None = None) -> RangedTable:
+                 split: bool = False, leading: str | None = None, rows: int | None = None) -> RangedTable:
     """Write ``df`` in range partitions of ``order`` (see the module).
 
-    Without ``ranges`` their number follows from the volume (the shuffle's
-    partitions, merged by AQE to its advisory size).  ``split`` gives each
-    range its own directory, for seeks; ``leading`` names the column whose
+    Without ``ranges`` their number follows from the volume: the shuffle's
+    partitions, merged by AQE to its advisory size, or as many as hold
+    ``RANGE_ROWS`` rows each where that is more, so the rows that a task sorts
+    stay the same as the table grows.  ``rows`` is a bound of its rows, where one is
+    cheaper than a count.  ``split`` gives each range its own directory, for
+    seeks; ``leading`` names the first column of ``order``, which is not null and whose
     least and greatest value each range keeps.
     """
     spark = df.sparkSession
+    if not ranges:
+        needed = -(-(df.count() if rows is None else rows) // RANGE_ROWS)
+        ranges = needed if needed > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
     by = [ranges, *order] if ranges else list(order)
     cut = df.repartitionByRange(*by).withColumn(PART, F.spark_partition_id())
-    rows = cut.sortWithinPartitions(PART, *order) \
+    placed = cut.sortWithinPartitions(PART, *order) \
         .withColumn(POS, F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS)))
     path = scratch_path(spark, name)
-    writer = rows.write.mode("errorifexists")
+    writer = placed.write.mode("errorifexists")
     (writer.partitionBy(PART) if split else writer).parquet(path)
-    schema = T.StructType([f for f in rows.schema.fields if not (split and f.name == PART)])
-    full = spark.read.schema(rows.schema).parquet(path)
-    bounds = [F.min(leading).alias("low"), F.max(leading).alias("high")] if leading else []
-    counts = full.groupBy(PART).agg(F.count(F.lit(1)).alias("rows"), *bounds)
+    schema = T.StructType([f for f in placed.schema.fields if not (split and f.name == PART)])
+    full = spark.read.schema(placed.schema).parquet(path)
+    counts = full.groupBy(PART).agg(F.count(F.lit(1)).alias("rows"))
+    if leading:  # of each range's first and last row: least and greatest of a text would sort all rows
+        ends = full.join(F.broadcast(counts), PART).filter((F.col(POS) == 0) | (F.col(POS) == F.col("rows") - 1))
+        counts = ends.groupBy(PART, "rows").agg(F.min(leading).alias("low"), F.max(leading).alias("high"))
     counts = running_before(counts, PART, "rows")
     if split:  # a standing index: its directory of ranges is written too
         counts = materialize(counts, name=f"{name}-ranges")

@@ -105,8 +105,11 @@ def build_trigram_index(rows: DataFrame, key: str, cols: Sequence[str], ranges:
     stored = write_ranged(rows, [F.col(key)], "search-rows", ranges, split=True)
     cells = F.array_distinct(F.flatten(F.array_compact(F.array(*[grams(F.lower(col_(c).cast("string"))) for c in cols]))))
     posted = stored.all_rows().select(F.col(key).alias("key"), F.col(PART).alias("home"), F.explode(cells).alias("gram"))
+    # At most one gram starts at each character: a bound that no gram is cut for.
+    chars = sum((F.coalesce(F.length(col_(c).cast("string")), F.lit(0)).cast("bigint") for c in cols), F.lit(0).cast("bigint"))
+    most = stored.all_rows().agg(F.sum(chars)).first()[0] or 0
     postings = write_ranged(posted.select("gram", "key", "home"), [F.col("gram"), F.col("key")], "search-postings", ranges,
-                            split=True, leading="gram")
+                            split=True, leading="gram", rows=most)
     counts = postings.all_rows().groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     frequencies = write_ranged(counts, [F.col("gram")], "search-frequencies", split=True, leading="gram")
     return TrigramIndex(stored, key, tuple(cols), postings, frequencies)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from starledger.operators import ranged
 from starledger.operators.filters import search_any
 from starledger.operators.trigrams import build_trigram_index, grams
 from starledger.plans import fixtures as fx
@@ -67,6 +68,19 @@ def test_a_rare_needle_reads_few_files(spark):
     assert max(sizes) < 3 * sum(sizes) / len(sizes)
 
 
+def test_ranges_follow_the_rows(spark, table, monkeypatch):
+    """More rows than the shuffle's partitions hold give more ranges, not larger ones."""
+    monkeypatch.setattr(ranged, "RANGE_ROWS", 16)
+    index = build_trigram_index(table, "id", ["a", "b", "n"])
+    for stored in (index.rows, index.postings):
+        if (total := sum(r["rows"] for r in stored.ranges.collect())) > 16 * int(spark.conf.get("spark.sql.shuffle.partitions")):
+            assert stored.ranges.count() > total / 32 and max(r["rows"] for r in stored.ranges.collect()) <= 3 * 16
+    assert index.postings.ranges.count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = index.postings.all_rows().groupBy(ranged.PART).agg(F.min("gram").alias("low"), F.max("gram").alias("high"))
+    assert {tuple(r) for r in held.collect()} == {tuple(r) for r in index.postings.ranges.select(ranged.PART, "low", "high").collect()}
+    assert ids(index.search("cru")) == ids(search_any(table, "cru", ["a", "b", F.col("n").cast("string")]))
+
+
 def test_empty_table(spark):
     index = build_trigram_index(spark.createDataFrame([], "id bigint, a string"), "id", ["a"])
     assert index.search("abc").count() == 0 and index.search("a").count() == 0 and index.search("").count() == 0
