@@ -193,13 +193,13 @@ def pairs_of(every: np.ndarray, end: int, words: int) -> tuple[np.ndarray, np.nd
 
 
 def blocks(docs: DataFrame, shards: int) -> DataFrame:
-    """Four kinds of rows for each block of documents:
+    """Kinds of rows for each block of documents:
 
     ``word``: for each shard the block's tokens (keys, training counts), which are
     numbered in this order;
     ``pair``: the block's pairs by context and token (``pairs_of``, training counts);
-    ``text``: a document's tokens as they first came in the block;
-    ``place``: their numbers.
+    ``text``: a document, by its place in the block (``shard``) and its tokens' count;
+    ``tokens``: all tokens, numbered as they first came in the block, and these tokens' numbers.
     """
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
@@ -217,16 +217,17 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
             place = np.empty(len(words), np.int64)
             place[order] = np.arange(len(words))
             lengths = [len(ids) for _, _, ids in texts]
-            every = place[np.concatenate([ids for _, _, ids in texts])]
+            tokens = np.concatenate([ids for _, _, ids in texts])
+            every = place[tokens]
             trains = np.repeat([not held for _, held, _ in texts], lengths)
             counts = np.bincount(every[trains], minlength=len(words))
             u, w, at = pairs_of(every, place[0], len(words))
             n = np.bincount(at[trains], minlength=len(u))
             keys = keys[order]
             out = [("pair", block, None, None, None, len(u), packed(np.append(np.diff(u, prepend=0), w)), packed(n)),
-                   ("place", block, None, None, None, len(words), packed(place), None)]
+                   ("tokens", block, None, None, None, len(tokens), packed(tokens), packed(place))]
             out += [("word", block, s, None, None, b - a, packed(keys[a:b], np.uint64), packed(counts[a:b])) for s, a, b in slices(shard[order])]
-            out += [("text", block, None, id_, held, len(ids), packed(ids), None) for id_, held, ids in texts]
+            out += [("text", block, i, id_, held, len(ids), None, None) for i, (id_, held, ids) in enumerate(texts)]
             texts.clear()
             number.clear()
             number[b"\n"] = 0
@@ -462,11 +463,10 @@ def score(docs: DataFrame) -> DataFrame:
 
     def read(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         of = {k: x for k, x in b.groupby("kind")}
-        texts = of["text"]
+        texts = of["text"].sort_values("shard")
         c, ids = numbers.of_block(of["known"])
-        place = joined(of["place"]["data"])
-        tokens = [unpacked(x) for x in texts["data"]]
-        u, w, every = pairs_of(place[np.concatenate(tokens)].astype(np.int64), place[0], len(place))
+        place = joined(of["tokens"]["more"])
+        u, w, every = pairs_of(place[joined(of["tokens"]["data"])].astype(np.int64), place[0], len(place))
         at, keys, _ = asked(u, w, ids, shards)
         cp = np.zeros(len(u), np.int64)
         if "count" in of:
@@ -485,15 +485,13 @@ def score(docs: DataFrame) -> DataFrame:
                 p += (cp - d * t + (THETA + d * tu[u]) * p0[w]) / (THETA + c[u])
             weight = (THETA + d * tu[u[more]]) * p0[w[more]]  # noqa: F841
         p, base = np.log10(p / SWEEPS), np.log10((c + 0.5) / (n_all + 0.5 * (v + 1)))
-        rows, lo = [], 0
-        for own in tokens:
-            pair, lo = every[lo:lo + len(own)], lo + len(own)
-            word = w[pair]
-            rows.append((len(pair), int((c[word] > 0).sum()), n_all, float(base[word].sum()), float(p[pair].sum())))
-        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        lengths, word = texts["n"].to_numpy(np.int64), w[every]
+        added = functools.partial(np.add.reduceat, indices=np.cumsum(lengths) - lengths)
+        out = pd.DataFrame({"n_tokens": lengths, "n_known": added((c[word] > 0).astype(np.int64)), "train_tokens": n_all,
+                            "base_score": added(base[word]), "score": added(p[every])})
         return pd.concat([texts[["doc_id", "held_out"]].astype({"doc_id": "Int64"}).reset_index(drop=True), out], axis=1)
 
-    every = functools.reduce(DataFrame.unionByName, [parts.filter("kind in ('text', 'place')"), known, counts, sent])
+    every = functools.reduce(DataFrame.unionByName, [parts.filter("kind in ('text', 'tokens')"), known, counts, sent])
     return every.groupBy("block").applyInPandas(read, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                                                       "base_score double, score double")
 
