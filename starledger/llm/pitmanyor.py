@@ -22,8 +22,9 @@ Work is dealt in blocks of documents and in shards of keys:
 3. its pairs meet by shard of (number, number), so a frequent context is
    spread over all shards: corpus counts of pairs;
 4. a pair seen once sits at one table.  A sweep draws the tables of the others
-   and adds them up by context and by token: one row for each token seen
-   twice or more.  A token seen once has one table everywhere;
+   where their shard counted them, and adds them up by context and by token:
+   a shard of pairs sends one packed row to each shard of tokens, which answers
+   with their state.  A token seen once has one table everywhere;
 5. draws are functions of the pair, the sweep and that state, so a block
    gets the state of its tokens and draws the tables of its pairs again.
 
@@ -36,10 +37,11 @@ repeated; other columns are ignored.
 from __future__ import annotations
 
 import functools
-import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -51,6 +53,7 @@ from starledger.session import scratch_path
 BLOCK_TOKENS = 1 << 21
 SHARD_CHARS = 1 << 24  # the number of shards follows from the characters of all texts
 EXACT = 96
+CHUNK = 4096  # dishes drawn at once
 THETA = 1.0
 UNKNOWN = 0.5  # of a new table's dish
 BURN, SWEEPS = 2, 3
@@ -83,13 +86,25 @@ def log_stirling(d: float, most: int = EXACT) -> np.ndarray:
 def tables(c: np.ndarray, a: np.ndarray, d: float, u: np.ndarray, stirling: np.ndarray) -> np.ndarray:
     """Tables for dishes of c customers, drawn from their conditional."""
     t = np.minimum(c, 1)
-    for k in np.unique(c[(c > 1) & (c <= EXACT)]):
-        at = np.flatnonzero(c == k)
-        n = np.arange(1, k + 1)
-        logit = stirling[k, 1:k + 1][None, :] + np.log(a[at])[:, None] * n[None, :]
-        p = np.cumsum(np.exp(logit - logit.max(axis=1, keepdims=True)), axis=1)
-        t[at] = 1 + (p < u[at, None] * p[:, -1:]).sum(axis=1).clip(max=k - 1)
-    at = np.flatnonzero(c > EXACT)
+    kinds = np.minimum(c, EXACT + 1).astype(np.uint8)
+    order = np.argsort(kinds, kind="stable")
+    ends = np.cumsum(np.bincount(kinds, minlength=EXACT + 2))
+    for k in range(2, EXACT + 1):
+        at = order[ends[k - 1]:ends[k]]
+        fits = (k - 1) * np.log(np.maximum(a[at], 1.0)) < 600.0  # products of steps stay finite
+        for own in (at[fits][lo:lo + CHUNK] for lo in range(0, int(fits.sum()), CHUNK)):
+            steps = np.exp(np.diff(stirling[k, 1:k + 1]))
+            p, term = np.empty((k, len(own))), np.ones(len(own))
+            p[0] = term
+            for n in range(1, k):
+                term = term * (a[own] * steps[n - 1])
+                np.add(p[n - 1], term, out=p[n])
+            t[own] = 1 + (p < u[own] * p[-1]).sum(axis=0).clip(max=k - 1)
+        for own in (at[~fits][lo:lo + CHUNK] for lo in range(0, int((~fits).sum()), CHUNK)):
+            logit = stirling[k, 1:k + 1][None, :] + np.log(a[own])[:, None] * np.arange(1, k + 1)
+            p = np.cumsum(np.exp(logit - logit.max(axis=1, keepdims=True)), axis=1)
+            t[own] = 1 + (p < u[own, None] * p[:, -1:]).sum(axis=1).clip(max=k - 1)
+    at = order[ends[EXACT]:]
     if len(at):
         t[at] = np.minimum(1 + poisson(tilted(c[at], a[at] / d, d), u[at]), c[at])
     return t
@@ -97,13 +112,14 @@ def tables(c: np.ndarray, a: np.ndarray, d: float, u: np.ndarray, stirling: np.n
 
 def tilted(c: np.ndarray, rate: np.ndarray, d: float) -> np.ndarray:
     """The rate of tables whose Sibuya sizes, tilted by x, add up to c on average:
-    rate * d * x * (1 - x)^(d - 1) = c, solved for log(1 - x)."""
-    lo, hi = np.full(len(c), -700.0), np.zeros(len(c))
-    for _ in range(50):
-        mid = (lo + hi) / 2
-        over = np.log(rate * d) + np.log(-np.expm1(np.minimum(mid, -1e-300))) + (d - 1.0) * mid > np.log(c)
-        lo, hi = np.where(over, mid, lo), np.where(over, hi, mid)
-    return rate * -np.expm1(d * (lo + hi) / 2)
+    rate * d * x * (1 - x)^(d - 1) = c, solved for s = log(1 - x) by Newton's steps.  The log of the
+    left side is concave and falls in s, so they come down to its root from any start above it."""
+    share = c / (rate * d)
+    s = -0.7 * np.log1p((1.0 - d) * share) / (1.0 - d)
+    for _ in range(10):
+        e, x = np.exp(s), -np.expm1(s)
+        s = np.minimum(s - (np.log(x) + (d - 1.0) * s - np.log(share)) / (d - 1.0 - e / x), -1e-300)
+    return rate * -np.expm1(d * s)
 
 
 def poisson(rate: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -112,12 +128,14 @@ def poisson(rate: np.ndarray, u: np.ndarray) -> np.ndarray:
     z = np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * np.modf(u * (1 << 20))[0])
     out = np.maximum(np.rint(rate + np.sqrt(rate) * z), 0).astype(np.int64)
     at = np.flatnonzero(rate <= 100)
-    term = np.exp(-rate[at])
-    below, out[at], k = term.copy(), 0, 0
-    while (open_ := (u[at] > below) & (out[at] < 20 + 12 * rate[at])).any():
+    own, up_to, k = rate[at], u[at], 0
+    term = np.exp(-own)
+    below, out[at] = term, 0
+    while (open_ := (up_to > below) & (k < 20 + 12 * own)).any():
+        at, own, up_to, term, below = (x[open_] for x in (at, own, up_to, term, below))
         k += 1
-        term = term * rate[at] / k
-        out[at] += open_
+        out[at] = k
+        term = term * own / k
         below = below + term
     return out
 
@@ -161,14 +179,17 @@ def table(rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"block": "Int64", "shard": "Int32", "doc_id": "Int64", "held_out": "boolean", "n": "Int64"})
 
 
+ZSTD = pa.Codec("zstd", 1)
+
+
 def packed(x: np.ndarray, kind=np.int32) -> bytes:
-    """Numbers, compressed byte by byte: most upper bytes are zero."""
+    """Numbers, compressed byte by byte: most upper bytes are zero.  Their size comes first."""
     x = np.ascontiguousarray(x, kind)
-    return zlib.compress(x.ravel().view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
+    return x.nbytes.to_bytes(8, "little") + ZSTD.compress(x.ravel().view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), asbytes=True)
 
 
 def unpacked(data: bytes, kind=np.int32) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little")), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
@@ -188,8 +209,29 @@ def slices(shard: np.ndarray):
 
 def pairs_of(every: np.ndarray, end: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pairs (previous token, token) of texts, in order, and the pair of each token."""
-    pairs, at = np.unique(np.append(end, every[:-1]) * words + every, return_inverse=True)
-    return pairs // words, pairs % words, at
+    keys = np.append(end, every[:-1]) * words + every
+    bits = len(keys).bit_length()
+    if words * words >> (64 - bits):  # no room for a pair and its place in one number
+        pairs, at = np.unique(keys, return_inverse=True)
+        return pairs // words, pairs % words, at
+    both = (keys.astype(np.uint64) << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    place = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    keys = (both >> np.uint64(bits)).astype(np.int64)
+    new = np.append(True, keys[1:] != keys[:-1])
+    at, pairs = np.empty(len(keys), np.int64), keys[new]
+    at[place] = np.cumsum(new) - 1
+    u = pairs // words
+    return u, pairs - u * words, at
+
+
+def split_words(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """The number of words of each text, and all words: A-Z lower-cased, split at ASCII white space."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.string())))
+    words = parts.flatten()
+    kept = pc.binary_length(words).to_numpy() > 0  # white space at an end gives an empty word
+    n = np.bincount(pc.list_parent_indices(parts).to_numpy()[kept], minlength=len(texts))
+    return n, words.filter(pa.array(kept))
 
 
 def blocks(docs: DataFrame, shards: int) -> DataFrame:
@@ -203,44 +245,47 @@ def blocks(docs: DataFrame, shards: int) -> DataFrame:
     """
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
-        number: dict[bytes, int] = {b"\n": 0}  # the end token; no word holds white space
         texts: list[tuple] = []
+        chunks: list[pa.Array] = []
         size = 0
 
         def flush():
             nonlocal size, made
             block = (part << 32) + made
-            words = list(number)
-            keys = np.fromiter((END % (1 << 64), *map(xxhash.xxh3_64_intdigest, words[1:])), np.uint64, len(words))
+            coded = pa.chunked_array(chunks, pa.string()).dictionary_encode().chunks  # one dictionary for all chunks
+            words = coded[-1].dictionary.to_numpy(zero_copy_only=False)
+            keys = np.fromiter((END % (1 << 64), *map(xxhash.xxh3_64_intdigest, words)), np.uint64, len(words) + 1)
             shard = sharded(keys, shards)
             order = np.lexsort((keys, shard))
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            lengths = [len(ids) for _, _, ids in texts]
-            tokens = np.concatenate([ids for _, _, ids in texts])
+            place = np.empty(len(keys), np.int64)
+            place[order] = np.arange(len(keys))
+            lengths = np.array([n for _, _, n in texts])
+            # Number 0 is the end token; no word holds white space.
+            tokens = np.insert(np.concatenate([c.indices.to_numpy() for c in coded]) + 1, np.cumsum(lengths - 1), 0)
+            chunks.clear()
             every = place[tokens]
             trains = np.repeat([not held for _, held, _ in texts], lengths)
-            counts = np.bincount(every[trains], minlength=len(words))
-            u, w, at = pairs_of(every, place[0], len(words))
+            counts = np.bincount(every[trains], minlength=len(keys))
+            u, w, at = pairs_of(every, place[0], len(keys))
             n = np.bincount(at[trains], minlength=len(u))
             keys = keys[order]
             out = [("pair", block, None, None, None, len(u), packed(np.append(np.diff(u, prepend=0), w)), packed(n)),
                    ("tokens", block, None, None, None, len(tokens), packed(tokens), packed(place))]
             out += [("word", block, s, None, None, b - a, packed(keys[a:b], np.uint64), packed(counts[a:b])) for s, a, b in slices(shard[order])]
-            out += [("text", block, i, id_, held, len(ids), None, None) for i, (id_, held, ids) in enumerate(texts)]
+            out += [("text", block, i, id_, held, int(n), None, None) for i, (id_, held, n) in enumerate(texts)]
             texts.clear()
-            number.clear()
-            number[b"\n"] = 0
             size, made = 0, made + 1
             for lo in range(0, len(out), 4096):
                 yield table(out[lo:lo + 4096])
 
         for b in batches:
-            for null, id_, held, text in zip(b["doc_id"].isna(), b["doc_id"], b["held_out"], b["text"]):
-                ids = [number.setdefault(w, len(number)) for w in text.encode().lower().split()]
-                ids.append(0)
-                texts.append((None if null else int(id_), bool(held), np.array(ids, np.int32)))
-                size += len(ids)
+            part_of = (b["text"].str.len().to_numpy(np.int64) + 1).cumsum() // (1 + BLOCK_TOKENS // 8)
+            for _, lo, hi in slices(part_of):
+                some = b.iloc[lo:hi]
+                n, words = split_words(some["text"].tolist())
+                texts += [(None if null else int(id_), bool(held), k + 1) for null, id_, held, k in zip(some["doc_id"].isna(), some["doc_id"], some["held_out"], n)]
+                chunks.append(words)
+                size += len(words) + len(some)
                 if size >= BLOCK_TOKENS:
                     yield from flush()
         if texts:
@@ -286,9 +331,11 @@ def asked(u: np.ndarray, w: np.ndarray, ids: np.ndarray, shards: int):
     """Places, keys and shards of a block's pairs of known tokens, by shard and key."""
     at = np.flatnonzero((ids[u] >= 0) & (ids[w] >= 0))
     keys = (ids[u[at]].astype(np.uint64) << np.uint64(32)) | ids[w[at]].astype(np.uint64)
-    shard = sharded(keys, shards)
-    order = np.lexsort((keys, shard))
-    return at[order], keys[order], shard[order]
+    order = np.argsort(keys)
+    shard = sharded(keys, shards)[order]
+    by = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
+    order = order[by]
+    return at[order], keys[order], shard[by]
 
 
 def split_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,6 +353,13 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return (np.cumsum(u, dtype=np.uint64) << np.uint64(32)) | w
 
 
+def tokens_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens of pairs, in order, and the places of each pair's two."""
+    u, w = split_key(keys)
+    ids = np.unique(np.append(u, w))
+    return ids, np.searchsorted(ids, u), np.searchsorted(ids, w)
+
+
 class Base:
     """The parent restaurant's law in one sweep."""
 
@@ -358,19 +412,32 @@ def score(docs: DataFrame) -> DataFrame:
         n = joined(pair["more"])[at]
         return table([("ask", key[0], s, None, None, hi - lo, packed_keys(keys[lo:hi]), packed(n[lo:hi])) for s, lo, hi in slices(shard)])
 
+    def by_shard_of(ids: np.ndarray):
+        """(token shard, first, behind the last, packed numbers in it) of sorted corpus numbers."""
+        shard = np.searchsorted(numbers.twice, ids, side="right") - 1
+        return [(t, lo, hi, packed(ids[lo:hi] - numbers.twice[t])) for t, lo, hi in slices(shard)]
+
+    def drawn_of(shard: int, ids: np.ndarray, iu: np.ndarray, iw: np.ndarray, t: np.ndarray) -> list[tuple]:
+        """``drawn``: the tables t of a shard's pairs by context and by token, for each shard of tokens."""
+        by = np.array([np.bincount(i, weights=t, minlength=len(ids)) for i in (iu, iw)]).astype(np.int32)
+        return [("drawn", shard, s, None, None, hi - lo, packed(by[:, lo:hi]), more) for s, lo, hi, more in by_shard_of(ids)]
+
     def tally(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        """``count``: corpus counts of a block's pairs; ``twice``: pairs seen twice or more (keys, counts); ``context``, ``token``: how many
-        pairs seen once a token has on that side."""
+        """``count``: corpus counts of a block's pairs; ``twice``: pairs seen twice or more (keys, counts; n: seen twice), and their first
+        tables (``drawn_of``); ``once``: how many pairs are seen once; ``context``, ``token``: how many of them a token has on that side."""
         keys, at = np.unique(np.concatenate([unpacked_keys(x) for x in b["data"]]), return_inverse=True)
         c = np.bincount(at, weights=joined(b["more"]), minlength=len(keys)).astype(np.int32)
         rows, lo = [], 0
         for block, n in zip(b["block"], b["n"]):
             own, lo = at[lo:lo + n], lo + n
             rows.append(("count", block, key[0], None, None, n, packed(c[own]), None))
-        rows.append(("twice", None, key[0], None, None, int((c == 2).sum()), packed_keys(keys[c > 1]), packed(c[c > 1])))
+        again = keys[c > 1]
+        rows += [("twice", key[0], None, None, None, int((c == 2).sum()), packed_keys(again), packed(c[c > 1])),
+                 ("once", key[0], None, None, None, int((c == 1).sum()), None, None)]
+        rows += drawn_of(key[0], *tokens_of(again), np.ones(len(again)))
         for kind, ids in zip(("context", "token"), split_key(keys[c == 1])):
             ids, n = np.unique(ids[ids < repeated], return_counts=True)
-            rows.append((kind, None, key[0], None, None, int((c == 1).sum()), packed(np.diff(ids, prepend=0), np.uint32), packed(n)))
+            rows += [(kind, key[0], s, None, None, hi - lo, packed(n[lo:hi]), more) for s, lo, hi, more in by_shard_of(ids)]
         return table(rows)
 
     asks = pairs.unionByName(known).groupBy("block").applyInPandas(ask, ROWS)
@@ -379,87 +446,93 @@ def score(docs: DataFrame) -> DataFrame:
     tallied.write.partitionBy("kind").parquet(pair_path)
     forget(pairs)
     tallied = spark.read.schema(ROWS).parquet(pair_path)
-    counts = tallied.filter("kind = 'count'")
-    of_counts = {r["kind"]: r["n"] for r in tallied.filter("kind in ('twice', 'context')").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    d = discount(of_counts.get("context") or 0, of_counts.get("twice") or 0)
-
-    def by_pair(batches):
-        for b in batches:
-            for keys, c in zip(b["data"], b["more"]):
-                (u, w), c = split_key(unpacked_keys(keys)), unpacked(c)
-                for lo in range(0, len(u), 1 << 16):
-                    yield pd.DataFrame({"u": u[lo:lo + (1 << 16)], "w": w[lo:lo + (1 << 16)], "c": c[lo:lo + (1 << 16)]})
-
-    def by_token(batches):
-        for b in batches:
-            for kind, data, n in zip(b["kind"], b["data"], b["more"]):
-                ids, n = np.cumsum(unpacked(data, np.uint32), dtype=np.int64), unpacked(n)
-                for lo in range(0, len(ids), 1 << 16):
-                    own, zero = n[lo:lo + (1 << 16)], np.zeros(len(n[lo:lo + (1 << 16)]), np.int32)
-                    yield pd.DataFrame({"id": ids[lo:lo + (1 << 16)], "tu": own if kind == "context" else zero, "tw": zero if kind == "context" else own})
-
-    again = written(tallied.filter("kind = 'twice'").mapInPandas(by_pair, "u bigint, w bigint, c int"), "py-again")
-    ones = tallied.filter("kind in ('context', 'token')").mapInPandas(by_token, "id bigint, tu bigint, tw bigint")
-    first = again.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).cast("bigint").alias("tu"), F.lit(0).cast("bigint").alias("tw")),
-                                           F.struct(F.col("w").alias("id"), F.lit(0).cast("bigint").alias("tu"), F.lit(1).cast("bigint").alias("tw")))).alias("x")).select("x.*")
-    added = lambda df: df.groupBy("id").agg(F.sum("tu").alias("tu"), F.sum("tw").alias("tw"))
-    ones = written(added(ones), "py-ones")
+    counts, again, single, drawn, *ones_by = (of_kind(tallied, pair_path, kind) for kind in ("count", "twice", "once", "drawn", "context", "token"))
+    of_counts = {r["kind"]: r["n"] for r in again.unionByName(single).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    d = discount(of_counts.get("once") or 0, of_counts.get("twice") or 0)
+
+    def added_to(sums: np.ndarray, b: pd.DataFrame) -> np.ndarray:
+        """Tables by context and by token of a shard's tokens, with those of ``drawn`` rows."""
+        for data, more in b.loc[b["kind"] == "drawn", ["data", "more"]].itertuples(index=False):
+            sums[:, unpacked(more)] += unpacked(data).reshape(2, -1)
+        return sums
+
+    def count_ones(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        """``ones``: tables of pairs seen once by context and by token; how many tokens have one and two customers at first."""
+        sums = np.zeros((2, twice[key[0]]), np.int64)
+        for kind, data, more in b.loc[b["kind"] != "drawn", ["kind", "data", "more"]].itertuples(index=False):
+            sums[int(kind == "token"), unpacked(more)] += unpacked(data)
+        ones = packed(sums)
+        tw = added_to(sums, b)[1]
+        return table([("ones", None, key[0], None, None, len(tw), ones, np.array([(tw == 1).sum(), (tw == 2).sum()], np.int64).tobytes())])
+
+    ones = written(tallied.filter("kind in ('context', 'token', 'drawn')").groupBy("shard").applyInPandas(count_ones, ROWS), "py-ones")
+    forget(*ones_by)
+
+    def added(rows: DataFrame) -> np.ndarray:
+        """The sum of two numbers of each shard."""
+        return sum((np.frombuffer(r["more"], np.int64) for r in rows.select("more").collect()), np.zeros(2, np.int64))
 
     # The state of a sweep: tables of the context (tu); customers and tables in the parent (tw, t0).
-    STATE = "id bigint, tu bigint, tw bigint, t0 bigint"
-    kinds0 = added(ones.unionByName(first)).agg(F.count_if(F.col("tw") == 1), F.count_if(F.col("tw") == 2)).first()
-    d0 = discount(hapax + (kinds0[0] or 0), kinds0[1] or 0)
+    kinds0 = added(ones)
+    d0 = discount(hapax + int(kinds0[0]), int(kinds0[1]))
     states, bases, tables0 = [], [], float(v)
     for sweep in range(BURN + SWEEPS):
-        drawn = first
         if sweep:
-            old, base = states[-1], bases[-1]
-
-            def seat(batches, sweep=sweep, base=base):
-                stirling = log_stirling(d)
-                for b in batches:
-                    u, w, c = (b[x].to_numpy() for x in ("u", "w", "c"))
-                    a = (THETA + d * b["tu"].to_numpy()) * base(b["tw"].to_numpy(), b["t0"].to_numpy())
-                    t = tables(c.astype(np.int64), a, d, uniform((u << 32) | w, sweep), stirling)
-                    zero = np.zeros(len(t), np.int64)
-                    yield pd.DataFrame({"id": np.append(u, w), "tu": np.append(t, zero), "tw": np.append(zero, t)})
-
-            met = again.join(old.select(F.col("id").alias("u"), "tu"), "u").join(old.select(F.col("id").alias("w"), "tw", "t0"), "w")
-            drawn = met.select("u", "w", "c", "tu", "tw", "t0").mapInPandas(seat, "id bigint, tu bigint, tw bigint")
-
-        def parent(batches, sweep=sweep, tables0=tables0):
-            stirling = log_stirling(d0)
+            base = bases[-1]
+
+            def seat(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+                told = b[b["kind"] == "told"].sort_values("shard")
+                if told.empty:
+                    return table([])
+                tu, tw, t0 = np.concatenate([unpacked(x).reshape(3, -1) for x in told["data"]], axis=1).astype(np.int64)
+                pair = b[b["kind"] == "twice"].iloc[0]
+                keys = unpacked_keys(pair["data"])
+                ids, iu, iw = tokens_of(keys)
+                a = (THETA + d * tu[iu]) * base(tw, t0)[iw]
+                t = tables(unpacked(pair["more"]).astype(np.int64), a, d, uniform(keys.view(np.int64), sweep), log_stirling(d))
+                return table(drawn_of(key[0], ids, iu, iw, t))
+
+            told = of_kind(states[-1], states[-1].written_to, "told")
+            drawn = again.unionByName(told).groupBy("block").applyInPandas(seat, ROWS)
+
+        def parent(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+            """``state`` of a shard's tokens, with the sums of t0 and tw; ``told``: that of the tokens of each shard of pairs."""
+            tu, tw = added_to(unpacked(b.loc[b["kind"] == "ones", "data"].iloc[0]).reshape(2, -1).astype(np.int64), b)
             new = (THETA + d0 * tables0) * (1.0 - UNKNOWN) / max(v, 1)
-            for b in batches:
-                tw, id_ = b["tw"].to_numpy(), b["id"].to_numpy()
-                yield b.assign(t0=tables(tw, np.full(len(tw), new), d0, uniform(id_, 1000 + sweep), stirling))
-
-        state = written(added(ones.unionByName(drawn)).mapInPandas(parent, STATE), f"py-state-{sweep}")
-        all0 = state.agg(F.sum("t0"), F.sum("tw")).first()
-        tables0 = float((all0[0] or 0) + hapax)
-        bases.append(Base(d0, v, tables0, float((all0[1] or 0) + hapax)))
+            t0 = tables(tw, np.full(len(tw), new), d0, uniform(numbers.twice[key[0]] + np.arange(len(tw)), 1000 + sweep), log_stirling(d0))
+            state = np.array([tu, tw, t0], np.int32)
+            rows = [("state", sweep, key[0], None, None, len(tw), packed(state), np.array([t0.sum(), tw.sum()], np.int64).tobytes())]
+            if sweep < BURN + SWEEPS - 1:
+                asking = b[b["kind"] == "drawn"]
+                rows += [("told", s, key[0], None, None, n, packed(state[:, unpacked(more)]), more) for s, n, more in zip(asking["block"], asking["n"], asking["more"])]
+            return table(rows)
+
+        state_path = scratch_path(spark, f"py-state-{sweep}")
+        ones.unionByName(drawn).groupBy("shard").applyInPandas(parent, ROWS).write.partitionBy("kind").parquet(state_path)
+        forget(told if sweep else drawn)
+        state = spark.read.schema(ROWS).parquet(state_path)
+        state.written_to = state_path
+        all0 = added(state.filter("kind = 'state'"))
+        tables0 = float(all0[0] + hapax)
+        bases.append(Base(d0, v, tables0, float(all0[1] + hapax)))
         states.append(state)
     kept = range(BURN - 1, BURN + SWEEPS)
 
-    def shard_of(batches):
-        for b in batches:
-            yield b.assign(shard=(np.searchsorted(numbers.twice, b["id"].to_numpy(), side="right") - 1).astype(np.int32))
-
     forget(*states[:BURN - 1], again, ones)
-    long = functools.reduce(DataFrame.unionByName, [states[s].withColumn("sweep", F.lit(s)) for s in kept])
-    long = long.mapInPandas(shard_of, STATE + ", sweep int, shard int")
+    long = functools.reduce(DataFrame.unionByName, [states[s].filter("kind = 'state'") for s in kept])
 
-    def state_of(key: tuple, b: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    def state_of(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         """``state`` of a block's tokens seen twice or more."""
-        values = state.sort_values(["sweep", "id"])[["tu", "tw", "t0"]].to_numpy(np.int32).reshape(len(kept), -1, 3).transpose(0, 2, 1)
-        rows = []
-        for block, more in zip(b["block"], b["more"]):
+        state = b[b["kind"] == "state"].sort_values("block")
+        values = np.array([unpacked(x).reshape(3, -1) for x in state["data"]]).reshape(len(kept), 3, -1)
+        asking, rows = b[b["kind"] == "known"], []
+        for block, more in zip(asking["block"], asking["more"]):
             number = unpacked(more)
             own = values[:, :, number[number >= 0]]
             rows.append(("state", block, key[0], None, None, own.shape[2], packed(np.diff(own, axis=0, prepend=0)), None))
         return table(rows)
 
-    sent = known.groupBy("shard").cogroup(long.groupBy("shard")).applyInPandas(state_of, ROWS)
+    sent = known.unionByName(long).groupBy("shard").applyInPandas(state_of, ROWS)
 
     def read(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         of = {k: x for k, x in b.groupby("kind")}

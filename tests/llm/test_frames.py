@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF_SMALL
-from starledger.llm import bpe, chat, fingerprint, langid, neardup, packing, pitmanyor, queries, substring, tokencount, topk
+from starledger.llm import bpe, chat, common, fingerprint, langid, neardup, packing, pitmanyor, queries, substring, tokencount, topk
 from starledger.llm.common import ship
 from starledger.session import checkpoint_dir
 
@@ -418,6 +418,26 @@ def test_scores_against_the_model_in_one_process(spark, monkeypatch):
         assert got[d] == pytest.approx(want[d], rel=0.03, abs=1.0)
 
 
+def test_scores_write_rows_of_blocks_and_shards(spark, monkeypatch):
+    """No step of the scores writes a row for each pair or token."""
+    paths, path = [], common.scratch_path
+
+    def scratch(spark, name):
+        paths.append(path(spark, name))
+        return paths[-1]
+
+    for module in (common, pitmanyor):
+        monkeypatch.setattr(module, "scratch_path", scratch)
+    monkeypatch.setattr(pitmanyor, "forget", lambda *tables: None)
+    monkeypatch.setattr(pitmanyor, "SHARD_CHARS", 150_000)
+    docs = queries.read(spark, SF_SMALL, "documents")
+    n = docs.count()
+    shards = 1 + docs.agg(F.sum(F.length("text"))).first()[0] // 150_000
+    assert shards > 1 and pitmanyor.score(docs).count() == n and len(paths) > pitmanyor.SWEEPS
+    for p in paths:
+        assert spark.read.parquet(p).count() <= n + 8 * shards ** 2, p
+
+
 def test_fingerprints_against_a_plain_edit(docs):
     got = fingerprint.fingerprint_edits(docs.filter("doc_id is null or doc_id != 7")).collect()
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect() if r["doc_id"] != 7), key=lambda r: -(r[0] if r[0] is not None else -1 << 63))

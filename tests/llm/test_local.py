@@ -200,6 +200,45 @@ def test_tables_of_many_customers_follow_their_mean():
     assert pitmanyor.tables(np.array([10 ** 7]), np.array([1e6]), 0.8, np.array([0.4]), pitmanyor.log_stirling(0.8))[0] > 1000
 
 
+def test_draws_do_not_depend_on_how_they_are_summed():
+    """Products of steps, and logs where those would overflow, give the law's draws."""
+    r = np.random.default_rng(6)
+    c, a, u = r.integers(2, 97, 3000), np.exp(r.uniform(-20, 20, 3000)), r.random(3000)
+    for d in (0.1, 0.5, 0.95):
+        ls = pitmanyor.log_stirling(d)
+        got = pitmanyor.tables(c, a, d, u, ls)
+        for k, x, y, t in zip(c, a, u, got):
+            p = ls[k, 1:k + 1] + np.log(x) * np.arange(1, k + 1)
+            p = np.cumsum(np.exp(p - p.max()))
+            assert (p[t - 2] if t > 1 else 0) <= y * p[-1] * (1 + 1e-9) and y * p[-1] <= p[t - 1] * (1 + 1e-9)
+
+
+def test_tilted_rates_give_their_customers():
+    r = np.random.default_rng(7)
+    for d in (0.1, 0.5, 0.95):
+        c, rate = np.exp(r.uniform(np.log(97), np.log(1e10), 5000)), np.exp(r.uniform(-12, 20, 5000))
+        with np.errstate(divide="ignore"):
+            s = np.log1p(-pitmanyor.tilted(c, rate, d) / rate) / d  # log(1 - x)
+        sure = np.expm1(d * s) < -1e-6  # where the rate's own digits tell x
+        assert sure.sum() > 1000
+        assert np.allclose((np.log(rate * d) + np.log(-np.expm1(s)) + (d - 1) * s)[sure & (s > -30)], np.log(c)[sure & (s > -30)], atol=1e-3)
+
+
+def test_words_and_pairs_of_texts():
+    texts = [*random_texts(300, seed=8), "", " ", " \x0b\x0cÀ\x1c\x85b É", "A\0B a"]
+    n, words = pitmanyor.split_words(texts)
+    want = [t.encode().lower().split() for t in texts]
+    assert n.tolist() == [len(w) for w in want] and [w.encode() for w in words.to_pylist()] == [w for own in want for w in own]
+    every = np.random.default_rng(9).integers(0, 50, 5000)
+    for count in (50, 1 << 30):  # the second has no room for places beside the pairs
+        u, w, at = pitmanyor.pairs_of(every, 7, count)
+        assert (u[at] == np.append(7, every[:-1])).all() and (w[at] == every).all()
+        assert (np.diff(u * count + w) > 0).all()
+    for kind in (np.int32, np.uint32, np.int64, np.uint64):
+        for x in ([], [3], [0, 1 << 20, (1 << 31) - 1]):
+            assert pitmanyor.unpacked(pitmanyor.packed(np.array(x), kind), kind).tolist() == x
+
+
 def test_transitions_are_a_distribution():
     counts = np.random.default_rng(4).poisson(0.3, (20, 20)) * 3
     p = pitmanyor.transitions(counts)
