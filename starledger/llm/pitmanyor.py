@@ -23,8 +23,8 @@ Work is dealt in blocks of documents and in shards of keys:
    spread over all shards: corpus counts of pairs;
 4. a pair seen once sits at one table.  A sweep draws the tables of the others
    where their shard counted them, and adds them up by context and by token:
-   a shard of pairs sends one packed row to each shard of tokens, which answers
-   with their state.  A token seen once has one table everywhere;
+   a shard of pairs sends one packed row to each group of token shards, which
+   answers with their state.  A token seen once has one table everywhere;
 5. draws are functions of the pair, the sweep and that state, so a block
    gets the state of its tokens and draws the tables of its pairs again.
 
@@ -52,6 +52,7 @@ from starledger.session import scratch_path
 
 BLOCK_TOKENS = 1 << 21
 SHARD_CHARS = 1 << 24  # the number of shards follows from the characters of all texts
+GROUP_TOKENS = 1 << 17  # whose state a task holds: neighbouring shards of tokens
 EXACT = 96
 CHUNK = 4096  # dishes drawn at once
 THETA = 1.0
@@ -403,6 +404,8 @@ def score(docs: DataFrame) -> DataFrame:
     if v >= 1 << 32:
         raise ValueError("more than 2^32 training tokens")
     known = known.filter("kind = 'known'")
+    # A group of shards goes by its first shard.
+    group = max(1, int(GROUP_TOKENS * shards // max(repeated, 1)))
 
     def ask(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         _, ids = numbers.of_block(b[b["kind"] == "known"])
@@ -412,15 +415,15 @@ def score(docs: DataFrame) -> DataFrame:
         n = joined(pair["more"])[at]
         return table([("ask", key[0], s, None, None, hi - lo, packed_keys(keys[lo:hi]), packed(n[lo:hi])) for s, lo, hi in slices(shard)])
 
-    def by_shard_of(ids: np.ndarray):
-        """(token shard, first, behind the last, packed numbers in it) of sorted corpus numbers."""
+    def by_group(ids: np.ndarray):
+        """(group of token shards, first, behind the last, packed numbers in it) of sorted corpus numbers."""
         shard = np.searchsorted(numbers.twice, ids, side="right") - 1
-        return [(t, lo, hi, packed(ids[lo:hi] - numbers.twice[t])) for t, lo, hi in slices(shard)]
+        return [(g, lo, hi, packed(ids[lo:hi] - numbers.twice[g])) for g, lo, hi in slices(shard - shard % group)]
 
     def drawn_of(shard: int, ids: np.ndarray, iu: np.ndarray, iw: np.ndarray, t: np.ndarray) -> list[tuple]:
-        """``drawn``: the tables t of a shard's pairs by context and by token, for each shard of tokens."""
+        """``drawn``: the tables t of a shard's pairs by context and by token, for each group of token shards."""
         by = np.array([np.bincount(i, weights=t, minlength=len(ids)) for i in (iu, iw)]).astype(np.int32)
-        return [("drawn", shard, s, None, None, hi - lo, packed(by[:, lo:hi]), more) for s, lo, hi, more in by_shard_of(ids)]
+        return [("drawn", shard, s, None, None, hi - lo, packed(by[:, lo:hi]), more) for s, lo, hi, more in by_group(ids)]
 
     def tally(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         """``count``: corpus counts of a block's pairs; ``twice``: pairs seen twice or more (keys, counts; n: seen twice), and their first
@@ -437,7 +440,7 @@ def score(docs: DataFrame) -> DataFrame:
         rows += drawn_of(key[0], *tokens_of(again), np.ones(len(again)))
         for kind, ids in zip(("context", "token"), split_key(keys[c == 1])):
             ids, n = np.unique(ids[ids < repeated], return_counts=True)
-            rows += [(kind, key[0], s, None, None, hi - lo, packed(n[lo:hi]), more) for s, lo, hi, more in by_shard_of(ids)]
+            rows += [(kind, key[0], s, None, None, hi - lo, packed(n[lo:hi]), more) for s, lo, hi, more in by_group(ids)]
         return table(rows)
 
     asks = pairs.unionByName(known).groupBy("block").applyInPandas(ask, ROWS)
@@ -451,14 +454,14 @@ def score(docs: DataFrame) -> DataFrame:
     d = discount(of_counts.get("once") or 0, of_counts.get("twice") or 0)
 
     def added_to(sums: np.ndarray, b: pd.DataFrame) -> np.ndarray:
-        """Tables by context and by token of a shard's tokens, with those of ``drawn`` rows."""
+        """Tables by context and by token of a group's tokens, with those of ``drawn`` rows."""
         for data, more in b.loc[b["kind"] == "drawn", ["data", "more"]].itertuples(index=False):
             sums[:, unpacked(more)] += unpacked(data).reshape(2, -1)
         return sums
 
     def count_ones(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         """``ones``: tables of pairs seen once by context and by token; how many tokens have one and two customers at first."""
-        sums = np.zeros((2, twice[key[0]]), np.int64)
+        sums = np.zeros((2, twice[key[0]:key[0] + group].sum()), np.int64)
         for kind, data, more in b.loc[b["kind"] != "drawn", ["kind", "data", "more"]].itertuples(index=False):
             sums[int(kind == "token"), unpacked(more)] += unpacked(data)
         ones = packed(sums)
@@ -469,7 +472,7 @@ def score(docs: DataFrame) -> DataFrame:
     forget(*ones_by)
 
     def added(rows: DataFrame) -> np.ndarray:
-        """The sum of two numbers of each shard."""
+        """The sum of two numbers of each group."""
         return sum((np.frombuffer(r["more"], np.int64) for r in rows.select("more").collect()), np.zeros(2, np.int64))
 
     # The state of a sweep: tables of the context (tu); customers and tables in the parent (tw, t0).
@@ -496,7 +499,7 @@ def score(docs: DataFrame) -> DataFrame:
             drawn = again.unionByName(told).groupBy("block").applyInPandas(seat, ROWS)
 
         def parent(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-            """``state`` of a shard's tokens, with the sums of t0 and tw; ``told``: that of the tokens of each shard of pairs."""
+            """``state`` of a group's tokens, with the sums of t0 and tw; ``told``: that of the tokens of each shard of pairs."""
             tu, tw = added_to(unpacked(b.loc[b["kind"] == "ones", "data"].iloc[0]).reshape(2, -1).astype(np.int64), b)
             new = (THETA + d0 * tables0) * (1.0 - UNKNOWN) / max(v, 1)
             t0 = tables(tw, np.full(len(tw), new), d0, uniform(numbers.twice[key[0]] + np.arange(len(tw)), 1000 + sweep), log_stirling(d0))
@@ -525,14 +528,15 @@ def score(docs: DataFrame) -> DataFrame:
         """``state`` of a block's tokens seen twice or more."""
         state = b[b["kind"] == "state"].sort_values("block")
         values = np.array([unpacked(x).reshape(3, -1) for x in state["data"]]).reshape(len(kept), 3, -1)
-        asking, rows = b[b["kind"] == "known"], []
-        for block, more in zip(asking["block"], asking["more"]):
-            number = unpacked(more)
-            own = values[:, :, number[number >= 0]]
-            rows.append(("state", block, key[0], None, None, own.shape[2], packed(np.diff(own, axis=0, prepend=0)), None))
+        asking, rows = b[b["kind"] == "known"].sort_values("shard"), []
+        for block, own in asking.groupby("block"):
+            number = [(shard, unpacked(more)) for shard, more in zip(own["shard"], own["more"])]
+            at = np.concatenate([numbers.twice[shard] + x[x >= 0] for shard, x in number]) - numbers.twice[key[0]]
+            of = values[:, :, at]
+            rows.append(("state", block, key[0], None, None, of.shape[2], packed(np.diff(of, axis=0, prepend=0)), None))
         return table(rows)
 
-    sent = known.unionByName(long).groupBy("shard").applyInPandas(state_of, ROWS)
+    sent = known.unionByName(long).groupBy(F.col("shard") - F.col("shard") % group).applyInPandas(state_of, ROWS)
 
     def read(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         of = {k: x for k, x in b.groupby("kind")}

@@ -438,6 +438,21 @@ def test_scores_write_rows_of_blocks_and_shards(spark, monkeypatch):
         assert spark.read.parquet(p).count() <= n + 8 * shards ** 2, p
 
 
+def test_groups_of_shards_change_no_score(spark, monkeypatch):
+    """Shards of tokens are asked by groups: fewer rows, the same scores."""
+    docs = queries.read(spark, SF_SMALL, "documents").filter("doc_id % 3 = 0")
+    monkeypatch.setattr(pitmanyor, "SHARD_CHARS", 20_000)
+    monkeypatch.setattr(pitmanyor, "BLOCK_TOKENS", 5_000)
+    scores, told, written = [], [], pitmanyor.of_kind
+    monkeypatch.setattr(pitmanyor, "of_kind", lambda rows, path, kind: (told.append(rows.filter("kind = 'told'").count()) if kind == "told" else None, written(rows, path, kind))[1])
+    for tokens in (1, 1000):
+        monkeypatch.setattr(pitmanyor, "GROUP_TOKENS", tokens)
+        scores.append({r["doc_id"]: r["score"] for r in pitmanyor.score(docs).collect()})
+    one, many = told[:len(told) // 2], told[len(told) // 2:]
+    assert scores[0] == scores[1] and len(one) == pitmanyor.BURN + pitmanyor.SWEEPS - 1
+    assert all(x > 2 * y > 0 for x, y in zip(one, many))
+
+
 def test_fingerprints_against_a_plain_edit(docs):
     got = fingerprint.fingerprint_edits(docs.filter("doc_id is null or doc_id != 7")).collect()
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect() if r["doc_id"] != 7), key=lambda r: -(r[0] if r[0] is not None else -1 << 63))
